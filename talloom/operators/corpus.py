@@ -233,8 +233,8 @@ def expand_includes(files: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH, home:
 
 
 def words(value: Column) -> Column:
-    """Distinct lower-case words of more than two characters."""
-    return F.filter(F.array_distinct(F.split(F.lower(value), r"\W+")), lambda w: F.length(w) > 2)
+    """Distinct lower-case words (letters of any script, digits, _) of more than two characters."""
+    return F.filter(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}_]+")), lambda w: F.length(w) > 2)
 
 
 def recall_by_overlap(

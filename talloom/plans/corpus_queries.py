@@ -53,7 +53,7 @@ _MIXED = "CASE lang WHEN 'es' THEN concat(source, '/.git/', file) WHEN 'fr' THEN
 
 @query(
     "list_paths",
-    ctes("files") + "SELECT path FROM files WHERE lang = 'de' AND regexp_matches(source, '^src1.$')",
+    ctes("files") + "SELECT path FROM files WHERE lang IN ('de', 'en') AND regexp_matches(source, '^src1.$')",
 )
 def _(t: Tables):
     rows = files(t).select(F.expr(_MIXED).alias("path"))
@@ -255,8 +255,8 @@ def _(t: Tables):
     return corpus.first_per_group(chosen, ["source"], ["doc_id"], 5)
 
 
-_OVERLAP = """WITH q AS (SELECT DISTINCT query_id, w FROM (SELECT {id} AS query_id, unnest(regexp_split_to_array(lower(text), '\\W+')) AS w FROM {table}) WHERE length(w) > 2),
- d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W+')) AS w FROM documents)),
+_OVERLAP = """WITH q AS (SELECT DISTINCT query_id, w FROM (SELECT {id} AS query_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM {table}) WHERE length(w) > 2),
+ d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)),
  s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN d USING (w) GROUP BY ALL)
  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3"""
