@@ -6,6 +6,7 @@ server-sent event stream and seq its place in the stream.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,48 +90,54 @@ class _BlockAssembler(StatefulProcessor):
         self.rows = handle.getListState("rows", _FRAGMENTS)
         self.seen = handle.getValueState("seen", "rows bigint, start bigint, stop bigint, deadline bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        count, start, stop, deadline = self.seen.get() if self.seen.exists() else (0, -1, -1, -1)
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                self.rows.appendValue(_fragment(r))
-                count += 1
-                if r.event == "content_block_start":
-                    start = int(r.seq)
-                if r.event == "content_block_stop":
-                    stop = int(r.seq)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.seen.exists()
+        count, start, stop, deadline = self.seen.get() if held else (0, -1, -1, -1)
+        fresh = [_fragment(r) for pdf in rows for r in pdf.itertuples(index=False)]
+        for r in fresh:
+            if r[1] == "content_block_start":
+                start = r[0]
+            if r[1] == "content_block_stop":
+                stop = r[0]
+        count += len(fresh)
         if start >= 0 and stop >= 0 and count == stop - start + 1:
-            yield self._emit(key, True, stop)
+            yield _block(key, list(self.rows.get()) + fresh if held else fresh, True, stop)
+            if held:
+                self._forget()
             if deadline >= 0:
                 self.handle.deleteTimer(deadline)
             return
         if deadline < 0:
-            deadline = timers.getCurrentWatermarkInMs() + self.lost_after_ms
+            deadline = timerValues.getCurrentWatermarkInMs() + self.lost_after_ms
             self.handle.registerTimer(deadline)
+        self.rows.appendList(fresh)
         self.seen.update((count, start, stop, deadline))
 
     lost_after_ms = 10 * 60 * 1000
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        _, _, stop, _ = self.seen.get()
-        yield self._emit(key, stop >= 0, stop)
-
-    def _emit(self, key, complete: bool, stop: int) -> pd.DataFrame:
-        kept = sorted(self.rows.get(), key=lambda r: r[0])
-        first = next((r for r in kept if r[1] == "content_block_start"), (None,) * 6)
-        out = pd.DataFrame([{
-            "stream_id": key[0], "block": key[1], "part": 0, "type": first[3], "call_id": first[4], "tool": first[5],
-            "text": "".join(r[2] for r in kept if r[1] == "content_block_delta" and r[2] is not None),
-            "complete": complete, "stop_seq": stop,
-        }])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        stop = self.seen.get()[2]
+        yield _block(key, list(self.rows.get()), stop >= 0, stop)
+        self._forget()
+
+    def _forget(self) -> None:
         self.rows.clear()
         self.seen.clear()
-        return out
 
     def close(self) -> None:
         pass
 
 
+def _block(key, rows: list, complete: bool, stop: int) -> pd.DataFrame:
+    kept = sorted(rows, key=lambda r: r[0])
+    first = next((r for r in kept if r[1] == "content_block_start"), (None,) * 6)
+    return pd.DataFrame([{
+        "stream_id": key[0], "block": key[1], "part": 0, "type": first[3], "call_id": first[4], "tool": first[5],
+        "text": "".join(r[2] for r in kept if r[1] == "content_block_delta" and r[2] is not None),
+        "complete": complete, "stop_seq": stop,
+    }])
+
+
 def _fragment(r):
     def clean(x):
         return None if x is None or x != x else x
@@ -220,20 +227,25 @@ class _ChunkAssembler(StatefulProcessor):
         )
         self.seen = handle.getValueState("seen", "rows bigint, done bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        count, done = self.seen.get() if self.seen.exists() else (0, -1)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.seen.exists()
+        count, done = self.seen.get() if held else (0, -1)
+        fresh = []
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                count += 1
-                if r.done:
-                    done = int(r.seq)
-                else:
-                    self.rows.appendValue(_chunk(r))
+            count += len(pdf)
+            ends = pdf[pdf["done"]]
+            if len(ends):
+                done = int(ends["seq"].iloc[0])
+            fresh += [_chunk(r) for r in pdf[~pdf["done"]].itertuples(index=False)]
         if done >= 0 and count == done + 1:
-            yield _message(key[0], sorted(self.rows.get(), key=lambda x: x[0]))
-            self.rows.clear()
-            self.seen.clear()
+            every = list(self.rows.get()) + fresh if held else fresh
+            yield _message(key[0], sorted(every, key=lambda x: x[0]))
+            if held:
+                self.rows.clear()
+                self.seen.clear()
         else:
+            if fresh:
+                self.rows.appendList(fresh)
             self.seen.update((count, done))
 
     def close(self) -> None:
@@ -247,8 +259,6 @@ def _chunk(r):
 
 
 def _message(stream_id: str, rows: list) -> pd.DataFrame:
-    import json
-
     calls: dict[int, dict] = {}
     for row in rows:
         for c in json.loads(row[2]) if row[2] else []:

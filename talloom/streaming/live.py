@@ -67,7 +67,7 @@ class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", self.state)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         before = self.held.get() if self.held.exists() else None
         after, out = self.fold(key, pdf, before)
@@ -139,6 +139,13 @@ def streaks_stream(decisions: DataFrame, max_run: int, max_total: int) -> DataFr
     )
 
 
+def _replace(state, values: list) -> None:
+    if values:
+        state.put(values)
+    else:
+        state.clear()
+
+
 class _Late(StatefulProcessor):
     """Holds results until the watermark shows which turn comes first after them."""
 
@@ -147,27 +154,29 @@ class _Late(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at bigint, seq bigint")
         self.turns = handle.getListState("turns", "at bigint, seq bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for turn, at, seq in zip(pdf["is_turn"], pdf["us"], pdf["seq"]):
-                (self.turns if turn else self.waiting).appendValue((int(at), int(seq)))
-                if turn:
-                    self.handle.registerTimer(int(at) // 1000 + 1)
+            for state, part in ((self.turns, pdf[pdf["is_turn"]]), (self.waiting, pdf[~pdf["is_turn"]])):
+                if len(part):
+                    state.appendList(list(zip(part["us"].tolist(), part["seq"].tolist())))
+            # One timer per instant at which a turn is settled.
+            for at in set((pdf["us"][pdf["is_turn"]] // 1000 + 1).tolist()):
+                self.handle.registerTimer(at)
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        passed = timers.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         turns = sorted(self.turns.get())
         settled = [x for x in turns if x[0] < passed]
         # A result that comes later is not older than the watermark.
-        self.turns.put([x for x in turns if x[0] >= passed])
+        _replace(self.turns, [x for x in turns if x[0] >= passed])
         waiting = sorted(self.waiting.get())
         if not settled or not waiting:
             return
         times = np.array([x[0] for x in settled])
         at = np.searchsorted(times, [w[0] for w in waiting])
         done = [(w, settled[i]) for w, i in zip(waiting, at) if i < len(settled)]
-        self.waiting.put([w for w, i in zip(waiting, at) if i == len(settled)])
+        _replace(self.waiting, [w for w, i in zip(waiting, at) if i == len(settled)])
         if done:
             yield pd.DataFrame([{"session": key[0], "seq": w[1], "turn": x[1]} for w, x in done])
 
