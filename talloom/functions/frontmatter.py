@@ -7,24 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talloom.functions.text import lines_of, trim_ws
+from talloom.functions.text import trim_ws
 
 NOTE_TYPES = ["user", "feedback", "project", "reference"]  # fixed values
 DEFAULT_TYPE = "project"
 
 
+# A first line and a later line that are --- apart from blanks. The flags make
+# only \n end a line. The lazy dot runs without recursion on any length.
+HEADER = r"(?dms)\A[^\S\n]*---[^\S\n]*\n.*?^[^\S\n]*---[^\S\n]*$"
+
+
 def parse_frontmatter(text: Column) -> Column:
     """struct(meta map<string,string>, body). Without a closed header: empty map, whole text."""
-    lines = lines_of(text)
-    # Position of the closing line among the lines after the first, 0 if none.
-    rest = F.slice(lines, F.lit(2), F.size(lines))
-    closing = F.array_position(F.transform(rest, trim_ws), "---")
-    has_header = (trim_ws(F.get(lines, F.lit(0))) == "---") & (closing > 0)
+    # A one-element transform binds the matched header, so the search runs once.
+    found = F.transform(F.array(F.regexp_extract(text, HEADER, 0)), lambda h: _parsed(text, h))
+    return F.get(found, F.lit(0))
+
 
-    header = F.slice(rest, F.lit(1), F.greatest(closing - 1, F.lit(0)).cast("int"))
+def _parsed(text: Column, head: Column) -> Column:
+    lines = F.split(head, "\n", -1)
+    inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
     pairs = F.filter(
         F.transform(
-            F.filter(header, lambda x: F.contains(x, F.lit(":"))),
+            F.filter(inner, lambda x: F.contains(x, F.lit(":"))),
             lambda x: F.struct(
                 trim_ws(F.substring_index(x, ":", 1)).alias("key"),
                 trim_ws(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("value"),
@@ -39,11 +45,9 @@ def parse_frontmatter(text: Column) -> Column:
             F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]
         ),
     )
-    body = F.array_join(F.slice(rest, (closing + 1).cast("int"), F.size(rest) + 1), "\n")
-    empty = F.map_from_entries(F.filter(pairs, lambda p: F.lit(False)))
+    body = trim_ws(F.substr(text, F.length(head) + 1))
     return F.struct(
-        F.when(has_header, F.map_from_entries(last_only)).otherwise(empty).alias("meta"),
-        F.when(has_header, trim_ws(body)).otherwise(text).alias("body"),
+        F.map_from_entries(last_only).alias("meta"), F.when(head == "", text).otherwise(body).alias("body")
     )
 
 

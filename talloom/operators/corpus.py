@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +33,23 @@ def grep(files: DataFrame, pattern: str, include: str | None = None) -> DataFram
     if include:
         name = F.element_at(F.split("path", "/"), -1)
         kept = kept.filter(F.rlike(name, F.lit(predicates.name_regex(include))))
-    # A whole-text test first: most files never get split into lines.
-    kept = kept.filter(F.rlike("text", F.lit(f"(?m){pattern}")))
+    if matches_across_lines(pattern):
+        # A whole-text test first: most files never get split into lines.
+        kept = kept.filter(F.rlike("text", F.lit(f"(?m){pattern}")))
     lines = kept.select("path", F.posexplode(text.lines_of(F.col("text"))).alias("pos", "line"))
     return lines.filter(F.rlike("line", F.lit(pattern))).select(
         "path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
     )
 
 
+def matches_across_lines(pattern: str) -> bool:
+    """True if a match in a line is sure to be one in the whole text.
+
+    Not so for look-around, inline groups, text anchors and possessive repeats.
+    """
+    return not re.search(r"\(\?|\\[AzZG]|[*+?}]\+", pattern)
+
+
 def list_paths(files: DataFrame, glob: str) -> DataFrame:
     match = F.rlike("path", F.lit(predicates.glob_regex(glob)))
     return files.select("path").filter(match & predicates.visible_path(F.col("path")))
@@ -250,21 +260,16 @@ def recall_by_overlap(
     spark = configure(docs.sparkSession)
     asked = queries.select("query_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("words"))
-    numbered = _slices(asked, slice_queries)
     out = None
-    for part in numbered:
-        pdf = part.toPandas()
-        vocabulary = sorted({w for ws in pdf["words"] for w in ws})
+    for part in _slices(asked, slice_queries):
+        rows = part.collect()  # at most about one slice
+        vocabulary = sorted({w for r in rows for w in r["words"]})
         column = {w: i for i, w in enumerate(vocabulary)}
-        weights = np.zeros((len(vocabulary), len(pdf)), dtype=np.float32)
-        for j, ws in enumerate(pdf["words"]):
-            weights[[column[w] for w in ws], j] = 1.0
-        shared = spark.sparkContext.broadcast((column, weights, pdf["query_id"].to_numpy()))
-        # Only words some query asks for leave the JVM.
-        asked_words = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
-        known = tokens.select("doc_id", F.array_intersect("words", asked_words).alias("words"))
-        known = known.filter(F.size("words") > 0)
-        best = known.mapInPandas(_top_overlaps(shared, k), _SCORED)
+        weights = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
+        for j, r in enumerate(rows):
+            weights[[column[w] for w in r["words"]], j] = 1.0
+        shared = spark.sparkContext.broadcast((vocabulary, weights, np.array([r["query_id"] for r in rows])))
+        best = tokens.mapInArrow(_top_overlaps(shared, k), _SCORED)
         out = best if out is None else out.unionByName(best)
     if out is None:
         return spark.createDataFrame([], T.StructType.fromDDL(_SCORED + ", rank int"))
@@ -286,33 +291,49 @@ def _slices(asked: DataFrame, size: int) -> list[DataFrame]:
 def _top_overlaps(shared, k: int):
     """Scores docs in blocks and carries only the k best per query."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        column, weights, query_ids = shared.value
-        block = max(64, (1 << 22) // max(1, len(column)))
-        best = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights, query_ids = shared.value
+        known = pa.array(vocabulary)
+        block = max(64, (1 << 22) // max(1, len(vocabulary)))
+        best = np.empty((0, 3), dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), block):
-                pdf = batch.iloc[at:at + block]
-                hits = np.zeros((len(pdf), len(column)), dtype=np.float32)
-                lengths = pdf["words"].map(len).to_numpy()
-                flat = [column[w] for ws in pdf["words"] for w in ws]
-                hits[np.repeat(np.arange(len(pdf)), lengths), flat] = 1.0
-                scores = (hits @ weights).astype(np.int64)
-                doc, query = np.nonzero(scores)
-                found = pd.DataFrame({
-                    "query_id": query_ids[query],
-                    "doc_id": pdf["doc_id"].to_numpy()[doc],
-                    "score": scores[doc, query],
-                })
-                both = found if best is None else pd.concat([best, found])
-                both = both.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
-                best = both.groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            for at in range(0, batch.num_rows, block):
+                piece = batch.slice(at, block)
+                best = _best(np.concatenate([best, _scored(piece, known, weights, query_ids, k)]), k)
+        names = ["query_id", "doc_id", "score"]
+        yield pa.RecordBatch.from_arrays([pa.array(best[:, i]) for i in range(3)], names)
 
     return run
 
 
+def _scored(piece: pa.RecordBatch, known: pa.Array, weights: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
+    words = piece.column("words")
+    ids = piece.column("doc_id").to_numpy()
+    # Rows in id order, so that equal scores rank by row.
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    column = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    hits = np.zeros((len(ids), len(known)), dtype=np.float32)
+    hits[row[column >= 0], column[column >= 0]] = 1.0
+    scores = (hits @ weights).astype(np.int64)
+    rank = scores * len(ids) - np.arange(len(ids))[:, None]
+    top = np.argpartition(-rank, min(k, len(ids)) - 1, axis=0)[:k]
+    score = np.take_along_axis(scores, top, axis=0)
+    query = np.broadcast_to(query_ids, top.shape)
+    found = np.stack([query, np.sort(ids)[top], score], axis=-1).reshape(-1, 3)
+    return found[found[:, 2] > 0]
+
+
+def _best(found: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows per query of (query, doc, score)."""
+    found = found[np.lexsort((found[:, 1], -found[:, 2], found[:, 0]))]
+    starts = np.r_[True, found[1:, 0] != found[:-1, 0]] if len(found) else np.empty(0, dtype=bool)
+    first = np.flatnonzero(starts)
+    rank = np.arange(len(found)) - np.repeat(first, np.diff(np.r_[first, len(found)]))
+    return found[rank < k]
+
+
 def byte_budget(items: DataFrame, keys: list[str], order: list[str], size: str, limit: int,
                 chunk_rows: int | None = None) -> DataFrame:
     """Items that start while the bytes before them are below the limit."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talloom.session import configure
+from talloom.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for work that is heavy per row."""
+        return spread(getattr(self, name).select(*(columns or "*")))
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of Tables under a name, with its SQL if SQL can state it."""

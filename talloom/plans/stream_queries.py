@@ -33,14 +33,14 @@ _CALL_BLOCKS = """SELECT 'd' || doc_id AS stream_id, CAST(1 AS BIGINT) AS block,
 
 
 def _stamped(rows):
-    """Event times one millisecond apart; rows of a stream land in different files."""
-    ts = F.timestamp_micros(F.lit(1704067200000000) + F.col("seq").cast("bigint") * 1000)
-    return rows.select("stream_id", F.col("seq").cast("bigint").alias("seq"), ts.alias("ts"), "line").repartition(4, "seq")
+    """All replies start together; the rows of one land in different files."""
+    started = F.lit("2024-01-01").cast("timestamp").alias("started")
+    return rows.select("stream_id", started, F.col("seq").cast("bigint").alias("seq"), "line").repartition(4, "seq")
 
 
 def _block_folder(t: Tables) -> str:
     path = scratch_path(t.spark, "blocks")
-    rows = t.documents.withColumn("args", F.expr(_ARGS)).selectExpr("concat('d', doc_id) AS stream_id", _BLOCK_LINES)
+    rows = t.spread("documents").withColumn("args", F.expr(_ARGS)).selectExpr("concat('d', doc_id) AS stream_id", _BLOCK_LINES)
     _stamped(rows).write.json(path)
     return path
 
@@ -54,7 +54,7 @@ def _(t: Tables):
 @query("assemble_blocks_stream", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
 def _(t: Tables):
     stream = deltas.read_delta_stream(t.spark, _block_folder(t), files_per_batch=2)
-    return run_available(deltas.assemble_blocks_stream(deltas.block_events(stream)), "assemble")
+    return run_available(deltas.assemble_blocks_stream(deltas.block_events(stream)), "assemble", "update")
 
 
 @query(
@@ -63,7 +63,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     stream = deltas.read_delta_stream(t.spark, _block_folder(t), files_per_batch=2)
-    return run_available(deltas.early_complete(deltas.block_events(stream)), "early").drop("stop_seq")
+    return run_available(deltas.early_complete(deltas.block_events(stream)), "early", "update").drop("stop_seq")
 
 
 # Each turn of a conversation is one reply in the chunk shape with two calls.
@@ -81,7 +81,7 @@ _CHUNK_LINES = f"""posexplode(concat(
 
 def _chunk_folder(t: Tables) -> str:
     path = scratch_path(t.spark, "chunks")
-    rows = t.conversations.selectExpr("concat(conv_id, '-', turn) AS stream_id", _CHUNK_LINES)
+    rows = t.spread("conversations").selectExpr("concat(conv_id, '-', turn) AS stream_id", _CHUNK_LINES)
     _stamped(rows).write.json(path)
     return path
 
@@ -108,10 +108,17 @@ def _(t: Tables):
     return made
 
 
+@query("assemble_chunks_calls_stream", _REPLY_CALLS)
+def _(t: Tables):
+    stream = deltas.read_delta_stream(t.spark, _chunk_folder(t), files_per_batch=2)
+    replies = run_available(deltas.assemble_chunks_stream(deltas.chunk_events(stream)), "chunk-calls", "update")
+    return replies.select("stream_id", F.inline("calls"))
+
+
 @query("assemble_chunks_stream", _REPLIES)
 def _(t: Tables):
     stream = deltas.read_delta_stream(t.spark, _chunk_folder(t), files_per_batch=2)
-    return run_available(deltas.assemble_chunks_stream(deltas.chunk_events(stream)), "chunks").drop("calls")
+    return run_available(deltas.assemble_chunks_stream(deltas.chunk_events(stream)), "chunks", "update").drop("calls")
 
 
 # -- events as streams ------------------------------------------------------------------

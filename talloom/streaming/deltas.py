@@ -1,30 +1,26 @@
 """Replies that arrive as fragments: reading, assembling, acting early.
 
-Rows of a delta stream are (stream_id, seq, ts, line); `line` is one line of a
-server-sent event stream and seq its place in the stream.
+Rows of a delta stream are (stream_id, started, seq, line): a line of a
+server-sent event stream, its place in the stream, and when the reply started.
+The start time is the event time, equal for all rows of a reply.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talloom.functions.predicates import PARALLEL_TOOLS
 from talloom.operators.ordered import concat_parts
 from talloom.sources.sessions import parsed_or_empty
 
-DELTA_SCHEMA = "stream_id string, seq bigint, ts timestamp, line string"
+DELTA_SCHEMA = "stream_id string, started timestamp, seq bigint, line string"
 DONE = "[DONE]"  # fixed value
 PART_BYTES = 16 << 20
 
 
 def read_delta_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """JSON lines (stream_id, seq, ts, line) as a stream, one row per data line."""
+    """JSON lines (stream_id, started, seq, line) as a stream, one row per data line."""
     raw = spark.readStream.schema(DELTA_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
     return data_lines(raw)
 
@@ -32,17 +28,17 @@ def read_delta_stream(spark: SparkSession, path: str, files_per_batch: int = 100
 def data_lines(raw: DataFrame) -> DataFrame:
     """The payload of `data:` lines; event names, comments and blanks carry none."""
     payload = F.regexp_extract("line", r"(?s)^data:\s*(.*)\z", 1)
-    return raw.filter(F.startswith("line", F.lit("data:"))).select("stream_id", "seq", "ts", payload.alias("payload"))
+    return raw.filter(F.startswith("line", F.lit("data:"))).select("stream_id", "started", "seq", payload.alias("payload"))
 
 
 def block_events(rows: DataFrame) -> DataFrame:
-    """Payloads of the block shape as (stream_id, seq, ts, event, block, fragment, type, call_id, tool)."""
+    """Payloads of the block shape as (stream_id, started, seq, event, block, fragment, type, call_id, tool)."""
     v = F.try_parse_json("payload")
     def get(path: str):
         return F.try_variant_get("v", path, "string")
-    parsed = rows.select("stream_id", "seq", "ts", v.alias("v"))
+    parsed = rows.select("stream_id", "started", "seq", v.alias("v"))
     return parsed.select(
-        "stream_id", "seq", "ts",
+        "stream_id", "started", "seq",
         get("$.type").alias("event"),
         F.try_variant_get("v", "$.index", "bigint").alias("block"),
         F.coalesce(get("$.delta.text"), get("$.delta.partial_json"), get("$.delta.thinking")).alias("fragment"),
@@ -78,101 +74,51 @@ def _finished(blocks: DataFrame) -> DataFrame:
     )
 
 
-_BLOCK_ROWS = "stream_id string, block bigint, part bigint, type string, call_id string, tool string, text string, complete boolean, stop_seq bigint"
-_FRAGMENTS = "seq bigint, event string, fragment string, type string, call_id string, tool string"
-
-
-class _BlockAssembler(StatefulProcessor):
-    """Keeps the rows of one block until its stop row and every row before it arrived."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", _FRAGMENTS)
-        self.seen = handle.getValueState("seen", "rows bigint, start bigint, stop bigint, deadline bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.seen.exists()
-        count, start, stop, deadline = self.seen.get() if held else (0, -1, -1, -1)
-        fresh = [_fragment(r) for pdf in rows for r in pdf.itertuples(index=False)]
-        for r in fresh:
-            if r[1] == "content_block_start":
-                start = r[0]
-            if r[1] == "content_block_stop":
-                stop = r[0]
-        count += len(fresh)
-        if start >= 0 and stop >= 0 and count == stop - start + 1:
-            yield _block(key, list(self.rows.get()) + fresh if held else fresh, True, stop)
-            if held:
-                self._forget()
-            if deadline >= 0:
-                self.handle.deleteTimer(deadline)
-            return
-        if deadline < 0:
-            deadline = timerValues.getCurrentWatermarkInMs() + self.lost_after_ms
-            self.handle.registerTimer(deadline)
-        self.rows.appendList(fresh)
-        self.seen.update((count, start, stop, deadline))
-
-    lost_after_ms = 10 * 60 * 1000
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stop = self.seen.get()[2]
-        yield _block(key, list(self.rows.get()), stop >= 0, stop)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows.clear()
-        self.seen.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def _block(key, rows: list, complete: bool, stop: int) -> pd.DataFrame:
-    kept = sorted(rows, key=lambda r: r[0])
-    first = next((r for r in kept if r[1] == "content_block_start"), (None,) * 6)
-    return pd.DataFrame([{
-        "stream_id": key[0], "block": key[1], "part": 0, "type": first[3], "call_id": first[4], "tool": first[5],
-        "text": "".join(r[2] for r in kept if r[1] == "content_block_delta" and r[2] is not None),
-        "complete": complete, "stop_seq": stop,
-    }])
-
-
-def _fragment(r):
-    def clean(x):
-        return None if x is None or x != x else x
-    return (int(r.seq), r.event, clean(r.fragment), clean(r.type), clean(r.call_id), clean(r.tool))
-
+def complete_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Stream form, update mode: a block appears once, in the batch that completes it.
 
-def assemble_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stream form: a block is emitted as soon as it is complete; lost ones after the delay."""
-    raw = raw_blocks_stream(events, delay)
-    return _finished(raw)
+    It is complete when its start, its stop and every row between them arrived,
+    in whatever order. State is kept per reply until the watermark passes the
+    start of the reply by `delay`; what is incomplete then is dropped.
+    """
+    row = F.struct("seq", "fragment")
+    at = F.col("event")
+    blocks = events.withWatermark("started", delay).groupBy("started", "stream_id", "block").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.when(at == "content_block_start", F.col("seq"))).alias("start_seq"),
+        F.max(F.when(at == "content_block_stop", F.col("seq"))).alias("stop_seq"),
+        F.max("type").alias("type"), F.max("call_id").alias("call_id"), F.max("tool").alias("tool"),
+        F.collect_list(F.when(at == "content_block_delta", row)).alias("deltas"),
+    )
+    whole = blocks.filter(F.col("rows") == F.col("stop_seq") - F.col("start_seq") + 1)
+    text = F.array_join(F.transform(F.array_sort("deltas"), lambda d: d["fragment"]), "")
+    return whole.select(
+        "stream_id", "block", F.lit(0).cast("bigint").alias("part"), "type", "call_id", "tool", text.alias("text"),
+        F.lit(True).alias("complete"), "stop_seq",
+    )
 
 
-def raw_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    keyed = events.withWatermark("ts", delay).groupBy("stream_id", "block")
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=_BlockAssembler(), outputStructType=_BLOCK_ROWS, outputMode="append", timeMode="eventTime"
-    )
+def assemble_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Blocks as they complete, input parsed, thinking left out. Write it in update mode."""
+    return _finished(complete_blocks_stream(events, delay))
 
 
 def early_complete(events: DataFrame, allowed: list[str] = PARALLEL_TOOLS, delay: str = "10 minutes") -> DataFrame:
-    """Calls that may start before the message ends: complete, safe and allowed."""
-    raw = raw_blocks_stream(events, delay).filter(F.col("complete") & (F.col("type") == "tool_use") & F.col("tool").isin(*allowed))
-    return raw.select("stream_id", "block", "call_id", "tool", parsed_or_empty(F.col("text")).alias("input"), "stop_seq")
+    """Calls that may start before their message ends: complete, safe and allowed."""
+    calls = complete_blocks_stream(events, delay).filter((F.col("type") == "tool_use") & F.col("tool").isin(*allowed))
+    return calls.select("stream_id", "block", "call_id", "tool", parsed_or_empty(F.col("text")).alias("input"), "stop_seq")
 
 
 # -- chunk shape --------------------------------------------------------------------
 
 
 def chunk_events(rows: DataFrame) -> DataFrame:
-    """Payloads of the chunk shape as (stream_id, seq, ts, done, content, calls, finish, tokens)."""
+    """Payloads of the chunk shape as (stream_id, started, seq, done, content, calls, finish, tokens)."""
     done = F.col("payload") == DONE
-    parsed = rows.select("stream_id", "seq", "ts", done.alias("done"), F.try_parse_json("payload").alias("v"))
+    parsed = rows.select("stream_id", "started", "seq", done.alias("done"), F.try_parse_json("payload").alias("v"))
     calls = F.try_variant_get("v", "$.choices[0].delta.tool_calls", "array<variant>")
     return parsed.select(
-        "stream_id", "seq", "ts", "done",
+        "stream_id", "started", "seq", "done",
         F.try_variant_get("v", "$.choices[0].delta.content", "string").alias("content"),
         F.transform(calls, lambda c: F.struct(
             F.try_variant_get(c, "$.index", "bigint").alias("index"),
@@ -215,68 +161,42 @@ def assemble_chunks(events: DataFrame, part_bytes: int = PART_BYTES) -> tuple[Da
     return messages, calls
 
 
-_MESSAGE_ROWS = "stream_id string, text string, finish string, prompt_tokens bigint, completion_tokens bigint, calls array<struct<index bigint, id string, tool string, arguments string>>"
-
-
-class _ChunkAssembler(StatefulProcessor):
-    """Keeps the payload rows of one stream until the done row and all rows before it arrived."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState(
-            "rows", "seq bigint, content string, calls string, finish string, prompt bigint, completion bigint"
-        )
-        self.seen = handle.getValueState("seen", "rows bigint, done bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.seen.exists()
-        count, done = self.seen.get() if held else (0, -1)
-        fresh = []
-        for pdf in rows:
-            count += len(pdf)
-            ends = pdf[pdf["done"]]
-            if len(ends):
-                done = int(ends["seq"].iloc[0])
-            fresh += [_chunk(r) for r in pdf[~pdf["done"]].itertuples(index=False)]
-        if done >= 0 and count == done + 1:
-            every = list(self.rows.get()) + fresh if held else fresh
-            yield _message(key[0], sorted(every, key=lambda x: x[0]))
-            if held:
-                self.rows.clear()
-                self.seen.clear()
-        else:
-            if fresh:
-                self.rows.appendList(fresh)
-            self.seen.update((count, done))
-
-    def close(self) -> None:
-        pass
-
-
-def _chunk(r):
-    def number(x):
-        return None if x is None or x != x else int(x)
-    return (int(r.seq), r.content, r.calls, r.finish, number(r.prompt_tokens), number(r.completion_tokens))
-
-
-def _message(stream_id: str, rows: list) -> pd.DataFrame:
-    calls: dict[int, dict] = {}
-    for row in rows:
-        for c in json.loads(row[2]) if row[2] else []:
-            at = calls.setdefault(c["index"], {"index": c["index"], "id": c.get("id") or "", "tool": c.get("name") or "", "arguments": ""})
-            at["arguments"] += c.get("arguments") or ""
-
-    def last(i, default):
-        return next((r[i] for r in reversed(rows) if r[i] not in (None, "")), default)
-
-    return pd.DataFrame([{
-        "stream_id": stream_id, "text": "".join(r[1] for r in rows if r[1]) or None, "finish": last(3, "stop"),
-        "prompt_tokens": last(4, 0), "completion_tokens": last(5, 0), "calls": [calls[i] for i in sorted(calls)],
-    }])
-
-
-def assemble_chunks_stream(events: DataFrame) -> DataFrame:
-    """Stream form of chunk events: one row per finished reply; seq counts data lines from 0."""
-    flat = events.withColumn("calls", F.to_json("calls")).drop("ts")
-    return flat.groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=_ChunkAssembler(), outputStructType=_MESSAGE_ROWS, outputMode="append", timeMode="none"
+def assemble_chunks_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Stream form, update mode: one row per reply, in the batch that completes it.
+
+    seq counts the data lines of a reply from 0; the done line is the last.
+    """
+    row = F.struct("seq", "content", "calls", "finish", "prompt_tokens", "completion_tokens")
+    replies = events.withWatermark("started", delay).groupBy("started", "stream_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("done"), F.col("seq"))).alias("done_seq"),
+        F.array_sort(F.collect_list(F.when(~F.col("done"), row))).alias("r"),
+    )
+    whole = replies.filter(F.col("rows") == F.col("done_seq") + 1)
+
+    def last(name: str, default, keep):
+        values = F.filter(F.transform("r", lambda x: x[name]), keep)
+        return F.coalesce(F.get(values, F.size(values) - 1), F.lit(default))
+
+    pieces = F.flatten(F.array_compact(F.transform("r", lambda x: x["calls"])))
+    whole = whole.select(
+        "stream_id",
+        F.array_join(F.transform("r", lambda x: x["content"]), "").alias("text"),
+        last("finish", "stop", lambda v: v != "").alias("finish"),
+        last("prompt_tokens", 0, lambda v: v.isNotNull()).alias("prompt_tokens"),
+        last("completion_tokens", 0, lambda v: v.isNotNull()).alias("completion_tokens"),
+        pieces.alias("pieces"),
+    )
+    made = F.transform(
+        F.array_sort(F.array_distinct(F.transform("pieces", lambda c: c["index"]))), lambda i: _call(F.col("pieces"), i)
+    )
+    return whole.withColumn("calls", made).drop("pieces")
+
+
+def _call(pieces, index):
+    own = F.filter(pieces, lambda c: c["index"] == index)
+    return F.struct(
+        index.alias("index"),
+        F.coalesce(F.get(own, F.lit(0))["id"], F.lit("")).alias("id"),
+        F.coalesce(F.get(own, F.lit(0))["name"], F.lit("")).alias("tool"),
+        parsed_or_empty(F.array_join(F.transform(own, lambda c: c["arguments"]), "")).alias("input"),
     )

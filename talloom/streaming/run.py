@@ -24,13 +24,18 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available, then return the appended rows as a table."""
+def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Process everything available, then return the emitted rows as a table.
+
+    Update mode has no file sink of its own: every batch overwrites its own
+    folder, so a batch that is run again after a failure does not repeat rows.
+    """
     spark = use_rocksdb(stream.sparkSession)
     out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch-*")
