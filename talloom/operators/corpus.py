@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from talloom.functions import predicates, text
 from talloom.operators.ordered import Ordered, concat_parts, running_sum
-from talloom.session import configure, reliable
+from talloom.session import configure, reliable, small_side
 
 GREP_CAP = 100
 LIST_CAP = 200
@@ -151,7 +151,7 @@ def context_for_paths(paths: DataFrame, files: DataFrame, part_bytes: int) -> Da
     """
     found = paths.select(
         "path", F.posexplode(ancestors(F.col("path"))).alias("depth", "folder")
-    ).join(files, "folder")
+    ).join(small_side(files), "folder")
     return concat_parts(
         found, ["path"], ["depth"], F.col("text"), "\n\n---\n\n", part_bytes, name="context"
     )
@@ -176,9 +176,9 @@ def build_index(notes: DataFrame, newest: bool, part_bytes: int) -> DataFrame:
         F.lit(") — "), F.coalesce("description", F.lit("")),
     )
     kept = notes.filter((F.col("name") != "") & (F.col("type") != ""))
-    age = -F.unix_micros(F.col("mtime").cast("timestamp")) if newest else F.lit(0)
-    kept = kept.withColumn("_age", age.cast("bigint"))
-    return concat_parts(kept, ["folder"], ["_age", "file"], line, "\n", part_bytes, name="index")
+    kept = kept.withColumn("_age", -F.unix_micros(F.col("mtime").cast("timestamp")))
+    order = ["_age", "file"] if newest else ["file"]
+    return concat_parts(kept, ["folder"], order, line, "\n", part_bytes, name="index")
 
 
 # -- includes -------------------------------------------------------------------

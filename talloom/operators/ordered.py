@@ -6,7 +6,7 @@ consecutive chunks, computes the running value inside every chunk and adds what
 the earlier chunks of the group contribute (the carry). All supported values
 are associative, so both forms give the same rows.
 
-Chunk borders are order values of rows chosen by a hash of their key, so they
+Chunk borders are the order values of rows chosen by a hash, so they
 depend on the data alone: a lost executor recomputes the same chunks, and two
 branches of one plan agree. About rows / chunk_rows borders exist, which bounds
 what is broadcast.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from talloom.session import must_split, reliable
 
 CHUNK_ROWS = 2_000_000
-MAX_BROADCAST_BORDERS = 2_000_000
+MAX_BROADCAST_ROWS = 2_000_000
 
 _CHUNK = "_chunk"
 _HOT = "_hot"
@@ -84,27 +84,27 @@ class Ordered:
     # -- chunks ---------------------------------------------------------
 
     def _cut(self, df: DataFrame, chunk_rows: int) -> DataFrame:
-        first = self.order[0]
+        position = F.struct(*self.order)
         chosen = F.pmod(F.xxhash64(*self.keys, *self.order), F.lit(chunk_rows)) == 0
         borders = (
             df.filter(chosen)
             .groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys])
-            .agg(F.array_sort(F.collect_set(first)).alias("_borders"))
+            .agg(F.array_sort(F.collect_set(position)).alias("_borders"))
         )
-        borders = reliable(borders)
-        listed = borders.select(F.coalesce(F.sum(F.size("_borders")), F.lit(0))).first()[0]
-        if listed <= MAX_BROADCAST_BORDERS:
-            borders = F.broadcast(borders)
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
-        cut = df.join(borders, same, "left")
+        cut = df.join(_small_table(borders, F.sum(F.size("_borders"))), self._same_key(), "left")
         return cut.select(
             *self.columns,
             F.col("_borders").isNotNull().alias(_HOT),
-            _borders_below(F.col("_borders"), F.col(first)).alias(_CHUNK),
+            _borders_below(F.col("_borders"), position).alias(_CHUNK),
         )
 
+    def _same_key(self) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
+
     def _groups(self) -> list[str]:
-        return [*self.keys, _CHUNK] if self.split else self.keys
+        # _HOT is fixed by the key; as a partition column it lets the filter on
+        # cut groups move below the window.
+        return [*self.keys, _CHUNK, _HOT] if self.split else self.keys
 
     def _window(self, inclusive: bool):
         spec = Window.partitionBy(*self._groups()).orderBy(*self.order)
@@ -127,29 +127,30 @@ class Ordered:
             F.col(_CHUNK).alias("_k_chunk"),
             *[_carry(v, F.col(f"_t_{n}"), earlier).alias(f"_c_{n}") for n, v in values.items()],
         ).filter(F.col("_k_chunk") > 0)
-
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
-        same.append(F.col(_CHUNK) == F.col("_k_chunk"))
-        # One row per chunk of a cut group: no more rows than borders.
-        joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(
-            F.broadcast(carries), same, "left"
-        )
+        # One row per chunk of a cut group, no more than there are borders. Kept
+        # in storage, so that chained running values do not repeat each other.
+        carries = _small_table(carries, F.count(F.lit(1)))
+        same = [*self._same_key(), F.col(_CHUNK) == F.col("_k_chunk")]
+        joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(carries, same, "left")
         merged = {n: _merge(v, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, v in values.items()}
         kept = joined.withColumns(merged).select(*self.columns, *values, _HOT, _CHUNK)
         return self._next(kept, values)
 
     def with_total(self, **values: Column) -> Ordered:
         """Add per-group sums (null counts as 0) next to every row."""
+        whole = Window.partitionBy(*self._groups())
+        local = {n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in values.items()}
         if not self.split:
-            whole = Window.partitionBy(*self.keys)
-            added = {n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in values.items()}
-            return self._next(self.df.withColumns(added), values)
-        sums = self.df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(
-            *[F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in values.items()]
+            return self._next(self.df.withColumns(local), values)
+        # A group that was not cut is whole in its chunk; the others are few.
+        sums = self.df.filter(_HOT).groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(
+            *[F.coalesce(F.sum(v), F.lit(0)).alias(f"_t_{n}") for n, v in values.items()]
+        )
+        joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(
+            _small_table(sums, F.count(F.lit(1))), self._same_key(), "left"
         )
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
-        joined = self.df.join(sums, same, "left")
-        return self._next(joined.select(*self.columns, *values, _HOT, _CHUNK), values)
+        chosen = {n: F.when(F.col(_HOT), F.col(f"_t_{n}")).otherwise(F.col(f"_l_{n}")) for n in values}
+        return self._next(joined.withColumns(chosen).select(*self.columns, *values, _HOT, _CHUNK), values)
 
     def with_column(self, name: str, value: Column) -> Ordered:
         return self._next(self.df.withColumn(name, value), [name])
@@ -178,6 +179,13 @@ class Ordered:
         return self.df.select(*self.columns)
 
 
+def _small_table(table: DataFrame, size: Column) -> DataFrame:
+    """Store a table about the cut groups; broadcast it if its measured size allows."""
+    table = reliable(table)
+    measured = table.select(F.coalesce(size, F.lit(0))).first()[0]
+    return F.broadcast(table) if measured <= MAX_BROADCAST_ROWS else table
+
+
 def _borders_below(borders: Column, value: Column) -> Column:
     """How many sorted borders lie below the value, by binary search."""
     rounds = F.ceil(F.log2(F.size(borders) + F.lit(1.0))).cast("int")
@@ -194,7 +202,7 @@ def _borders_below(borders: Column, value: Column) -> Column:
 
     # One extra round: the interval halves to length 0, not 1.
     found = F.aggregate(F.sequence(F.lit(0), rounds), start, halve, lambda acc: acc["lo"])
-    return F.when(borders.isNull() | value.isNull(), 0).otherwise(found)
+    return F.when(borders.isNull(), 0).otherwise(found)
 
 
 def _chunk_total(v: Running, position: Column) -> Column:

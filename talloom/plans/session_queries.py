@@ -11,6 +11,7 @@ from talloom.operators.corpus import first_per_group
 from talloom.plans.corpus_queries import parts_sql
 from talloom.plans.registry import Tables, query
 from talloom.plans.standins import calls, ctes, usage
+from talloom.session import literal_rows
 
 ORDER = ["ts", "seq"]
 
@@ -163,10 +164,9 @@ _PRICES = {"view": (3, 15, 0.3, 3.75), "click": (1, 5, 0.1, 1.25), "purchase": (
 
 
 def _prices(t: Tables):
-    rows = [(m, *[str(p) for p in ps]) for m, ps in _PRICES.items()]
     names = [f"{c}_price" for c in use.TOKEN_CLASSES]
-    frame = t.spark.createDataFrame(rows, ["model", *names])
-    return frame.select("model", *[F.col(n).cast("decimal(8,4)").alias(n) for n in names])
+    rows = [{"model": m, **dict(zip(names, map(str, ps)))} for m, ps in _PRICES.items()]
+    return literal_rows(t.spark, rows, "model string, " + ", ".join(f"{n} decimal(8,4)" for n in names))
 
 
 _PRICE_ROWS = ", ".join(f"('{m}', {a}, {b}, {c}, {d})" for m, (a, b, c, d) in _PRICES.items())
@@ -414,7 +414,7 @@ _RULES = [("allow", "run_shell(echo v*)"), ("deny", "run_shell(git push*)"), ("d
 
 
 def _rules(t: Tables):
-    return policy.parse_rules(t.spark.createDataFrame(_RULES, ["effect", "rule"]))
+    return policy.parse_rules(literal_rows(t.spark, [{"effect": e, "rule": r} for e, r in _RULES], "effect string, rule string"))
 
 
 _VALUED = "SELECT seq, session, tool, CASE WHEN tool = 'run_shell' THEN command WHEN k <> 13 THEN path END AS value, k FROM calls"
@@ -500,7 +500,9 @@ def _(t: Tables):
     "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 200000 WHEN 'MACHINERY' THEN 128000 ELSE 64000 END AS room FROM customer",
 )
 def _(t: Tables):
-    dim = t.spark.createDataFrame([("BUILDING", 200000), ("MACHINERY", 128000)], "c_mktsegment string, room int")
+    dim = literal_rows(
+        t.spark, [{"c_mktsegment": "BUILDING", "room": 200000}, {"c_mktsegment": "MACHINERY", "room": 128000}], "c_mktsegment string, room int"
+    )
     return logs.lookup_default(t.customer.select("c_custkey", "c_mktsegment"), dim, "c_mktsegment", "room", 64000).select("c_custkey", "room")
 
 
@@ -545,7 +547,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = [("view", 1), ("click", 1000000000000), ("never", 0), ("absent", 3)]
-    expected = t.spark.createDataFrame(rows, "event_type string, expected bigint")
+    expected = literal_rows(
+        t.spark, [{"event_type": e, "expected": n} for e, n in rows], "event_type string, expected bigint"
+    )
     return logs.expectation_report(logs.category_counts(t.events, "event_type"), expected, "event_type")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Runtime settings every operator relies on. All can be set on a live session.
 RUNTIME_CONF = {
@@ -88,6 +90,14 @@ def must_split(df: DataFrame) -> bool:
     return size is None or size > limit
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table given in code. Built from Arrow, so that its size is known to the planner."""
+    target = T.StructType.fromDDL(schema)
+    table = pa.Table.from_pydict({f.name: pa.array([r.get(f.name) for r in rows]) for f in target})
+    made = spark.createDataFrame(table)
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input to every core.
 

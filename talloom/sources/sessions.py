@@ -140,6 +140,8 @@ def write_sessions(saved: DataFrame, path: str, buckets: int = 64) -> None:
         stay = stored.join(F.broadcast(touched), "bucket", "left_semi").join(newest.select("id"), "id", "left_anti")
         # Stored rows are read from the partitions about to be replaced.
         newest = reliable(newest.unionByName(stay.select(*newest.columns)))
+    # Few files per partition, and several for one that holds most sessions.
+    newest = newest.hint("rebalance", "bucket")
     newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

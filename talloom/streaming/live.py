@@ -147,39 +147,56 @@ def _replace(state, values: list) -> None:
 
 
 class _Late(StatefulProcessor):
-    """Holds results until the watermark shows which turn comes first after them."""
+    """Holds results until the watermark shows which turn comes first after them.
+
+    One timer per session, at its earliest turn that is not settled yet.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at bigint, seq bigint")
         self.turns = handle.getListState("turns", "at bigint, seq bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for state, part in ((self.turns, pdf[pdf["is_turn"]]), (self.waiting, pdf[~pdf["is_turn"]])):
-                if len(part):
-                    state.appendList(list(zip(part["us"].tolist(), part["seq"].tolist())))
-            # One timer per instant at which a turn is settled.
-            for at in set((pdf["us"][pdf["is_turn"]] // 1000 + 1).tolist()):
-                self.handle.registerTimer(at)
+        pdf = pd.concat(list(rows))
+        for state, part in ((self.turns, pdf[pdf["is_turn"]]), (self.waiting, pdf[~pdf["is_turn"]])):
+            if len(part):
+                state.appendList(list(zip(part["us"].tolist(), part["seq"].tolist())))
+        if pdf["is_turn"].any():
+            self._wake(int(pdf["us"][pdf["is_turn"]].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         turns = sorted(self.turns.get())
         settled = [x for x in turns if x[0] < passed]
         # A result that comes later is not older than the watermark.
-        _replace(self.turns, [x for x in turns if x[0] >= passed])
+        open_ = turns[len(settled):]
+        _replace(self.turns, open_)
+        if open_:
+            self._wake(open_[0][0])
         waiting = sorted(self.waiting.get())
         if not settled or not waiting:
             return
-        times = np.array([x[0] for x in settled])
-        at = np.searchsorted(times, [w[0] for w in waiting])
+        at = np.searchsorted([x[0] for x in settled], [w[0] for w in waiting])
         done = [(w, settled[i]) for w, i in zip(waiting, at) if i < len(settled)]
         _replace(self.waiting, [w for w, i in zip(waiting, at) if i == len(settled)])
         if done:
             yield pd.DataFrame([{"session": key[0], "seq": w[1], "turn": x[1]} for w, x in done])
 
+    def _wake(self, turn_us: int) -> None:
+        """Ask for a timer once the watermark is past the turn."""
+        at = turn_us // 1000 + 1
+        if self.timer.exists():
+            set_ = self.timer.get()[0]
+            if set_ <= at:
+                return
+            self.handle.deleteTimer(set_)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
     def close(self) -> None:
         pass
 

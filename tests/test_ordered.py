@@ -72,7 +72,7 @@ def test_chunks_are_cut_and_bounded(rows):
 
 
 def test_many_borders_without_broadcast(rows, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_BROADCAST_BORDERS", 3)
+    monkeypatch.setattr(ordered, "MAX_BROADCAST_ROWS", 3)
     got = Ordered(rows, ["k"], ["t", "id"], 20).with_running(n=running_count()).frame()
     assert got.groupBy("k").agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("c")).filter("m <> c").count() == 0
 
