@@ -192,53 +192,65 @@ def expand_includes(files: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH, home:
     collected in one place. An include already open on the way down becomes a
     circular marker, one that does not exist a missing marker; at max_depth
     lines stay as they are.
+
+    The rounds run on include points alone, rows without text. Texts are joined
+    once at the end, and only those of files that are included somewhere.
     """
-    raw = F.regexp_extract("line", INCLUDE_LINE, 1)
-    folder = F.substring_index("path", "/", -1)
-    folder = F.substr("path", F.lit(1), F.length("path") - F.length(folder))
-    resolved = F.when(F.startswith(raw, F.lit("./")), F.concat(folder, F.substr(raw, F.lit(3))))
-    resolved = resolved.when(F.startswith(raw, F.lit("~/")), F.concat(F.lit(home), F.substr(raw, F.lit(2))))
-    lines = files.select(
-        "path", F.posexplode(text.lines_of(F.col("text"))).alias("n", "line")
-    ).select("*", raw.alias("raw"), F.when(raw != "", resolved.otherwise(raw)).alias("target"))
-    known = files.select(F.col("path").alias("target"), F.lit(True).alias("_known"))
-
-    open_ = lines.select(
-        F.col("path").alias("root"), F.array("n").alias("position"), "line", "raw", "target",
-        F.array().cast("array<string>").alias("_open"),
+    lines = files.select("path", F.posexplode(text.lines_of(F.col("text"))).alias("n", "line"))
+    lines = lines.select("*", F.nullif(F.regexp_extract("line", INCLUDE_LINE, 1), F.lit("")).alias("raw"))
+    own = lines.filter("raw IS NULL").select(F.col("path").alias("root"), F.array("n").alias("position"), "line")
+
+    edges = lines.filter("raw IS NOT NULL").select("path", "n", "raw", _resolved(F.col("path"), F.col("raw"), home).alias("target"))
+    known = files.select(F.col("path").alias("target"), F.lit(True).alias("exists"))
+    edges = reliable(edges.join(known, "target", "left").select("path", "n", "raw", "target", "exists"))
+
+    asked = edges.select(
+        F.col("path").alias("root"), F.array("n").alias("position"), "raw", "target", "exists",
+        F.array().cast("array<string>").alias("open"),
     )
-    done = []
-    for depth in range(max_depth):
-        plain = open_.filter(F.col("target").isNull())
-        asked = open_.filter(F.col("target").isNotNull()).join(known, "target", "left")
-        circular = F.array_contains("_open", F.col("target"))
-        marked = asked.filter(circular | F.col("_known").isNull()).withColumn(
-            "line",
-            F.when(circular, F.concat(F.lit(CIRCULAR[0]), "raw", F.lit(CIRCULAR[1]))).otherwise(
-                F.concat(F.lit(MISSING[0]), "raw", F.lit(MISSING[1]))
-            ),
-        )
-        done += [plain.select("root", "position", "line"), marked.select("root", "position", "line")]
-        inner = lines.select(
-            F.col("path").alias("_p"), "n", F.col("line").alias("_line"),
-            F.col("raw").alias("_r"), F.col("target").alias("_t"),
+    onward = edges.select("path", "n", F.col("raw").alias("_raw"), F.col("target").alias("_target"), F.col("exists").alias("_exists"))
+    points, marked = [], []
+    for depth in range(1, max_depth + 1):
+        circular = F.array_contains("open", F.col("target"))
+        mark = F.when(circular, F.concat(F.lit(CIRCULAR[0]), "raw", F.lit(CIRCULAR[1]))).when(
+            F.col("exists").isNull(), F.concat(F.lit(MISSING[0]), "raw", F.lit(MISSING[1]))
         )
-        ready = asked.filter(~circular & F.col("_known").isNotNull())
-        open_ = ready.join(inner, F.col("target") == F.col("_p")).select(
-            "root",
-            F.concat("position", F.array("n")).alias("position"),
-            F.col("_line").alias("line"),
-            F.concat("_open", F.array("_p")).alias("_open"),
-            F.col("_r").alias("raw"),
-            F.col("_t").alias("target"),
+        asked = asked.withColumn("mark", mark)
+        marked.append(asked.filter("mark IS NOT NULL").select("root", "position", F.col("mark").alias("line")))
+        entered = asked.filter("mark IS NULL").select(
+            "root", "position", F.col("target").alias("path"), F.concat("open", F.array("target")).alias("open")
         )
-    done.append(open_.select("root", "position", "line"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        points.append(entered.select("root", "position", "path", F.lit(depth == max_depth).alias("last")))
+        if depth == max_depth:
+            break
+        asked = reliable(entered.join(onward, "path").select(
+            "root", F.concat("position", F.array("n")).alias("position"), F.col("_raw").alias("raw"),
+            F.col("_target").alias("target"), F.col("_exists").alias("exists"), "open",
+        ))
+        if asked.isEmpty():
+            break
+
+    every = points[0]
+    for more in points[1:]:
+        every = every.unionByName(more)
+    included = lines.join(edges.select(F.col("target").alias("path")).distinct(), "path", "left_semi")
+    inserted = every.join(included, "path").filter("raw IS NULL OR last")
+    out = own.unionByName(inserted.select("root", F.concat("position", F.array("n")).alias("position"), "line"))
+    for more in marked:
+        out = out.unionByName(more)
     return out
 
 
+def _resolved(path: Column, raw: Column, home: str) -> Column:
+    """Absolute path of an include: relative to its file, to the home, or absolute already."""
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    return (
+        F.when(F.startswith(raw, F.lit("./")), F.concat(folder, F.substr(raw, F.lit(3))))
+        .when(F.startswith(raw, F.lit("~/")), F.concat(F.lit(home), F.substr(raw, F.lit(2))))
+        .otherwise(raw)
+    )
+
+
 # -- recall ---------------------------------------------------------------------
 
 

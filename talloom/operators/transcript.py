@@ -15,9 +15,9 @@ from talloom.operators.ordered import (
     running_sum,
 )
 
+# Fixed values.
 NON_TEXT = "[tool call / result]"
 SUMMARY_HEAD = "[Previous conversation summary]\n"
-SUMMARY_REPLY = "Understood. I have the context from our previous conversation. How can I continue helping?"
 
 
 # -- calls and results ----------------------------------------------------------
@@ -111,18 +111,14 @@ def compact(
     older = ranked.filter(long_ & (F.col("_rn") <= F.col("_n") - keep))
     head = older.groupBy(key).agg(*(summary or default_summary()))
     head = head.select(
-        key, F.lit(-2).cast("bigint").alias(order), F.lit("user").alias("role"),
+        key, F.lit(-1).cast("bigint").alias(order), F.lit("user").alias("role"),
         F.concat(F.lit(SUMMARY_HEAD), "summary").alias("text"),
     )
-    reply = head.select(
-        key, F.lit(-1).cast("bigint").alias(order), F.lit("assistant").alias("role"),
-        F.lit(SUMMARY_REPLY).alias("text"),
-    )
     tail = ranked.filter(~long_ | (F.col("_rn") > F.col("_n") - keep))
     if keep == 1:
         tail = tail.filter(~long_ | (F.col("role") == "user"))
     rest = tail.select(key, F.col(order).cast("bigint").alias(order), "role", "text")
-    return head.unionByName(reply).unionByName(rest)
+    return head.unionByName(rest)
 
 
 # -- running state --------------------------------------------------------------
@@ -250,9 +246,8 @@ def stale_writes(
 
 
 def mark_last_block(
-    blocks: DataFrame, keys: list[str], order: list[str], unstable: Column
+    blocks: DataFrame, keys: list[str], order: list[str], unstable: Column, chunk_rows: int | None = None
 ) -> DataFrame:
     """Flag the last block of each session unless it is of an unstable kind."""
-    tops = blocks.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_top"))
-    marked = blocks.join(tops, keys, "left")
-    return marked.withColumn("mark", (F.col("_top") == F.struct(*order)) & ~unstable).drop("_top")
+    rows = Ordered(blocks, keys, order, chunk_rows).with_running(_rn=running_count()).with_total(_n=F.lit(1).cast("bigint"))
+    return rows.frame().withColumn("mark", (F.col("_rn") == F.col("_n")) & ~unstable).drop("_rn", "_n")

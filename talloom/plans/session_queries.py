@@ -124,8 +124,7 @@ def _(t: Tables):
     "compact",
     """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
     h AS (SELECT conv_id, '[Previous conversation summary]' || chr(10) || count(*) || ' messages, ' || sum(length(text)) || ' characters' AS text FROM m WHERE n >= 4 AND rn < n GROUP BY 1)
-    SELECT conv_id, CAST(-2 AS BIGINT) AS turn, 'user' AS role, text FROM h
-    UNION ALL SELECT conv_id, -1, 'assistant', 'Understood. I have the context from our previous conversation. How can I continue helping?' FROM h
+    SELECT conv_id, CAST(-1 AS BIGINT) AS turn, 'user' AS role, text FROM h
     UNION ALL SELECT conv_id, turn, role, text FROM m WHERE n < 4 OR (rn = n AND role = 'user')""",
 )
 def _(t: Tables):

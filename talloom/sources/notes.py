@@ -26,7 +26,7 @@ def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(parts, -1).alias("file"),
         F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"),
         F.col("modificationTime").alias("mtime"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
     ).filter(F.col("file") != INDEX_FILE)
 
 

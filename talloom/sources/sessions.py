@@ -31,7 +31,7 @@ def read_sessions(spark: SparkSession, path: str, whole_files: bool = False) ->
     Every list in a document next to its metadata is taken as messages, so both
     wire shapes load. Each of the four frames reads only what it needs.
     """
-    raw = spark.read.option("wholetext", whole_files).text(path)
+    raw = spark.read.text(path, wholetext=whole_files)
     return parse_sessions(raw)
 
 

@@ -59,7 +59,7 @@ SPLIT = [
     "parallel_batches", "budget_crossing", "streaks", "confirm_once", "epochs", "first_user_flag", "mode_as_of",
     "stale_writes", "keep_recent", "superseded_reads", "snip_tier", "microcompact_tier", "compress", "compact",
     "retry_chains", "late_results", "idle_sessions", "concat_dir", "build_index_newest", "render_transcript",
-    "tool_sequence", "byte_budget", "catalog_sections", "compare_runs",
+    "tool_sequence", "byte_budget", "mark_last_block", "recall_context", "catalog_sections", "compare_runs",
 ]
 
 
