@@ -68,10 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage in storage that outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def reliable(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a table in the shared folder, which outlives executors.
+
+    Later steps read only the columns they need, and the planner knows its size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int | None:

@@ -54,7 +54,7 @@ def test_sessions_of_both_shapes(spark, folder):
     assert blocks["a", 2, 0]["result"] == "body" and blocks["a", 2, 0]["call_id"] == "t1"
     assert json.loads(blocks["b", 2, 0]["input"]) == {"command": "ls"} and blocks["b", 2, 1]["input"] == "{}"
     assert blocks["b", 3, 0]["type"] == "tool_result" and blocks["b", 3, 0]["call_id"] == "c1"
-    assert len(blocks) == 9
+    assert len(blocks) == 10
 
 
 def test_latest_session(spark, folder):
