@@ -260,7 +260,7 @@ def words(value: Column) -> Column:
 
 
 def recall_by_overlap(
-    queries: DataFrame, docs: DataFrame, k: int = 3, slice_queries: int = 512
+    queries: DataFrame, docs: DataFrame, k: int = 3, slice_queries: int = 4096
 ) -> DataFrame:
     """For each query the k docs sharing most distinct words, ties to the lower id.
 
@@ -274,13 +274,7 @@ def recall_by_overlap(
     tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("words"))
     out = None
     for part in _slices(asked, slice_queries):
-        rows = part.collect()  # at most about one slice
-        vocabulary = sorted({w for r in rows for w in r["words"]})
-        column = {w: i for i, w in enumerate(vocabulary)}
-        weights = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
-        for j, r in enumerate(rows):
-            weights[[column[w] for w in r["words"]], j] = 1.0
-        shared = spark.sparkContext.broadcast((vocabulary, weights, np.array([r["query_id"] for r in rows])))
+        shared = spark.sparkContext.broadcast(_postings(part.collect()))  # about one slice
         best = tokens.mapInArrow(_top_overlaps(shared, k), _SCORED)
         out = best if out is None else out.unionByName(best)
     if out is None:
@@ -300,52 +294,79 @@ def _slices(asked: DataFrame, size: int) -> list[DataFrame]:
     return [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i) for i in range(pieces)]
 
 
+def _postings(rows: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and for word i the queries[starts[i]:starts[i + 1]] that ask for it; the query ids."""
+    by_word: dict[str, list[int]] = {}
+    for j, row in enumerate(rows):
+        for w in row["words"]:
+            by_word.setdefault(w, []).append(j)
+    starts = np.cumsum([0, *map(len, by_word.values())])
+    flat = np.fromiter((j for js in by_word.values() for j in js), dtype=np.int64, count=starts[-1])
+    return list(by_word), starts, flat, np.array([row["query_id"] for row in rows], dtype=np.int64)
+
+
 def _top_overlaps(shared, k: int):
     """Scores docs in blocks and carries only the k best per query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, query_ids = shared.value
+        vocabulary, starts, flat, query_ids = shared.value
         known = pa.array(vocabulary)
-        block = max(64, (1 << 22) // max(1, len(vocabulary)))
-        best = np.empty((0, 3), dtype=np.int64)
+        block = max(1, (1 << 18) // len(query_ids))
+        best, fresh = np.empty((0, 3), dtype=np.int64), []
+        enough = 8 * k * len(query_ids)
+        least = np.zeros(len(query_ids), dtype=np.int64)  # a score below this cannot enter
         for batch in batches:
             for at in range(0, batch.num_rows, block):
-                piece = batch.slice(at, block)
-                best = _best(np.concatenate([best, _scored(piece, known, weights, query_ids, k)]), k)
-        names = ["query_id", "doc_id", "score"]
-        yield pa.RecordBatch.from_arrays([pa.array(best[:, i]) for i in range(3)], names)
+                fresh.append(_scored(batch.slice(at, block), known, starts, flat, least, k))
+                if sum(map(len, fresh)) > enough:
+                    best, fresh = _best(np.concatenate([best, *fresh]), k), []
+                    least = _kth_score(best, len(query_ids), k)
+        best = _best(np.concatenate([best, *fresh]), k)
+        columns = [query_ids[best[:, 0]], best[:, 1], best[:, 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "doc_id", "score"])
 
     return run
 
 
-def _scored(piece: pa.RecordBatch, known: pa.Array, weights: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
+def _scored(piece: pa.RecordBatch, known, starts, flat, least, k: int) -> np.ndarray:
+    """Rows (query place, doc, score): the k best docs of the piece per query."""
     words = piece.column("words")
     ids = piece.column("doc_id").to_numpy()
+    n, queries = len(ids), len(least)
     # Rows in id order, so that equal scores rank by row.
-    place = np.empty(len(ids), dtype=np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    place = np.empty(n, dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(n)
     column = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
     row = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    hits = np.zeros((len(ids), len(known)), dtype=np.float32)
-    hits[row[column >= 0], column[column >= 0]] = 1.0
-    scores = (hits @ weights).astype(np.int64)
-    rank = scores * len(ids) - np.arange(len(ids))[:, None]
-    top = np.argpartition(-rank, min(k, len(ids)) - 1, axis=0)[:k]
+    row, column = row[column >= 0], column[column >= 0]
+    # Every (row, query) pair a known word stands for, counted per cell.
+    length = starts[column + 1] - starts[column]
+    offset = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    query = flat[np.repeat(starts[column], length) + offset]
+    scores = np.bincount(np.repeat(row, length) * queries + query, minlength=n * queries).reshape(n, queries)
+    rank = scores * n - np.arange(n)[:, None]
+    top = np.argpartition(-rank, min(k, n) - 1, axis=0)[:k]
     score = np.take_along_axis(scores, top, axis=0)
-    query = np.broadcast_to(query_ids, top.shape)
-    found = np.stack([query, np.sort(ids)[top], score], axis=-1).reshape(-1, 3)
-    return found[found[:, 2] > 0]
+    found = np.stack([np.broadcast_to(np.arange(queries), top.shape), np.sort(ids)[top], score], axis=-1).reshape(-1, 3)
+    return found[(found[:, 2] > 0) & (found[:, 2] >= np.broadcast_to(least, top.shape).reshape(-1))]
 
 
 def _best(found: np.ndarray, k: int) -> np.ndarray:
     """The k best rows per query of (query, doc, score)."""
     found = found[np.lexsort((found[:, 1], -found[:, 2], found[:, 0]))]
-    starts = np.r_[True, found[1:, 0] != found[:-1, 0]] if len(found) else np.empty(0, dtype=bool)
-    first = np.flatnonzero(starts)
+    first = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]]) if len(found) else np.empty(0, dtype=np.int64)
     rank = np.arange(len(found)) - np.repeat(first, np.diff(np.r_[first, len(found)]))
     return found[rank < k]
 
 
+def _kth_score(best: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """Lowest kept score of queries that have k rows, else 0."""
+    kept = np.bincount(best[:, 0], minlength=queries)
+    least = np.full(queries, np.iinfo(np.int64).max)
+    np.minimum.at(least, best[:, 0], best[:, 2])
+    return np.where(kept >= k, least, 0)
+
+
 def byte_budget(items: DataFrame, keys: list[str], order: list[str], size: str, limit: int,
                 chunk_rows: int | None = None) -> DataFrame:
     """Items that start while the bytes before them are below the limit."""

@@ -33,6 +33,13 @@ def duplicate_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls")).filter("calls > 1")
 
 
+def first_calls(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first call of each key, so that pairing never multiplies a result."""
+    rest = [c for c in calls.columns if c not in keys]
+    first = calls.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    return first.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in rest])
+
+
 def orphans(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Calls without any result."""
     return calls.join(results.select(*keys), keys, "left_anti")

@@ -11,8 +11,10 @@ from talloom.session import reliable, small_side
 TOKEN_CLASSES = ["in_tok", "out_tok", "cache_read", "cache_write"]
 
 
-def usage_rollup(usage: DataFrame, keys: list[str]) -> DataFrame:
-    return usage.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKEN_CLASSES])
+def usage_rollup(usage: DataFrame, keys: list[str], how: str = "group") -> DataFrame:
+    """Token sums per key; how is group, rollup or cube."""
+    grouped = {"group": usage.groupBy, "rollup": usage.rollup, "cube": usage.cube}[how](*keys)
+    return grouped.agg(*[F.sum(c).alias(c) for c in TOKEN_CLASSES])
 
 
 def cost(usage: DataFrame, prices: DataFrame, on: str, digits: int = 6) -> DataFrame:

@@ -39,6 +39,17 @@ def _(t: Tables):
     return transcript.duplicate_calls(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@query(
+    "first_calls",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity) = 1""",
+)
+def _(t: Tables):
+    calls_ = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    first = transcript.first_calls(calls_, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"])
+    return first.drop("l_shipdate")
+
+
 @query(
     "orphans",
     "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
@@ -200,6 +211,14 @@ def _(t: Tables):
     return use.usage_rollup(usage(t), ["session", "model"])
 
 
+@query(
+    "usage_cube",
+    ctes("usage") + "SELECT session, model, CAST(sum(in_tok) AS BIGINT) AS in_tok, CAST(sum(out_tok) AS BIGINT) AS out_tok, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write FROM usage GROUP BY CUBE (session, model)",
+)
+def _(t: Tables):
+    return use.usage_rollup(usage(t), ["session", "model"], "cube")
+
+
 @query("cost", ctes("usage", more=_COST) + "SELECT seq, model, CAST(cost AS VARCHAR) AS cost FROM priced")
 def _(t: Tables):
     return use.cost(usage(t), _prices(t), "model").select("seq", "model", F.col("cost").cast("string").alias("cost"))

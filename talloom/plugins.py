@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talloom.functions.text import first_json_object
 from talloom.operators.corpus import first_per_group
@@ -20,8 +21,7 @@ def apply_text_function(rows: DataFrame, column: str, fn: TextFunction, out: str
 
     Filters belong before this call: the optimizer does not move them past it.
     """
-    fields = [f for f in rows.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` string"
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
