@@ -1,7 +1,7 @@
 """Running values over ordered groups that may be far larger than one task.
 
 A plain window puts a whole group into one task. `Ordered` keeps that form
-while the input is small. Beyond the size limit it cuts each large group into
+while the input is small or no group is large. Otherwise it cuts each large group into
 consecutive chunks, computes the running value inside every chunk and adds what
 the earlier chunks of the group contribute (the carry). All supported values
 are associative, so both forms give the same rows.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from talloom.session import must_split, reliable
 
 CHUNK_ROWS = 2_000_000
+# Groups with fewer borders, a few million rows, stay whole.
+MIN_BORDERS = 3
 MAX_BROADCAST_ROWS = 2_000_000
 
 _CHUNK = "_chunk"
@@ -77,25 +79,32 @@ class Ordered:
     ):
         self.keys = list(keys)
         self.order = list(order)
-        self.split = chunk_rows is not None or must_split(df)
         self.columns = list(df.columns)
-        self.df = self._cut(df, chunk_rows or CHUNK_ROWS) if self.split else df
+        borders = None
+        if chunk_rows is not None or must_split(df):
+            borders = self._borders(df, chunk_rows or CHUNK_ROWS)
+        self.split = borders is not None
+        self.df = self._cut(df, borders) if self.split else df
 
     # -- chunks ---------------------------------------------------------
 
-    def _cut(self, df: DataFrame, chunk_rows: int) -> DataFrame:
+    def _borders(self, df: DataFrame, chunk_rows: int) -> DataFrame | None:
+        """Sorted borders of each large group, or None if no group is large."""
         position = F.struct(*self.order)
         chosen = F.pmod(F.xxhash64(*self.keys, *self.order), F.lit(chunk_rows)) == 0
         borders = (
             df.filter(chosen)
             .groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys])
             .agg(F.array_sort(F.collect_set(position)).alias("_borders"))
+            .filter(F.size("_borders") >= MIN_BORDERS)
         )
-        cut = df.join(_small_table(borders, F.sum(F.size("_borders"))), self._same_key(), "left")
-        return cut.select(
+        return _small_table(borders, F.sum(F.size("_borders")))
+
+    def _cut(self, df: DataFrame, borders: DataFrame) -> DataFrame:
+        return df.join(borders, self._same_key(), "left").select(
             *self.columns,
             F.col("_borders").isNotNull().alias(_HOT),
-            _borders_below(F.col("_borders"), position).alias(_CHUNK),
+            _borders_below(F.col("_borders"), F.struct(*self.order)).alias(_CHUNK),
         )
 
     def _same_key(self) -> list[Column]:
@@ -130,12 +139,18 @@ class Ordered:
         # One row per chunk of a cut group, no more than there are borders. Kept
         # in storage, so that chained running values do not repeat each other.
         carries = _small_table(carries, F.count(F.lit(1)))
+        if carries is None:
+            return self._next(self._unwrapped(local, values), values)
         same = [*self._same_key(), F.col(_CHUNK) == F.col("_k_chunk")]
         joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(carries, same, "left")
         merged = {n: _merge(v, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, v in values.items()}
         kept = joined.withColumns(merged).select(*self.columns, *values, _HOT, _CHUNK)
         return self._next(kept, values)
 
+    def _unwrapped(self, local: dict[str, Column], values: dict[str, Running]) -> DataFrame:
+        plain = {n: c["v"] if values[n].kind == "previous" else c for n, c in local.items()}
+        return self.df.withColumns(plain)
+
     def with_total(self, **values: Column) -> Ordered:
         """Add per-group sums (null counts as 0) next to every row."""
         whole = Window.partitionBy(*self._groups())
@@ -146,9 +161,10 @@ class Ordered:
         sums = self.df.filter(_HOT).groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(
             *[F.coalesce(F.sum(v), F.lit(0)).alias(f"_t_{n}") for n, v in values.items()]
         )
-        joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(
-            _small_table(sums, F.count(F.lit(1))), self._same_key(), "left"
-        )
+        sums = _small_table(sums, F.count(F.lit(1)))
+        if sums is None:
+            return self._next(self.df.withColumns(local), values)
+        joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(sums, self._same_key(), "left")
         chosen = {n: F.when(F.col(_HOT), F.col(f"_t_{n}")).otherwise(F.col(f"_l_{n}")) for n in values}
         return self._next(joined.withColumns(chosen).select(*self.columns, *values, _HOT, _CHUNK), values)
 
@@ -179,29 +195,29 @@ class Ordered:
         return self.df.select(*self.columns)
 
 
-def _small_table(table: DataFrame, size: Column) -> DataFrame:
-    """Store a table about the cut groups; broadcast it if its measured size allows."""
+def _small_table(table: DataFrame, size: Column) -> DataFrame | None:
+    """Store a table about the cut groups; broadcast it if its measured size allows.
+
+    None if it is empty.
+    """
     table = reliable(table)
     measured = table.select(F.coalesce(size, F.lit(0))).first()[0]
+    if measured == 0:
+        return None
     return F.broadcast(table) if measured <= MAX_BROADCAST_ROWS else table
 
 
 def _borders_below(borders: Column, value: Column) -> Column:
     """How many sorted borders lie below the value, by binary search."""
-    rounds = F.ceil(F.log2(F.size(borders) + F.lit(1.0))).cast("int")
-    start = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
-
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.get(borders, mid) < value
-        open_ = acc["lo"] < acc["hi"]
-        return F.struct(
-            F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
-        )
+    rounds = F.floor(F.log2(F.size(borders))).cast("int")
+
+    def step(found: Column, i: Column) -> Column:
+        ahead = F.call_function("shiftleft", F.lit(1), i)
+        reach = found + ahead
+        below = F.get(borders, reach - 1) < value
+        return found + F.when((reach <= F.size(borders)) & below, ahead).otherwise(0)
 
-    # One extra round: the interval halves to length 0, not 1.
-    found = F.aggregate(F.sequence(F.lit(0), rounds), start, halve, lambda acc: acc["lo"])
+    found = F.aggregate(F.sequence(rounds, F.lit(0), F.lit(-1)), F.lit(0), step)
     return F.when(borders.isNull(), 0).otherwise(found)
 
 
