@@ -16,11 +16,12 @@ from talloom.functions import predicates, text
 from talloom.operators.ordered import Ordered, concat_parts, running_sum
 from talloom.session import configure, reliable, small_side
 
-GREP_CAP = 100
+# Limits, and the forms of include lines and notes.
 LIST_CAP = 200
 MAX_INCLUDE_DEPTH = 5
 CIRCULAR = ("<!-- circular: ", " -->")
 MISSING = ("<!-- not found: ", " -->")
+SPILL_NOTE = ("[Result too large (", " KB, ", " lines). Full output saved to ")
 INCLUDE_LINE = r"^@(\./\S+|~/\S+|/\S+)$"
 
 
@@ -118,8 +119,8 @@ def spill_large(
     large = F.octet_length(col) > max_bytes
     key = F.sha2(col, 256)
     note = F.concat(
-        F.lit("[Result too large ("), text.size_kb(col), F.lit(" KB, "),
-        text.line_count(col).cast("string"), F.lit(" lines). Full output saved to "), key,
+        F.lit(SPILL_NOTE[0]), text.size_kb(col), F.lit(SPILL_NOTE[1]),
+        text.line_count(col).cast("string"), F.lit(SPILL_NOTE[2]), key,
         F.lit(f"]\n\nPreview (first {preview} lines):\n"), text.first_lines(col, preview),
     )
     kept = rows.withColumns({

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from talloom.functions import predicates
 from talloom.session import small_side
 
-RULE_TEXT = r"^([a-z_]+)\((.+)\)$"  # fixed value
+# The form of a rule, and the messages of a decision.
+RULE_TEXT = r"^([a-z_]+)\((.+)\)$"
+DENIED_BY_RULE = "Denied by permission rule for "
+DENIED_EDIT = "Blocked in plan mode: "
+DENIED_SHELL = "Shell commands blocked in plan mode"
+DENIED_UNASKED = "Auto-denied (dontAsk mode): "
+ASK_WRITE = "write new file: "
+ASK_EDIT = "edit non-existent file: "
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
@@ -69,25 +76,25 @@ def decide(
 
     question = (
         F.when(shell & dangerous, F.col("value"))
-        .when((F.col("tool") == "write_file") & missing, F.concat(F.lit("write new file: "), "value"))
-        .when((F.col("tool") == "edit_file") & missing, F.concat(F.lit("edit non-existent file: "), "value"))
+        .when((F.col("tool") == "write_file") & missing, F.concat(F.lit(ASK_WRITE), "value"))
+        .when((F.col("tool") == "edit_file") & missing, F.concat(F.lit(ASK_EDIT), "value"))
     )
     own_plan = F.lit(False) if plan_file is None else F.coalesce(F.col("value") == plan_file, F.lit(False))
     rows = rows.withColumn("_question", question)
     asked = F.col("_question")
     allow = _decision("allow")
     decision = (
-        F.when(F.col("rule") == "deny", _decision("deny", F.concat(F.lit("Denied by permission rule for "), "tool")))
+        F.when(F.col("rule") == "deny", _decision("deny", F.concat(F.lit(DENIED_BY_RULE), "tool")))
         .when((mode == "plan") & edit & own_plan, allow)
-        .when((mode == "plan") & edit, _decision("deny", F.concat(F.lit("Blocked in plan mode: "), "tool")))
-        .when((mode == "plan") & shell, _decision("deny", F.lit("Shell commands blocked in plan mode")))
+        .when((mode == "plan") & edit, _decision("deny", F.concat(F.lit(DENIED_EDIT), "tool")))
+        .when((mode == "plan") & shell, _decision("deny", F.lit(DENIED_SHELL)))
         .when(mode == "bypassPermissions", allow)
         .when(F.col("rule") == "allow", allow)
         .when(F.col("tool").isin(*predicates.READ_TOOLS), allow)
         .when(F.col("tool").isin("enter_plan_mode", "exit_plan_mode"), allow)
         .when((mode == "acceptEdits") & edit, allow)
         .when(asked.isNull(), allow)
-        .when(mode == "dontAsk", _decision("deny", F.concat(F.lit("Auto-denied (dontAsk mode): "), asked)))
+        .when(mode == "dontAsk", _decision("deny", F.concat(F.lit(DENIED_UNASKED), asked)))
         .otherwise(_decision("confirm", asked))
     )
     return rows.withColumn("decision", decision).drop("_path", "_exists", "_question")

@@ -92,40 +92,43 @@ def tool_sequence(calls: DataFrame, keys: list[str], order: list[str], part_byte
     return concat_parts(calls, keys, order, F.col("tool"), ",", part_bytes, name="tools")
 
 
-def default_summary() -> list[Column]:
-    """Counts and lengths, standing in for a caller's summariser."""
-    return [
-        F.concat(
-            F.count(F.lit(1)).cast("string"), F.lit(" messages, "),
-            F.sum(F.length("text")).cast("string"), F.lit(" characters"),
-        ).alias("summary")
-    ]
-
-
 def compact(
     messages: DataFrame, key: str, order: str, keep: int = 1, minimum: int = 4,
-    summary: list[Column] | None = None, chunk_rows: int | None = None,
+    sums: dict[str, Column] | None = None, render: Column | None = None, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Replace the older messages of long sessions by one summary row.
 
-    messages(key, order, role, text). `summary` is a list with one aggregate
-    named summary. The kept tail loses a last message that is not from the user
-    when keep is 1. Sessions below the minimum pass unchanged.
+    messages(key, order, role, text). `sums` are summed over the older messages
+    and `render` makes the summary of them, by default from counts; a caller's
+    own summariser is `plugins.summarise_with`. The kept tail loses a last
+    message that is not from the user when keep is 1. Sessions below the
+    minimum pass unchanged.
+
+    The first message of a long session turns into its summary, so everything
+    happens in one pass over the session.
     """
-    ranked = Ordered(messages, [key], [order], chunk_rows)
-    ranked = ranked.with_running(_rn=running_count()).with_total(_n=F.lit(1).cast("bigint")).frame()
+    if minimum <= keep:
+        raise ValueError("minimum must exceed keep")
+    sums = sums or {"messages": F.lit(1).cast("bigint"), "characters": F.length("text").cast("bigint")}
+    if render is None:
+        render = F.concat(
+            F.col("messages").cast("string"), F.lit(" messages, "), F.col("characters").cast("string"), F.lit(" characters")
+        )
+    rows = Ordered(messages.select(key, order, "role", "text"), [key], [order], chunk_rows)
+    rows = rows.with_running(_rn=running_count()).with_total(_n=F.lit(1).cast("bigint"))
     long_ = F.col("_n") >= minimum
-    older = ranked.filter(long_ & (F.col("_rn") <= F.col("_n") - keep))
-    head = older.groupBy(key).agg(*(summary or default_summary()))
-    head = head.select(
-        key, F.lit(-1).cast("bigint").alias(order), F.lit("user").alias("role"),
-        F.concat(F.lit(SUMMARY_HEAD), "summary").alias("text"),
-    )
-    tail = ranked.filter(~long_ | (F.col("_rn") > F.col("_n") - keep))
+    older = long_ & (F.col("_rn") <= F.col("_n") - keep)
+    rows = rows.with_total(**{name: F.when(older, value) for name, value in sums.items()}).frame()
+    head = long_ & (F.col("_rn") == 1)
+    tail = ~older
     if keep == 1:
-        tail = tail.filter(~long_ | (F.col("role") == "user"))
-    rest = tail.select(key, F.col(order).cast("bigint").alias(order), "role", "text")
-    return head.unionByName(rest)
+        tail = tail & (~long_ | (F.col("role") == "user"))
+    return rows.filter(head | tail).select(
+        key,
+        F.when(head, -1).otherwise(F.col(order)).cast("bigint").alias(order),
+        F.when(head, "user").otherwise(F.col("role")).alias("role"),
+        F.when(head, F.concat(F.lit(SUMMARY_HEAD), render)).otherwise(F.col("text")).alias("text"),
+    )
 
 
 # -- running state --------------------------------------------------------------
