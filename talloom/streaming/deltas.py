@@ -18,6 +18,17 @@ DELTA_SCHEMA = "stream_id string, started timestamp, seq bigint, line string"
 DONE = "[DONE]"  # fixed value
 PART_BYTES = 16 << 20
 
+# Fields of the two payload shapes; others are skipped while parsing.
+_BLOCK_PAYLOAD = (
+    "type string, index bigint, delta struct<text string, partial_json string, thinking string>, "
+    "content_block struct<type string, id string, name string>"
+)
+_CHUNK_PAYLOAD = (
+    "choices array<struct<delta struct<content string, tool_calls array<struct<index bigint, id string, "
+    "`function` struct<name string, arguments string>>>>, finish_reason string>>, "
+    "usage struct<prompt_tokens bigint, completion_tokens bigint>"
+)
+
 
 def read_delta_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """JSON lines (stream_id, started, seq, line) as a stream, one row per data line."""
@@ -25,6 +36,21 @@ def read_delta_stream(spark: SparkSession, path: str, files_per_batch: int = 100
     return data_lines(raw)
 
 
+def read_captured_replies(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Captured replies, one file each, as a stream of data lines. The file gives name and start."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    return captured_lines(files.select(
+        F.col("_metadata.file_name").alias("stream_id"), F.col("_metadata.file_modification_time").alias("started"), "value"
+    ))
+
+
+def captured_lines(replies: DataFrame) -> DataFrame:
+    """Whole replies (stream_id, started, value) as data lines, counted from 0."""
+    kept = F.filter(F.split("value", r"\r?\n", -1), lambda x: F.startswith(x, F.lit("data:")))
+    lines = replies.select("stream_id", "started", F.posexplode(kept).alias("seq", "line"))
+    return data_lines(lines.withColumn("seq", F.col("seq").cast("bigint")))
+
+
 def data_lines(raw: DataFrame) -> DataFrame:
     """The payload of `data:` lines; event names, comments and blanks carry none."""
     payload = F.regexp_extract("line", r"(?s)^data:\s*(.*)\z", 1)
@@ -33,18 +59,16 @@ def data_lines(raw: DataFrame) -> DataFrame:
 
 def block_events(rows: DataFrame) -> DataFrame:
     """Payloads of the block shape as (stream_id, started, seq, event, block, fragment, type, call_id, tool)."""
-    v = F.try_parse_json("payload")
-    def get(path: str):
-        return F.try_variant_get("v", path, "string")
+    v = F.from_json("payload", _BLOCK_PAYLOAD)
     parsed = rows.select("stream_id", "started", "seq", v.alias("v"))
     return parsed.select(
         "stream_id", "started", "seq",
-        get("$.type").alias("event"),
-        F.try_variant_get("v", "$.index", "bigint").alias("block"),
-        F.coalesce(get("$.delta.text"), get("$.delta.partial_json"), get("$.delta.thinking")).alias("fragment"),
-        get("$.content_block.type").alias("type"),
-        get("$.content_block.id").alias("call_id"),
-        get("$.content_block.name").alias("tool"),
+        F.col("v.type").alias("event"),
+        F.col("v.index").alias("block"),
+        F.coalesce("v.delta.text", "v.delta.partial_json", "v.delta.thinking").alias("fragment"),
+        F.col("v.content_block.type").alias("type"),
+        F.col("v.content_block.id").alias("call_id"),
+        F.col("v.content_block.name").alias("tool"),
     ).filter(F.col("block").isNotNull())
 
 
@@ -115,20 +139,18 @@ def early_complete(events: DataFrame, allowed: list[str] = PARALLEL_TOOLS, delay
 def chunk_events(rows: DataFrame) -> DataFrame:
     """Payloads of the chunk shape as (stream_id, started, seq, done, content, calls, finish, tokens)."""
     done = F.col("payload") == DONE
-    parsed = rows.select("stream_id", "started", "seq", done.alias("done"), F.try_parse_json("payload").alias("v"))
-    calls = F.try_variant_get("v", "$.choices[0].delta.tool_calls", "array<variant>")
+    parsed = rows.select("stream_id", "started", "seq", done.alias("done"), F.from_json("payload", _CHUNK_PAYLOAD).alias("v"))
+    first = F.get("v.choices", F.lit(0))
     return parsed.select(
         "stream_id", "started", "seq", "done",
-        F.try_variant_get("v", "$.choices[0].delta.content", "string").alias("content"),
-        F.transform(calls, lambda c: F.struct(
-            F.try_variant_get(c, "$.index", "bigint").alias("index"),
-            F.try_variant_get(c, "$.id", "string").alias("id"),
-            F.try_variant_get(c, "$.function.name", "string").alias("name"),
-            F.try_variant_get(c, "$.function.arguments", "string").alias("arguments"),
+        first["delta"]["content"].alias("content"),
+        F.transform(first["delta"]["tool_calls"], lambda c: F.struct(
+            c["index"].alias("index"), c["id"].alias("id"),
+            c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments"),
         )).alias("calls"),
-        F.try_variant_get("v", "$.choices[0].finish_reason", "string").alias("finish"),
-        F.try_variant_get("v", "$.usage.prompt_tokens", "bigint").alias("prompt_tokens"),
-        F.try_variant_get("v", "$.usage.completion_tokens", "bigint").alias("completion_tokens"),
+        first["finish_reason"].alias("finish"),
+        F.col("v.usage.prompt_tokens").alias("prompt_tokens"),
+        F.col("v.usage.completion_tokens").alias("completion_tokens"),
     )
 
 
