@@ -8,6 +8,7 @@ from talloom.functions import predicates
 from talloom.operators import compress, logs, policy, transcript
 from talloom.operators import usage as use
 from talloom.operators.corpus import first_per_group
+from talloom.operators.ordered import Ordered, running_count, running_sum
 from talloom.plans.corpus_queries import parts_sql
 from talloom.plans.registry import Tables, query
 from talloom.plans.standins import calls, ctes, usage
@@ -405,8 +406,6 @@ def _(t: Tables):
 
 def _versions(t: Tables):
     """Version of each path before each call: the number of writes so far by anyone."""
-    from talloom.operators.ordered import Ordered, running_sum
-
     wrote = F.when(F.col("tool") == "write_file", 1).otherwise(0).cast("bigint")
     rows = Ordered(calls(t), ["path"], ORDER).with_running(_n=running_sum(wrote, inclusive=False)).frame()
     return rows.withColumn("version", F.nullif("_n", F.lit(0))).drop("_n")
@@ -544,8 +543,6 @@ def _(t: Tables):
     SELECT session, step, CASE WHEN b.tool IS NULL THEN 'only_a' WHEN a.tool IS NULL THEN 'only_b' WHEN a.tool = b.tool AND a.path = b.path THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b USING (session, step)""",
 )
 def _(t: Tables):
-    from talloom.operators.ordered import Ordered, running_count
-
     def steps(rows):
         return Ordered(rows, ["session"], ORDER).with_running(step=running_count()).frame()
 

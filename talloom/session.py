@@ -64,8 +64,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in one folder per application.
+
+    That folder can be removed as a whole once the application has ended.
+    """
+    own = f"{shared_dir(spark).rstrip('/')}/talloom-{spark.sparkContext.applicationId}"
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable(df: DataFrame, name: str = "stage") -> DataFrame:

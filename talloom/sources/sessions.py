@@ -137,6 +137,7 @@ def write_sessions(saved: DataFrame, path: str, buckets: int = 64) -> None:
     if _exists(spark, path):
         stored = spark.read.parquet(path)
         touched = newest.select("bucket").distinct()
+        # `touched` has at most `buckets` rows.
         stay = stored.join(F.broadcast(touched), "bucket", "left_semi").join(newest.select("id"), "id", "left_anti")
         # Stored rows are read from the partitions about to be replaced.
         newest = reliable(newest.unionByName(stay.select(*newest.columns)))

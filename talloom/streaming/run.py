@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from talloom.session import configure, scratch_path
@@ -26,6 +28,19 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """A stream keeps the partition count it starts with; on one machine the cores are enough."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available, then return the emitted rows as a table.
 
@@ -39,5 +54,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
-    writer.start().awaitTermination()
+    with _state_partitions(spark):
+        query = writer.start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch-*")
