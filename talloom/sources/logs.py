@@ -20,10 +20,11 @@ def read_event_log(spark: SparkSession, path: str, on_bad: str = "keep") -> Data
     if on_bad not in ("keep", "drop"):
         raise ValueError("on_bad is keep or drop")
     lines = spark.read.text(path).filter("value <> ''")
-    rows = lines.select(F.try_parse_json("value").alias("event"), F.col("value").alias("_line"))
-    bad = F.col("event").isNull()
+    event = F.array(F.try_parse_json("value"))
     if on_bad == "drop":
-        rows = rows.filter(~bad)
+        event = F.filter(event, lambda v: v.isNotNull())
+    rows = lines.select(F.explode(event).alias("event"), F.col("value").alias("_line"))
+    bad = F.col("event").isNull()
     return rows.select(
         F.when(bad, PARSE_ERROR).otherwise(F.try_variant_get("event", "$.category", "string")).alias("category"),
         "event",

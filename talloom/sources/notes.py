@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talloom.functions.frontmatter import DEFAULT_TYPE, NOTE_TYPES, parse_frontmatter, render_frontmatter, valid_type
@@ -32,17 +32,21 @@ def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def list_notes(raw: DataFrame) -> DataFrame:
     """Notes with a name and a type; an unknown type becomes the default."""
-    parsed = raw.withColumn("_p", parse_frontmatter(F.col("text")))
-    meta = F.col("_p.meta")
-    notes = parsed.select(
-        *[c for c in raw.columns if c != "text"],
-        meta["name"].alias("name"),
-        F.coalesce(meta["description"], F.lit("")).alias("description"),
-        meta["type"].alias("type"),
-        F.col("_p.body").alias("body"),
-    )
-    kept = notes.filter((F.col("name") != "") & (F.col("type") != ""))
-    return kept.withColumn("type", valid_type(F.col("type"), NOTE_TYPES, DEFAULT_TYPE))
+    def entry(p: Column) -> Column:
+        meta = p["meta"]
+        return F.struct(
+            meta["name"].alias("name"),
+            F.coalesce(meta["description"], F.lit("")).alias("description"),
+            meta["type"].alias("type"),
+            p["body"].alias("body"),
+        )
+
+    # Kept or not is decided inside the array: a filter on the columns would
+    # move below the projection and parse every text once more per condition.
+    entries = F.transform(F.array(parse_frontmatter(F.col("text"))), entry)
+    kept = F.filter(entries, lambda n: (n["name"] != "") & (n["type"] != ""))
+    notes = raw.select(*[c for c in raw.columns if c != "text"], F.inline(kept))
+    return notes.withColumn("type", valid_type(F.col("type"), NOTE_TYPES, DEFAULT_TYPE))
 
 
 def scan_headers(raw: DataFrame) -> DataFrame:

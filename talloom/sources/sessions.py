@@ -36,9 +36,14 @@ def read_sessions(spark: SparkSession, path: str, whole_files: bool = False) ->
 
 
 def parse_sessions(raw: DataFrame) -> Sessions:
-    parsed = raw.select("value", F.try_parse_json("value").alias("v"))
-    ident = F.try_variant_get("v", "$.metadata.id", "string")
-    good = parsed.filter(ident.isNotNull())
+    def ident_of(v: Column) -> Column:
+        return F.try_variant_get(v, "$.metadata.id", "string")
+
+    # The test runs inside the array, as a filter on the parsed column would
+    # move below it and parse every document twice.
+    readable = F.filter(F.array(F.try_parse_json("value")), lambda v: ident_of(v).isNotNull())
+    good = raw.select(F.explode(readable).alias("v"))
+    ident = ident_of(F.col("v"))
     metadata = good.select(*[
         F.try_variant_get("v", f"$.metadata.{field}", kind).alias(METADATA_NAMES.get(field, field))
         for field, kind in METADATA_FIELDS.items()
@@ -54,7 +59,7 @@ def parse_sessions(raw: DataFrame) -> Sessions:
         metadata,
         _message_rows(messages),
         _block_rows(messages),
-        parsed.filter(ident.isNull()).select("value"),
+        raw.filter(ident_of(F.try_parse_json("value")).isNull()).select("value"),
     )
 
 

@@ -59,17 +59,19 @@ def data_lines(raw: DataFrame) -> DataFrame:
 
 def block_events(rows: DataFrame) -> DataFrame:
     """Payloads of the block shape as (stream_id, started, seq, event, block, fragment, type, call_id, tool)."""
-    v = F.from_json("payload", _BLOCK_PAYLOAD)
-    parsed = rows.select("stream_id", "started", "seq", v.alias("v"))
-    return parsed.select(
-        "stream_id", "started", "seq",
-        F.col("v.type").alias("event"),
-        F.col("v.index").alias("block"),
-        F.coalesce("v.delta.text", "v.delta.partial_json", "v.delta.thinking").alias("fragment"),
-        F.col("v.content_block.type").alias("type"),
-        F.col("v.content_block.id").alias("call_id"),
-        F.col("v.content_block.name").alias("tool"),
-    ).filter(F.col("block").isNotNull())
+    def event(v):
+        return F.struct(
+            v["type"].alias("event"),
+            v["index"].alias("block"),
+            F.coalesce(v["delta"]["text"], v["delta"]["partial_json"], v["delta"]["thinking"]).alias("fragment"),
+            v["content_block"]["type"].alias("type"),
+            v["content_block"]["id"].alias("call_id"),
+            v["content_block"]["name"].alias("tool"),
+        )
+
+    # Filtered inside the array, so that each payload is parsed once.
+    parsed = F.transform(F.array(F.from_json("payload", _BLOCK_PAYLOAD)), event)
+    return rows.select("stream_id", "started", "seq", F.inline(F.filter(parsed, lambda e: e["block"].isNotNull())))
 
 
 def assemble_blocks(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
