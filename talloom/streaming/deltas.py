@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talloom.functions.predicates import PARALLEL_TOOLS
-from talloom.operators.ordered import concat_parts
+from talloom.operators.ordered import Ordered, concat_parts, last_upto, running_sum
 from talloom.sources.sessions import parsed_or_empty
 
 DELTA_SCHEMA = "stream_id string, started timestamp, seq bigint, line string"
@@ -77,23 +77,31 @@ def block_events(rows: DataFrame) -> DataFrame:
 def assemble_blocks(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Batch form: blocks (stream_id, block, part) with text or parsed input.
 
-    A block beyond part_bytes comes in parts; the input of a call is parsed
-    when it is whole, which any real call is.
+    A block beyond part_bytes comes in parts. The input of a call is parsed when
+    it is whole; in parts it stays as text.
     """
-    heads = events.groupBy("stream_id", "block").agg(
-        F.max("type").alias("type"), F.max("call_id").alias("call_id"), F.max("tool").alias("tool"),
-        F.max(F.col("event") == "content_block_stop").alias("complete"),
-    )
-    pieces = concat_parts(
-        events.filter(F.col("event") == "content_block_delta"), ["stream_id", "block"], ["seq"], F.col("fragment"), "", part_bytes
-    ).drop("items")
-    joined = heads.join(pieces, ["stream_id", "block"], "left")
-    return _finished(joined.withColumn("part", F.coalesce("part", F.lit(0))))
+    # The start row comes first in a block, so its fields reach every row; one
+    # exchange on (stream, block) serves the running values and the parts.
+    size = F.coalesce(F.octet_length("fragment"), F.lit(0)).cast("bigint")
+    rows = Ordered(events, ["stream_id", "block"], ["seq"]).with_running(
+        _before=running_sum(size, inclusive=False),
+        _type=last_upto(F.col("type")), _call_id=last_upto(F.col("call_id")), _tool=last_upto(F.col("tool")),
+    ).with_total(_stops=F.when(F.col("event") == "content_block_stop", 1), _size=size)
+    delta = F.when(F.col("event") == "content_block_delta", F.struct("seq", "fragment"))
+    # A part exists for its fragments; a block without any still has part 0.
+    parts = rows.frame().withColumn("part", F.floor(F.col("_before") / part_bytes).cast("bigint"))
+    joined = parts.groupBy("stream_id", "block", "part").agg(
+        F.max("_type").alias("type"), F.max("_call_id").alias("call_id"), F.max("_tool").alias("tool"),
+        (F.max("_stops") > 0).alias("complete"), (F.max("_size") <= part_bytes).alias("whole"),
+        F.array_sort(F.collect_list(delta)).alias("_deltas"),
+    ).filter((F.col("part") == 0) | (F.size("_deltas") > 0))
+    text = F.array_join(F.transform("_deltas", lambda d: d["fragment"]), "")
+    return _finished(joined.withColumn("text", text))
 
 
 def _finished(blocks: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
-    call = F.col("type") == "tool_use"
+    call = (F.col("type") == "tool_use") & F.col("whole")
     return blocks.filter("complete AND type <> 'thinking'").select(
         "stream_id", "block", "part", "type", "call_id", "tool",
         F.when(~call, body).alias("text"), F.when(call, parsed_or_empty(body)).alias("input"),
@@ -120,7 +128,7 @@ def complete_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> Data
     text = F.array_join(F.transform(F.array_sort("deltas"), lambda d: d["fragment"]), "")
     return whole.select(
         "stream_id", "block", F.lit(0).cast("bigint").alias("part"), "type", "call_id", "tool", text.alias("text"),
-        F.lit(True).alias("complete"), "stop_seq",
+        F.lit(True).alias("complete"), F.lit(True).alias("whole"), "stop_seq",
     )
 
 

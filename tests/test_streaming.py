@@ -35,6 +35,15 @@ def test_captured_replies(spark, tmp_path):
     assert {(r["stream_id"], r["block"], r["text"], r["input"]) for r in got} == {("one", 0, "Hello\n", None), ("one", 1, None, '{"a":1}')}
 
 
+def test_long_blocks_come_in_parts(spark):
+    rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
+    raw = spark.createDataFrame(rows, "stream_id string, started string, seq bigint, line string")
+    parts = deltas.assemble_blocks(deltas.block_events(deltas.data_lines(raw)), part_bytes=2).orderBy("part").collect()
+    assert [(r["text"], r["input"]) for r in parts if r["block"] == 1] == [('{"a": ', None), ("1}", None)]
+    got = [r for r in parts if r["block"] == 0]
+    assert [(r["part"], r["type"], r["text"]) for r in got] == [(0, "text", "He"), (1, "text", "llo\n")]
+
+
 def test_captured_chunks(spark, tmp_path):
     def chunk(**delta):
         return {"choices": [{"delta": delta}]}
