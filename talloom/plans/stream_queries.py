@@ -105,7 +105,7 @@ def _(t: Tables):
 @query("assemble_chunks_calls", _REPLY_CALLS)
 def _(t: Tables):
     _, made = deltas.assemble_chunks(_chunks(t))
-    return made
+    return made.drop("part")
 
 
 @query("assemble_chunks_calls_stream", _REPLY_CALLS)

@@ -165,9 +165,10 @@ def chunk_events(rows: DataFrame) -> DataFrame:
 
 
 def assemble_chunks(events: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Messages (stream_id, part, text, finish, tokens) and calls (stream_id, index, id, tool, input).
+    """Messages (stream_id, part, text, finish, tokens) and calls (stream_id, index, id, tool, part, input).
 
     finish and usage are the last ones sent, with `stop` and 0 when none came.
+    An input beyond part_bytes stays as text, in parts.
     """
     ends = events.groupBy("stream_id").agg(
         F.max_by("finish", F.when(F.col("finish") != "", F.col("seq"))).alias("finish"),
@@ -181,14 +182,15 @@ def assemble_chunks(events: DataFrame, part_bytes: int = PART_BYTES) -> tuple[Da
     )
     pieces = events.select("stream_id", "seq", F.inline("calls"))
     heads = pieces.groupBy("stream_id", "index").agg(
-        F.min_by(F.struct("id", "name"), F.col("seq")).alias("h")
+        F.min_by(F.struct("id", "name"), F.col("seq")).alias("h"),
+        F.sum(F.coalesce(F.octet_length("arguments"), F.lit(0))).alias("size"),
     )
     bodies = concat_parts(
         pieces, ["stream_id", "index"], ["seq"], F.coalesce("arguments", F.lit("")), "", part_bytes
     ).drop("items")
     calls = heads.join(bodies, ["stream_id", "index"], "left").select(
         "stream_id", "index", F.coalesce("h.id", F.lit("")).alias("id"), F.coalesce("h.name", F.lit("")).alias("tool"),
-        parsed_or_empty(F.col("text")).alias("input"),
+        "part", F.when(F.col("size") <= part_bytes, parsed_or_empty(F.col("text"))).otherwise(F.col("text")).alias("input"),
     )
     return messages, calls
 
