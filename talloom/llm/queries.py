@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.llm import quality, simhash, suffixes
+from talloom.llm import bitpack, bpe, forest, langid, mixing, quality, sharding, simhash, suffixes, warc
 from talloom.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,57 @@ def op2_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
 def op3_suffix_intervals(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.duplicate_spans(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op4_warc_segments", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id != last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id != last THEN last END AS refers_to
+FROM p
+""")
+def op4_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
+@_query("op5_minimax_shards")
+def op5_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+@_query("op6_prefix_forest")
+def op6_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+#: Weights of the mixing query and of the pipeline: languages level with each other except for English, sources alike.
+MIX_WEIGHTS = {"lang": {"en": 3.0}, "domain": {"crawl": 2.0, "curated": 3.0}}
+
+
+def mix_domain():
+    """Top of the source tree: the one large crawl, and everything else."""
+    return F.when(F.col("source") == "src0", "crawl").otherwise("curated")
+
+
+@_query("op7_hierarchical_mix")
+def op7_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"), 0.8, 4, MIX_WEIGHTS, mix_domain())
+    return mixed.select("doc_id", "lang", "source", "epoch")
+
+
+@_query("op8_forced_boundary_bpe")
+def op8_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, folder, "documents"))
+
+
+@_query("op9_bit_packed_ids")
+def op9_bit_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bitpack.round_trip(_table(spark, folder, "documents"))
+
+
+@_query("op10_fused_language")
+def op10_fused_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "pages"), _table(spark, folder, "documents"))
