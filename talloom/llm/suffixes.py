@@ -37,7 +37,7 @@ from talloom.llm.windows import prefix_classes, window_runs
 
 WIDTH = 50
 CHUNK_BYTES = 2 << 20
-ROUTE_BYTES = 32 << 20
+ROUTE_BYTES = 12 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
