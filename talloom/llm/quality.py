@@ -10,6 +10,7 @@ row; a null id stays null; other columns are neither read nor returned; an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,15 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 
-#: Rule name and the condition under which a text fails it. The position is the bit. New rules go at the end, so that
-#: stored ledgers and policies keep their meaning.
-RULES: list[tuple[str, str]] = [
-    ("few_words", f"n_words < {MIN_WORDS}"),
-    ("repeated_windows", f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"),
-    ("symbols", "100 * n_symbols > 5 * word_chars"),
-    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
-    ("long_words", "word_chars > 16 * n_words"),
-    ("short_words", "2 * word_chars < 3 * n_words"),
+#: Rule name and the condition under which measurements fail it. The position is the bit. New rules go at the end, so
+#: that stored ledgers and policies keep their meaning.
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("few_words", lambda m: m["n_words"] < MIN_WORDS),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]),
+    ("symbols", lambda m: 100 * m["n_symbols"] > 5 * m["word_chars"]),
+    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    ("long_words", lambda m: m["word_chars"] > 16 * m["n_words"]),
+    ("short_words", lambda m: 2 * m["word_chars"] < 3 * m["n_words"]),
 ]
 
 
@@ -73,37 +74,49 @@ def _repeated(words: Column) -> Column:
     return let(let(F.sort_array(windows), places), covered)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The measurements of every text beside the given columns, all in built-in expressions."""
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), "")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    enough = F.size("_words") >= WINDOW
-    hashes = F.when(
-        enough,
-        F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
-    )
-    cut = docs.withColumns({"_words": words, "_lines": lines})
-    cut = cut.withColumn("_hashes", hashes)
-    return cut.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.coalesce(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")), F.lit(0)).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+def measured(text: Column) -> Column:
+    """Measurements and `fail_bits` of a text as one struct.
+
+    Words, lines and window hashes are bound inside the expression. As columns of their own they would be copied into
+    every place that uses them once a filter on the verdict is pushed below them.
+    """
+    body = F.coalesce(text, F.lit(""))
+
+    def judge(m: Column) -> Column:
+        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+        bits = F.lit(0).cast("long")
+        for k, (_, fails) in enumerate(RULES):
+            bits = bits.bitwiseOR(F.when(fails(m), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[n].alias(n) for n in names], bits.alias("fail_bits"))
+
+    def measure(words: Column, lines: Column, hashes: Column) -> Column:
         # only texts in which some hash comes twice can hold a repeated window
-        "n_repeat_words": F.when(enough & (F.size(F.array_distinct("_hashes")) < F.size("_hashes")), _repeated(F.col("_words")))
-        .otherwise(F.lit(0).cast("long")),
-    }).drop("_words", "_lines", "_hashes")
+        twice = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return let(F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.when(twice, _repeated(words)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        ), judge)
+
+    def hashes(words: Column) -> Column:
+        count = F.size(words) - (WINDOW - 1)
+        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+        return F.when(count >= 1, every).otherwise(F.array().cast("array<bigint>"))
+
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(
+        F.array_remove(F.split(body, SPACE), ""),
+        lambda words: let(lines, lambda l: let(hashes(words), lambda h: measure(words, l, h))),
+    )
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: measurements and `fail_bits`, bit k set if rule k fails."""
-    measured = measure(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return measured.withColumn("fail_bits", total).drop("text")
+    book = docs.select(F.col(f"`{id_col}`").alias("doc_id"), measured(F.col(f"`{text}`").cast("string")).alias("m"))
+    return book.select("doc_id", "m.*")
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -134,11 +147,6 @@ def ablation(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
-    """The rows that a policy keeps, with their own columns only. No shuffle: the verdict stands beside the row."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
-    measured = measure(packed)
-    fails = [F.expr(rule) for k, (_, rule) in enumerate(RULES) if (policy.mask | BASE.mask) >> k & 1]
-    any_fail = fails[0]
-    for fail in fails[1:]:
-        any_fail = any_fail | fail
-    return measured.where(~any_fail).select("_row.*")
+    """The rows that a policy keeps, with their own columns only. No shuffle and nothing stored."""
+    bits = measured(F.col(f"`{text}`").cast("string"))["fail_bits"]
+    return docs.where(bits.bitwiseAND(F.lit(policy.mask | BASE.mask).cast("long")) == 0)
