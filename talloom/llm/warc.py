@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.llm.common import prepared
+from talloom.llm.common import prepared, stored
 from talloom.session import scratch_path
 
 #: Fixed value: smaller payloads are always responses.
@@ -39,7 +39,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-E
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD = (
-    "type string, id string, origin string, segment long, total long, digest string, refers_to string, block binary"
+    "type string, id string, origin string, segment long, total long, digest string, refers_to string, block binary, "
+    "payload_bytes long, payload_digest string"
 )
 
 
@@ -101,7 +102,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("urn:none")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     large = rows.where(F.octet_length("html") >= REVISIT_BYTES)
-    repeats = large.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1")
+    # stored first: the planner then knows how small it is, and pages move only if it is not
+    repeats = stored(large.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1"), "repeats")
     other = F.col("refers").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers"))
     return rows.join(repeats.drop("n"), "digest", "left").withColumn("refers", F.when(other, F.col("refers")))
 
@@ -125,8 +127,17 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of every archive below `path`."""
+def payload_of(block: bytes) -> bytes | None:
+    """The payload in an HTTP reply, or None if it is damaged."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    return unframed(body) if b"transfer-encoding: chunked" in head.lower() else body
+
+
+def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """Every record of every archive below `path`, with length and digest of the payload of unsegmented responses.
+
+    Without `blocks` only segments keep theirs, for reassembly.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -143,9 +154,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     block = data[end + 4 : end + 4 + size]
                     at = end + 4 + size + len(END)
                     number = lambda key: int(head[key]) if key in head else None
+                    segment, proof = number("warc-segment-number"), (None, None)
+                    if head["warc-type"] == "response" and segment is None and (payload := payload_of(block)) is not None:
+                        proof = len(payload), hashlib.sha1(payload).hexdigest()
                     rows.append((
-                        head["warc-type"], head["warc-record-id"], head.get("warc-segment-origin-id"), number("warc-segment-number"),
-                        number("warc-segment-total-length"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, head.get("warc-refers-to"), block,
+                        head["warc-type"], head["warc-record-id"], head.get("warc-segment-origin-id"), segment, number("warc-segment-total-length"),
+                        head.get("warc-payload-digest", "").removeprefix("sha1:") or None, head.get("warc-refers-to"),
+                        block if blocks or segment is not None else None, *proof,
                     ))
                     held += size
                     if held > 4 << 20:
@@ -160,7 +175,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"segment": "Int64", "total": "Int64"})
+    return frame.astype({"segment": "Int64", "total": "Int64", "payload_bytes": "Int64"})
 
 
 def _payload(blocks: Column) -> Column:
@@ -168,19 +183,17 @@ def _payload(blocks: Column) -> Column:
 
     @F.pandas_udf("bytes long, sha1 string")
     def of(blocks: pd.Series) -> pd.DataFrame:
-        out = []
-        for block in blocks:
-            head, _, body = (block or b"").partition(b"\r\n\r\n")
-            payload = unframed(body) if b"transfer-encoding: chunked" in head.lower() else body
-            out.append((None, None) if block is None or payload is None else (len(payload), hashlib.sha1(payload).hexdigest()))
-        return pd.DataFrame({"bytes": pd.array([x for x, _ in out], "Int64"), "sha1": [x for _, x in out]})
+        found = [None if block is None else payload_of(block) for block in blocks]
+        return pd.DataFrame({
+            "bytes": pd.array([None if x is None else len(x) for x in found], "Int64"),
+            "sha1": [None if x is None else hashlib.sha1(x).hexdigest() for x in found],
+        })
 
     return of(blocks)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """id and whole block of every response; null block if segments are missing or the length is wrong."""
-    whole = records.where("type = 'response' AND segment IS NULL").select("id", "block")
+    """id and whole block of every segmented response; null block if segments are missing or the length is wrong."""
     parts = records.where("segment IS NOT NULL").select(F.coalesce("origin", "id").alias("id"), "segment", "total", "block")
     # one group is one page; repeats of a segment are dropped before the blocks are joined
     groups = parts.groupBy("id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("segment", "block")))).alias("parts"), F.max("total").alias("total"))
@@ -188,16 +201,17 @@ def reassembled(records: DataFrame) -> DataFrame:
     gapless = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
     # binary pieces are joined as unchecked strings, in one pass
     joined = F.array_join(F.transform("parts", lambda x: x["block"].cast("string")), "").cast("binary")
-    return whole.union(groups.select("id", F.when(gapless & (size == F.col("total")), joined)))
+    return groups.select("id", F.when(gapless & (size == F.col("total")), joined).alias("block"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the archives."""
-    records = read_records(spark, path)
+    records = stored(read_records(spark, path, blocks=False), "records")
     page = lambda c: F.regexp_extract(c, r"urn:page:(\d+|-\d+|none):", 1)
     number = lambda c: F.when(page(c) != "none", page(c)).cast("long")
-    found = reassembled(records).withColumn("p", _payload(F.col("block")))
-    responses = found.select("id", F.col("p.bytes").alias("payload_bytes"), F.col("p.sha1").alias("payload_digest")).dropDuplicates(["id"])
+    whole = records.where("type = 'response' AND segment IS NULL").select("id", "payload_bytes", "payload_digest")
+    joined = reassembled(records).select("id", _payload(F.col("block")).alias("p")).select("id", F.col("p.bytes"), F.col("p.sha1"))
+    responses = stored(whole.union(joined).dropDuplicates(["id"]), "responses")
     revisits = records.where("type = 'revisit'").select("id", "refers_to", "digest").dropDuplicates(["id"])
     targets = responses.select(F.col("id").alias("refers_to"), "payload_bytes", "payload_digest")
     resolved = revisits.join(targets, "refers_to", "left")
