@@ -2,8 +2,8 @@
 
 Two neighbouring symbols that stand together inside no vocabulary token can never end up in one token, so there a cut is
 certain. Texts fall into words at white space, into pieces by the tokenizer's own pattern, and into fragments at forced
-boundaries; fragments are merged independently and their ids concatenated. Short fragments repeat far more than words,
-and encoded fragments and words are remembered in bounded tables.
+boundaries; fragments are merged independently and their ids concatenated. Encoded words and pieces are remembered in bounded
+tables.
 
 The vocabulary file is read once per Python worker. Its path is a parameter; the file must lie at the same place on every
 executor.
@@ -14,10 +14,15 @@ tokenizer does; repeated rows are encoded alike; other columns stay as they are;
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import heapq
 import json
+import re
 import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pandas as pd
@@ -27,8 +32,36 @@ from pyspark.sql import functions as F
 
 from talloom.llm.common import prepared
 
-#: Entries of the tables of remembered words and fragments; they only save time.
-REMEMBERED = 150_000
+#: Entries of the tables of remembered words and pieces; they only save time.
+REMEMBERED = 400_000
+#: Longer fragments are merged with a heap, whose cost grows with n log n.
+SHORT = 128
+_NONE = 1 << 62
+
+#: A dot or comma between a letter and white space: always a piece of its own.
+_STOP = re.compile(rb"[.,](?=[\x09-\x0d\x20]|\Z)(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
+
+
+@contextmanager
+def no_cycle_search():
+    """Encoding makes hundreds of thousands of long-lived values and no cycles; the collector would walk them again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words of a text whose encodings in a row are the encoding of the text.
+
+    ASCII letters are lowered, white space is dropped and a final dot or comma split off, as the tokenizer would do
+    anyway: that leaves far fewer distinct words. A text with special tokens keeps its case, because they have one.
+    """
+    raw = text.encode("utf-8", "replace")
+    return _STOP.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split()
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -61,10 +94,13 @@ class ForcedBoundaryBPE:
         self.symbols = byte_symbols()
         self.vocab = vocab
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.inside = {pair for token in vocab for s in [self._split(token)] for pair in zip(s, s[1:])}
+        # pair of ids -> rank and merged id in one number, which compares by rank
+        self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(merges)}
+        # pairs of base symbols that stand together inside some token; between any others a boundary is forced
+        self.inside = {vocab[a] << 32 | vocab[b] for token in vocab for s in [self._split(token)] for a, b in zip(s, s[1:])}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+        self.tail = {s: s + self.suffix for s in self.symbols}
+        self.bytes_of = {i: (struct.pack("<I", i), (t + " ").encode("utf-8")) for i, t in self.names.items()}
 
     def _split(self, token: str) -> list[str]:
         """Base symbols of a token; the end of a word belongs to its last symbol."""
@@ -73,58 +109,99 @@ class ForcedBoundaryBPE:
             return list(token)
         return [*body[:-1], body[-1] + self.suffix]
 
-    def _merge(self, fragment: tuple[str, ...]) -> list[int]:
-        known = self.fragments.get(fragment)
-        if known is not None:
-            return known
-        ids = [self.vocab[s] for s in fragment]
-        merges = self.merges
-        while len(ids) > 1:
-            best = min(((*merges[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None)
-            if best is None:
+    def _merge(self, ids: list[int], pairs: list[int]) -> list[int]:
+        """Ids of a fragment: the pair of lowest rank is merged first, the leftmost of equal ones."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        get = self.merges.get
+        ranks = [get(p, _NONE) for p in pairs]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            _, new, at = best
-            ids[at : at + 2] = [new]
-        if len(self.fragments) >= REMEMBERED:
-            self.fragments.clear()
-        self.fragments[fragment] = ids
+            at = ranks.index(best)
+            ids[at : at + 2] = [best & 0xFFFFFFFF]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 32 | ids[at], _NONE)
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 32 | ids[at + 1], _NONE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        get, n = self.merges.get, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(get(ids[k] << 32 | ids[k + 1], _NONE), k) for k in range(n - 1)]
+        heap = [x for x in heap if x[0] != _NONE]
+        heapq.heapify(heap)
+        while heap:
+            best, k = heapq.heappop(heap)
+            right = after[k] if ids[k] >= 0 else n
+            if right >= n or get(ids[k] << 32 | ids[right], _NONE) != best:
+                continue  # one of the two was merged meanwhile
+            ids[k], ids[right] = best & 0xFFFFFFFF, -1
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n:
+                    rank = get(ids[left] << 32 | ids[after[left]], _NONE)
+                    if rank != _NONE:
+                        heapq.heappush(heap, (rank, left))
+        return [x for x in ids if x >= 0]
+
     def _piece(self, piece: str) -> list[int]:
-        symbols = [self.symbols[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.suffix
+        symbols = list(piece) if piece.isascii() else [self.symbols[b] for b in piece.encode("utf-8")]
+        symbols[-1] = self.tail[symbols[-1]]
+        ids = list(map(self.vocab.__getitem__, symbols))
+        pairs = [a << 32 | b for a, b in zip(ids, ids[1:])]
+        if self.inside.issuperset(pairs):
+            return self._merge(ids, pairs)
         out: list[int] = []
         start = 0
-        for k in range(1, len(symbols)):
-            if (symbols[k - 1], symbols[k]) not in self.inside:  # a forced boundary
-                out += self._merge(tuple(symbols[start:k]))
+        for k, pair in enumerate(pairs, 1):
+            if pair not in self.inside:  # a forced boundary
+                out += self._merge(ids[start:k], pairs[start : k - 1])
                 start = k
-        return out + self._merge(tuple(symbols[start:]))
+        return out + self._merge(ids[start:], pairs[start:])
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        ids: list[int] = []
+        """Ids of a word and their names with a space behind each, in bytes."""
         text = word.decode("utf-8", "replace")
-        for part in self.special_cut.split(text):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                # letters are lowered one by one: no final sigma
-                lowered = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for piece in self.pieces(lowered):
-                    ids += self._piece(piece)
-        made = struct.pack(f"<{len(ids)}I", *ids), "".join([self.names[i] + " " for i in ids]).encode("utf-8")
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = made
-        return made
+        if text.isascii() and text.isalpha():
+            ids = self._piece(text.lower())
+        else:
+            ids = []
+            for part in self.special_cut.split(text) if "<|" in text else (text,):
+                if part in self.special:
+                    ids.append(self.special[part])
+                elif part:
+                    # letters are lowered one by one: no final sigma
+                    for piece in self.pieces(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()):
+                        ids += self._piece(piece)
+        made = [self.bytes_of[i] for i in ids]
+        return b"".join([i for i, _ in made]), b"".join([n for _, n in made])
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """Of every text the ids as little-endian 32-bit numbers, and the decoded text in UTF-8.
+
+        The distinct words of all these texts are encoded first.
+        """
+        split = [words_of(text) if isinstance(text, str) else [] for text in texts]
+        new: set[bytes] = set()
+        new.update(*split)
+        if len(self.words) + len(new) > 2 * REMEMBERED:  # full: what is in use stays
+            self.words = {w: self.words[w] for w in new if w in self.words}
+        words = self.words
+        for word in new.difference(words):
+            words[word] = self._word(word)
+        known = words.__getitem__
+        for text in split:
+            made = list(map(known, text))
+            yield b"".join([ids for ids, _ in made]), b"".join([names for _, names in made])[:-1]
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit numbers, and the decoded text in UTF-8."""
-        if not isinstance(text, str):
-            return b"", b""
-        known = self.words.get
-        made = [known(w) or self._word(w) for w in text.encode("utf-8", "replace").split()]
-        return b"".join([ids for ids, _ in made]), b"".join([back for _, back in made])[:-1]
+        return next(self.encode_many([text]))
 
     def decode(self, ids: bytes) -> str:
         """Names of the tokens with a space between them: the vocabulary file names no decoder."""
@@ -141,11 +218,11 @@ def digests(text: Column, path: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: pd.Series) -> pd.DataFrame:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_many
         rows = []
-        for text_ in texts:
-            ids, decoded = encode(text_)
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        with no_cycle_search():
+            for ids, decoded in encode(texts):
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text.cast("string"))
@@ -156,8 +233,9 @@ def token_ids(text: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        encode = encoder(path).encode
-        return pd.Series([encode(x)[0] for x in texts], dtype="object")
+        encode = encoder(path).encode_many
+        with no_cycle_search():
+            return pd.Series([ids for ids, _ in encode(texts)], dtype="object")
 
     return of(text.cast("string"))
 
