@@ -14,6 +14,7 @@ in order of their text's hash; other columns are not read; an empty table gives
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talloom.llm.bpe import REMEMBERED, default_path
+from talloom.llm.bpe import REMEMBERED, default_path, no_cycle_search, words_of
 from talloom.llm.common import prepared, stored
 from talloom.session import scratch_path
 
@@ -65,7 +66,7 @@ def unpack(raw: bytes, bits: int, start: int, count: int) -> np.ndarray:
 class WordEncoder:
     """The tokenizers library, asked once per distinct word.
 
-    For tokenizers that cut at white space and drop it, a text's ids are those of its words in a row. Unknown words are
+    For tokenizers that lower letters, cut at white space and drop it, a text's ids are those of its words in a row. Unknown words are
     encoded in one call, with a special token between them to find the borders.
     """
 
@@ -79,38 +80,53 @@ class WordEncoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(self.special.items()))
         self.known: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.size, bool)  # tokens that end a piece
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = []
+    def _learn(self, words: set[bytes]) -> None:
+        letters, marked = [], []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            if any(s in text for s in self.special) or "<" in text or ">" in text or "|" in text:
-                self.known[word] = self._ids(text).astype("<u4").tobytes()
+            if word.isalpha() or word.decode("utf-8", "replace").isalpha():
+                letters.append(word)
+            elif b"<" in word or b"|" in word or b">" in word:  # could be, or make, a special token
+                self.known[word] = self._ids(word.decode("utf-8", "replace")).astype("<u4").tobytes()
             else:
-                plain.append((word, text))
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = self._ids(self.mark.join(t for _, t in part))
+                marked.append(word)
+        for k in range(0, len(letters), 5000):  # words of letters are one piece each, and a piece ends with a suffixed token
+            part = letters[k : k + 5000]
+            ids = self._ids(b" ".join(part).decode("utf-8", "replace"))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self._note(part, ids, [0, *cuts[:-1].tolist()], cuts.tolist())
+            else:
+                marked += part
+        for k in range(0, len(marked), 5000):
+            part = marked[k : k + 5000]
+            ids = self._ids(self.mark.join([w.decode("utf-8", "replace") for w in part]))
             cuts = np.flatnonzero(ids == self.mark_id)
-            raw = ids.astype("<u4").tobytes()
-            for (word, _), a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)]):
-                self.known[word] = raw[4 * a : 4 * b]
+            self._note(part, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+
+    def _note(self, words: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.astype("<u4").tobytes()
+        self.known.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of every text as little-endian 32-bit numbers."""
-        for text in texts:
-            words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                self._learn(new)
-                if any(w not in self.known for w in words):  # the table was emptied meanwhile
-                    self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            yield b"".join(map(self.known.__getitem__, words))
+        """Ids of every text as little-endian 32-bit numbers. The words of all these texts are learnt together."""
+        split = [words_of(text) if isinstance(text, str) else [] for text in texts]
+        new: set[bytes] = set()
+        new.update(*split)
+        if len(self.known) + len(new) > 2 * REMEMBERED:  # full: what is in use stays
+            self.known = {w: self.known[w] for w in new if w in self.known}
+        new.difference_update(self.known)
+        self._learn(new)
+        known = self.known.__getitem__
+        for words in split:
+            yield b"".join(map(known, words))
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +153,9 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             return pd.DataFrame({"block": [head + np.array(ids, "<i8").tobytes() + sizes.tobytes() + body]})
 
         for batch in batches:
-            for doc, made in zip(batch["doc_id"], coder.encode(batch["text"])):
+            with no_cycle_search():
+                encoded = list(coder.encode(batch["text"]))
+            for doc, made in zip(batch["doc_id"], encoded):
                 ids.append(NO_ID if doc is None else int(doc))
                 tokens.append(made + end)
                 held += len(made) // 4 + 1
