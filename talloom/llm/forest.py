@@ -170,7 +170,7 @@ def nearest(
     levels = stored(seen.select(F.col("query").alias("id"), bound.alias("bound")), "bounds")
     meet = 1.0 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("bound") / (F.col("norm") * float(longest))))) / math.pi
     need = math.log(1.0 - (1.0 - TARGET) ** (1.0 / TREES))
-    level = F.when(meet >= 1.0, F.lit(BITS)).otherwise(F.least(F.lit(BITS), F.greatest(F.lit(0), F.floor(F.lit(need) / F.log(meet))))).cast("int")
+    level = F.when(F.col("bound").isNull(), F.lit(0)).when(meet >= 1.0, F.lit(BITS)).otherwise(F.least(F.lit(BITS), F.greatest(F.lit(0), F.floor(F.lit(need) / F.log(meet))))).cast("int")
     ready = seekers.join(levels, "id", "left").withColumn("level", F.coalesce(level, F.lit(0)))
     span = F.expr(f"shiftleft(1L, {BITS} - level)")
     ranges = by_tree(ready).where((F.col("level") > 0) | (F.col("tree") == 0))  # at level 0 one tree holds everything
