@@ -78,25 +78,52 @@ def visible_path(path: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A path glob as an anchored regex; `**/` spans folders, `*` does not."""
-    out, i = [], 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out.append("(?:[^/]+/)*")
-            i += 3
-        elif glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-        else:
-            char = glob[i]
-            out.append({"*": "[^/]*", "?": "[^/]"}.get(char) or _literal(char))
-            i += 1
-    return "^" + "".join(out) + r"\z"
+    """A path glob as an anchored regex; `**/` spans folders, `*` does not; with `{a,b}` and `[a-z]`."""
+    return "^" + _glob_body(glob, "[^/]*", "[^/]", spans=True) + r"\z"
 
 
 def name_regex(pattern: str) -> str:
     """A file-name pattern as an anchored regex."""
-    return "^" + "".join({"*": ".*", "?": "."}.get(c) or _literal(c) for c in pattern) + r"\z"
+    return "^" + _glob_body(pattern, ".*", ".", spans=False) + r"\z"
+
+
+def _glob_body(glob: str, many: str, one: str, spans: bool) -> str:
+    out, i, open_braces = [], 0, 0
+    while i < len(glob):
+        char, step = glob[i], 1
+        if spans and glob.startswith("**/", i):
+            part, step = "(?:[^/]+/)*", 3
+        elif spans and glob.startswith("**", i):
+            part, step = ".*", 2
+        elif char in "*?":
+            part = many if char == "*" else one
+        elif char == "[" and (end := glob.find("]", i + 2)) > 0:
+            negated = glob[i + 1] in "!^"
+            members = glob[i + 1 + negated : end]
+            part = "[" + ("^" if negated else "") + "".join(c if c == "-" or c.isalnum() else "\\" + c for c in members) + "]"
+            step = end + 1 - i
+        elif char == "{" and _closing(glob, i):
+            part, open_braces = "(?:", open_braces + 1
+        elif char == "}" and open_braces:
+            part, open_braces = ")", open_braces - 1
+        elif char == "," and open_braces:
+            part = "|"
+        else:
+            part = _literal(char)
+        out.append(part)
+        i += step
+    return "".join(out)
+
+
+def _closing(glob: str, start: int) -> bool:
+    """Whether the brace at `start` is closed and holds a comma; else it is a plain character."""
+    depth, comma = 0, False
+    for char in glob[start:]:
+        depth += (char == "{") - (char == "}")
+        comma |= char == "," and depth == 1
+        if not depth:
+            return comma
+    return False
 
 
 def _literal(char: str) -> str:

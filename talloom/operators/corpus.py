@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talloom.functions import predicates, text
 from talloom.operators.ordered import Ordered, concat_parts, running_sum
@@ -28,9 +23,9 @@ INCLUDE_LINE = r"^@(\./\S+|~/\S+|/\S+)$"
 # -- search ---------------------------------------------------------------
 
 
-def grep(files: DataFrame, pattern: str, include: str | None = None) -> DataFrame:
-    """Every matching line as path, line_no, line. Files are rows (path, text)."""
-    kept = files.filter(predicates.visible_path(F.col("path")))
+def grep(files: DataFrame, pattern: str, include: str | None = None, base: str | None = None) -> DataFrame:
+    """Every matching line as path, line_no, line. Files are rows (path, text); base: a folder to search below."""
+    kept = _below(files, base).filter(predicates.visible_path(F.col("path")))
     if include:
         name = F.element_at(F.split("path", "/"), -1)
         kept = kept.filter(F.rlike(name, F.lit(predicates.name_regex(include))))
@@ -46,14 +41,27 @@ def grep(files: DataFrame, pattern: str, include: str | None = None) -> DataFram
 def matches_across_lines(pattern: str) -> bool:
     """True if a match in a line is sure to be one in the whole text.
 
-    Not so for look-around, inline groups, text anchors and possessive repeats.
+    Not so for anchors (no line starts at the very end of a text), patterns that can be empty, look-around, inline
+    groups, word borders and possessive repeats.
     """
-    return not re.search(r"\(\?|\\[AzZG]|[*+?}]\+", pattern)
+    if re.search(r"\(\?|\\[AzZGbB]|[*+?}]\+|[\^$]", pattern):
+        return False
+    try:
+        return re.search(pattern, "") is None
+    except re.error:  # syntax that only the engine of the lines knows
+        return False
 
 
-def list_paths(files: DataFrame, glob: str) -> DataFrame:
-    match = F.rlike("path", F.lit(predicates.glob_regex(glob)))
-    return files.select("path").filter(match & predicates.visible_path(F.col("path")))
+def list_paths(files: DataFrame, glob: str, base: str | None = None) -> DataFrame:
+    """Paths that a glob matches; with a base folder the glob applies to the path below it."""
+    kept = _below(files.select("path"), base)
+    inner = F.col("path") if not base else F.substr("path", F.lit(len(base.rstrip("/")) + 2))
+    match = F.rlike(inner, F.lit(predicates.glob_regex(glob)))
+    return kept.filter(match & predicates.visible_path(F.col("path")))
+
+
+def _below(files: DataFrame, base: str | None) -> DataFrame:
+    return files.filter(F.startswith("path", F.lit(base.rstrip("/") + "/"))) if base else files
 
 
 def first_with_rest(rows: DataFrame, order: list[str], cap: int) -> DataFrame:
@@ -243,13 +251,19 @@ def expand_includes(files: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH, home:
 
 
 def _resolved(path: Column, raw: Column, home: str) -> Column:
-    """Absolute path of an include: relative to its file, to the home, or absolute already."""
+    """Path of an include: relative to its file, to the home, or absolute already; without `.`, `..` and empty parts."""
     folder = F.regexp_extract(path, r"(?s)^.*/", 0)
-    return (
+    whole = (
         F.when(F.startswith(raw, F.lit("./")), F.concat(folder, F.substr(raw, F.lit(3))))
         .when(F.startswith(raw, F.lit("~/")), F.concat(F.lit(home), F.substr(raw, F.lit(2))))
         .otherwise(raw)
     )
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))),
+    )
+    return F.concat(F.when(F.startswith(whole, F.lit("/")), "/").otherwise(""), F.array_join(kept, "/"))
 
 
 # -- recall ---------------------------------------------------------------------
@@ -260,112 +274,19 @@ def words(value: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}_]+")), lambda w: F.length(w) > 2)
 
 
-def recall_by_overlap(
-    queries: DataFrame, docs: DataFrame, k: int = 3, slice_queries: int = 4096
-) -> DataFrame:
+def recall_by_overlap(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     """For each query the k docs sharing most distinct words, ties to the lower id.
 
-    queries(query_id, text), docs(doc_id bigint, text). Each task scores its
-    docs against a slice of queries and keeps only k per query, so neither the
-    pairs nor the lists of frequent words are ever shuffled. More queries than
-    one slice mean more passes over the docs, not a larger broadcast.
+    queries(query_id, text), docs(doc_id bigint, text). Doc words that no query asks for are dropped first; the rest
+    meet the queries' words in one join, where adaptive execution splits frequent words, and are counted per
+    (query, doc) before they move. The k best per query are cut out in each task before the last shuffle.
     """
-    spark = configure(docs.sparkSession)
-    asked = queries.select("query_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("words"))
-    out = None
-    for part in _slices(asked, slice_queries):
-        shared = spark.sparkContext.broadcast(_postings(part.collect()))  # about one slice
-        best = tokens.mapInArrow(_top_overlaps(shared, k), _SCORED)
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return spark.createDataFrame([], T.StructType.fromDDL(_SCORED + ", rank int"))
-    return first_per_group(out, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
-_SCORED = "query_id bigint, doc_id bigint, score bigint"
-
-
-def _slices(asked: DataFrame, size: int) -> list[DataFrame]:
-    """Queries in slices of about `size`, by hash of the id."""
-    asked = reliable(asked)
-    pieces = max(1, -(-asked.count() // size))
-    if pieces == 1:
-        return [asked]
-    return [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i) for i in range(pieces)]
-
-
-def _postings(rows: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and for word i the queries[starts[i]:starts[i + 1]] that ask for it; the query ids."""
-    by_word: dict[str, list[int]] = {}
-    for j, row in enumerate(rows):
-        for w in row["words"]:
-            by_word.setdefault(w, []).append(j)
-    starts = np.cumsum([0, *map(len, by_word.values())])
-    flat = np.fromiter((j for js in by_word.values() for j in js), dtype=np.int64, count=starts[-1])
-    return list(by_word), starts, flat, np.array([row["query_id"] for row in rows], dtype=np.int64)
-
-
-def _top_overlaps(shared, k: int):
-    """Scores docs in blocks and carries only the k best per query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, starts, flat, query_ids = shared.value
-        known = pa.array(vocabulary)
-        block = max(1, (1 << 18) // len(query_ids))
-        best, fresh = np.empty((0, 3), dtype=np.int64), []
-        enough = 8 * k * len(query_ids)
-        least = np.zeros(len(query_ids), dtype=np.int64)  # a score below this cannot enter
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                fresh.append(_scored(batch.slice(at, block), known, starts, flat, least, k))
-                if sum(map(len, fresh)) > enough:
-                    best, fresh = _best(np.concatenate([best, *fresh]), k), []
-                    least = _kth_score(best, len(query_ids), k)
-        best = _best(np.concatenate([best, *fresh]), k)
-        columns = [query_ids[best[:, 0]], best[:, 1], best[:, 2]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "doc_id", "score"])
-
-    return run
-
-
-def _scored(piece: pa.RecordBatch, known, starts, flat, least, k: int) -> np.ndarray:
-    """Rows (query place, doc, score): the k best docs of the piece per query."""
-    words = piece.column("words")
-    ids = piece.column("doc_id").to_numpy()
-    n, queries = len(ids), len(least)
-    # Rows in id order, so that equal scores rank by row.
-    place = np.empty(n, dtype=np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(n)
-    column = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-    row = np.repeat(place, pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    row, column = row[column >= 0], column[column >= 0]
-    # Every (row, query) pair a known word stands for, counted per cell.
-    length = starts[column + 1] - starts[column]
-    offset = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    query = flat[np.repeat(starts[column], length) + offset]
-    scores = np.bincount(np.repeat(row, length) * queries + query, minlength=n * queries).reshape(n, queries)
-    rank = scores * n - np.arange(n)[:, None]
-    top = np.argpartition(-rank, min(k, n) - 1, axis=0)[:k]
-    score = np.take_along_axis(scores, top, axis=0)
-    found = np.stack([np.broadcast_to(np.arange(queries), top.shape), np.sort(ids)[top], score], axis=-1).reshape(-1, 3)
-    return found[(found[:, 2] > 0) & (found[:, 2] >= np.broadcast_to(least, top.shape).reshape(-1))]
-
-
-def _best(found: np.ndarray, k: int) -> np.ndarray:
-    """The k best rows per query of (query, doc, score)."""
-    found = found[np.lexsort((found[:, 1], -found[:, 2], found[:, 0]))]
-    first = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]]) if len(found) else np.empty(0, dtype=np.int64)
-    rank = np.arange(len(found)) - np.repeat(first, np.diff(np.r_[first, len(found)]))
-    return found[rank < k]
-
-
-def _kth_score(best: np.ndarray, queries: int, k: int) -> np.ndarray:
-    """Lowest kept score of queries that have k rows, else 0."""
-    kept = np.bincount(best[:, 0], minlength=queries)
-    least = np.full(queries, np.iinfo(np.int64).max)
-    np.minimum.at(least, best[:, 0], best[:, 2])
-    return np.where(kept >= k, least, 0)
+    configure(docs.sparkSession)
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word"))
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(words(F.col("text"))).alias("word"))
+    known = tokens.join(small_side(asked.select("word").distinct()), "word", "left_semi")
+    shared = known.join(small_side(asked), "word").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    return first_per_group(shared, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def byte_budget(items: DataFrame, keys: list[str], order: list[str], size: str, limit: int,

@@ -18,6 +18,7 @@ DENIED_SHELL = "Shell commands blocked in plan mode"
 DENIED_UNASKED = "Auto-denied (dontAsk mode): "
 ASK_WRITE = "write new file: "
 ASK_EDIT = "edit non-existent file: "
+NO_VALUE = "undefined"
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
@@ -49,10 +50,11 @@ def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _applies(pattern: Column) -> Column:
-    value = F.col("value")
+    """A shell call without a command has the empty one; other calls without a value meet every pattern of their tool."""
+    value = F.coalesce("value", F.lit(""))
     stem = F.substr(pattern, F.lit(1), F.length(pattern) - 1)
     fits = F.when(F.endswith(pattern, F.lit("*")), F.startswith(value, stem)).otherwise(value == pattern)
-    return pattern.isNull() | value.isNull() | F.coalesce(fits, F.lit(False))
+    return pattern.isNull() | ((F.col("tool") != "run_shell") & (value == "")) | F.coalesce(fits, F.lit(False))
 
 
 def decide(
@@ -74,10 +76,12 @@ def decide(
     if dangerous is None:
         dangerous = predicates.matches_any(F.col("value"))
 
+    # a missing value is named as such, so that a question always has a text
+    named = F.coalesce("value", F.lit(NO_VALUE))
     question = (
-        F.when(shell & dangerous, F.col("value"))
-        .when((F.col("tool") == "write_file") & missing, F.concat(F.lit(ASK_WRITE), "value"))
-        .when((F.col("tool") == "edit_file") & missing, F.concat(F.lit(ASK_EDIT), "value"))
+        F.when(shell & F.coalesce(dangerous, F.lit(False)), named)
+        .when((F.col("tool") == "write_file") & missing, F.concat(F.lit(ASK_WRITE), named))
+        .when((F.col("tool") == "edit_file") & missing, F.concat(F.lit(ASK_EDIT), named))
     )
     own_plan = F.lit(False) if plan_file is None else F.coalesce(F.col("value") == plan_file, F.lit(False))
     rows = rows.withColumn("_question", question)

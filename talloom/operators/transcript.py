@@ -23,9 +23,14 @@ SUMMARY_HEAD = "[Previous conversation summary]\n"
 # -- calls and results ----------------------------------------------------------
 
 
-def pair_calls(results: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Results with what their call brings; results of unknown calls stay."""
-    return results.join(calls, keys, "left")
+def pair_calls(results: DataFrame, calls: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Results with what their call brings; results of unknown calls stay.
+
+    Of calls that repeat a key the first counts, by `order` or else by their other columns, so that a result is never
+    multiplied. The calls are grouped by the key of the join, which costs no shuffle more.
+    """
+    rest = [c for c in calls.columns if c not in keys]
+    return results.join(first_calls(calls, keys, order or rest) if rest else calls.distinct(), keys, "left")
 
 
 def duplicate_calls(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,30 +74,35 @@ def budget_crossing(
     return first.select(key, *[F.col(f"_f.{n}").alias(n) for n in names])
 
 
-def tree_rollup(runs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Own input and output tokens plus those of all descendants.
+def tree_rollup(runs: DataFrame) -> DataFrame:
+    """Own input and output tokens plus those of all descendants, and whether the run is on or below a cycle of parents.
 
-    runs(run_id, parent_id, in_tok, out_tok). Each round moves sums one level
-    up, already added per parent, so no ancestor-descendant pairs arise. A
-    round ends in reliable storage; rounds stop when nothing moves.
+    runs(run_id, parent_id, in_tok, out_tok) with unique ids. A parent that is not a run ends the path. Pointers are
+    doubled: after round r every run holds the sums of its descendants less than 2**r levels down, and points at its
+    ancestor 2**r levels up, so rounds grow with the logarithm of the depth. A path longer than the number of runs never
+    ends: its runs keep only their own tokens and are marked `on_cycle`.
     """
-    tree = runs.select("run_id", "parent_id")
-    rising = reliable(runs.select("run_id", "in_tok", "out_tok"))
-    collected = [rising]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        up = (
-            rising.join(tree, "run_id")
-            .filter(F.col("parent_id").isNotNull())
-            .groupBy(F.col("parent_id").alias("run_id"))
-            .agg(F.sum("in_tok").alias("in_tok"), F.sum("out_tok").alias("out_tok"))
-        )
-        rising = reliable(up)
-        if rising.isEmpty():
+    known = runs.select(F.col("run_id").alias("parent_id"))
+    parents = runs.select("run_id", "parent_id").join(known, "parent_id", "left_semi")
+    base = runs.select("run_id", "in_tok", "out_tok").join(parents, "run_id", "left")
+    nodes = reliable(base.select("run_id", F.col("parent_id").alias("up"), "in_tok", "out_tok"))
+    limit = max(1, nodes.count()).bit_length()
+    for _ in range(limit):
+        if nodes.filter("up IS NOT NULL").isEmpty():
             break
-        collected.append(rising)
-        depth += 1
-    every = collected[0]
-    for part in collected[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("run_id").agg(F.sum("in_tok").alias("in_tok"), F.sum("out_tok").alias("out_tok"))
+        moved = nodes.filter("up IS NOT NULL").groupBy(F.col("up").alias("run_id")).agg(
+            F.sum("in_tok").alias("_in"), F.sum("out_tok").alias("_out")
+        )
+        further = nodes.select(F.col("run_id").alias("up"), F.col("up").alias("_up"))
+        nodes = reliable(
+            nodes.join(moved, "run_id", "left").join(further, "up", "left").select(
+                "run_id", F.col("_up").alias("up"), (F.col("in_tok") + F.coalesce("_in", F.lit(0))).alias("in_tok"),
+                (F.col("out_tok") + F.coalesce("_out", F.lit(0))).alias("out_tok"),
+            )
+        )
+    own = runs.select("run_id", F.col("in_tok").alias("_in"), F.col("out_tok").alias("_out"))
+    endless = F.col("up").isNotNull()
+    return nodes.join(own, "run_id").select(
+        "run_id", F.when(endless, F.col("_in")).otherwise(F.col("in_tok")).alias("in_tok"),
+        F.when(endless, F.col("_out")).otherwise(F.col("out_tok")).alias("out_tok"), endless.alias("on_cycle"),
+    )

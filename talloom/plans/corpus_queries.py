@@ -265,7 +265,7 @@ _OVERLAP = """WITH q AS (SELECT DISTINCT query_id, w FROM (SELECT {id} AS query_
 @query("recall_by_overlap", _OVERLAP.format(id="item_id", table="benchmark"))
 def _(t: Tables):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return corpus.recall_by_overlap(asked, t.spread("documents", "doc_id", "text"))
+    return corpus.recall_by_overlap(asked, t.documents.select("doc_id", "text"))
 
 
 @query(
@@ -295,7 +295,7 @@ _TREE = "SELECT doc_id, concat('/n/', doc_id) AS path, concat(CASE WHEN doc_id >
     FROM r WHERE target IS NULL OR depth = 5 OR list_contains(open, target) OR target NOT IN (SELECT path FROM f)""",
 )
 def _(t: Tables):
-    tree = t.spark.sql(_TREE.replace("FROM documents", "FROM {d}"), d=t.spread("documents", "doc_id", "source", "text"))
+    tree = t.spark.sql(_TREE.replace("FROM documents", "FROM {d}"), d=t.documents.select("doc_id", "source", "text"))
     lines = corpus.expand_includes(tree.select("path", "text"))
     place = F.array_join(F.transform("position", lambda n: F.lpad(n.cast("string"), 4, "0")), ".")
     return lines.select("root", place.alias("position"), "line")

@@ -279,7 +279,29 @@ def _(t: Tables):
         F.col("o_custkey").alias("in_tok"),
         F.floor("o_totalprice").cast("bigint").alias("out_tok"),
     )
-    return use.tree_rollup(runs)
+    return use.tree_rollup(runs).drop("on_cycle")
+
+
+_BROKEN = "CASE WHEN o_orderkey % 10 = 3 THEN -o_orderkey - 1 WHEN o_orderkey % 50 = 4 THEN o_orderkey + 1 WHEN o_orderkey % 50 = 5 THEN o_orderkey - 1 WHEN o_orderkey > 0 THEN CAST(floor(o_orderkey / 7) AS BIGINT) END"
+
+
+@query(
+    "tree_rollup_broken",
+    f"""WITH RECURSIVE r AS (SELECT o_orderkey AS run_id, {_BROKEN} AS p, o_custkey AS i, CAST(floor(o_totalprice) AS BIGINT) AS o FROM orders),
+    v AS (SELECT run_id, CASE WHEN p IN (SELECT run_id FROM r) THEN p END AS p, i, o FROM r),
+    c(node, anc) AS (SELECT run_id, p FROM v WHERE p IS NOT NULL UNION SELECT c.node, v.p FROM c JOIN v ON v.run_id = c.anc WHERE v.p IS NOT NULL),
+    loops AS (SELECT node FROM c WHERE node = anc), bad AS (SELECT node FROM c WHERE anc IN (SELECT node FROM loops) UNION SELECT node FROM loops),
+    below AS (SELECT c.anc, sum(v.i) AS i, sum(v.o) AS o FROM c JOIN v ON v.run_id = c.node GROUP BY 1)
+    SELECT v.run_id, CAST(v.i + CASE WHEN b.node IS NULL THEN coalesce(d.i, 0) ELSE 0 END AS BIGINT) AS in_tok,
+      CAST(v.o + CASE WHEN b.node IS NULL THEN coalesce(d.o, 0) ELSE 0 END AS BIGINT) AS out_tok, b.node IS NOT NULL AS on_cycle
+    FROM v LEFT JOIN bad b ON b.node = v.run_id LEFT JOIN below d ON d.anc = v.run_id""",
+)
+def _(t: Tables):
+    """Parents that are no runs, and cycles of two."""
+    return use.tree_rollup(t.orders.select(
+        F.col("o_orderkey").alias("run_id"), F.expr(_BROKEN).alias("parent_id"), F.col("o_custkey").alias("in_tok"),
+        F.floor("o_totalprice").cast("bigint").alias("out_tok"),
+    ))
 
 
 # -- tiers ------------------------------------------------------------------------
@@ -434,9 +456,9 @@ def _rules(t: Tables):
     return policy.parse_rules(literal_rows(t.spark, [{"effect": e, "rule": r} for e, r in _RULES], "effect string, rule string"))
 
 
-_VALUED = "SELECT seq, session, tool, CASE WHEN tool = 'run_shell' THEN command WHEN k <> 13 THEN path END AS value, k FROM calls"
-_RULED = f"""v AS ({_VALUED}), u AS (SELECT *, CASE WHEN (tool = 'run_shell' AND coalesce(starts_with(value, 'git push'), TRUE)) OR (tool = 'read_file' AND coalesce(value = 'dir/f7', TRUE)) OR (tool = 'edit_file' AND coalesce(starts_with(value, 'dir/f2'), TRUE)) OR (tool = 'grep_search' AND coalesce(value = 'dir/f99', TRUE)) THEN 'deny'
-  WHEN (tool = 'run_shell' AND starts_with(value, 'echo v')) OR (tool = 'write_file' AND coalesce(starts_with(value, 'dir/f1'), TRUE)) OR tool = 'edit_file' THEN 'allow' END AS rule FROM v)"""
+_VALUED = "SELECT seq, session, tool, CASE WHEN tool = 'run_shell' THEN CASE WHEN k <> 29 THEN command END WHEN k = 7 THEN '' WHEN k <> 13 THEN path END AS value, k FROM calls"
+_RULED = f"""v AS ({_VALUED}), w AS (SELECT *, coalesce(value, '') AS given FROM v), u AS (SELECT *, CASE WHEN (tool = 'run_shell' AND starts_with(given, 'git push')) OR (tool = 'read_file' AND given IN ('', 'dir/f7')) OR (tool = 'edit_file' AND (given = '' OR starts_with(given, 'dir/f2'))) OR (tool = 'grep_search' AND given IN ('', 'dir/f99')) THEN 'deny'
+  WHEN (tool = 'run_shell' AND starts_with(given, 'echo v')) OR (tool = 'write_file' AND (given = '' OR starts_with(given, 'dir/f1'))) OR tool = 'edit_file' THEN 'allow' END AS rule FROM w)"""
 
 
 def _valued(t: Tables):
@@ -451,7 +473,7 @@ def _(t: Tables):
 @query(
     "decide",
     ctes("calls", more=_RULED) + """, m(mode) AS (VALUES ('default'), ('plan'), ('acceptEdits'), ('bypassPermissions'), ('dontAsk')), x AS (SELECT DISTINCT path FROM calls WHERE tool = 'read_file' AND k < 60),
-    d AS (SELECT u.*, mode, CASE WHEN tool = 'run_shell' AND regexp_matches(value, '\\b(sudo|git\\s+push)\\b') THEN value WHEN tool = 'write_file' AND (value IS NULL OR value NOT IN (SELECT path FROM x)) THEN 'write new file: ' || value WHEN tool = 'edit_file' AND (value IS NULL OR value NOT IN (SELECT path FROM x)) THEN 'edit non-existent file: ' || value END AS q FROM u, m),
+    d AS (SELECT u.*, mode, CASE WHEN tool = 'run_shell' AND regexp_matches(value, '\\b(sudo|git\\s+push)\\b') THEN value WHEN tool = 'write_file' AND (value IS NULL OR value NOT IN (SELECT path FROM x)) THEN 'write new file: ' || coalesce(value, 'undefined') WHEN tool = 'edit_file' AND (value IS NULL OR value NOT IN (SELECT path FROM x)) THEN 'edit non-existent file: ' || coalesce(value, 'undefined') END AS q FROM u, m),
     a AS (SELECT *, CASE WHEN rule = 'deny' THEN 'deny rule' WHEN mode = 'plan' AND tool IN ('write_file', 'edit_file') AND value = 'dir/f5' THEN 'allow' WHEN mode = 'plan' AND tool IN ('write_file', 'edit_file') THEN 'deny plan' WHEN mode = 'plan' AND tool = 'run_shell' THEN 'deny shell'
       WHEN mode = 'bypassPermissions' OR rule = 'allow' OR tool IN ('read_file', 'grep_search') THEN 'allow' WHEN mode = 'acceptEdits' AND tool IN ('write_file', 'edit_file') THEN 'allow' WHEN q IS NULL THEN 'allow' WHEN mode = 'dontAsk' THEN 'deny auto' ELSE 'confirm' END AS how FROM d)
     SELECT seq, mode, split_part(how, ' ', 1) AS action, CASE how WHEN 'deny rule' THEN 'Denied by permission rule for ' || tool WHEN 'deny plan' THEN 'Blocked in plan mode: ' || tool WHEN 'deny shell' THEN 'Shell commands blocked in plan mode'

@@ -17,10 +17,9 @@ from talloom.sources import definitions, logs, sessions
 
 # -- session documents --------------------------------------------------------------
 
-# One document per conversation and thousand turns, so that a document stays
-# bounded however long a conversation is. Conversations that open with a system
+# One document per conversation, as a session file is. Conversations that open with a system
 # message use the shape with tool_calls, the others the shape with blocks.
-_DOC_ID = "concat(conv_id, '-', CAST(floor(turn / 1000) AS BIGINT))"
+_DOC_ID = "CAST(conv_id AS STRING)"
 
 
 def _documents(t: Tables):
@@ -238,7 +237,7 @@ def _count_lines(transcripts: list[str]) -> list[str]:
 @query(
     "summarise_with_function",
     """WITH s AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS x FROM conversations GROUP BY conv_id)
-    SELECT conv_id, CAST(0 AS BIGINT) AS part, len(string_split(x, chr(10))) || ' lines, ' || length(x) || ' characters' AS summary FROM s""",
+    SELECT conv_id, len(string_split(x, chr(10))) || ' lines, ' || length(x) || ' characters' AS summary FROM s""",
 )
 def _(t: Tables):
     return plugins.summarise_with(t.conversations, "conv_id", "turn", _count_lines)
@@ -265,7 +264,7 @@ def _(t: Tables):
     "apply_approvals",
     ctes("calls", more=_RULED) + """, x AS (SELECT DISTINCT path FROM calls WHERE tool = 'read_file'),
     d AS (SELECT seq, session, CASE WHEN rule = 'deny' THEN 'deny' WHEN rule = 'allow' OR tool IN ('read_file', 'grep_search') THEN 'allow'
-      WHEN (tool = 'run_shell' AND NOT starts_with(value, 'echo')) OR (tool IN ('write_file', 'edit_file') AND (value IS NULL OR value NOT IN (SELECT path FROM x)) AND value IS NOT NULL) THEN 'confirm' ELSE 'allow' END AS action FROM u)
+      WHEN (tool = 'run_shell' AND NOT starts_with(value, 'echo')) OR (tool IN ('write_file', 'edit_file') AND (value IS NULL OR value NOT IN (SELECT path FROM x))) THEN 'confirm' ELSE 'allow' END AS action FROM u)
     SELECT seq, action, CASE WHEN action <> 'confirm' THEN action WHEN session IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'allow' WHEN session IN (SELECT c_custkey FROM customer) THEN 'deny' ELSE 'confirm' END AS final FROM d""",
 )
 def _(t: Tables):
@@ -304,4 +303,4 @@ def _tasks(t: Tables):
 )
 def _(t: Tables):
     done = plugins.run_tasks(_tasks(t), _word_count_task)
-    return use.tree_rollup(done.select(F.col("task_id").alias("run_id"), "parent_id", "in_tok", "out_tok"))
+    return use.tree_rollup(done.select(F.col("task_id").alias("run_id"), "parent_id", "in_tok", "out_tok")).drop("on_cycle")

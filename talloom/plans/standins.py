@@ -65,7 +65,7 @@ def usage(t: Tables) -> DataFrame:
 
 
 def files(t: Tables) -> DataFrame:
-    return _select(t, "files", t.spread("documents", "doc_id", "source", "lang", "text"))
+    return _select(t, "files", t.documents.select("doc_id", "source", "lang", "text"))
 
 
 def notes(t: Tables) -> DataFrame:

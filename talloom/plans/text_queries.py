@@ -39,7 +39,7 @@ def _head_tail(x: str, limit: str, reserve: int, a: str, b: str) -> str:
 
 @query("html_to_text", f"SELECT page_id, {_html('html')} AS text FROM pages")
 def _(t: Tables):
-    return t.spread("pages", "page_id", "html").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", "html").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -49,7 +49,7 @@ def _(t: Tables):
       WHEN x = '' THEN '(empty response)' ELSE x END AS text FROM p""",
 )
 def _(t: Tables):
-    return t.spread("pages", "page_id", "html").select("page_id", text.truncate_chars(text.html_to_text(F.col("html")), 900).alias("text"))
+    return t.pages.select("page_id", "html").select("page_id", text.truncate_chars(text.html_to_text(F.col("html")), 900).alias("text"))
 
 
 @query(
@@ -73,7 +73,7 @@ def _(t: Tables):
     f"SELECT doc_id, {_head_tail('text', '2000', 60, '[... truncated ', ' chars ...]')} AS text FROM documents",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.head_tail(F.col("text"), 2000, 60).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.head_tail(F.col("text"), 2000, 60).alias("text"))
 
 
 _QUOTED = "replace(replace(replace(text, ' th', ' ‘th'), ', ', '”, '), '. ', '″. ')"
@@ -84,7 +84,7 @@ _QUOTED = "replace(replace(replace(text, ' th', ' ‘th'), ', ', '”, '), '. ',
     f"""SELECT doc_id, translate({_QUOTED}, '‘’′“”″', '''''''""' || '"') AS text FROM documents""",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.normalize_quotes(F.expr(_QUOTED)).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.normalize_quotes(F.expr(_QUOTED)).alias("text"))
 
 
 @query(
@@ -94,7 +94,7 @@ def _(t: Tables):
     SELECT doc_id, CASE WHEN contains(text, needle) THEN needle WHEN pos > 0 THEN substr(text, pos, length(needle)) END AS found FROM n""",
 )
 def _(t: Tables):
-    rows = t.spread("documents", "doc_id", "text", "lang").select("doc_id", F.expr(_QUOTED).alias("text"), F.expr("CASE WHEN lang = 'en' THEN 'e\" ' ELSE ' \\'the' END").alias("needle"))
+    rows = t.documents.select("doc_id", "text", "lang").select("doc_id", F.expr(_QUOTED).alias("text"), F.expr("CASE WHEN lang = 'en' THEN 'e\" ' ELSE ' \\'the' END").alias("needle"))
     return rows.select("doc_id", text.find_actual(F.col("text"), F.col("needle")).alias("found"))
 
 
@@ -255,7 +255,7 @@ def _(t: Tables):
 
 @query("trim_ws", f"SELECT doc_id, {_trim('text')} AS text FROM documents")
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.trim_ws(F.concat(F.lit("\t\n "), "text", F.lit(" \n\f"))).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.trim_ws(F.concat(F.lit("\t\n "), "text", F.lit(" \n\f"))).alias("text"))
 
 
 @query(
@@ -292,7 +292,7 @@ def _(t: Tables):
       ELSE text END AS text FROM documents""",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.preview_lines(F.col("text"), 3).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.preview_lines(F.col("text"), 3).alias("text"))
 
 
 @query(
@@ -301,7 +301,7 @@ def _(t: Tables):
     SELECT doc_id, CASE WHEN strlen(x) > 2500 THEN left(x, 2500) || chr(10) || chr(10) || '[... truncated, index too large ...]' ELSE x END AS text FROM l""",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.cap_index(F.col("text"), 5, 2500).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.cap_index(F.col("text"), 5, 2500).alias("text"))
 
 
 @query(
@@ -321,7 +321,7 @@ def _(t: Tables):
     "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.count_occurrences(F.col("text"), F.lit("the")).alias("n"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.count_occurrences(F.col("text"), F.lit("the")).alias("n"))
 
 
 @query(
@@ -329,7 +329,7 @@ def _(t: Tables):
     """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (CASE WHEN i > 9999 THEN CAST(i AS VARCHAR) ELSE lpad(CAST(i AS VARCHAR), 4, ' ') END) || ' | ' || x), chr(10)) AS text FROM documents""",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.numbered(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.numbered(F.col("text")).alias("text"))
 
 
 _ASKED = "CASE lang WHEN 'de' THEN '漢字' WHEN 'fr' THEN replace(replace(text, ' ', ''), chr(10), '') WHEN 'es' THEN ' あ ' ELSE text END"
@@ -341,7 +341,7 @@ _ASKED = "CASE lang WHEN 'de' THEN '漢字' WHEN 'fr' THEN replace(replace(text,
     SELECT doc_id, len(regexp_extract_all(x, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]')) >= 2 OR regexp_matches(x, '\\s') AS substantial FROM a""",
 )
 def _(t: Tables):
-    return t.spread("documents", "doc_id", "text", "lang").select("doc_id", text.is_substantial(F.expr(_ASKED)).alias("substantial"))
+    return t.documents.select("doc_id", "text", "lang").select("doc_id", text.is_substantial(F.expr(_ASKED)).alias("substantial"))
 
 
 @query("only_http", "SELECT page_id, url, regexp_matches(url, '^(?i)https?://') AS ok FROM pages")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from talloom.functions.text import first_json_object
 from talloom.operators.corpus import first_per_group
 from talloom.operators.ordered import concat_parts
+from talloom.session import reliable
 
 TextFunction = Callable[[list[str]], list[str]]
 
@@ -36,23 +37,46 @@ def select_with(
 ) -> DataFrame:
     """Candidates a selector names, at most n per key in candidate order.
 
-    The selector sees the lines of a key joined, in parts of bounded size, and
-    answers with a JSON object that lists file names; other answers select none.
+    The selector sees the lines of a key joined and answers with a JSON object that lists file names; other answers
+    select none. Lines beyond part_bytes are asked in parts, and what the parts name is asked again until one answer
+    covers the key, so a key of any size has one selection.
     """
-    manifest = concat_parts(candidates, keys, order, F.col(line), "\n", part_bytes, "manifest").drop("items")
-    answered = apply_text_function(manifest, "manifest", fn, "answer")
-    names = F.try_variant_get(first_json_object(F.col("answer")), f"$.{field}", "array<string>")
-    named = answered.select(*keys, F.explode(names).alias(file)).distinct()
-    return first_per_group(candidates.join(named, [*keys, file], "left_semi"), keys, order, n)
+    left = candidates
+    while True:
+        manifest = concat_parts(left, keys, order, F.col(line), "\n", part_bytes, "manifest").drop("items")
+        answered = apply_text_function(manifest, "manifest", fn, "answer")
+        names = F.try_variant_get(first_json_object(F.col("answer")), f"$.{field}", "array<string>")
+        named = reliable(answered.select(*keys, "part", F.explode(names).alias(file)).distinct(), "named")
+        split = named.filter("part > 0").select(*keys).distinct()
+        kept = candidates.join(named.drop("part").distinct(), [*keys, file], "left_semi")
+        if split.isEmpty():
+            return first_per_group(kept, keys, order, n)
+        fewer = reliable(kept, "candidates")
+        if fewer.count() >= left.count():
+            raise ValueError("the selector names all it is shown; its answers never fit one part")
+        left = fewer
 
 
 def summarise_with(
     messages: DataFrame, key: str, order: str, fn: TextFunction, part_bytes: int = 1 << 20
 ) -> DataFrame:
-    """A summary per session part; a session up to part_bytes has one part."""
+    """One summary per session. A session beyond part_bytes is summarised in parts, and the summaries again."""
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     parts = concat_parts(messages, [key], [order], line, "\n", part_bytes, "transcript").drop("items")
-    return apply_text_function(parts, "transcript", fn, "summary").drop("transcript")
+    done = apply_text_function(parts, "transcript", fn, "summary").select(key, "part", "summary")
+    before = None
+    while True:
+        done = reliable(done, "summaries")
+        rows = done.count()
+        if done.filter("part > 0").isEmpty():
+            return done.drop("part")
+        if before is not None and rows >= before:
+            raise ValueError("summaries do not get shorter, so they never fit one part")
+        before = rows
+        joined = concat_parts(done, [key], ["part"], F.col("summary"), "\n", part_bytes, "transcript")
+        again = apply_text_function(joined.filter("items > 1").drop("items"), "transcript", fn, "summary")
+        alone = joined.filter("items = 1").withColumn("summary", F.col("transcript"))
+        done = again.select(key, "part", "summary").unionByName(alone.select(key, "part", "summary"))
 
 
 def register_tool(spark: SparkSession, name: str, handler: type, returns: str) -> None:

@@ -106,20 +106,6 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input to every core.
-
-    A small table often is one row group, which only one task can read; work
-    that is heavy per row then gains from a shuffle of these few bytes. A large
-    input has many splits already and is left as it is.
-    """
-    limit = int(df.sparkSession.conf.get(BROADCAST_BYTES_KEY, str(DEFAULT_BROADCAST_BYTES)))
-    size = input_bytes(df)
-    if size is None or size > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def small_side(df: DataFrame) -> DataFrame:
     """Broadcast a join side only if its inputs are proven small.
 

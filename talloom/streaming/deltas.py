@@ -77,23 +77,28 @@ def block_events(rows: DataFrame) -> DataFrame:
 def assemble_blocks(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Batch form: blocks (stream_id, block, part) with text or parsed input.
 
-    A block beyond part_bytes comes in parts. The input of a call is parsed when
-    it is whole; in parts it stays as text.
+    A block counts as complete when its start, its stop and every row between them are there; repeated rows count
+    once. A long text comes in parts. The input of a call is one JSON value, so it always stays whole and is parsed.
     """
     # The start row comes first in a block, so its fields reach every row; one
     # exchange on (stream, block) serves the running values and the parts.
     size = F.coalesce(F.octet_length("fragment"), F.lit(0)).cast("bigint")
-    rows = Ordered(events, ["stream_id", "block"], ["seq"]).with_running(
+    at = F.col("event")
+    rows = Ordered(events.dropDuplicates(["stream_id", "block", "seq"]), ["stream_id", "block"], ["seq"]).with_running(
         _before=running_sum(size, inclusive=False),
         _type=last_upto(F.col("type")), _call_id=last_upto(F.col("call_id")), _tool=last_upto(F.col("tool")),
-    ).with_total(_stops=F.when(F.col("event") == "content_block_stop", 1), _size=size)
-    delta = F.when(F.col("event") == "content_block_delta", F.struct("seq", "fragment"))
+    ).with_total(
+        _stops=F.when(at == "content_block_stop", 1), _starts=F.when(at == "content_block_start", 1), _rows=F.lit(1),
+        _span=F.when(at == "content_block_stop", F.col("seq")).when(at == "content_block_start", -F.col("seq")),
+    )
+    delta = F.when(at == "content_block_delta", F.struct("seq", "fragment"))
     # A part exists for its fragments; a block without any still has part 0.
-    parts = rows.frame().withColumn("part", F.floor(F.col("_before") / part_bytes).cast("bigint"))
+    part = F.when(F.col("_type") == "tool_use", F.lit(0)).otherwise(F.floor(F.col("_before") / part_bytes))
+    parts = rows.frame().withColumn("part", part.cast("bigint"))
+    complete = (F.max("_stops") == 1) & (F.max("_starts") == 1) & (F.max("_rows") == F.max("_span") + 1)
     joined = parts.groupBy("stream_id", "block", "part").agg(
         F.max("_type").alias("type"), F.max("_call_id").alias("call_id"), F.max("_tool").alias("tool"),
-        (F.max("_stops") > 0).alias("complete"), (F.max("_size") <= part_bytes).alias("whole"),
-        F.array_sort(F.collect_list(delta)).alias("_deltas"),
+        F.coalesce(complete, F.lit(False)).alias("complete"), F.array_sort(F.collect_list(delta)).alias("_deltas"),
     ).filter((F.col("part") == 0) | (F.size("_deltas") > 0))
     text = F.array_join(F.transform("_deltas", lambda d: d["fragment"]), "")
     return _finished(joined.withColumn("text", text))
@@ -101,7 +106,7 @@ def assemble_blocks(events: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
 
 def _finished(blocks: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
-    call = (F.col("type") == "tool_use") & F.col("whole")
+    call = F.col("type") == "tool_use"
     return blocks.filter("complete AND type <> 'thinking'").select(
         "stream_id", "block", "part", "type", "call_id", "tool",
         F.when(~call, body).alias("text"), F.when(call, parsed_or_empty(body)).alias("input"),
@@ -118,17 +123,17 @@ def complete_blocks_stream(events: DataFrame, delay: str = "10 minutes") -> Data
     row = F.struct("seq", "fragment")
     at = F.col("event")
     blocks = events.withWatermark("started", delay).groupBy("started", "stream_id", "block").agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.size(F.collect_set("seq")).alias("rows"),
         F.max(F.when(at == "content_block_start", F.col("seq"))).alias("start_seq"),
         F.max(F.when(at == "content_block_stop", F.col("seq"))).alias("stop_seq"),
         F.max("type").alias("type"), F.max("call_id").alias("call_id"), F.max("tool").alias("tool"),
-        F.collect_list(F.when(at == "content_block_delta", row)).alias("deltas"),
+        F.collect_set(F.when(at == "content_block_delta", row)).alias("deltas"),
     )
     whole = blocks.filter(F.col("rows") == F.col("stop_seq") - F.col("start_seq") + 1)
     text = F.array_join(F.transform(F.array_sort("deltas"), lambda d: d["fragment"]), "")
     return whole.select(
         "stream_id", "block", F.lit(0).cast("bigint").alias("part"), "type", "call_id", "tool", text.alias("text"),
-        F.lit(True).alias("complete"), F.lit(True).alias("whole"), "stop_seq",
+        F.lit(True).alias("complete"), "stop_seq",
     )
 
 
@@ -168,7 +173,7 @@ def assemble_chunks(events: DataFrame, part_bytes: int = PART_BYTES) -> tuple[Da
     """Messages (stream_id, part, text, finish, tokens) and calls (stream_id, index, id, tool, part, input).
 
     finish and usage are the last ones sent, with `stop` and 0 when none came.
-    An input beyond part_bytes stays as text, in parts.
+    A long text comes in parts; an input is one JSON value and stays whole.
     """
     ends = events.groupBy("stream_id").agg(
         F.max_by("finish", F.when(F.col("finish") != "", F.col("seq"))).alias("finish"),
@@ -183,14 +188,12 @@ def assemble_chunks(events: DataFrame, part_bytes: int = PART_BYTES) -> tuple[Da
     pieces = events.select("stream_id", "seq", F.inline("calls"))
     heads = pieces.groupBy("stream_id", "index").agg(
         F.min_by(F.struct("id", "name"), F.col("seq")).alias("h"),
-        F.sum(F.coalesce(F.octet_length("arguments"), F.lit(0))).alias("size"),
+        F.array_sort(F.collect_list(F.struct("seq", F.coalesce("arguments", F.lit("")).alias("piece")))).alias("pieces"),
     )
-    bodies = concat_parts(
-        pieces, ["stream_id", "index"], ["seq"], F.coalesce("arguments", F.lit("")), "", part_bytes
-    ).drop("items")
-    calls = heads.join(bodies, ["stream_id", "index"], "left").select(
+    body = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
+    calls = heads.select(
         "stream_id", "index", F.coalesce("h.id", F.lit("")).alias("id"), F.coalesce("h.name", F.lit("")).alias("tool"),
-        "part", F.when(F.col("size") <= part_bytes, parsed_or_empty(F.col("text"))).otherwise(F.col("text")).alias("input"),
+        F.lit(0).cast("bigint").alias("part"), parsed_or_empty(body).alias("input"),
     )
     return messages, calls
 
@@ -202,8 +205,8 @@ def assemble_chunks_stream(events: DataFrame, delay: str = "10 minutes") -> Data
     """
     row = F.struct("seq", "content", "calls", "finish", "prompt_tokens", "completion_tokens")
     replies = events.withWatermark("started", delay).groupBy("started", "stream_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("done"), F.col("seq"))).alias("done_seq"),
-        F.array_sort(F.collect_list(F.when(~F.col("done"), row))).alias("r"),
+        F.size(F.collect_set("seq")).alias("rows"), F.max(F.when(F.col("done"), F.col("seq"))).alias("done_seq"),
+        F.array_sort(F.collect_set(F.when(~F.col("done"), row))).alias("r"),
     )
     whole = replies.filter(F.col("rows") == F.col("done_seq") + 1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talloom.session import configure, scratch_path
 
 # State that outlives one process and the processors' list state need RocksDB.
+STATE_PARTITIONS_KEY = "spark.talloom.statePartitions"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,11 +31,10 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 @contextmanager
 def _state_partitions(spark: SparkSession):
-    """A stream keeps the partition count it starts with; on one machine the cores are enough."""
+    """A stream keeps the partition count it starts with; a setting may give it one of its own."""
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(key, spark.conf.get(STATE_PARTITIONS_KEY, before))
     try:
         yield
     finally:

@@ -113,7 +113,7 @@ def test_wide_line_numbers(spark):
 @pytest.mark.parametrize("pattern", ["*.py", "a?c", "[x].py", "a.b*", "*"])
 def test_name_patterns(pattern):
     for name in ["a.py", "abc", "x.py", "[x].py", "a.bc", "axb", ""]:
-        want = fnmatch.fnmatchcase(name, pattern.replace("[", "[[]"))
+        want = fnmatch.fnmatchcase(name, pattern)
         assert bool(re.match(predicates.name_regex(pattern).replace(r"\z", r"\Z"), name)) == want
 
 
@@ -185,6 +185,33 @@ def test_recall_equals_brute_force(spark):
         want |= {(q, i, -s) for s, i in scored[:3]}
     queries = spark.createDataFrame(asked, "query_id bigint, text string")
     rows = spark.createDataFrame(docs, "doc_id bigint, text string")
-    for size in (512, 7):
-        got = corpus.recall_by_overlap(queries, rows, slice_queries=size)
-        assert {(r["query_id"], r["doc_id"], r["score"]) for r in got.collect()} == want
+    got = corpus.recall_by_overlap(queries, rows)
+    assert {(r["query_id"], r["doc_id"], r["score"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("pattern", ["^$", r"^\s*$", "b", "^b", "c$", "x*", r"\bb", "(?i)B", "b+"])
+def test_grep_equals_a_line_loop(spark, pattern):
+    texts = {"/a": "abc\n", "/b": "", "/c": "x\n\nb c\n \n", "/d": "B", "/e": "\n"}
+    rows = spark.createDataFrame(list(texts.items()), "path string, text string")
+    want = {(p, n, x) for p, t in texts.items() for n, x in enumerate(t.split("\n"), 1) if re.search(pattern, x)}
+    assert {tuple(r) for r in corpus.grep(rows, pattern).collect()} == want
+
+
+@pytest.mark.parametrize("glob, want", [
+    ("*.{ts,tsx}", {"a.ts", "b.tsx"}), ("[ab].*", {"a.ts", "b.tsx"}), ("[!a].t*", {"b.tsx", "c.txt"}), ("**/{x,y/z}.py", {"x.py", "d/x.py", "d/y/z.py"}),
+    ("{solo}", {"{solo}"}), ("d/[x-z]*", {"d/x.py"}),
+])
+def test_globs(spark, glob, want):
+    paths = ["a.ts", "b.tsx", "c.txt", "x.py", "d/x.py", "d/y/z.py", "{solo}"]
+    rows = spark.createDataFrame([(p, "") for p in paths], "path string, text string")
+    assert {r[0] for r in corpus.list_paths(rows, glob).collect()} == want
+
+
+def test_base_folder_and_parent_includes(spark):
+    rows = spark.createDataFrame(
+        [("/p/q/main", "@./../shared\n@/p//q/./leaf"), ("/p/shared", "S"), ("/p/q/leaf", "L"), ("/pq/leaf", "M")], "path string, text string"
+    )
+    assert {r[0] for r in corpus.list_paths(rows, "**/leaf", base="/p").collect()} == {"/p/q/leaf"}
+    assert {r["path"] for r in corpus.grep(rows, "[LM]", base="/p/").collect()} == {"/p/q/leaf"}
+    lines = corpus.expand_includes(rows).filter("root = '/p/q/main'").orderBy("position").collect()
+    assert [r["line"] for r in lines] == ["S", "L"]

@@ -39,11 +39,22 @@ def test_long_blocks_come_in_parts(spark):
     rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
     raw = spark.createDataFrame(rows, "stream_id string, started string, seq bigint, line string")
     parts = deltas.assemble_blocks(deltas.block_events(deltas.data_lines(raw)), part_bytes=2).orderBy("part").collect()
-    assert [(r["text"], r["input"]) for r in parts if r["block"] == 1] == [('{"a": ', None), ("1}", None)]
+    assert [(r["text"], r["input"]) for r in parts if r["block"] == 1] == [(None, '{"a":1}')]
     got = [r for r in parts if r["block"] == 0]
     assert [(r["part"], r["type"], r["text"]) for r in got] == [(0, "text", "He"), (1, "text", "llo\n")]
 
 
+def test_lost_fragments_never_make_a_whole_block(spark, tmp_path):
+    rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
+    at = next(i for i, e in enumerate(CALL) if e["type"] == "content_block_delta")
+    broken = rows[:at] + rows[at + 1 :] + [rows[at - 1]]  # one lost, one repeated
+    schema = "stream_id string, started string, seq bigint, line string"
+    for given, whole in ((rows + rows[at : at + 1], True), (broken, False)):
+        events = deltas.block_events(deltas.data_lines(spark.createDataFrame(given, schema)))
+        found = {r["block"]: r["text"] for r in deltas.assemble_blocks(events).collect()}
+        assert (0 in found) == whole and (not whole or found[0] == "Hello\n")
+
+
 def test_captured_chunks(spark, tmp_path):
     def chunk(**delta):
         return {"choices": [{"delta": delta}]}
