@@ -99,7 +99,43 @@ def mix_domain():
     return F.when(F.col("source") == "src0", "crawl").otherwise("curated")
 
 
-@_query("op7_hierarchical_mix")
+def _level(depth: int, weight: str, given: str) -> str:
+    """Two CTEs that share the budget of one tree level: nodes, and nodes with `budget`."""
+    path, up = ("domain", "lang", "source")[:depth], ("domain", "lang", "source")[: depth - 1]
+    names = ", ".join(path)
+    family = f"PARTITION BY {', '.join(up)}" if up else ""
+    join = f"JOIN b{depth - 1} USING ({', '.join(up)})" if up else ", goal"
+    return f"""
+n{depth} AS (
+  SELECT {names}, CAST(4 * sum(leaf.tokens) AS BIGINT) AS cap, CAST(sum(leaf.tokens) AS BIGINT) AS tokens, any_value(CAST({weight} AS DOUBLE)) AS w,
+         any_value({given}) AS given FROM leaf {join} GROUP BY {names}),
+s{depth} AS (
+  SELECT *, cap / w AS ratio, CAST(coalesce(sum(cap) OVER b, 0) AS BIGINT) AS used,
+         sum(w) OVER ({family}) - coalesce(sum(w) OVER b, 0) AS room
+  FROM n{depth} WINDOW b AS ({family} ORDER BY cap / w, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l{depth} AS (
+  SELECT *, max(CASE WHEN ratio * room + used > given THEN (given - used) / room END) OVER ({family}) AS level FROM s{depth}),
+b{depth} AS (SELECT {names}, tokens, least(cap, CAST(floor(coalesce(level * w, cap)) AS BIGINT)) AS budget FROM l{depth})"""
+
+
+@_query("op7_hierarchical_mix", r"""
+WITH d AS (
+  SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, md5(coalesce(text, '')) AS h FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+goal AS (SELECT CAST(trunc(CAST(0.8 AS DOUBLE) * sum(tokens)) AS BIGINT) AS goal FROM leaf),"""
++ _level(1, "CASE domain WHEN 'crawl' THEN 2 ELSE 3 END", "goal.goal") + ","
++ _level(2, "CASE lang WHEN 'en' THEN 3 ELSE 1 END", "b1.budget") + ","
++ _level(3, "1", "b2.budget") + """,
+share AS (SELECT *, CAST(floor(budget / tokens) AS BIGINT) AS whole FROM b3 WHERE tokens > 0),
+k AS (
+  SELECT doc_id, d.lang, d.source, domain, n, whole, budget - whole * tokens AS rest,
+         CAST('0x' || substr(md5(concat_ws(':', '17', whole, doc_id, h)), 1, 15) AS BIGINT) AS key
+  FROM d JOIN share USING (domain, lang, source)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM k),
+copies AS (SELECT doc_id, lang, source, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM c)
+SELECT doc_id, lang, source, CAST(unnest(range(copies)) AS INTEGER) AS epoch FROM copies
+""")
 def op7_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"), 0.8, 4, MIX_WEIGHTS, mix_domain())
     return mixed.select("doc_id", "lang", "source", "epoch")
