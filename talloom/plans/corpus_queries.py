@@ -201,6 +201,18 @@ def _(t: Tables):
     return _listed(t).select("doc_id", "file", "name", "description", "type", "body")
 
 
+@query(
+    "write_note_table",
+    ctes("notes") + """SELECT doc_id, 'Note ' || doc_id AS name, lang || ': from ' || source AS description, CASE WHEN kind = 'other' THEN 'project' ELSE kind END AS type,
+      regexp_replace(plain, '^\\s+|\\s+\\z', '', 'g') AS body FROM notes WHERE lang <> 'es' AND source <> 'src3'""",
+)
+def _(t: Tables):
+    """Notes rendered, written as a table by type, read again and parsed."""
+    path = scratch_path(t.spark, "notes")
+    note_source.write_note_table(_listed(t).select("doc_id", "name", "description", "type", "body"), path)
+    return note_source.list_notes(t.spark.read.parquet(path).drop("type")).select("doc_id", "name", "description", "type", "body")
+
+
 @query(
     "scan_headers",
     ctes("notes") + """SELECT doc_id, CASE WHEN lang <> 'es' AND source <> 'src3' THEN lang || ': from ' || source END AS description,

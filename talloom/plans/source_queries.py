@@ -12,6 +12,7 @@ from talloom.operators import usage as use
 from talloom.plans.registry import Tables, query
 from talloom.plans.session_queries import _RULED, _rules, _valued
 from talloom.plans.standins import calls, ctes, files
+from talloom.plans.text_queries import _html
 from talloom.session import scratch_path
 from talloom.sources import definitions, logs, sessions
 
@@ -175,9 +176,16 @@ def _(t: Tables):
     return logs.result_texts(logs.read_event_log(t.spark, _served_log(t), "keep"))
 
 
-@query("read_pages", "SELECT page_id, url, TRUE AS ok, length(html) > 0 AS has_text FROM pages")
+@query(
+    "read_pages",
+    f"""WITH p AS (SELECT page_id, page_id % 10 <> 3 AS http, url, {_html('html')} AS x FROM pages)
+    SELECT page_id, CASE WHEN http THEN url ELSE 'ftp' || substr(url, 5) END AS url, http AS ok,
+      CASE WHEN length(x) > 5000 THEN left(x, 5000) || chr(10) || chr(10) || '[... truncated at 5000 characters]' WHEN x = '' THEN '(empty response)' ELSE x END AS text FROM p""",
+)
 def _(t: Tables):
-    return logs.read_pages(t.pages).select("page_id", "url", "ok", (F.length("text") > 0).alias("has_text"))
+    """Pages with readable text; every tenth one has an address of another kind."""
+    url = F.when(F.col("page_id") % 10 == 3, F.concat(F.lit("ftp"), F.substr("url", F.lit(5)))).otherwise(F.col("url"))
+    return logs.read_pages(t.pages.withColumn("url", url), 5000).select("page_id", "url", "ok", "text")
 
 
 # -- definitions ------------------------------------------------------------------------
