@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talloom.llm.bpe import REMEMBERED, default_path, no_cycle_search, words_of
+from talloom.llm.bpe import default_path, no_cycle_search, words_of
 from talloom.llm.common import prepared, stored
 from talloom.session import scratch_path
 
@@ -37,6 +37,8 @@ HEADER_BYTES = struct.calcsize(HEADER)
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 BLOCKS_PER_FILE = 64
+#: Words in the encoder's table before those not in use are dropped; it only saves time.
+REMEMBERED = 800_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -120,7 +122,7 @@ class WordEncoder:
         split = [words_of(text) if isinstance(text, str) else [] for text in texts]
         new: set[bytes] = set()
         new.update(*split)
-        if len(self.known) + len(new) > 2 * REMEMBERED:  # full: what is in use stays
+        if len(self.known) + len(new) > REMEMBERED:  # full: what is in use stays
             self.known = {w: self.known[w] for w in new if w in self.known}
         new.difference_update(self.known)
         self._learn(new)

@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from talloom.llm.common import prepared
 
 #: Entries of the tables of remembered words and pieces; they only save time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Characters of text whose words are encoded together.
+TOGETHER = 1 << 20
 #: Longer fragments are merged with a heap, whose cost grows with n log n.
 SHORT = 128
 _NONE = 1 << 62
@@ -99,6 +101,7 @@ class ForcedBoundaryBPE:
         # pairs of base symbols that stand together inside some token; between any others a boundary is forced
         self.inside = {vocab[a] << 32 | vocab[b] for token in vocab for s in [self._split(token)] for a, b in zip(s, s[1:])}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.tail = {s: s + self.suffix for s in self.symbols}
         self.bytes_of = {i: (struct.pack("<I", i), (t + " ").encode("utf-8")) for i, t in self.names.items()}
 
@@ -183,20 +186,26 @@ class ForcedBoundaryBPE:
         return b"".join([i for i, _ in made]), b"".join([n for _, n in made])
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Of every text the ids as little-endian 32-bit numbers, and the decoded text in UTF-8.
-
-        The distinct words of all these texts are encoded first.
-        """
-        split = [words_of(text) if isinstance(text, str) else [] for text in texts]
-        new: set[bytes] = set()
-        new.update(*split)
-        if len(self.words) + len(new) > 2 * REMEMBERED:  # full: what is in use stays
-            self.words = {w: self.words[w] for w in new if w in self.words}
-        words = self.words
-        for word in new.difference(words):
-            words[word] = self._word(word)
+        """Of every text the ids as little-endian 32-bit numbers, and the decoded text in UTF-8."""
+        waiting: list[list[bytes]] = []
+        held = 0
+        for text in texts:
+            waiting.append(words_of(text) if isinstance(text, str) else [])
+            held += len(text) if isinstance(text, str) else 0
+            if held >= TOGETHER:
+                yield from self._encode_words(waiting)
+                waiting, held = [], 0
+        yield from self._encode_words(waiting)
+
+    def _encode_words(self, texts: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        """Distinct words first. A full table becomes the older one, from which words in use come back."""
+        if len(self.words) > REMEMBERED:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older.get
+        for word in set().union(*texts).difference(words):
+            words[word] = older(word) or self._word(word)
         known = words.__getitem__
-        for text in split:
+        for text in texts:
             made = list(map(known, text))
             yield b"".join([ids for ids, _ in made]), b"".join([names for _, names in made])[:-1]
 
