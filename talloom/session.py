@@ -72,6 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder, once its results are no longer read."""
+    jvm = spark._jvm
+    own = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/talloom-{spark.sparkContext.applicationId}")
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def reliable(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage with a table in the shared folder, which outlives executors.
 
