@@ -24,6 +24,31 @@ def correlate(requests: DataFrame, responses: DataFrame, keys: list[str], within
     return joined.withColumn("status", status)
 
 
+def correlate_with_exits(
+    requests: DataFrame, responses: DataFrame, exits: DataFrame, keys: list[str], server: str, sent: str, exited: str,
+    within: Column, failed: Column,
+) -> DataFrame:
+    """Like correlate; a request that got no response in time fails with its server's first exit after it was sent.
+
+    exits(server, exited) may list many exits of a server. They meet the unanswered requests only, and the smallest
+    one is kept before anything moves.
+    """
+    paired = correlate(requests, responses, keys, within, failed)
+    open_ = paired.filter("status = 'timeout'").select(*keys, server, sent)
+    gone = exits.select(F.col(server).alias("_server"), F.col(exited).alias("_exit"))
+    ended = open_.join(gone, (F.col(server) == F.col("_server")) & (F.col("_exit") >= F.col(sent)))
+    first = ended.groupBy(*keys).agg(F.min("_exit").alias("exit_at"))
+    joined = paired.join(first, keys, "left")
+    lost = (F.col("status") == "timeout") & F.col("exit_at").isNotNull()
+    return joined.withColumn("status", F.when(lost, "server exited").otherwise(F.col("status")))
+
+
+def absent_report(present: DataFrame, forbidden: DataFrame, key: str) -> DataFrame:
+    """For each key that must not exist whether it does."""
+    known = present.select(key).distinct().withColumn("exists", F.lit(True))
+    return forbidden.select(key).distinct().join(known, key, "left").select(key, F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Rows of two runs side by side: same, differs, only_a or only_b."""
     left = a.select(*keys, F.struct(*fields).alias("_a"))

@@ -97,6 +97,21 @@ def tool_sequence(calls: DataFrame, keys: list[str], order: list[str], part_byte
     return concat_parts(calls, keys, order, F.col("tool"), ",", part_bytes, name="tools")
 
 
+def compare_sequences(calls: DataFrame, expected: DataFrame, key: str, order: str, tool: str = "tool") -> DataFrame:
+    """Per session whether its tools in order are the expected ones, and the first place that differs.
+
+    expected(key, place, tool) counts places from 1. Places are compared row by row, so no sequence is collected.
+    """
+    rows = Ordered(calls.select(key, order, tool), [key], [order]).with_running(place=running_count()).frame()
+    got = rows.select(key, "place", F.col(tool).alias("_got"))
+    want = expected.select(key, F.col("place").cast("bigint").alias("place"), F.col(tool).alias("_want"))
+    both = got.join(want, [key, "place"], "full")
+    differs = ~F.col("_got").eqNullSafe(F.col("_want"))
+    return both.groupBy(key).agg(F.min(F.when(differs, F.col("place"))).alias("first_difference")).withColumn(
+        "matches", F.col("first_difference").isNull()
+    )
+
+
 def compact(
     messages: DataFrame, key: str, order: str, keep: int = 1, minimum: int = 4,
     sums: dict[str, Column] | None = None, render: Column | None = None, chunk_rows: int | None = None,
@@ -263,6 +278,16 @@ def stale_writes(
 def mark_last_block(
     blocks: DataFrame, keys: list[str], order: list[str], unstable: Column, chunk_rows: int | None = None
 ) -> DataFrame:
-    """Flag the last block of each session unless it is of an unstable kind."""
+    """Flag the last block of each session unless it is of an unstable kind. See mark_static for the fixed part."""
     rows = Ordered(blocks, keys, order, chunk_rows).with_running(_rn=running_count()).with_total(_n=F.lit(1).cast("bigint"))
     return rows.frame().withColumn("mark", (F.col("_rn") == F.col("_n")) & ~unstable).drop("_rn", "_n")
+
+
+def mark_static(parts: DataFrame, static: Column, order: str, key: str) -> DataFrame:
+    """Flag where the fixed part of a prompt ends: its last block, before the first that changes; empty blocks go."""
+    kept = parts.filter(F.trim("text") != "")
+    rows = Ordered(kept.withColumn("_moving", (~static).cast("bigint")), [key], [order]).with_running(
+        _seen=running_sum(F.col("_moving")), _rn=running_count()
+    ).frame().withColumn("_fixed", F.when(F.col("_seen") == 0, F.col("_rn")))
+    last = Ordered(rows, [key], [order]).with_total(_still=F.when(F.col("_fixed").isNotNull(), F.lit(1).cast("bigint"))).frame()
+    return last.withColumn("mark", F.coalesce(F.col("_fixed") == F.col("_still"), F.lit(False))).drop("_moving", "_seen", "_rn", "_fixed", "_still")

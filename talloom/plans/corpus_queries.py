@@ -27,6 +27,17 @@ def _(t: Tables):
     return corpus.grep(files(t), _PATTERN)
 
 
+@query(
+    "grep_blank_lines",
+    ctes("files", more="""l AS (SELECT path, unnest(string_split(text || chr(10) || ' ' || chr(10), chr(10))) AS line,
+      CAST(generate_subscripts(string_split(text || chr(10) || ' ' || chr(10), chr(10)), 1) AS BIGINT) AS line_no FROM files)""")
+    + "SELECT path, line_no, line FROM l WHERE regexp_matches(line, '^\\s*$')",
+)
+def _(t: Tables):
+    """Texts that end with a blank and an empty line."""
+    return corpus.grep(files(t).withColumn("text", F.concat("text", F.lit("\n \n"))), r"^\s*$")
+
+
 @query(
     "grep_first_with_rest",
     ctes("files", more=_lines_sql("regexp_matches(line, ' the .*ed') AND path LIKE '%.en'"))
@@ -60,6 +71,14 @@ def _(t: Tables):
     return corpus.list_paths(rows, "src1?/**/*.*")
 
 
+@query(
+    "list_paths_braces",
+    ctes("files") + "SELECT path FROM files WHERE lang IN ('de', 'en') AND regexp_matches(source, '^src[1-4]$')",
+)
+def _(t: Tables):
+    return corpus.list_paths(files(t).select("path"), "src[1-4]/**/*.{de,en}")
+
+
 @query(
     "list_paths_first_with_rest",
     ctes("files") + """SELECT path, greatest((SELECT count(*) FROM files WHERE lang = 'en') - 200, 0) AS omitted FROM files WHERE lang = 'en' ORDER BY path LIMIT 200""",

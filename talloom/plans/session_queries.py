@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talloom.functions import predicates
@@ -132,6 +133,21 @@ def _(t: Tables):
     return transcript.tool_sequence(calls(t), ["session"], ["seq"], 400)
 
 
+@query(
+    "compare_sequences",
+    ctes("calls") + """, g AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS place, tool FROM calls),
+    e AS (SELECT session, place, CASE WHEN session % 3 = 0 AND place = 2 THEN 'other' ELSE tool END AS tool FROM g WHERE session % 3 <> 1 OR place > 1),
+    b AS (SELECT session, place, g.tool IS DISTINCT FROM e.tool AS differs FROM g FULL JOIN e USING (session, place))
+    SELECT session, min(CASE WHEN differs THEN place END) AS first_difference, NOT bool_or(differs) AS matches FROM b GROUP BY 1""",
+)
+def _(t: Tables):
+    """Tools against a list in which every third session has another second tool, and every third lacks the first."""
+    place = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    expected = calls(t).select("session", place.alias("place"), "tool").filter("session % 3 <> 1 OR place > 1")
+    other = F.when((F.col("session") % 3 == 0) & (F.col("place") == 2), "other").otherwise(F.col("tool"))
+    return transcript.compare_sequences(calls(t), expected.withColumn("tool", other), "session", "seq")
+
+
 @query(
     "compact",
     """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -558,6 +574,36 @@ def _(t: Tables):
     return paired.select(F.col("id").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_quantity", "status")
 
 
+@query(
+    "correlate_rpc_exits",
+    """WITH p AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN l_returnflag IS NULL THEN 'timeout' WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS status
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY),
+    x AS (SELECT o_custkey, o_orderdate AS exited FROM orders WHERE o_orderkey % 5 = 0),
+    f AS (SELECT o_orderkey, min(exited) AS exit_at FROM p JOIN x USING (o_custkey) WHERE status = 'timeout' AND exited >= o_orderdate GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN status = 'timeout' AND exit_at IS NOT NULL THEN 'server exited' ELSE status END AS status, exit_at FROM p LEFT JOIN f USING (o_orderkey)""",
+)
+def _(t: Tables):
+    """Customers as servers that exit at every order whose key is a multiple of five."""
+    requests = t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
+    responses = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), "l_shipdate", "l_returnflag")
+    exits = t.orders.filter("o_orderkey % 5 = 0").select("o_custkey", F.col("o_orderdate").alias("exited"))
+    within = (F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    paired = logs.correlate_with_exits(
+        requests, responses, exits, ["id"], "o_custkey", "o_orderdate", "exited", within, F.col("l_returnflag") == "R"
+    )
+    return paired.select(F.col("id").alias("o_orderkey"), "status", "exit_at")
+
+
+@query(
+    "absent_report",
+    "SELECT DISTINCT o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS exists FROM orders",
+)
+def _(t: Tables):
+    """Names that must not be there: customers of orders, against those with money."""
+    present = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return logs.absent_report(present, t.orders.select("o_custkey"), "o_custkey")
+
+
 @query(
     "compare_runs",
     ctes("calls") + """, a AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS step, tool, path FROM calls),

@@ -267,6 +267,18 @@ def _(t: Tables):
     return transcript.mark_last_block(blocks, ["conv_id"], ["turn"], F.col("role") == "assistant").select("conv_id", "turn", "mark")
 
 
+@query(
+    "mark_static",
+    """WITH p AS (SELECT conv_id, turn, role, turn % 5 < 2 AS static, text FROM conversations WHERE trim(text) <> ''),
+    s AS (SELECT *, sum(CASE WHEN static THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS moved FROM p)
+    SELECT conv_id, turn, coalesce(moved = 0 AND turn = max(CASE WHEN moved = 0 THEN turn END) OVER (PARTITION BY conv_id), FALSE) AS mark FROM s""",
+)
+def _(t: Tables):
+    """Prompt parts of which the first turns are fixed."""
+    parts = t.conversations.select("conv_id", "turn", "text")
+    return transcript.mark_static(parts, F.col("turn") % 5 < 2, "turn", "conv_id").select("conv_id", "turn", "mark")
+
+
 @query(
     "capability",
     """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 0 WHEN contains(lower(p_name), 'small') AND contains(lower(p_name), 'ring') THEN 64
