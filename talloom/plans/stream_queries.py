@@ -8,7 +8,7 @@ from talloom.plans.registry import Tables, query
 from talloom.plans.standins import ctes
 from talloom.session import scratch_path
 from talloom.streaming import deltas, live
-from talloom.streaming.run import run_available, table_stream
+from talloom.streaming.run import held_rows, run_available, table_stream
 
 # -- replies in fragments -------------------------------------------------------------
 
@@ -190,7 +190,7 @@ def _(t: Tables):
 
 @query(
     "usage_stream",
-    ctes("calls") + """, r AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS total, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS turns FROM calls WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
+    ctes("calls") + """, passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), r AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS total, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS turns FROM passed WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
     SELECT session, seq, total, turns, CASE WHEN total >= 200000 THEN 'cost' ELSE 'turns' END AS reason FROM r WHERE event_type <> 'view' AND (total >= 200000 OR turns >= 50) QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts, seq) = 1""",
 )
 def _(t: Tables):
@@ -200,7 +200,7 @@ def _(t: Tables):
 
 @query(
     "streaks_stream",
-    ctes("calls", more="""a AS (SELECT *, event_type = 'error' OR k > 60 AS denied FROM calls), b AS (SELECT *, sum(CASE WHEN denied THEN 0 ELSE 1 END) OVER w AS island, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER w AS BIGINT) AS total FROM a WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+    ctes("calls", more="""passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), a AS (SELECT *, event_type = 'error' OR k > 60 AS denied FROM passed), b AS (SELECT *, sum(CASE WHEN denied THEN 0 ELSE 1 END) OVER w AS island, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER w AS BIGINT) AS total FROM a WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
       c AS (SELECT *, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER (PARTITION BY session, island ORDER BY ts, seq) AS BIGINT) AS run FROM b)""")
     + "SELECT session, seq, total, CASE WHEN denied THEN run ELSE 0 END AS run, denied AND (run >= 4 OR total >= 30) AS limit_reached FROM c",
 )
@@ -224,7 +224,7 @@ def _(t: Tables):
 
 @query(
     "retry_stream",
-    ctes("calls", more="""a AS (SELECT session, seq, ts, event_type IN ('error', 'signup', 'purchase') AS bad, event_type IN ('error', 'signup', 'purchase') AND k < 90 AS again FROM calls),
+    ctes("calls", more="""passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), a AS (SELECT session, seq, ts, event_type IN ('error', 'signup', 'purchase') AS bad, event_type IN ('error', 'signup', 'purchase') AND k < 90 AS again FROM passed),
       b AS (SELECT *, CASE WHEN coalesce(lag(again) OVER (PARTITION BY session ORDER BY ts, seq), FALSE) THEN 0 ELSE 1 END AS starts FROM a),
       c AS (SELECT *, sum(starts) OVER (PARTITION BY session ORDER BY ts, seq) AS chain FROM b),
       d AS (SELECT *, (row_number() OVER (PARTITION BY session, chain ORDER BY ts, seq) - 1) // 4 AS block FROM c),
@@ -235,3 +235,15 @@ def _(t: Tables):
     bad = F.col("event_type").isin("error", "signup", "purchase")
     rows = _events(t).select("session", "ts", "seq", bad.alias("bad"), (bad & (F.col("k") < 90)).alias("again"))
     return run_available(live.retry_stream(rows), "retry")
+
+
+@query(
+    "streaks_pending",
+    ctes("calls") + "SELECT session, seq FROM calls WHERE ts >= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)",
+)
+def _(t: Tables):
+    """Rows that the watermark has not passed when the stream stops."""
+    state = scratch_path(t.spark, "streaks-state")
+    rows = _events(t).select("session", "ts", "seq", (F.col("event_type") == "error").alias("denied"))
+    run_available(live.streaks_stream(rows, 4, 30), "streaks", state=state)
+    return held_rows(t.spark, state).select("session", "seq")

@@ -55,32 +55,74 @@ def correlate_rpc_stream(
 # -- running state --------------------------------------------------------------------
 
 
-class _InOrder(StatefulProcessor):
-    """Folds the rows of a key in (ts, seq) order of their arrival batch.
+class _Timed(StatefulProcessor):
+    """A processor with one timer per key, at the earliest row that waits for the watermark."""
 
-    The rows of a key in one micro-batch are bounded by the source's files or
-    offsets per trigger. The state is a few numbers.
+    def _wake(self, us: int) -> None:
+        """Ask for a timer once the watermark is past a time."""
+        at = us // 1000 + 1
+        if self.timer.exists():
+            set_ = self.timer.get()[0]
+            if set_ <= at:
+                return
+            self.handle.deleteTimer(set_)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+class _InOrder(_Timed):
+    """Folds the rows of a key in (ts, seq) order, over micro-batches of any cut.
+
+    Rows wait in appendable list state until the watermark has passed them, so a row that comes in a later batch than
+    its successors still takes its place. What waits is bounded by the delay of the watermark; the rest of the state
+    is a few numbers. Rows behind the watermark are dropped by the engine, rows still waiting can be read as state.
     """
 
     state = ""
+    fields: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getValueState("held", self.state)
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, " + ", ".join(f"{n} {t}" for n, t in self.fields.items()))
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        before = self.held.get() if self.held.exists() else None
-        after, out = self.fold(key, pdf, before)
-        self.held.update(after)
-        if len(out):
-            yield out
+        names = ["us", "seq", *self.fields]
+        for pdf in rows:
+            self.waiting.appendList(list(zip(*[pdf[n].tolist() for n in names])))
+            self._wake(int(pdf["us"].min()))
+        return iter(())
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready = sum(1 for x in rows if x[0] < passed)
+        _replace(self.waiting, rows[ready:])
+        if ready < len(rows):
+            self._wake(rows[ready][0])
+        if ready:
+            pdf = pd.DataFrame(rows[:ready], columns=["us", "seq", *self.fields])
+            after, out = self.fold(key, pdf, self.held.get() if self.held.exists() else None)
+            self.held.update(after)
+            if len(out):
+                yield out
+
+
+def _in_order(rows: DataFrame, processor: _InOrder, returns: str, delay: str) -> DataFrame:
+    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=returns, outputMode="append", timeMode="eventTime",
+    )
 
 
 class _Budget(_InOrder):
     state = "total bigint, turns bigint, alerted boolean"
+    fields = {"amount": "bigint", "turn": "boolean"}
 
     def __init__(self, max_amount: int, max_turns: int):
         self.max_amount, self.max_turns = max_amount, max_turns
@@ -100,17 +142,15 @@ class _Budget(_InOrder):
         return (int(totals[-1]), int(counts[-1]), bool(alerted or over.any())), out
 
 
-def usage_stream(usage: DataFrame, max_amount: int, max_turns: int) -> DataFrame:
+def usage_stream(usage: DataFrame, max_amount: int, max_turns: int, delay: str = "1 hour") -> DataFrame:
     """One alert per session at its first call over a limit. usage(session, ts, seq, amount, turn)."""
-    return usage.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Budget(max_amount, max_turns),
-        outputStructType="session bigint, seq bigint, total bigint, turns bigint, reason string",
-        outputMode="append", timeMode="none",
-    )
+    returns = "session bigint, seq bigint, total bigint, turns bigint, reason string"
+    return _in_order(usage, _Budget(max_amount, max_turns), returns, delay)
 
 
 class _Streak(_InOrder):
     state = "run bigint, total bigint"
+    fields = {"denied": "boolean"}
 
     def __init__(self, max_run: int, max_total: int):
         self.max_run, self.max_total = max_run, max_total
@@ -130,13 +170,10 @@ class _Streak(_InOrder):
         return (int(runs[-1]), int(totals[-1])), out
 
 
-def streaks_stream(decisions: DataFrame, max_run: int, max_total: int) -> DataFrame:
+def streaks_stream(decisions: DataFrame, max_run: int, max_total: int, delay: str = "1 hour") -> DataFrame:
     """Denial streaks, row by row. decisions(session, ts, seq, denied)."""
-    return decisions.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Streak(max_run, max_total),
-        outputStructType="session bigint, seq bigint, total bigint, run bigint, limit_reached boolean",
-        outputMode="append", timeMode="none",
-    )
+    returns = "session bigint, seq bigint, total bigint, run bigint, limit_reached boolean"
+    return _in_order(decisions, _Streak(max_run, max_total), returns, delay)
 
 
 def _replace(state, values: list) -> None:
@@ -146,7 +183,7 @@ def _replace(state, values: list) -> None:
         state.clear()
 
 
-class _Late(StatefulProcessor):
+class _Late(_Timed):
     """Holds results until the watermark shows which turn comes first after them.
 
     One timer per session, at its earliest turn that is not settled yet.
@@ -186,20 +223,6 @@ class _Late(StatefulProcessor):
         if done:
             yield pd.DataFrame([{"session": key[0], "seq": w[1], "turn": x[1]} for w, x in done])
 
-    def _wake(self, turn_us: int) -> None:
-        """Ask for a timer once the watermark is past the turn."""
-        at = turn_us // 1000 + 1
-        if self.timer.exists():
-            set_ = self.timer.get()[0]
-            if set_ <= at:
-                return
-            self.handle.deleteTimer(set_)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def close(self) -> None:
-        pass
-
 
 def late_results_stream(rows: DataFrame, delay: str) -> DataFrame:
     """Results and turns of sessions, rows (session, ts, seq, is_turn), as (session, seq, turn).
@@ -215,6 +238,7 @@ def late_results_stream(rows: DataFrame, delay: str) -> DataFrame:
 
 class _Retry(_InOrder):
     state = "attempts bigint, first bigint, open boolean"
+    fields = {"bad": "boolean", "again": "boolean"}
 
     def __init__(self, max_retries: int):
         self.max_retries = max_retries
@@ -234,10 +258,6 @@ class _Retry(_InOrder):
         return (attempts, first, open_), pd.DataFrame(ended)
 
 
-def retry_stream(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
+def retry_stream(attempts: DataFrame, max_retries: int = 3, delay: str = "1 hour") -> DataFrame:
     """Retry chains as they end. attempts(session, ts, seq, bad, again)."""
-    return attempts.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Retry(max_retries),
-        outputStructType="session bigint, first bigint, attempts bigint, outcome string",
-        outputMode="append", timeMode="none",
-    )
+    return _in_order(attempts, _Retry(max_retries), "session bigint, first bigint, attempts bigint, outcome string", delay)

@@ -21,12 +21,13 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A stored table as a stream of its files."""
+def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 64) -> DataFrame:
+    """A stored table as a stream of its files, a bounded number of them per micro-batch."""
     use_rocksdb(spark)
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     # As a pattern the path may be one file as well as a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(f"{folder}/{table}.parque[t]")
 
 
 @contextmanager
@@ -41,14 +42,22 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def held_rows(spark: SparkSession, state: str, variable: str = "waiting") -> DataFrame:
+    """What a stopped stream still holds in a list state, key columns beside the rows' own: the pending output."""
+    rows = spark.read.format("statestore").option("stateVarName", variable).load(state)
+    return rows.select("key.*", "list_element.*")
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", state: str | None = None) -> DataFrame:
     """Process everything available, then return the emitted rows as a table.
 
+    state: where to keep the stream's state, for `held_rows`.
+
     Update mode has no file sink of its own: every batch overwrites its own
     folder, so a batch that is run again after a failure does not repeat rows.
     """
     spark = use_rocksdb(stream.sparkSession)
-    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
+    out, state = scratch_path(spark, f"{name}-out"), state or scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)

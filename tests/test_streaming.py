@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talloom.streaming import deltas, live
-from talloom.streaming.run import run_available, use_rocksdb
+from talloom.streaming.run import held_rows, run_available, use_rocksdb
 
 
 def _sse(events):
@@ -90,7 +90,7 @@ def log(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("log"))
     rows = spark.range(600).select(
         F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 7).cast("bigint").alias("session"), F.col("id").alias("seq"),
-        F.timestamp_micros(F.col("id") * 60_000_000).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("amount"),
+        F.timestamp_micros(86_400_000_000 + F.col("id") * 60_000_000).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("amount"),
         (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) > 0).alias("flag"),
     )
     for i in range(6):
@@ -104,29 +104,53 @@ def _stream(spark, log):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(log)
 
 
-def test_streaks_go_on_across_batches(spark, log):
+@pytest.fixture(scope="module")
+def shuffled(spark, log, tmp_path_factory):
+    """The log in eight files; a row may come up to three files after rows that follow it."""
+    folder = str(tmp_path_factory.mktemp("shuffled"))
+    place = F.floor((F.col("seq") + F.pmod(F.xxhash64("seq", F.lit(5)), F.lit(200))) / 100)
+    rows = spark.read.parquet(log).withColumn("place", place)
+    for i in range(8):
+        rows.filter(F.col("place") == i).drop("place").orderBy(F.xxhash64("seq")).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+DELAY = "4 hours"
+
+
+def _passed(spark, log):
+    """Rows that the watermark has passed at the end."""
+    rows = spark.read.parquet(log)
+    return rows.filter(F.col("ts") < rows.agg(F.max("ts") - F.expr("INTERVAL 4 HOURS")).first()[0])
+
+
+def test_streaks_go_on_across_batches(spark, shuffled, tmp_path):
     from talloom.operators.transcript import streaks
 
-    got = run_available(live.streaks_stream(_stream(spark, log).select("session", "ts", "seq", F.col("flag").alias("denied")), 4, 50), "t")
-    want = streaks(spark.read.parquet(log), ["session"], ["ts", "seq"], F.col("flag"), 4, 50).select(*got.columns)
-    assert got.count() == 600 and got.exceptAll(want).isEmpty()
+    rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("denied"))
+    state = str(tmp_path / "state")
+    got = run_available(live.streaks_stream(rows, 4, 50, DELAY), "t", state=state)
+    want = streaks(_passed(spark, shuffled), ["session"], ["ts", "seq"], F.col("flag"), 4, 50).select(*got.columns)
+    assert got.count() == want.count() > 300 and got.exceptAll(want).isEmpty()
+    held = {(r["session"], r["seq"]) for r in held_rows(spark, state).collect()}
+    assert held == {(r["session"], r["seq"]) for r in spark.read.parquet(shuffled).collect()} - {(r["session"], r["seq"]) for r in want.collect()}
 
 
-def test_one_alert_per_session(spark, log):
+def test_one_alert_per_session(spark, shuffled):
     from talloom.operators.usage import budget_crossing
 
-    rows = _stream(spark, log).select("session", "ts", "seq", "amount", F.col("flag").alias("turn"))
-    got = run_available(live.usage_stream(rows, 900, 60), "t")
-    want = budget_crossing(spark.read.parquet(log), "session", ["ts", "seq"], F.col("amount"), F.col("flag"), 900, 60).drop("ts")
+    rows = _stream(spark, shuffled).select("session", "ts", "seq", "amount", F.col("flag").alias("turn"))
+    got = run_available(live.usage_stream(rows, 600, 60, DELAY), "t")
+    want = budget_crossing(_passed(spark, shuffled), "session", ["ts", "seq"], F.col("amount"), F.col("flag"), 600, 60).drop("ts")
     assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
 
 
-def test_retries_across_batches(spark, log):
+def test_retries_across_batches(spark, shuffled):
     from talloom.operators.logs import retry_chains
 
-    rows = _stream(spark, log).select("session", "ts", "seq", F.col("flag").alias("bad"), (F.col("flag") & (F.col("amount") < 45)).alias("again"))
-    got = run_available(live.retry_stream(rows), "t").groupBy("session", "outcome", "attempts").count()
-    batch = retry_chains(spark.read.parquet(log), ["session"], ["ts", "seq"], F.col("flag"), F.col("amount") < 45)
+    rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("bad"), (F.col("flag") & (F.col("amount") < 45)).alias("again"))
+    got = run_available(live.retry_stream(rows, delay=DELAY), "t").groupBy("session", "outcome", "attempts").count()
+    batch = retry_chains(_passed(spark, shuffled), ["session"], ["ts", "seq"], F.col("flag"), F.col("amount") < 45)
     want = batch.filter("outcome <> 'open'").groupBy("session", "outcome", "attempts").count()
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
