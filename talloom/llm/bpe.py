@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talloom.llm.common import prepared
+from talloom.llm.common import give_back, prepared
 
 #: Entries of the tables of remembered words and pieces; they only save time.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Characters of text whose words are encoded together.
 TOGETHER = 1 << 20
 #: Longer fragments are merged with a heap, whose cost grows with n log n.
@@ -54,6 +54,7 @@ def no_cycle_search():
     finally:
         if was:
             gc.enable()
+        give_back()
 
 
 def words_of(text: str) -> list[bytes]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,18 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Hand freed memory of this process back to the system.
+
+    Python workers live on between tasks and stages; what the allocators keep of one stage would stand beside the next.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder instead of the plan so far."""
     return reliable(df, name)

@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talloom.llm.common import prepared, stored
+from talloom.llm.common import give_back, prepared, stored
 from talloom.llm.windows import prefix_classes, window_runs
 
 WIDTH = 50
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 ROUTE_BYTES = 12 << 20
 NO_ID = np.iinfo(np.int64).max
 
@@ -119,6 +119,7 @@ def shared_hashes(chunks: DataFrame, routes: int, width: int = WIDTH) -> DataFra
                     "route": [r for r, _ in made], "chunk": row.chunk, "low": [low[x].tobytes() for _, x in made],
                     "several": [np.packbits(several[x]).tobytes() for _, x in made],
                 })
+            give_back()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
@@ -187,8 +188,10 @@ def equal_windows(joined: DataFrame, routes: int, width: int = WIDTH) -> DataFra
                     "sizes": [np.array([len(strings[k][1]) for k in x], np.int64).tobytes() for _, x in made],
                     "data": [_pack(b"".join([strings[k][1] for k in x])) for _, x in made],
                 })
+            give_back()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         group = group.sort_values("chunk")
         number: dict[bytes, int] = {}
         of, own, hashes, rows = [], [], [], []
@@ -291,6 +294,7 @@ def _settle(joined: DataFrame, routes: int, width: int) -> DataFrame:
                 frame = pd.DataFrame(out, columns=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
                 frame["text_hash"] = [int.from_bytes(x, "little", signed=True) for x in frame["text_hash"]]
                 yield frame
+            give_back()
 
     made = joined.mapInPandas(settle, RESULT.replace("doc_id long", "doc_id string"))
     doc = F.col("doc_id").cast("long")
