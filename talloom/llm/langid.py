@@ -67,7 +67,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
 
     labelled = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    place = F.xxhash64("doc_id")
+    # the last place of the sample is found over ids alone; rows that share an id are taken or left together
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    last = usable.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+    sample = usable.where(place <= F.lit(last).cast("long"))
     counts = sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), BUCKETS), 0.5)
