@@ -18,6 +18,7 @@ rows; a null id never names a component unless its whole component has no other
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
@@ -155,9 +156,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id, ties by text. Own columns only."""
-    found = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """One row of each group of near duplicates: that with the smallest id, ties by text. Own columns only.
+
+    near: gives doc_id and component_id of every row.
+    """
+    found = near(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     best = found.select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_keep"]), "left_semi")
     return kept
