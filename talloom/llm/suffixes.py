@@ -280,7 +280,8 @@ def _settle(joined: DataFrame, routes: int, width: int) -> DataFrame:
                 for doc, end in zip(ids.tolist(), ends.tolist()):
                     body = raw[begin_:end]
                     a, b = np.searchsorted(stop, begin_, "right"), np.searchsorted(start, end, "left")
-                    runs = [(max(s, begin_) - begin_, min(e, end) - begin_) for s, e in zip(start[a:b].tolist(), stop[a:b].tolist())]
+                    # an empty text inside a run has none of it
+                    runs = [(max(s, begin_) - begin_, min(e, end) - begin_) for s, e in zip(start[a:b].tolist(), stop[a:b].tolist()) if min(e, end) > max(s, begin_)]
                     pieces, last = [], 0
                     for s, e in runs:
                         pieces.append(body[last:s])

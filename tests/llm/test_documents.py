@@ -174,6 +174,15 @@ def test_spans_on_odd_rows(odd, empty):
     assert suffixes.duplicate_spans(empty).count() == 0
 
 
+def test_empty_rows_between_removed_ones_have_no_span(spark):
+    text = "the same sixty bytes in every row, removed behind the first."
+    rows = [(1, text), (2, text), (3, ""), (4, text), (5, None), (6, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = suffixes.duplicate_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans").collect()
+    assert order(tuple(r)[:5] for r in found) == order(plain_spans(rows))
+    assert {r["doc_id"]: len(r["spans"]) for r in found} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
+
+
 def test_cut_texts_stay_valid(odd):
     kept = suffixes.without_duplicates(odd)
     assert kept.columns == odd.columns
