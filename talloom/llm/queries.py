@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.llm import bitpack, bpe, forest, langid, manifest, mixing, quality, runs, sharding, simhash, suffixes, warc
+from talloom.llm import bitpack, bpe, forest, langid, manifest, mixing, quality, quantised, runs, sharding, simhash, suffixes, warc
 from talloom.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,11 @@ def op11_repair_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.document_runs(_table(spark, folder, "documents"), periodic_end=True)
 
 
+@_query("op12_quantised_links")
+def op12_quantised_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def _tree_level(k: int) -> str:
     """CTEs for one level of the manifest's trees: runs of eight, and the nodes above them."""
     return f"""
