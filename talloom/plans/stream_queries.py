@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talloom.plans.registry import Tables, query
+from talloom.plans.registry import ORACLES, Tables, query
 from talloom.plans.standins import ctes
 from talloom.session import scratch_path
 from talloom.streaming import deltas, live
-from talloom.streaming.run import held_rows, run_available, table_stream
+from talloom.streaming.reorder import done, late
+from talloom.streaming.run import end_input, run_available, run_to_end, table_stream, use_rocksdb, waiting_rows, with_end
 
 # -- replies in fragments -------------------------------------------------------------
 
@@ -162,6 +163,31 @@ def _(t: Tables):
     return run_available(closed, "ticks").select(_text("start"), "calls", "amount")
 
 
+@query(
+    "idle_sessions_open",
+    ctes("calls") + f""", g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 36000000000 THEN 0 ELSE 1 END AS starts FROM calls WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+    v AS (SELECT *, sum(starts) OVER (PARTITION BY session ORDER BY ts, seq) AS visit FROM g)
+    SELECT session, strftime(min(ts), {_STAMP}) AS start, strftime(max(ts) + INTERVAL 10 HOUR, {_STAMP}) AS end, count(*) AS calls FROM v GROUP BY session, visit
+    HAVING max(ts) + INTERVAL 10 HOUR > (SELECT max(ts) FROM calls) - INTERVAL 10 MINUTE""",
+)
+def _(t: Tables):
+    """Visits still open when the stream stops; with the closed ones they are all visits."""
+    state = scratch_path(t.spark, "idle-state")
+    run_available(live.idle_sessions(_events(t), "session", "ts", "10 hours", "10 minutes"), "idle", state=state)
+    return live.open_windows(t.spark, state, "calls").select("session", _text("start"), _text("end"), "calls")
+
+
+@query(
+    "ticks_open",
+    ctes("calls") + f"""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), {_STAMP}) AS start, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS amount FROM calls GROUP BY time_bucket(INTERVAL 1 HOUR, ts)
+    HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > (SELECT max(ts) FROM calls) - INTERVAL 10 MINUTE""",
+)
+def _(t: Tables):
+    state = scratch_path(t.spark, "ticks-state")
+    run_available(live.ticks(_events(t), "ts", "1 hour", F.col("tokens"), "10 minutes"), "ticks", state=state)
+    return live.open_windows(t.spark, state, "calls", "amount").select(_text("start"), "calls", "amount")
+
+
 @query(
     "bounded_ticks",
     ctes("calls") + f""", h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS amount FROM calls GROUP BY 1 ORDER BY 1 LIMIT 100),
@@ -175,75 +201,147 @@ def _(t: Tables):
 
 @query(
     "correlate_rpc_stream",
-    f"""WITH j AS (SELECT o_orderkey, o_orderdate, l_shipdate, l_partkey, l_suppkey, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY)
-    SELECT o_orderkey AS id, strftime(l_shipdate, {_STAMP}) AS l_shipdate, l_partkey, l_suppkey, l_quantity FROM j
-    WHERE l_shipdate IS NOT NULL OR o_orderdate + INTERVAL 30 DAY < (SELECT least(max(o_orderdate), (SELECT max(l_shipdate) FROM lineitem)) FROM orders) - INTERVAL 1 HOUR""",
+    f"""SELECT o_orderkey AS id, strftime(l_shipdate, {_STAMP}) AS l_shipdate, l_partkey, l_suppkey, l_quantity
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY""",
 )
 def _(t: Tables):
-    asked = table_stream(t.spark, t.folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
-    answers = table_stream(t.spark, t.folder, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("l_shipdate"), "l_partkey", "l_suppkey", "l_quantity"
+    asked, end_asked = with_end(
+        table_stream(t.spark, t.folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts")), "asked"
     )
-    paired = live.correlate_rpc_stream(asked, answers, "id", "o_orderdate", "l_shipdate", "30 days", "1 hour")
-    return run_available(paired, "rpc").select("id", _text("l_shipdate"), "l_partkey", "l_suppkey", "l_quantity")
+    answers, end_answers = with_end(table_stream(t.spark, t.folder, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_partkey", "l_suppkey", "l_quantity"
+    ), "answers")
+    paired = live.correlate_rpc_stream(
+        asked.withColumnRenamed("ts", "o_orderdate"), answers.withColumnRenamed("ts", "l_shipdate"), "id", "o_orderdate", "l_shipdate", "30 days", "1 hour"
+    )
+
+    def end():
+        end_input(t.spark, end_asked)
+        end_input(t.spark, end_answers, id=-1)  # the join drops rows without a key before they move the watermark
+
+    return run_available(paired, "rpc", more=[end]).select("id", _text("l_shipdate"), "l_partkey", "l_suppkey", "l_quantity")
+
+
+def _rpc_rows(t: Tables):
+    """Customers as servers that exit at every order whose key is a multiple of five; first line items as responses."""
+    order = [F.col("o_custkey").alias("server"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts")]
+    orders = table_stream(t.spark, t.folder, "orders")
+    # responses name their request only; its server comes from a table of requests
+    known = t.orders.select(F.col("o_custkey").alias("server"), F.col("o_orderkey").alias("id"))
+    told = table_stream(t.spark, t.folder, "lineitem").filter("l_linenumber = 1").select(
+        F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_returnflag") == "R").alias("failed")
+    ).join(known, "id")
+    return live.rpc_rows(orders.select(*order), told, orders.filter("o_orderkey % 5 = 0").select(*order))
+
+
+@query("correlate_rpc_exits_stream", ORACLES["correlate_rpc_exits"])
+def _(t: Tables):
+    """What the closed stream gave, and as timeouts what no exit came for: all requests, as in the batch form."""
+    state = scratch_path(t.spark, "rpc-state")
+    settled = done(run_to_end(_rpc_rows(t), lambda rows: live.correlate_rpc_exits_stream(rows, 30 * 86_400_000, "1 hour"), "rpc", state))
+    over = live.unanswered(t.spark, state).select(F.col("id").alias("o_orderkey"), "status", F.lit(None).cast("timestamp_ntz").alias("exit_at"))
+    exit_at = F.timestamp_micros("exit_us").cast("timestamp_ntz").alias("exit_at")
+    return settled.select(F.col("id").alias("o_orderkey"), "status", exit_at).unionByName(over)
 
 
 @query(
     "usage_stream",
-    ctes("calls") + """, passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), r AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS total, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS turns FROM passed WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
+    ctes("calls") + """, r AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS total, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS turns FROM calls WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
     SELECT session, seq, total, turns, CASE WHEN total >= 200000 THEN 'cost' ELSE 'turns' END AS reason FROM r WHERE event_type <> 'view' AND (total >= 200000 OR turns >= 50) QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts, seq) = 1""",
 )
 def _(t: Tables):
     rows = _events(t).select("session", "ts", "seq", F.col("tokens").alias("amount"), (F.col("event_type") != "view").alias("turn"))
-    return run_available(live.usage_stream(rows, 200000, 50), "usage")
+    return done(run_to_end(rows, lambda r: live.usage_stream(r, 200000, 50), "usage"))
 
 
 @query(
     "streaks_stream",
-    ctes("calls", more="""passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), a AS (SELECT *, event_type = 'error' OR k > 60 AS denied FROM passed), b AS (SELECT *, sum(CASE WHEN denied THEN 0 ELSE 1 END) OVER w AS island, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER w AS BIGINT) AS total FROM a WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+    ctes("calls", more="""a AS (SELECT *, event_type = 'error' OR k > 60 AS denied FROM calls), b AS (SELECT *, sum(CASE WHEN denied THEN 0 ELSE 1 END) OVER w AS island, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER w AS BIGINT) AS total FROM a WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
       c AS (SELECT *, CAST(sum(CASE WHEN denied THEN 1 ELSE 0 END) OVER (PARTITION BY session, island ORDER BY ts, seq) AS BIGINT) AS run FROM b)""")
     + "SELECT session, seq, total, CASE WHEN denied THEN run ELSE 0 END AS run, denied AND (run >= 4 OR total >= 30) AS limit_reached FROM c",
 )
 def _(t: Tables):
     rows = _events(t).select("session", "ts", "seq", ((F.col("event_type") == "error") | (F.col("k") > 60)).alias("denied"))
-    return run_available(live.streaks_stream(rows, 4, 30), "streaks")
+    return done(run_to_end(rows, lambda r: live.streaks_stream(r, 4, 30), "streaks"))
 
 
 @query(
-    "late_results_stream",
-    ctes("calls", more="""r AS (SELECT *, ts + to_microseconds(k * 60000000) AS arrival FROM calls WHERE tool <> 'read_file'), m AS (SELECT greatest((SELECT max(arrival) FROM r), (SELECT max(ts) FROM calls WHERE tool = 'read_file')) - INTERVAL 2 HOUR AS wm)""")
-    + """, j AS (SELECT r.session, r.seq, t.seq AS turn, t.ts FROM r JOIN calls t ON t.tool = 'read_file' AND t.session = r.session AND t.ts >= r.arrival QUALIFY row_number() OVER (PARTITION BY r.session, r.seq ORDER BY t.ts, t.seq) = 1)
-    SELECT session, seq, turn FROM j WHERE ts < (SELECT wm FROM m)""",
+    "streaks_pending",
+    ctes("calls") + "SELECT session, seq FROM calls WHERE ts >= (SELECT date_trunc('minute', date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR) FROM calls)",
 )
 def _(t: Tables):
-    rows = _events(t)
-    turn = F.col("event_type") == "view"
-    at = F.when(turn, F.col("ts")).otherwise(F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 60000000))
-    return run_available(live.late_results_stream(rows.select("session", at.alias("ts"), "seq", turn.alias("is_turn")), "2 hours"), "late")
+    """Rows that the watermark has not passed when the stream stops without an end of its input."""
+    state = scratch_path(t.spark, "streaks-state")
+    rows = _events(t).select("session", "ts", "seq", (F.col("event_type") == "error").alias("denied"))
+    run_available(live.streaks_stream(rows, 4, 30), "streaks", state=state)
+    return waiting_rows(t.spark, state).select("session", "seq")
 
 
-@query(
-    "retry_stream",
-    ctes("calls", more="""passed AS (SELECT * FROM calls WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)), a AS (SELECT session, seq, ts, event_type IN ('error', 'signup', 'purchase') AS bad, event_type IN ('error', 'signup', 'purchase') AND k < 90 AS again FROM passed),
+_RETRIES = ctes("calls", more="""a AS (SELECT session, seq, ts, event_type IN ('error', 'signup', 'purchase') AS bad, event_type IN ('error', 'signup', 'purchase') AND k < 90 AS again FROM calls),
       b AS (SELECT *, CASE WHEN coalesce(lag(again) OVER (PARTITION BY session ORDER BY ts, seq), FALSE) THEN 0 ELSE 1 END AS starts FROM a),
       c AS (SELECT *, sum(starts) OVER (PARTITION BY session ORDER BY ts, seq) AS chain FROM b),
       d AS (SELECT *, (row_number() OVER (PARTITION BY session, chain ORDER BY ts, seq) - 1) // 4 AS block FROM c),
-      e AS (SELECT session, chain, block, min(seq) AS first, count(*) AS attempts, arg_max(again, seq) AS again, arg_max(bad, seq) AS bad FROM d GROUP BY ALL)""")
-    + """SELECT session, first, attempts, CASE WHEN again THEN 'exhausted' WHEN bad THEN 'fatal' WHEN attempts > 1 THEN 'recovered' ELSE 'ok' END AS outcome FROM e WHERE NOT again OR attempts > 3""",
-)
-def _(t: Tables):
+      e AS (SELECT session, chain, block, min(seq) AS first, max(seq) AS seq, count(*) AS attempts, arg_max(again, seq) AS again, arg_max(bad, seq) AS bad FROM d GROUP BY ALL)""")
+
+
+def _attempts(t: Tables):
     bad = F.col("event_type").isin("error", "signup", "purchase")
-    rows = _events(t).select("session", "ts", "seq", bad.alias("bad"), (bad & (F.col("k") < 90)).alias("again"))
-    return run_available(live.retry_stream(rows), "retry")
+    return _events(t).select("session", "ts", "seq", bad.alias("bad"), (bad & (F.col("k") < 90)).alias("again"))
 
 
 @query(
-    "streaks_pending",
-    ctes("calls") + "SELECT session, seq FROM calls WHERE ts >= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM calls)",
+    "retry_stream",
+    _RETRIES + """SELECT session, seq, first, attempts, CASE WHEN again THEN 'exhausted' WHEN bad THEN 'fatal' WHEN attempts > 1 THEN 'recovered' ELSE 'ok' END AS outcome FROM e WHERE NOT again OR attempts > 3""",
 )
 def _(t: Tables):
-    """Rows that the watermark has not passed when the stream stops."""
-    state = scratch_path(t.spark, "streaks-state")
-    rows = _events(t).select("session", "ts", "seq", (F.col("event_type") == "error").alias("denied"))
-    run_available(live.streaks_stream(rows, 4, 30), "streaks", state=state)
-    return held_rows(t.spark, state).select("session", "seq")
+    return done(run_to_end(_attempts(t), live.retry_stream, "retry"))
+
+
+@query("retry_open", _RETRIES + "SELECT session, first, attempts FROM e WHERE again AND attempts <= 3")
+def _(t: Tables):
+    """Chains that were begun and not ended when the input ends."""
+    state = scratch_path(t.spark, "retry-state")
+    run_to_end(_attempts(t), live.retry_stream, "retry", state)
+    return live.open_chains(t.spark, state)
+
+
+# Results and turns arrive in two parts: the second has the stragglers, one row of fifty, once the watermark of the
+# first stands. What lies behind it then is late.
+_LATE = ctes("calls", more="""x AS (SELECT session, seq, tool = 'read_file' AS is_turn, CASE WHEN tool = 'read_file' THEN ts ELSE ts + to_microseconds(k * 60000000) END AS due, seq % 50 = 7 AS straggler FROM calls),
+  p AS (SELECT date_trunc('minute', date_trunc('millisecond', max(due) FILTER (WHERE NOT straggler)) - INTERVAL 2 HOUR) AS one, date_trunc('minute', date_trunc('millisecond', max(due)) - INTERVAL 2 HOUR) AS two FROM x),
+  y AS (SELECT x.*, straggler AND due < one AS late, two FROM x, p),
+  r AS (SELECT * FROM y WHERE NOT is_turn AND NOT late), tn AS (SELECT * FROM y WHERE is_turn AND NOT late),
+  j AS (SELECT r.session, r.seq, arg_min(tn.seq, (tn.due, tn.seq)) AS turn, coalesce(min(tn.due) < any_value(r.two), FALSE) AS settled FROM r LEFT JOIN tn ON tn.session = r.session AND tn.due >= r.due GROUP BY r.session, r.seq)""")
+
+
+def _late_results(t: Tables, state: str | None = None):
+    folder = scratch_path(t.spark, "arrivals")
+    turn = F.col("event_type") == "view"
+    minutes = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    at = F.when(turn, F.col("ts").cast("timestamp")).otherwise(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + minutes * 60000000))
+    rows = t.events.select(F.col("user_id").alias("session"), at.alias("ts"), F.col("event_id").alias("seq"), turn.alias("is_turn"))
+    straggler = F.col("seq") % 50 == 7
+    rows.where(~straggler).write.parquet(folder)
+    use_rocksdb(t.spark)
+    stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+    stragglers = lambda: rows.where(straggler).write.mode("append").parquet(folder)
+    return run_available(live.late_results_stream(stream, "2 hours"), "late", state=state, more=[stragglers])
+
+
+@query("late_results_stream", _LATE + "SELECT session, seq, turn FROM j WHERE settled")
+def _(t: Tables):
+    return done(_late_results(t))
+
+
+@query("late_results_pending", _LATE + "SELECT session, seq FROM j WHERE NOT settled")
+def _(t: Tables):
+    """Results that no settled turn follows yet, read from the state of the stopped stream."""
+    state = scratch_path(t.spark, "late-state")
+    _late_results(t, state)
+    return live.unsettled_results(t.spark, state)
+
+
+@query("late_results_late", _LATE + "SELECT session, seq FROM y WHERE late")
+def _(t: Tables):
+    """Results and turns that came behind the watermark."""
+    return late(_late_results(t))

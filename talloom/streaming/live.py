@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from talloom.operators.ordered import Ordered, running_sum
+from talloom.streaming.reorder import InOrder, in_order
+from talloom.streaming.run import held_map, held_rows, held_value, waiting_rows
 
 # -- windows ------------------------------------------------------------------------
 
@@ -42,6 +45,23 @@ def bounded_ticks(closed: DataFrame, max_ticks: int, max_amount: int) -> DataFra
     return rows.frame().filter(F.col("_before") < max_amount).drop("_all", "_before")
 
 
+def open_windows(spark: SparkSession, state: str, *columns: str) -> DataFrame:
+    """Windows that a stopped stream of `idle_sessions` or `ticks` still holds, with the columns of the closed ones.
+
+    columns: names of the aggregates, in the order of the operator.
+    """
+    rows = spark.read.format("statestore").load(state)
+    value = rows.schema["value"].dataType.names
+    if "session_window" in value:
+        own = [n for n in rows.schema["key"].dataType.names if n != "sessionStartTime"]
+        window, rest = "value.session_window", [n for n in value if n != "session_window" and n not in own]
+    else:
+        own = [n for n in rows.schema["key"].dataType.names if n != "window"]
+        window, rest = "key.window", value
+    aggregates = [F.col(f"value.`{n}`").alias(c) for n, c in zip(rest, columns, strict=True)]
+    return rows.select(*[F.col(f"key.`{n}`") for n in own], F.col(f"{window}.start").alias("start"), F.col(f"{window}.end").alias("end"), *aggregates)
+
+
 def correlate_rpc_stream(
     requests: DataFrame, responses: DataFrame, key: str, sent: str, received: str, timeout: str, delay: str
 ) -> DataFrame:
@@ -53,175 +73,105 @@ def correlate_rpc_stream(
 
 
 # -- running state --------------------------------------------------------------------
+#
+# Streams that need the order of rows give results (`kind` is done) and rows that came after their time had passed
+# (late), see `reorder`. What waits or is open when a stream stops is read from its state.
 
 
-class _Timed(StatefulProcessor):
-    """A processor with one timer per key, at the earliest row that waits for the watermark."""
-
-    def _wake(self, us: int) -> None:
-        """Ask for a timer once the watermark is past a time."""
-        at = us // 1000 + 1
-        if self.timer.exists():
-            set_ = self.timer.get()[0]
-            if set_ <= at:
-                return
-            self.handle.deleteTimer(set_)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def close(self) -> None:
-        pass
-
-
-class _InOrder(_Timed):
-    """Folds the rows of a key in (ts, seq) order, over micro-batches of any cut.
-
-    Rows wait in appendable list state until the watermark has passed them, so a row that comes in a later batch than
-    its successors still takes its place. What waits is bounded by the delay of the watermark; the rest of the state
-    is a few numbers. Rows behind the watermark are dropped by the engine, rows still waiting can be read as state.
-    """
-
-    state = ""
-    fields: dict[str, str] = {}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", self.state)
-        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, " + ", ".join(f"{n} {t}" for n, t in self.fields.items()))
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["us", "seq", *self.fields]
-        for pdf in rows:
-            self.waiting.appendList(list(zip(*[pdf[n].tolist() for n in names])))
-            self._wake(int(pdf["us"].min()))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready = sum(1 for x in rows if x[0] < passed)
-        _replace(self.waiting, rows[ready:])
-        if ready < len(rows):
-            self._wake(rows[ready][0])
-        if ready:
-            pdf = pd.DataFrame(rows[:ready], columns=["us", "seq", *self.fields])
-            after, out = self.fold(key, pdf, self.held.get() if self.held.exists() else None)
-            self.held.update(after)
-            if len(out):
-                yield out
-
-
-def _in_order(rows: DataFrame, processor: _InOrder, returns: str, delay: str) -> DataFrame:
-    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=returns, outputMode="append", timeMode="eventTime",
-    )
-
-
-class _Budget(_InOrder):
+class _Budget(InOrder):
     state = "total bigint, turns bigint, alerted boolean"
     fields = {"amount": "bigint", "turn": "boolean"}
+    returns = {"seq": "bigint", "total": "bigint", "turns": "bigint", "reason": "string"}
 
     def __init__(self, max_amount: int, max_turns: int):
         self.max_amount, self.max_turns = max_amount, max_turns
 
-    def fold(self, key, pdf, before):
-        total, turns, alerted = before or (0, 0, False)
+    def fold(self, key, pdf, held):
+        total, turns, alerted = held or (0, 0, False)
+        turn = pdf["turn"].to_numpy().astype(bool)
         totals = total + pdf["amount"].to_numpy().cumsum()
-        counts = turns + pdf["turn"].to_numpy().astype(np.int64).cumsum()
-        over = pdf["turn"].to_numpy().astype(bool) & ((totals >= self.max_amount) | (counts >= self.max_turns))
-        out = pd.DataFrame()
+        counts = turns + turn.cumsum()
+        over = turn & ((totals >= self.max_amount) | (counts >= self.max_turns))
+        out = []
         if over.any() and not alerted:
             i = int(over.argmax())
-            out = pd.DataFrame([{
-                "session": key[0], "seq": int(pdf["seq"].iloc[i]), "total": int(totals[i]), "turns": int(counts[i]),
-                "reason": "cost" if totals[i] >= self.max_amount else "turns",
-            }])
+            reason = "cost" if totals[i] >= self.max_amount else "turns"
+            out = [pd.DataFrame({"seq": [int(pdf["seq"].iloc[i])], "total": [int(totals[i])], "turns": [int(counts[i])], "reason": [reason]})]
         return (int(totals[-1]), int(counts[-1]), bool(alerted or over.any())), out
 
 
 def usage_stream(usage: DataFrame, max_amount: int, max_turns: int, delay: str = "1 hour") -> DataFrame:
     """One alert per session at its first call over a limit. usage(session, ts, seq, amount, turn)."""
-    returns = "session bigint, seq bigint, total bigint, turns bigint, reason string"
-    return _in_order(usage, _Budget(max_amount, max_turns), returns, delay)
+    return in_order(usage, _Budget(max_amount, max_turns), delay)
 
 
-class _Streak(_InOrder):
+class _Streak(InOrder):
     state = "run bigint, total bigint"
     fields = {"denied": "boolean"}
+    returns = {"seq": "bigint", "total": "bigint", "run": "bigint", "limit_reached": "boolean"}
 
     def __init__(self, max_run: int, max_total: int):
         self.max_run, self.max_total = max_run, max_total
 
-    def fold(self, key, pdf, before):
-        run, total = before or (0, 0)
+    def fold(self, key, pdf, held):
+        run, total = held or (0, 0)
         denied = pdf["denied"].to_numpy().astype(np.int64)
         totals = total + denied.cumsum()
         # The total at the last allowed call; before any, the run so far counts.
         resets = np.where(denied == 0, totals, total - run)
         base = np.maximum.accumulate(resets)
         runs = totals - base
-        out = pd.DataFrame({
-            "session": key[0], "seq": pdf["seq"].to_numpy(), "total": totals, "run": runs,
-            "limit_reached": (denied == 1) & ((runs >= self.max_run) | (totals >= self.max_total)),
-        })
-        return (int(runs[-1]), int(totals[-1])), out
+        limit = (denied == 1) & ((runs >= self.max_run) | (totals >= self.max_total))
+        out = pd.DataFrame({"seq": pdf["seq"].to_numpy(), "total": totals, "run": runs, "limit_reached": limit})
+        return (int(runs[-1]), int(totals[-1])), [out]
 
 
 def streaks_stream(decisions: DataFrame, max_run: int, max_total: int, delay: str = "1 hour") -> DataFrame:
     """Denial streaks, row by row. decisions(session, ts, seq, denied)."""
-    returns = "session bigint, seq bigint, total bigint, run bigint, limit_reached boolean"
-    return _in_order(decisions, _Streak(max_run, max_total), returns, delay)
+    return in_order(decisions, _Streak(max_run, max_total), delay)
 
 
-def _replace(state, values: list) -> None:
-    if values:
-        state.put(values)
-    else:
-        state.clear()
+class _Late(InOrder):
+    """Gives every result to the first turn at or after it. Results without a turn so far are appended to a list."""
 
-
-class _Late(_Timed):
-    """Holds results until the watermark shows which turn comes first after them.
-
-    One timer per session, at its earliest turn that is not settled yet.
-    """
+    fields = {"is_turn": "boolean"}
+    by = ("us", "is_turn", "seq")  # a turn comes after the results of its instant
+    returns = {"seq": "bigint", "turn": "bigint"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, seq bigint")
-        self.turns = handle.getListState("turns", "at bigint, seq bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        for state, part in ((self.turns, pdf[pdf["is_turn"]]), (self.waiting, pdf[~pdf["is_turn"]])):
-            if len(part):
-                state.appendList(list(zip(part["us"].tolist(), part["seq"].tolist())))
-        if pdf["is_turn"].any():
-            self._wake(int(pdf["us"][pdf["is_turn"]].min()))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        turns = sorted(self.turns.get())
-        settled = [x for x in turns if x[0] < passed]
-        # A result that comes later is not older than the watermark.
-        open_ = turns[len(settled):]
-        _replace(self.turns, open_)
-        if open_:
-            self._wake(open_[0][0])
-        waiting = sorted(self.waiting.get())
-        if not settled or not waiting:
-            return
-        at = np.searchsorted([x[0] for x in settled], [w[0] for w in waiting])
-        done = [(w, settled[i]) for w, i in zip(waiting, at) if i < len(settled)]
-        _replace(self.waiting, [w for w, i in zip(waiting, at) if i == len(settled)])
-        if done:
-            yield pd.DataFrame([{"session": key[0], "seq": w[1], "turn": x[1]} for w, x in done])
+        super().init(handle)
+        self.open = handle.getListState("open", "seq bigint")
+
+    def fold(self, key, pdf, held):
+        turn, seq = pdf["is_turn"].to_numpy().astype(bool), pdf["seq"].to_numpy()
+        out = []
+        if turn.any():
+            first = int(turn.argmax())
+            if held and held[0]:
+                out = [self._given(part, seq[first]) for part in self._parts()]
+                self.open.clear()
+            # the place of the next turn of every row
+            place = np.where(turn, np.arange(len(seq)), len(seq))
+            follows = np.minimum.accumulate(place[::-1])[::-1]
+            settled = ~turn & (follows < len(seq))
+            out.append(pd.DataFrame({"seq": seq[settled], "turn": seq[follows[settled]]}))
+            rest = seq[~turn & (follows == len(seq))]
+            held = (0,)
+        else:
+            rest = seq
+        if len(rest):
+            self.open.appendList([(int(x),) for x in rest])
+            held = ((held[0] if held else 0) + len(rest),)
+        return held, out
+
+    def _parts(self):
+        rows = self.open.get()
+        while part := [r[0] for r in islice(rows, self.frame_rows)]:
+            yield part
+
+    @staticmethod
+    def _given(part, turn) -> pd.DataFrame:
+        return pd.DataFrame({"seq": part, "turn": int(turn)})
 
 
 def late_results_stream(rows: DataFrame, delay: str) -> DataFrame:
@@ -230,34 +180,181 @@ def late_results_stream(rows: DataFrame, delay: str) -> DataFrame:
     A result is given to the first turn at or after it once no earlier turn can
     still arrive.
     """
-    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Late(), outputStructType="session bigint, seq bigint, turn bigint", outputMode="append", timeMode="eventTime"
-    )
+    return in_order(rows, _Late(), delay)
+
 
+def unsettled_results(spark: SparkSession, state: str) -> DataFrame:
+    """Results that a stopped stream of late results has not given to a turn yet, as (session, seq)."""
+    waiting = waiting_rows(spark, state).where("NOT is_turn").select("session", "seq")
+    return waiting.unionByName(held_rows(spark, state, "open").select("session", "seq"))
 
-class _Retry(_InOrder):
+
+class _Retry(InOrder):
     state = "attempts bigint, first bigint, open boolean"
     fields = {"bad": "boolean", "again": "boolean"}
+    returns = {"seq": "bigint", "first": "bigint", "attempts": "bigint", "outcome": "string"}
 
     def __init__(self, max_retries: int):
         self.max_retries = max_retries
 
-    def fold(self, key, pdf, before):
-        attempts, first, open_ = before or (0, 0, False)
-        ended = []
-        for seq, bad, again in zip(pdf["seq"], pdf["bad"], pdf["again"]):
-            if not open_:
-                attempts, first = 0, int(seq)
-            attempts, open_ = attempts + 1, bool(again)
-            if open_ and attempts <= self.max_retries:
-                continue
-            outcome = "exhausted" if again else "fatal" if bad else "recovered" if attempts > 1 else "ok"
-            ended.append({"session": key[0], "first": first, "attempts": attempts, "outcome": outcome})
-            open_ = False
-        return (attempts, first, open_), pd.DataFrame(ended)
+    def fold(self, key, pdf, held):
+        attempts, first, open_ = held or (0, 0, False)
+        again, bad, seq = pdf["again"].to_numpy().astype(bool), pdf["bad"].to_numpy().astype(bool), pdf["seq"].to_numpy()
+        # a chain starts after each row that is not tried again; what is left open goes before the first rows
+        at = np.arange(len(seq))
+        begins = np.concatenate([[not open_], ~again[:-1]])
+        chain_start = np.maximum.accumulate(np.where(begins, at, -1))
+        place = np.where(chain_start < 0, at + attempts, at - chain_start)  # attempts made before, without cuts
+        size = 1 + self.max_retries
+        ends = ~again | (place % size == size - 1)
+        start = np.where(place % size <= at, at - place % size, -1)
+        firsts = np.where(start < 0, first, seq[np.maximum(start, 0)])
+        tries = place % size + 1
+        outcome = np.select([again, bad, tries > 1], ["exhausted", "fatal", "recovered"], "ok")
+        out = pd.DataFrame({"seq": seq, "first": firsts, "attempts": tries, "outcome": outcome})[ends]
+        still = not ends[-1]
+        return (int(tries[-1]) if still else 0, int(firsts[-1]) if still else 0, bool(still)), [out]
 
 
 def retry_stream(attempts: DataFrame, max_retries: int = 3, delay: str = "1 hour") -> DataFrame:
-    """Retry chains as they end. attempts(session, ts, seq, bad, again)."""
-    return _in_order(attempts, _Retry(max_retries), "session bigint, first bigint, attempts bigint, outcome string", delay)
+    """Retry chains as they end, seq being the last attempt. attempts(session, ts, seq, bad, again)."""
+    return in_order(attempts, _Retry(max_retries), delay)
+
+
+def open_chains(spark: SparkSession, state: str) -> DataFrame:
+    """Chains that a stopped retry stream has begun and not ended: (session, first, attempts)."""
+    return held_value(spark, state).where("open").select("session", "first", "attempts")
+
+
+# -- requests, responses and exits ------------------------------------------------------
+
+SALTS = 8
+_REQUEST, _RESPONSE, _EXIT = 0, 1, 2
+
+
+class _Rpc(InOrder):
+    """Requests of a server with their responses; what gets none in time fails with the server's next exit.
+
+    Open requests are map entries by id, their due times buckets of ids, so a response looks up one entry and a passed
+    bucket is read once. Exits since the oldest open request are kept; requests that are overdue without an exit so far
+    are a list that the next exit empties.
+    """
+
+    state = "exits array<bigint>"
+    fields = {"what": "int", "id": "bigint", "failed": "boolean"}
+    by = ("us", "what", "seq")
+    returns = {"seq": "bigint", "id": "bigint", "status": "string", "exit_us": "bigint"}
+
+    def __init__(self, timeout_ms: int):
+        self.timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sent = handle.getMapState("sent", "id bigint", "us bigint")
+        self.due = handle.getMapState("due", "bucket bigint, part int", "ids array<bigint>, us array<bigint>")
+        self.plan = handle.getValueState("plan", "buckets array<bigint>, parts array<int>")
+        self.overdue = handle.getListState("overdue", "id bigint")
+
+    def _plan(self) -> dict[int, int]:
+        return dict(zip(*self.plan.get())) if self.plan.exists() else {}
+
+    def wake(self) -> int | None:
+        plan = self._plan()
+        return (min(plan) + 1) * self.bucket_ms if plan else None
+
+    def describe(self, late: pd.DataFrame) -> pd.DataFrame:
+        named = late["what"].map({_REQUEST: "late request", _RESPONSE: "late response", _EXIT: "late exit"})
+        return pd.DataFrame({"seq": late["seq"], "id": late["id"], "status": named})
+
+    def fold(self, key, pdf, held):
+        exits = list(held[0]) if held else []
+        fresh: dict[int, int] = {}
+        found, out = [], []
+        for us, what, id_, failed in zip(pdf["us"].tolist(), pdf["what"].tolist(), pdf["id"].tolist(), pdf["failed"].tolist()):
+            if what == _REQUEST:
+                fresh[int(id_)] = us
+            elif what == _RESPONSE:
+                id_ = int(id_)
+                known = id_ in fresh
+                sent = fresh[id_] if known else self.sent.getValue((id_,))[0] if self.sent.containsKey((id_,)) else None
+                if sent is not None and us <= sent + 1000 * self.timeout:
+                    found.append((id_, "error" if failed else "ok"))
+                    if known:
+                        del fresh[id_]
+                    else:
+                        self.sent.removeKey((id_,))
+            else:
+                exits.append(us)
+                rows = self.overdue.get()
+                while part := [r[0] for r in islice(rows, self.frame_rows)]:
+                    out.append(pd.DataFrame({"id": part, "status": "server exited", "exit_us": us}))
+                self.overdue.clear()
+        if fresh:
+            plan, parts = self._plan(), {}
+            for id_, us in fresh.items():
+                self.sent.updateValue((id_,), (us,))
+                parts.setdefault((us // 1000 + self.timeout) // self.bucket_ms, []).append((id_, us))
+            for bucket, ids in parts.items():
+                self.due.updateValue((bucket, plan.get(bucket, 0)), ([x[0] for x in ids], [x[1] for x in ids]))
+                plan[bucket] = plan.get(bucket, 0) + 1
+            self.plan.update((list(plan), list(plan.values())))
+        if found:
+            out.append(pd.DataFrame(found, columns=["id", "status"]))
+        return (exits,), out
+
+    def settle(self, key, now_ms: int, held):
+        """Fails requests that are overdue, once every row before their due time was folded."""
+        plan, exits, out = self._plan(), list(held[0]) if held else [], []
+        over = sorted(b for b in plan if (b + 1) * self.bucket_ms <= now_ms)
+        for bucket in over:
+            failed, kept = [], []
+            for part in range(plan.pop(bucket)):
+                for id_, us in zip(*self.due.getValue((bucket, part))):
+                    if self.sent.containsKey((id_,)) and self.sent.getValue((id_,))[0] == us:
+                        self.sent.removeKey((id_,))
+                        at = bisect_left(exits, us)
+                        failed.append((id_, "server exited", exits[at])) if at < len(exits) else kept.append((id_,))
+                self.due.removeKey((bucket, part))
+            if kept:
+                self.overdue.appendList(kept)
+            if failed:
+                out.append(pd.DataFrame(failed, columns=["id", "status", "exit_us"]))
+        if over:
+            self.plan.update((list(plan), list(plan.values()))) if plan else self.plan.clear()
+        # no open request is older than the first due time tells; exits before that concern none
+        oldest = (min(plan) * self.bucket_ms - self.timeout) * 1000 if plan else now_ms * 1000
+        return ((exits[bisect_left(exits, oldest):],) if held else None), out
+
+
+def rpc_rows(requests: DataFrame, responses: DataFrame, exits: DataFrame) -> DataFrame:
+    """Requests (server, id, ts), responses (server, id, ts, failed) and exits (server, ts) as one stream.
+
+    Requests of a server are dealt over SALTS keys by id and its few exits go to all of them, so that a busy server is
+    not one task.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    no, seq = F.lit(False).alias("failed"), F.col("id").alias("seq")
+    asked = requests.select("server", salt, "ts", seq, F.lit(_REQUEST).alias("what"), "id", no)
+    told = responses.select("server", salt, "ts", seq, F.lit(_RESPONSE).alias("what"), "id", "failed")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    gone = exits.select(
+        "server", every, "ts", F.lit(0).cast("bigint").alias("seq"), F.lit(_EXIT).alias("what"), F.lit(0).cast("bigint").alias("id"), no
+    )
+    return asked.unionByName(told).unionByName(gone)
+
+
+def correlate_rpc_exits_stream(rows: DataFrame, timeout_ms: int, delay: str) -> DataFrame:
+    """Settled requests of `rpc_rows` as (session: the server, id, status, exit_us): ok, error or server exited.
+
+    A request without a response in time fails with the first exit of its server since it was sent; until there is one
+    it is a timeout, see `unanswered`. An id is used once per server.
+    """
+    return in_order(rows, _Rpc(timeout_ms), delay, ("server", "salt"))
+
+
+def unanswered(spark: SparkSession, state: str) -> DataFrame:
+    """Requests that a stopped stream has not settled, as (session, id, status): timeout, or pending while a response can come."""
+    over = held_rows(spark, state, "overdue").select(F.col("server").alias("session"), "id", F.lit("timeout").alias("status"))
+    open_ = held_map(spark, state, "sent").select(F.col("server").alias("session"), "id", F.lit("pending").alias("status"))
+    waiting = waiting_rows(spark, state).where(f"what = {_REQUEST}").select(F.col("server").alias("session"), "id", F.lit("pending").alias("status"))
+    return over.unionByName(open_).unionByName(waiting)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talloom.session import configure, scratch_path
+from talloom.streaming.reorder import END
 
 # State that outlives one process and the processors' list state need RocksDB.
 STATE_PARTITIONS_KEY = "spark.talloom.statePartitions"
@@ -42,16 +45,55 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def held_rows(spark: SparkSession, state: str, variable: str = "waiting") -> DataFrame:
-    """What a stopped stream still holds in a list state, key columns beside the rows' own: the pending output."""
+def held_rows(spark: SparkSession, state: str, variable: str) -> DataFrame:
+    """What a stopped stream still holds in a list state, key columns beside the rows' own."""
     rows = spark.read.format("statestore").option("stateVarName", variable).load(state)
     return rows.select("key.*", "list_element.*")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", state: str | None = None) -> DataFrame:
+def held_map(spark: SparkSession, state: str, variable: str) -> DataFrame:
+    """Entries of a map state, key columns beside those of the entry."""
+    rows = spark.read.format("statestore").option("stateVarName", variable).load(state)
+    return rows.select("key.*", "user_map_key.*", "user_map_value.*")
+
+
+def held_value(spark: SparkSession, state: str, variable: str = "held") -> DataFrame:
+    """Values of a value state beside their keys."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(state).select("key.*", "value.*")
+
+
+def waiting_rows(spark: SparkSession, state: str) -> DataFrame:
+    """Rows that wait for the watermark in the reorder buffer of a stopped stream: its pending output."""
+    chunks = spark.read.format("statestore").option("stateVarName", "waiting").load(state)
+    names = chunks.schema["user_map_value"].dataType.names
+    arrays = F.arrays_zip(*[F.col(f"user_map_value.{n}") for n in names])
+    return chunks.select("key.*", F.inline(arrays))
+
+
+def with_end(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A stream with a second source, an empty folder. A row at the end of time in it (`end_input`) closes the stream:
+    the watermark passes everything, and what waits is handled like the rest."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, f"{name}-end")
+    spark.createDataFrame([], rows.schema).write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path)), path
+
+
+def end_input(spark: SparkSession, path: str, at: str = "ts", **values) -> None:
+    """Close a stream of `with_end`. Columns of the closing row are null but for its time and the given values."""
+    given = {at: F.lit(END).cast("timestamp"), **{n: F.lit(v) for n, v in values.items()}}
+    schema = spark.read.parquet(path).schema
+    row = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).write.mode("append").parquet(path)
+
+
+def run_available(
+    stream: DataFrame, name: str, mode: str = "append", state: str | None = None, more: Iterable[Callable[[], None]] = ()
+) -> DataFrame:
     """Process everything available, then return the emitted rows as a table.
 
-    state: where to keep the stream's state, for `held_rows`.
+    state: where to keep the stream's state, to read what it still holds.
+    more: steps that add input, after each of which the stream is resumed and processes what is new.
 
     Update mode has no file sink of its own: every batch overwrites its own
     folder, so a batch that is run again after a failure does not repeat rows.
@@ -63,7 +105,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", state: str
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
-    with _state_partitions(spark):
-        query = writer.start()
-    query.awaitTermination()
+    for step in (None, *more):
+        if step is not None:
+            step()
+        with _state_partitions(spark):
+            query = writer.start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch-*")
+
+
+def run_to_end(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, state: str | None = None) -> DataFrame:
+    """Run `make` over a stream of rows (ts, ...) that is closed when everything available was processed."""
+    closed, path = with_end(rows, name)
+    return run_available(make(closed), name, state=state, more=[lambda: end_input(rows.sparkSession, path)])

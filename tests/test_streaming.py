@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from talloom.streaming import deltas, live
-from talloom.streaming.run import held_rows, run_available, use_rocksdb
+from talloom.streaming import deltas, live, reorder
+from talloom.streaming.reorder import done, late
+from talloom.streaming.run import run_available, run_to_end, use_rocksdb, waiting_rows
 
 
 def _sse(events):
@@ -119,53 +120,128 @@ DELAY = "4 hours"
 
 
 def _passed(spark, log):
-    """Rows that the watermark has passed at the end."""
+    """Rows in buckets of ten minutes that the watermark has passed at the end."""
     rows = spark.read.parquet(log)
-    return rows.filter(F.col("ts") < rows.agg(F.max("ts") - F.expr("INTERVAL 4 HOURS")).first()[0])
+    limit = rows.agg(F.unix_micros(F.max("ts")) - 4 * 3_600_000_000).first()[0]
+    return rows.filter(F.unix_micros("ts") < limit // 600_000_000 * 600_000_000)
 
 
-def test_streaks_go_on_across_batches(spark, shuffled, tmp_path):
+@pytest.fixture(autouse=True)
+def small_chunks(monkeypatch):
+    """Buckets of several chunks and frames, also where a log is short."""
+    monkeypatch.setattr(reorder, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(reorder, "FRAME_ROWS", 7)
+    monkeypatch.setattr(reorder, "BUCKET_MS", 600_000)
+
+
+def _same(got, want):
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def _streaks(spark, rows):
     from talloom.operators.transcript import streaks
 
+    return streaks(rows, ["session"], ["ts", "seq"], F.col("flag"), 4, 50).select("session", "seq", "total", "run", "limit_reached")
+
+
+def test_streaks_go_on_across_batches(spark, shuffled, tmp_path):
     rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("denied"))
     state = str(tmp_path / "state")
     got = run_available(live.streaks_stream(rows, 4, 50, DELAY), "t", state=state)
-    want = streaks(_passed(spark, shuffled), ["session"], ["ts", "seq"], F.col("flag"), 4, 50).select(*got.columns)
-    assert got.count() == want.count() > 300 and got.exceptAll(want).isEmpty()
-    held = {(r["session"], r["seq"]) for r in held_rows(spark, state).collect()}
-    assert held == {(r["session"], r["seq"]) for r in spark.read.parquet(shuffled).collect()} - {(r["session"], r["seq"]) for r in want.collect()}
+    want = _streaks(spark, _passed(spark, shuffled))
+    assert want.count() > 300 and late(got).isEmpty()
+    _same(done(got).select(*want.columns), want)
+    _same(waiting_rows(spark, state).select("session", "seq"), spark.read.parquet(shuffled).join(want, "seq", "left_anti").select("session", "seq"))
+
+
+def test_a_closed_stream_holds_nothing_back(spark, shuffled, tmp_path):
+    rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("denied"))
+    state = str(tmp_path / "state")
+    got = run_to_end(rows, lambda r: live.streaks_stream(r, 4, 50, DELAY), "t", state)
+    want = _streaks(spark, spark.read.parquet(shuffled))
+    assert want.count() == 600 and waiting_rows(spark, state).isEmpty()
+    _same(done(got).select(*want.columns), want)
+
+
+def test_rows_behind_the_watermark_come_out(spark, shuffled):
+    """With a delay shorter than the disorder, each row is either folded in its place or late."""
+    rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("denied"))
+    got = run_to_end(rows, lambda r: live.streaks_stream(r, 4, 50, "30 minutes"), "t").cache()
+    behind, everything = late(got), spark.read.parquet(shuffled)
+    assert behind.count() > 20
+    want = _streaks(spark, everything.join(behind, ["session", "seq"], "left_anti"))
+    _same(done(got).select(*want.columns), want)
 
 
 def test_one_alert_per_session(spark, shuffled):
     from talloom.operators.usage import budget_crossing
 
     rows = _stream(spark, shuffled).select("session", "ts", "seq", "amount", F.col("flag").alias("turn"))
-    got = run_available(live.usage_stream(rows, 600, 60, DELAY), "t")
-    want = budget_crossing(_passed(spark, shuffled), "session", ["ts", "seq"], F.col("amount"), F.col("flag"), 600, 60).drop("ts")
-    assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
+    for run, known in ((run_available, _passed(spark, shuffled)), (None, spark.read.parquet(shuffled))):
+        make = lambda r: live.usage_stream(r, 600, 60, DELAY)
+        got = done(run(make(rows), "t") if run else run_to_end(rows, make, "t"))
+        want = budget_crossing(known, "session", ["ts", "seq"], F.col("amount"), F.col("flag"), 600, 60).select(*got.columns)
+        assert want.count() > 0
+        _same(got, want)
 
 
-def test_retries_across_batches(spark, shuffled):
+def test_retries_across_batches(spark, shuffled, tmp_path):
     from talloom.operators.logs import retry_chains
 
+    state = str(tmp_path / "state")
     rows = _stream(spark, shuffled).select("session", "ts", "seq", F.col("flag").alias("bad"), (F.col("flag") & (F.col("amount") < 45)).alias("again"))
-    got = run_available(live.retry_stream(rows, delay=DELAY), "t").groupBy("session", "outcome", "attempts").count()
-    batch = retry_chains(_passed(spark, shuffled), ["session"], ["ts", "seq"], F.col("flag"), F.col("amount") < 45)
-    want = batch.filter("outcome <> 'open'").groupBy("session", "outcome", "attempts").count()
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    got = done(run_to_end(rows, lambda r: live.retry_stream(r, delay=DELAY), "t", state))
+    batch = retry_chains(spark.read.parquet(shuffled), ["session"], ["ts", "seq"], F.col("flag"), F.col("amount") < 45)
+    counts = lambda df: df.groupBy("session", "outcome", "attempts").count()
+    _same(counts(got), counts(batch.filter("outcome <> 'open'")))
+    _same(live.open_chains(spark, state).select("session", "attempts"), batch.filter("outcome = 'open'").select("session", "attempts"))
 
 
-def test_late_results_across_batches(spark, log):
+def test_late_results_across_batches(spark, log, tmp_path):
     rows = _stream(spark, log).select("session", "ts", "seq", F.col("flag").alias("is_turn"))
-    got = {(r["session"], r["seq"]): r["turn"] for r in run_available(live.late_results_stream(rows, "5 minutes"), "t").collect()}
+    state = str(tmp_path / "state")
+    found = done(run_available(live.late_results_stream(rows, "5 minutes"), "t", state=state))
+    got = {(r["session"], r["seq"]): r["turn"] for r in found.collect()}
     pdf = spark.read.parquet(log).toPandas().sort_values("seq")
-    limit = pdf["ts"].max().timestamp() - 300
-    want = {}
+    limit = (pdf["ts"].max().timestamp() - 300) // 600 * 600
+    want, open_ = {}, set()
     for r in pdf[~pdf["flag"]].itertuples():
         later = pdf[pdf["flag"] & (pdf["session"] == r.session) & (pdf["seq"] > r.seq)]
         if len(later) and later.iloc[0]["ts"].timestamp() < limit:
             want[r.session, r.seq] = later.iloc[0]["seq"]
+        else:
+            open_.add((r.session, r.seq))
     assert got == want
+    assert {(r["session"], r["seq"]) for r in live.unsettled_results(spark, state).collect()} == open_
+
+
+def test_requests_responses_and_exits(spark, tmp_path):
+    """Requests of two servers over micro-batches of disorder, against plain Python."""
+    minute = 60_000_000
+    asked = [(i % 2, i, 5 * i) for i in range(60)]
+    told = [(i % 2, i, 5 * i + i % 9, i % 5 == 0) for i in range(60) if i % 3]
+    exits = [(0, 151), (0, 220), (1, 40)]
+    at = lambda m: F.timestamp_micros(F.lit(86_400_000_000) + F.col(m) * minute).alias("ts")
+    rows = live.rpc_rows(
+        spark.createDataFrame(asked, "server long, id long, m long").select("server", "id", at("m")),
+        spark.createDataFrame(told, "server long, id long, m long, failed boolean").select("server", "id", at("m"), "failed"),
+        spark.createDataFrame(exits, "server long, m long").select("server", at("m")),
+    )
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    place = F.floor((F.unix_micros("ts") - 86_400_000_000) / (60 * minute) + F.pmod(F.xxhash64("id", "what"), F.lit(2)))
+    placed = rows.withColumn("place", place).cache()
+    for k in range(8):
+        placed.where(F.col("place") == k).drop("place").coalesce(1).write.mode("append").parquet(folder)
+    stream = use_rocksdb(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run_to_end(stream, lambda r: live.correlate_rpc_exits_stream(r, 6 * 60_000, "3 hours"), "t", state)
+    found = {r["id"]: (r["status"], r["exit_us"]) for r in done(got).collect()}
+    found |= {r["id"]: (r["status"], None) for r in live.unanswered(spark, state).collect()}
+    want = {}
+    for server, i, sent in asked:
+        answer = next((x for x in told if x[1] == i and x[2] <= sent + 6), None)
+        gone = min((m for s, m in exits if s == server and m >= sent), default=None)
+        want[i] = ("error" if answer[3] else "ok", None) if answer else ("server exited", 86_400_000_000 + gone * minute) if gone else ("timeout", None)
+    assert found == want and len({s for s, _ in want.values()}) == 4
 
 
 def test_idle_sessions_close(spark, log):
