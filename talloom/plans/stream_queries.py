@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from talloom.plans.registry import ORACLES, Tables, query
 from talloom.plans.standins import ctes
-from talloom.session import scratch_path
-from talloom.streaming import deltas, live
+from talloom.session import literal_rows, scratch_path
+from talloom.streaming import deltas, live, replies
 from talloom.streaming.reorder import done, late
 from talloom.streaming.run import end_input, run_available, run_to_end, table_stream, use_rocksdb, waiting_rows, with_end
 
@@ -33,29 +33,75 @@ _CALL_BLOCKS = """SELECT 'd' || doc_id AS stream_id, CAST(1 AS BIGINT) AS block,
  CASE WHEN lang = 'es' THEN '{}' ELSE '{"n":' || n_chars || ',"path":"' || source || '"}' END AS input FROM documents"""
 
 
+_CUT = "2024-01-01 20:05:00"
+# The closing row of a stream must look like an event up to where the watermark is.
+_END_LINE = 'data: {"type":"end","index":0}'
+
+
 def _stamped(rows):
-    """All replies start together; the rows of one land in different files."""
-    started = F.lit("2024-01-01").cast("timestamp").alias("started")
-    return rows.select("stream_id", started, F.col("seq").cast("bigint").alias("seq"), "line").repartition(4, "seq")
+    """Replies start hours apart; their lines arrive every two seconds."""
+    hour = F.pmod(F.xxhash64("stream_id"), F.lit(40))
+    arrived = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + 3600 * hour + 2 * F.col("seq"))
+    return rows.select("stream_id", arrived.alias("arrived"), F.col("seq").cast("bigint").alias("seq"), "line")
 
 
-def _block_folder(t: Tables) -> str:
-    path = scratch_path(t.spark, "blocks")
+def _block_rows(t: Tables):
     rows = t.documents.withColumn("args", F.expr(_ARGS)).selectExpr("concat('d', doc_id) AS stream_id", _BLOCK_LINES)
-    _stamped(rows).write.json(path)
+    return _stamped(rows)
+
+
+def _folder(rows, name: str, early: bool = False) -> str:
+    """Rows as JSON lines; `early` keeps what arrives later for a second step."""
+    path = scratch_path(rows.sparkSession, name)
+    (rows.where(f"arrived < '{_CUT}'") if early else rows).repartition(4, "seq").write.json(path)
     return path
 
 
+def _streamed(t: Tables, rows, make, name: str, each=None):
+    """Runs `make` over the lines that arrive before an instant, then over the rest, and closes the stream."""
+    path = _folder(rows, name, early=True)
+    rest = lambda: rows.where(f"arrived >= '{_CUT}'").repartition(4, "seq").write.mode("append").json(path)
+    lines, end = with_end(deltas.read_lines(use_rocksdb(t.spark), path, files_per_batch=64), name)
+    return run_available(make(deltas.data_lines(lines)), name, each=each, more=[rest, lambda: end_input(t.spark, end, "arrived", line=_END_LINE)])
+
+
 @query("assemble_blocks", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
 def _(t: Tables):
-    raw = t.spark.read.schema(deltas.DELTA_SCHEMA).json(_block_folder(t))
+    raw = t.spark.read.schema(deltas.DELTA_SCHEMA).json(_folder(_block_rows(t), "blocks"))
     return deltas.assemble_blocks(deltas.block_events(deltas.data_lines(raw)))
 
 
 @query("assemble_blocks_stream", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
 def _(t: Tables):
-    stream = deltas.read_delta_stream(t.spark, _block_folder(t), files_per_batch=2)
-    return run_available(deltas.assemble_blocks_stream(deltas.block_events(stream)), "assemble", "update")
+    return _streamed(t, _block_rows(t), lambda lines: deltas.assemble_blocks_stream(deltas.block_events(lines)), "assemble")
+
+
+def _damaged(t: Tables):
+    """Replies of which some lose their fifth line, some come twice."""
+    rows = _block_rows(t).withColumn("n", F.substr("stream_id", F.lit(2)).cast("bigint"))
+    kept = rows.where("NOT (n % 7 = 3 AND seq = 4)")
+    return kept.unionByName(kept.where("n % 7 = 1")).drop("n")
+
+
+_LOST = "doc_id % 7 = 3"
+
+
+@query(
+    "lost_replies",
+    f"""SELECT 'd' || doc_id AS stream_id, CAST(0 AS BIGINT) AS block, 'text' AS type, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || substr(text, 601) ELSE text END AS text,
+    CASE WHEN length(text) > 300 THEN CAST(1 AS BIGINT) END AS missing FROM documents WHERE {_LOST}""",
+)
+def _(t: Tables):
+    """Blocks that lost a line, with what came of them, once their reply has fallen silent."""
+    found = _streamed(t, _damaged(t), lambda lines: deltas.complete_blocks_stream(deltas.block_events(lines)), "lost")
+    return deltas.lost_blocks(found).select("stream_id", "block", "type", "text", "missing")
+
+
+@query("kept_replies", f"SELECT stream_id, block, text, input FROM ({_TEXT_BLOCKS} WHERE NOT {_LOST} UNION ALL {_CALL_BLOCKS})")
+def _(t: Tables):
+    """The blocks beside them: whole ones, each once, however often its lines came."""
+    found = _streamed(t, _damaged(t), lambda lines: deltas.assemble_blocks_stream(deltas.block_events(lines)), "kept")
+    return found.select("stream_id", "block", "text", "input")
 
 
 @query(
@@ -63,8 +109,48 @@ def _(t: Tables):
     f"SELECT stream_id, block, call_id, tool, input FROM ({_CALL_BLOCKS}) WHERE tool = 'read_file'",
 )
 def _(t: Tables):
-    stream = deltas.read_delta_stream(t.spark, _block_folder(t), files_per_batch=2)
-    return run_available(deltas.early_complete(deltas.block_events(stream)), "early", "update").drop("stop_seq")
+    return _streamed(t, _block_rows(t), lambda lines: deltas.early_complete(deltas.block_events(lines)), "early").drop("stop_seq")
+
+
+@query(
+    "early_permitted_stream",
+    f"SELECT stream_id, block, call_id, tool, input FROM ({_CALL_BLOCKS}), documents WHERE tool = 'read_file' AND 'd' || doc_id = stream_id AND doc_id % 3 <> 0 AND source <> 'src0'",
+)
+def _(t: Tables):
+    """Early calls that the rules let start: reading is refused for one source by a prefix rule, and for some files by name."""
+    denied = t.documents.where("doc_id % 3 = 0").select(F.lit("deny").alias("effect"), F.lit("read_file").alias("tool"), F.concat("source", F.lit("/"), "doc_id").alias("pattern"))
+    rules = denied.unionByName(literal_rows(t.spark, [{"effect": "deny", "tool": "read_file", "pattern": "src0/*"}], "effect string, tool string, pattern string"))
+    none = t.documents.select(F.col("source").alias("path")).limit(0)
+    paths = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("stream_id"), F.concat("source", F.lit("/"), "doc_id").alias("_path"))
+
+    def judged(calls):
+        # the stand-in names the source only; each call gets the path of its document
+        named = calls.join(paths, "stream_id").withColumn("input", F.to_json(F.struct(F.col("_path").alias("file_path")))).drop("_path")
+        return calls.join(deltas.permitted(named, rules, none).select("stream_id", "block"), ["stream_id", "block"], "left_semi")
+
+    found = _streamed(t, _block_rows(t), lambda lines: deltas.early_complete(deltas.block_events(lines)), "permitted", judged)
+    return found.drop("stop_seq")
+
+
+@query("captured_replies", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
+def _(t: Tables):
+    """Replies as raw bytes, cut anywhere and out of order: framed, then put together."""
+    texts = _block_rows(t).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    ends = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.when(F.startswith(x["line"], F.lit("event:")), "\r\n").otherwise("\n\n"))), "")
+    size = (37 + F.pmod(F.xxhash64("stream_id"), F.lit(200))).cast("int")
+    raw = texts.select("stream_id", F.encode(ends, "utf-8").alias("all"), size.alias("size"))
+    at = F.posexplode(F.sequence(F.lit(0), F.floor((F.octet_length("all") - 1) / F.col("size")).cast("int"))).alias("_k", "k")
+    arrived = F.timestamp_seconds(F.unix_timestamp(F.lit(_CUT).cast("timestamp")) + F.pmod("k", F.lit(3000)))
+    pieces = raw.select("stream_id", "all", "size", at).select(
+        "stream_id", arrived.alias("arrived"), F.col("k").cast("bigint").alias("piece"), F.substr("all", F.col("k") * F.col("size") + 1, F.col("size")).alias("bytes")
+    )
+    path = scratch_path(t.spark, "raw")
+    pieces.repartition(6, "piece").write.parquet(path)
+    stream = use_rocksdb(t.spark).readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = scratch_path(t.spark, "framed")
+    run_to_end(stream, lambda p: replies.framed(p, "1 hour"), "frame", at="arrived").where("kind = 'event'").drop("kind").write.parquet(out)
+    events = t.spark.readStream.schema("stream_id string, arrived timestamp, seq bigint, payload string").parquet(out)
+    return run_to_end(events, lambda e: deltas.assemble_blocks_stream(deltas.block_events(e), "1 hour"), "captured", at="arrived")
 
 
 # Each turn of a conversation is one reply in the chunk shape with two calls.
@@ -80,46 +166,56 @@ _CHUNK_LINES = f"""posexplode(concat(
 )) AS (seq, line)"""
 
 
-def _chunk_folder(t: Tables) -> str:
-    path = scratch_path(t.spark, "chunks")
-    rows = t.conversations.selectExpr("concat(conv_id, '-', turn) AS stream_id", _CHUNK_LINES)
-    _stamped(rows).write.json(path)
-    return path
+def _chunk_rows(t: Tables):
+    return _stamped(t.conversations.selectExpr("concat(conv_id, '-', turn) AS stream_id", _CHUNK_LINES))
 
 
 _REPLIES = """SELECT conv_id || '-' || turn AS stream_id, text, CASE WHEN role = 'user' THEN 'tool_calls' ELSE 'stop' END AS finish, CAST(length(text) AS BIGINT) AS prompt_tokens, turn AS completion_tokens FROM conversations"""
 _REPLY_CALLS = """SELECT conv_id || '-' || turn AS stream_id, CAST(0 AS BIGINT) AS index, 'a' || turn AS id, 'read_file' AS tool, '{"c":' || conv_id || '}' AS input FROM conversations
  UNION ALL SELECT conv_id || '-' || turn, 1, 'b', role, '{}' FROM conversations"""
+# Turn 2 loses its first line of text, turn 3 the end; turn 1 comes twice.
+_DAMAGED_REPLIES = """SELECT conv_id || '-' || turn AS stream_id, CAST(0 AS BIGINT) AS part, CASE WHEN turn = 2 THEN substr(text, 51) ELSE text END AS text, CASE WHEN role = 'user' THEN 'tool_calls' ELSE 'stop' END AS finish,
+  CAST(length(text) AS BIGINT) AS prompt_tokens, turn AS completion_tokens, CAST(CASE turn WHEN 2 THEN 1 WHEN 3 THEN NULL ELSE 0 END AS BIGINT) AS missing FROM conversations"""
 
 
-def _chunks(t: Tables):
-    raw = t.spark.read.schema(deltas.DELTA_SCHEMA).json(_chunk_folder(t))
-    return deltas.chunk_events(deltas.data_lines(raw))
+def _damaged_chunks(t: Tables):
+    rows = _chunk_rows(t).withColumn("turn", F.substring_index("stream_id", "-", -1))
+    kept = rows.where("NOT (turn = '2' AND seq = 1) AND NOT (turn = '3' AND line = 'data: [DONE]')")
+    return kept.unionByName(kept.where("turn = '1'")).drop("turn")
 
 
-@query("assemble_chunks_messages", _REPLIES)
+@query("assemble_chunks_messages", _DAMAGED_REPLIES)
 def _(t: Tables):
-    messages, _ = deltas.assemble_chunks(_chunks(t))
-    return messages.drop("part")
+    raw = t.spark.read.schema(deltas.DELTA_SCHEMA).json(_folder(_damaged_chunks(t), "chunks"))
+    messages, _ = deltas.assemble_chunks(deltas.chunk_events(deltas.data_lines(raw)))
+    return messages
 
 
 @query("assemble_chunks_calls", _REPLY_CALLS)
 def _(t: Tables):
-    _, made = deltas.assemble_chunks(_chunks(t))
+    raw = t.spark.read.schema(deltas.DELTA_SCHEMA).json(_folder(_chunk_rows(t), "chunks"))
+    _, made = deltas.assemble_chunks(deltas.chunk_events(deltas.data_lines(raw)))
     return made.drop("part")
 
 
+def _chunks_streamed(t: Tables, rows, name: str):
+    return _streamed(t, rows, lambda lines: deltas.assemble_chunks_stream(deltas.chunk_events(lines)), name)
+
+
 @query("assemble_chunks_calls_stream", _REPLY_CALLS)
 def _(t: Tables):
-    stream = deltas.read_delta_stream(t.spark, _chunk_folder(t), files_per_batch=2)
-    replies = run_available(deltas.assemble_chunks_stream(deltas.chunk_events(stream)), "chunk-calls", "update")
-    return replies.select("stream_id", F.inline("calls"))
+    return _chunks_streamed(t, _chunk_rows(t), "chunk-calls").select("stream_id", F.inline("calls"))
 
 
 @query("assemble_chunks_stream", _REPLIES)
 def _(t: Tables):
-    stream = deltas.read_delta_stream(t.spark, _chunk_folder(t), files_per_batch=2)
-    return run_available(deltas.assemble_chunks_stream(deltas.chunk_events(stream)), "chunks", "update").drop("calls")
+    return _chunks_streamed(t, _chunk_rows(t), "chunks").drop("calls", "kind", "missing")
+
+
+@query("assemble_chunks_damaged_stream", _DAMAGED_REPLIES)
+def _(t: Tables):
+    """The damaged replies of the batch form, in the stream form: the same rows."""
+    return _chunks_streamed(t, _damaged_chunks(t), "damaged").withColumn("part", F.lit(0).cast("bigint")).drop("calls", "kind")
 
 
 # -- events as streams ------------------------------------------------------------------

@@ -88,33 +88,42 @@ def end_input(spark: SparkSession, path: str, at: str = "ts", **values) -> None:
 
 
 def run_available(
-    stream: DataFrame, name: str, mode: str = "append", state: str | None = None, more: Iterable[Callable[[], None]] = ()
+    stream: DataFrame, name: str, mode: str = "append", state: str | None = None, more: Iterable[Callable[[], None]] = (),
+    each: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Process everything available, then return the emitted rows as a table.
 
     state: where to keep the stream's state, to read what it still holds.
     more: steps that add input, after each of which the stream is resumed and processes what is new.
+    each: a batch operator for the rows of every micro-batch, e.g. a join with tables as they are by then.
 
-    Update mode has no file sink of its own: every batch overwrites its own
+    Update mode and `each` have no file sink of their own: every batch overwrites its own
     folder, so a batch that is run again after a failure does not repeat rows.
     """
     spark = use_rocksdb(stream.sparkSession)
     out, state = scratch_path(spark, f"{name}-out"), state or scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", out)
+    schema = stream.schema
+    if mode == "append" and each is None:
+        files, writer = out, writer.format("parquet").option("path", out)
     else:
-        writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
+        files, judge = f"{out}/batch-*", each or (lambda df: df)
+        if each is not None:
+            schema = each(spark.createDataFrame([], schema)).schema
+        writer = writer.foreachBatch(lambda df, batch: judge(df).write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
     for step in (None, *more):
         if step is not None:
             step()
         with _state_partitions(spark):
             query = writer.start()
         query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch-*")
+    return spark.read.schema(schema).parquet(files)
 
 
-def run_to_end(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, state: str | None = None) -> DataFrame:
-    """Run `make` over a stream of rows (ts, ...) that is closed when everything available was processed."""
+def run_to_end(
+    rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, state: str | None = None, at: str = "ts",
+    more: Iterable[Callable[[], None]] = (),
+) -> DataFrame:
+    """Run `make` over a stream of rows with event time `at` that is closed when everything was processed."""
     closed, path = with_end(rows, name)
-    return run_available(make(closed), name, state=state, more=[lambda: end_input(rows.sparkSession, path)])
+    return run_available(make(closed), name, state=state, more=[*more, lambda: end_input(rows.sparkSession, path, at)])

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from talloom.streaming import deltas, live, reorder
+from talloom.streaming import deltas, live, reorder, replies
 from talloom.streaming.reorder import done, late
 from talloom.streaming.run import run_available, run_to_end, use_rocksdb, waiting_rows
 
@@ -29,16 +29,59 @@ CALL = [
 
 
 def test_captured_replies(spark, tmp_path):
+    use_rocksdb(spark)
     (tmp_path / "one").write_text(_sse(CALL))
     (tmp_path / "two").write_text(_sse(CALL[:4]))  # lost its end
     lines = deltas.read_captured_replies(spark, str(tmp_path))
-    got = run_available(deltas.assemble_blocks_stream(deltas.block_events(lines)), "t", "update").collect()
+    got = run_available(deltas.assemble_blocks_stream(deltas.block_events(lines)), "t").collect()
     assert {(r["stream_id"], r["block"], r["text"], r["input"]) for r in got} == {("one", 0, "Hello\n", None), ("one", 1, None, '{"a":1}')}
 
 
+def _lines(spark, rows):
+    """Rows (stream_id, minute of arrival, seq, event) as lines."""
+    made = [(s, m, i, f"data: {json.dumps(e)}") for s, m, i, e in rows]
+    frame = spark.createDataFrame(made, "stream_id string, m long, seq long, line string")
+    return frame.select("stream_id", F.timestamp_seconds(F.lit(86_400) + 60 * F.col("m")).alias("arrived"), "seq", "line")
+
+
+def test_replies_that_stay_open_and_replies_that_fall_silent(spark, tmp_path):
+    """A is slow but never silent, B falls silent, C starts hours later; a line of B comes after it was given up."""
+    a = [("A", 5 * i, i, e) for i, e in enumerate(CALL)]
+    b = [("B", 1, i, e) for i, e in enumerate(CALL[:4])] + [("B", 1, 2, CALL[2])]
+    c = [("C", 200, i, e) for i, e in enumerate(CALL)]
+    folder = str(tmp_path / "in")
+    steps = [a[:3] + b, a[3:], c, [("B", 201, 4, CALL[4])]]
+    _lines(spark, steps[0]).coalesce(1).write.json(folder)
+    use_rocksdb(spark)
+    events = deltas.block_events(deltas.read_delta_stream(spark, folder))
+    more = [lambda x=x: _lines(spark, x).coalesce(1).write.mode("append").json(folder) for x in steps[1:]]
+    late_line = [lambda: _lines(spark, [("D", 900, 0, CALL[1])]).coalesce(1).write.mode("append").json(folder)]
+    got = run_available(deltas.complete_blocks_stream(events, "10 minutes"), "t", more=more + late_line)
+    found = {(r["kind"], r["stream_id"], r["block"], r["text"], r["missing"]) for r in got.collect()}
+    call = '{"a": 1}'
+    assert found == {
+        ("whole", "A", 0, "Hello\n", 0), ("whole", "A", 1, call, 0), ("whole", "C", 0, "Hello\n", 0), ("whole", "C", 1, call, 0),
+        ("lost", "B", 0, "Hello\n", None), ("lost", "B", 0, "", None),
+    }
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_bytes_cut_anywhere(spark, tmp_path, size):
+    text = 'event: x\r\ndata: {"a":\r\ndata:  "é日"}\r\n\r\n: note\n\ndata:b\r\rdata: open'.encode()
+    cut = [text[i : i + size] for i in range(0, len(text), size)]
+    rows = [("r", i, bytearray(p)) for i, p in enumerate(cut)][::-1] + [("r", 0, bytearray(cut[0])), ("gap", 1, bytearray(b"data: y\n\n"))]
+    folder, schema = str(tmp_path / "in"), "stream_id string, piece long, bytes binary"
+    frame = spark.createDataFrame(rows, schema).select("stream_id", F.timestamp_seconds(F.lit(86_400)).alias("arrived"), "piece", "bytes")
+    frame.repartition(3, "piece").write.parquet(folder)
+    stream = use_rocksdb(spark).readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = {(r["kind"], r["stream_id"], r["seq"], r["payload"]) for r in run_to_end(stream, replies.framed, "t", at="arrived").collect()}
+    want = {("event", "r", 0, '{"a":\n "é日"}'), ("event", "r", 1, "b"), ("rest", "r", 2, "data: open"), ("rest", "gap", 0, "data: y\n\n")}
+    assert found == want
+
+
 def test_long_blocks_come_in_parts(spark):
     rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
-    raw = spark.createDataFrame(rows, "stream_id string, started string, seq bigint, line string")
+    raw = spark.createDataFrame(rows, "stream_id string, arrived string, seq bigint, line string")
     parts = deltas.assemble_blocks(deltas.block_events(deltas.data_lines(raw)), part_bytes=2).orderBy("part").collect()
     assert [(r["text"], r["input"]) for r in parts if r["block"] == 1] == [(None, '{"a":1}')]
     got = [r for r in parts if r["block"] == 0]
@@ -49,7 +92,7 @@ def test_lost_fragments_never_make_a_whole_block(spark, tmp_path):
     rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
     at = next(i for i, e in enumerate(CALL) if e["type"] == "content_block_delta")
     broken = rows[:at] + rows[at + 1 :] + [rows[at - 1]]  # one lost, one repeated
-    schema = "stream_id string, started string, seq bigint, line string"
+    schema = "stream_id string, arrived string, seq bigint, line string"
     for given, whole in ((rows + rows[at : at + 1], True), (broken, False)):
         events = deltas.block_events(deltas.data_lines(spark.createDataFrame(given, schema)))
         found = {r["block"]: r["text"] for r in deltas.assemble_blocks(events).collect()}
@@ -70,7 +113,7 @@ def test_captured_chunks(spark, tmp_path):
     ]
     (tmp_path / "one").write_text("".join(f"data: {json.dumps(e)}\n\n" for e in events) + "data: [DONE]\n\n")
     lines = deltas.read_captured_replies(spark, str(tmp_path))
-    row = run_available(deltas.assemble_chunks_stream(deltas.chunk_events(lines)), "t", "update").first()
+    row = run_available(deltas.assemble_chunks_stream(deltas.chunk_events(lines)), "t").first()
     assert (row["text"], row["finish"], row["prompt_tokens"], row["completion_tokens"]) == ("ab", "tool_calls", 7, 3)
     assert [tuple(c) for c in row["calls"]] == [(0, "x", "f", '{"k":2}'), (1, "y", "g", "{}")]
 
@@ -78,10 +121,10 @@ def test_captured_chunks(spark, tmp_path):
 def test_fragments_in_any_order_and_batch(spark, tmp_path):
     rows = [("s", "2024-01-01 00:00:00", i, f"data: {json.dumps(e)}") for i, e in enumerate(CALL)]
     for n, part in enumerate([rows[7:], rows[2:5], rows[:2], rows[5:7]]):
-        frame = spark.createDataFrame(part[::-1], "stream_id string, started string, seq bigint, line string")
+        frame = spark.createDataFrame(part[::-1], "stream_id string, arrived string, seq bigint, line string")
         frame.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = deltas.read_delta_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    got = run_available(deltas.early_complete(deltas.block_events(stream)), "t", "update").collect()
+    got = run_available(deltas.early_complete(deltas.block_events(stream)), "t").collect()
     assert [(r["call_id"], r["input"], r["stop_seq"]) for r in got] == [("t", '{"a":1}', 8)]
 
 
