@@ -36,25 +36,41 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds `rule`: deny, allow or null. A deny rule beats an allow rule.
 
-    calls(tool, value, ...), rules(effect, tool, pattern). The rules of a tool
-    travel as one array, so a call row meets its tool's rules in one join and is
-    never multiplied or regrouped.
+    calls(tool, value, ...), rules(effect, tool, pattern). Rules are an index: whole values, and prefixes without their
+    star. Every distinct value is looked up as a whole and with the prefixes of the lengths that rules of its tool have,
+    by an equi-join; so what a call costs follows from the number of these lengths, not of the rules. A shell call
+    without a command has the empty one; other calls without a value meet every rule of their tool.
     """
-    by_tool = rules.groupBy("tool").agg(F.collect_set(F.struct("effect", "pattern")).alias("_rules"))
-    joined = calls.join(small_side(by_tool), "tool", "left")
+    star = F.endswith("pattern", F.lit("*"))
+    deny, allow = F.col("effect") == "deny", F.col("effect") == "allow"
+    bare = F.col("pattern").isNull()
+    tools = rules.groupBy("tool").agg(
+        F.max(deny).alias("_has_deny"), F.max(allow).alias("_has_allow"),
+        F.max(deny & bare).alias("_bare_deny"), F.max(allow & bare).alias("_bare_allow"),
+        F.collect_set(F.when(star, F.length("pattern") - 1)).alias("_lengths"),
+    )
+    stem = F.when(star, F.substr("pattern", F.lit(1), F.length("pattern") - 1)).otherwise(F.col("pattern"))
+    index = rules.where(~bare).groupBy("tool", (~star).alias("_whole"), stem.alias("_key")).agg(F.max(deny).alias("_deny"), F.max(allow).alias("_allow"))
 
-    def hits(effect: str) -> Column:
-        return F.exists(F.coalesce("_rules", F.array()), lambda r: (r["effect"] == effect) & _applies(r["pattern"]))
+    value = F.coalesce("value", F.lit(""))
+    values = calls.select("tool", value.alias("_value")).distinct().join(small_side(tools.select("tool", "_lengths")), "tool")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_value"))
+    keys = F.concat(
+        F.array(F.struct(F.lit(True).alias("_whole"), F.col("_value").alias("_key"))),
+        F.transform(fitting, lambda n: F.struct(F.lit(False).alias("_whole"), F.substr("_value", F.lit(1), n).alias("_key"))),
+    )
+    found = values.select("tool", "_value", F.inline(keys)).join(small_side(index), ["tool", "_whole", "_key"])
+    hits = found.groupBy(F.col("tool").alias("_tool"), "_value").agg(F.max("_deny").alias("_deny"), F.max("_allow").alias("_allow"))
 
-    return joined.withColumn("rule", F.when(hits("deny"), "deny").when(hits("allow"), "allow")).drop("_rules")
+    joined = calls.join(small_side(tools.drop("_lengths")), "tool", "left").join(hits, (F.col("tool") == F.col("_tool")) & (value == F.col("_value")), "left")
+    every = (F.col("tool") != "run_shell") & (value == "")
 
+    def holds(name: str) -> Column:
+        parts = [F.col(f"_bare_{name}"), F.col(f"_{name}"), every & F.col(f"_has_{name}")]
+        return F.exists(F.array(*[F.coalesce(p, F.lit(False)) for p in parts]), lambda x: x)
 
-def _applies(pattern: Column) -> Column:
-    """A shell call without a command has the empty one; other calls without a value meet every pattern of their tool."""
-    value = F.coalesce("value", F.lit(""))
-    stem = F.substr(pattern, F.lit(1), F.length(pattern) - 1)
-    fits = F.when(F.endswith(pattern, F.lit("*")), F.startswith(value, stem)).otherwise(value == pattern)
-    return pattern.isNull() | ((F.col("tool") != "run_shell") & (value == "")) | F.coalesce(fits, F.lit(False))
+    rule = F.when(holds("deny"), "deny").when(holds("allow"), "allow")
+    return joined.withColumn("rule", rule).select(*[F.col(f"`{c}`") for c in calls.columns if c != "rule"], "rule")
 
 
 def decide(

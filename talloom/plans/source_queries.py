@@ -9,12 +9,12 @@ from talloom.functions.text import manifest_line
 from talloom.operators import logs as log_ops
 from talloom.operators import policy, transcript
 from talloom.operators import usage as use
-from talloom.plans.registry import Tables, query
+from talloom.plans.registry import ORACLES, Tables, query
 from talloom.plans.session_queries import _RULED, _rules, _valued
 from talloom.plans.standins import calls, ctes, files
 from talloom.plans.text_queries import _html
 from talloom.session import scratch_path
-from talloom.sources import definitions, logs, sessions
+from talloom.sources import definitions, logs, session_store, sessions
 
 # -- session documents --------------------------------------------------------------
 
@@ -126,17 +126,36 @@ def _(t: Tables):
     SELECT id, arg_max(model, saved_at) AS model, strftime(max(saved_at), '%Y-%m-%d %H:%M:%S.%f') AS saved_at FROM s GROUP BY id""",
 )
 def _(t: Tables):
+    """Saves of many rows, of some again, and of one hour late; read as they are."""
     path = scratch_path(t.spark, "saved")
+    for rows in _saves(t):
+        session_store.write_sessions(rows, path)
+    return _saved_rows(session_store.stored_sessions(t.spark, path))
+
+
+def _saves(t: Tables):
     first = t.events.select(F.col("user_id").alias("id"), F.col("ts").alias("saved_at"), F.col("event_type").alias("model"))
-    sessions.write_sessions(first, path, buckets=4)
     again = t.events.filter("event_type = 'view'").select(
         F.col("user_id").alias("id"), (F.col("ts") + F.expr("INTERVAL 1 YEAR")).alias("saved_at"), F.concat(F.lit("saved "), "event_type").alias("model")
     )
-    sessions.write_sessions(again, path, buckets=4)
-    stored = sessions.stored_sessions(t.spark, path)
+    stale = first.withColumns({"saved_at": F.col("saved_at") - F.expr("INTERVAL 1 YEAR"), "model": F.lit("stale")})
+    return [first, again, stale]
+
+
+def _saved_rows(stored):
     return stored.select("id", "model", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("saved_at"))
 
 
+@query("compact_sessions", ORACLES["write_sessions"])
+def _(t: Tables):
+    """The same saves with compactions between them, in buckets of two kilobytes."""
+    path = scratch_path(t.spark, "compacted")
+    for rows in _saves(t):
+        session_store.write_sessions(rows, path)
+        session_store.compact_sessions(t.spark, path, bucket_bytes=2048)
+    return _saved_rows(session_store.stored_sessions(t.spark, path))
+
+
 # -- line logs ------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Session documents: reading both message shapes, listing, saving."""
+"""Session documents: reading both message shapes, listing."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.session import reliable
-
 METADATA_FIELDS = {  # fixed values: field in the document and its type
     "id": "string", "model": "string", "cwd": "string", "startTime": "timestamp", "messageCount": "bigint",
 }
@@ -126,35 +124,3 @@ def _block_rows(messages: DataFrame) -> DataFrame:
 def parsed_or_empty(text: Column) -> Column:
     """JSON text in canonical form; anything that does not parse is {}."""
     return F.coalesce(F.to_json(F.try_parse_json(F.coalesce(text, F.lit("")))), F.lit("{}"))
-
-
-def write_sessions(saved: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace the stored row of each id by its newest saved row.
-
-    saved(id, saved_at, ...). The table is partitioned by a hash of the id; only
-    partitions that get new rows are rewritten, in one atomic commit.
-    """
-    spark = saved.sparkSession
-    rest = [c for c in saved.columns if c != "id"]
-    newest = saved.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("saved_at")).alias("_r"))
-    newest = newest.select("id", *[F.col(f"_r.{c}").alias(c) for c in rest])
-    newest = newest.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    if _exists(spark, path):
-        stored = spark.read.parquet(path)
-        touched = newest.select("bucket").distinct()
-        # `touched` has at most `buckets` rows.
-        stay = stored.join(F.broadcast(touched), "bucket", "left_semi").join(newest.select("id"), "id", "left_anti")
-        # Stored rows are read from the partitions about to be replaced.
-        newest = reliable(newest.unionByName(stay.select(*newest.columns)))
-    # Few files per partition, and several for one that holds most sessions.
-    newest = newest.hint("rebalance", "bucket")
-    newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def stored_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")

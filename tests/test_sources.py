@@ -1,12 +1,13 @@
 """Sources and sinks over small files of every shape."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from talloom.session import shared_dir
-from talloom.sources import config, definitions, logs, notes, sessions
+from talloom.sources import config, definitions, logs, notes, session_store, sessions
 from talloom.sources.config import read_layered_config
 
 
@@ -64,13 +65,70 @@ def test_latest_session(spark, folder):
     assert latest_session(found, "start_time", "id").first()["id"] == "b"
 
 
+def _rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, saved_at int, model string")
+
+
+def _models(spark, path):
+    rows = [(r["id"], r["model"]) for r in session_store.stored_sessions(spark, path).collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
 def test_saved_sessions_are_replaced(spark, tmp_path):
     path = str(tmp_path / "saved")
-    rows = lambda *r: spark.createDataFrame(list(r), "id string, saved_at int, model string")
-    sessions.write_sessions(rows(("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("a", 2, "y")), path, buckets=2)
-    sessions.write_sessions(rows(("b", 5, "z"), ("d", 5, "z")), path, buckets=2)
-    got = {r["id"]: r["model"] for r in sessions.stored_sessions(spark, path).collect()}
-    assert got == {"a": "y", "b": "z", "c": "x", "d": "z"}
+    save = lambda *r: session_store.write_sessions(_rows(spark, *r), path)
+    save(("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("a", 2, "y"))
+    save(("b", 5, "z"), ("d", 5, "z"), ("a", 0, "old"))
+    assert _models(spark, path) == {"a": "y", "b": "z", "c": "x", "d": "z"}
+    session_store.compact_sessions(spark, path)
+    session_store.compact_sessions(spark, path)  # nothing left to do
+    save(("e", 1, "n"))
+    save()
+    assert _models(spark, path) == {"a": "y", "b": "z", "c": "x", "d": "z", "e": "n"}
+    session_store.compact_sessions(spark, path)
+    assert len(session_store.vacuum(spark, path, 0)) == 5
+    assert _models(spark, path) == {"a": "y", "b": "z", "c": "x", "d": "z", "e": "n"}
+
+
+def test_a_save_touches_no_other_row(spark, tmp_path):
+    """Files stay as they are, compaction rewrites the touched buckets, and their number follows the size."""
+    path = str(tmp_path / "saved")
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in (tmp_path / "saved").rglob("*.parquet")}
+    session_store.write_sessions(_rows(spark, *[(f"s{i}", i, "x" * (i % 50)) for i in range(3000)]), path)
+    session_store.compact_sessions(spark, path, 4096)
+    before, live = files(), session_store.Live(session_store._commits(spark, path))
+    assert live.bits >= 2 and len(live.buckets) == 2**live.bits
+    session_store.write_sessions(_rows(spark, ("s1", 9999, "new")), path)
+    assert {k: v for k, v in files().items() if k in before} == before
+    session_store.compact_sessions(spark, path, 4096)
+    assert {k: v for k, v in files().items() if k in before} == before
+    now = session_store.Live(session_store._commits(spark, path))
+    assert now.bits == live.bits and len(set(now.buckets) - set(live.buckets)) == 1 and now.single()
+    session_store.compact_sessions(spark, path, 4096)
+    session_store.write_sessions(_rows(spark, *[(f"t{i}", i, "y") for i in range(9000)]), path)
+    session_store.compact_sessions(spark, path, 4096)
+    grown = session_store.Live(session_store._commits(spark, path))
+    assert grown.bits > live.bits and grown.single()
+    found = _models(spark, path)
+    assert len(found) == 12_000 and found["s1"] == "new" and found["s2"] == "xx"
+
+
+def test_saves_and_compactions_at_once(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    session_store.write_sessions(_rows(spark, *[(f"s{i}", 0, "first") for i in range(50)]), path)
+
+    def work(n):
+        session_store.write_sessions(_rows(spark, *[(f"s{i}", n, f"m{n}") for i in range(n, 50)], ("tie", 7, f"m{n}")), path)
+        session_store.compact_sessions(spark, path, 512)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(1, 7)))
+    (tmp_path / "saved" / "data" / "halfway").mkdir()  # a save that never got to its commit
+    found = _models(spark, path)
+    assert {k: v for k, v in found.items() if k != "tie"} == {"s0": "first"} | {f"s{i}": f"m{min(i, 6)}" for i in range(1, 50)}
+    session_store.compact_sessions(spark, path, 512)
+    assert session_store.Live(session_store._commits(spark, path)).single() and _models(spark, path) == found
 
 
 def test_markdown_corpus(spark, tmp_path):
