@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talloom.functions import predicates, text
-from talloom.operators.transcript import keep_recent, superseded_reads
+from talloom.operators.ordered import Ordered
+from talloom.operators.transcript import recent
 
 # Markers and limits of the three tiers.
 SNIPPED = "[Content snipped - re-read if needed]"
@@ -45,21 +46,20 @@ def snip_tier(
     utilisation. Rows already snipped do not count.
     """
     joined = results.join(gauge.select(key, "utilisation", "idle_seconds"), key, "left")
-    return _snip(joined, key, order, value, keep, chunk_rows).drop("utilisation", "idle_seconds")
+    return _snip(Ordered(joined, [key], order, chunk_rows), value, keep).frame().drop("utilisation", "idle_seconds")
 
 
-def _snip(rows: DataFrame, key: str, order: list[str], value: str, keep: int, chunk_rows: int | None) -> DataFrame:
+def _snip(rows: Ordered, value: str, keep: int) -> Ordered:
     used = F.coalesce("utilisation", F.lit(0.0))
     hot = F.coalesce(F.col("idle_seconds") < IDLE_SECONDS, F.lit(False))
     gate = (used >= SNIP_FROM) & ~(hot & (used < SNIP_HOT_FROM))
     eligible = F.coalesce(
         F.col("tool").isin(*predicates.SNIPPABLE_TOOLS) & (F.col(value) != SNIPPED), F.lit(False)
     )
-    rows = keep_recent(rows, [key], order, eligible, keep, "_old", chunk_rows)
-    reads = eligible & (F.col("tool") == "read_file")
-    rows = superseded_reads(rows, [key], "path", order, reads, "_again", chunk_rows)
+    rows = recent(rows, rows.keys, rows.order, eligible, keep, "_old")
+    rows = rows.with_later("_again", eligible & (F.col("tool") == "read_file"), "path")
     snip = gate & (F.col("_old_eligible") > keep) & (F.col("_old") | F.col("_again"))
-    return rows.withColumn(value, F.when(snip, SNIPPED).otherwise(F.col(value))).drop("_old", "_old_eligible", "_again")
+    return rows.with_column(value, F.when(snip, SNIPPED).otherwise(F.col(value))).drop("_old", "_old_eligible", "_again")
 
 
 def microcompact_tier(
@@ -68,15 +68,15 @@ def microcompact_tier(
 ) -> DataFrame:
     """Clear all but the last results of idle sessions. gauge(key, idle_seconds)."""
     joined = results.join(gauge.select(key, "idle_seconds"), key, "left")
-    return _clear(joined, key, order, value, keep, chunk_rows).drop("idle_seconds")
+    return _clear(Ordered(joined, [key], order, chunk_rows), value, keep).frame().drop("idle_seconds")
 
 
-def _clear(rows: DataFrame, key: str, order: list[str], value: str, keep: int, chunk_rows: int | None) -> DataFrame:
+def _clear(rows: Ordered, value: str, keep: int) -> Ordered:
     idle = F.coalesce(F.col("idle_seconds") >= IDLE_SECONDS, F.lit(False))
     eligible = F.coalesce(~F.col(value).isin(SNIPPED, CLEARED), F.lit(False))
-    rows = keep_recent(rows, [key], order, eligible, keep, "_old", chunk_rows)
+    rows = recent(rows, rows.keys, rows.order, eligible, keep, "_old")
     cleared = F.when(idle & F.col("_old"), CLEARED).otherwise(F.col(value))
-    return rows.withColumn(value, cleared).drop("_old", "_old_eligible")
+    return rows.with_column(value, cleared).drop("_old", "_old_eligible")
 
 
 def compress(
@@ -84,9 +84,9 @@ def compress(
     keep: int = KEEP_RESULTS, wide: int = BUDGET_WIDE_CHARS, tight: int = BUDGET_TIGHT_CHARS,
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """The three tiers in order, with one join to the gauge and one exchange on the key."""
+    """The three tiers in order, with one join to the gauge and one exchange on the key; large sessions are cut once."""
     rows = results.join(gauge.select(key, "utilisation", "idle_seconds"), key, "left")
     used = F.coalesce("utilisation", F.lit(0.0))
     rows = rows.withColumn(value, budget_text(F.col(value), used, wide, tight))
-    rows = _snip(rows, key, order, value, keep, chunk_rows)
-    return _clear(rows, key, order, value, keep, chunk_rows).drop("utilisation", "idle_seconds")
+    ordered = _clear(_snip(Ordered(rows, [key], order, chunk_rows), value, keep), value, keep)
+    return ordered.frame().drop("utilisation", "idle_seconds")

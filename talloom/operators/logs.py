@@ -79,6 +79,31 @@ def expectation_report(actual: DataFrame, expected: DataFrame, key: str) -> Data
     return joined.select(key, F.col("expected"), got.alias("events"), status.alias("status"))
 
 
+def track_report(log: DataFrame, counts: DataFrame, texts: DataFrame, present: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """What each track of a run was expected to do, row by row: track, test, item, expected, found, met.
+
+    log(track, item, text): what the tracks did. counts(track, item, expected): how often; what was done without being
+    expected is a row, too. texts(track, needle) must occur in some text of the track. forbidden(track, path) must not
+    be among present(path).
+    """
+    done = log.groupBy("track", "item").agg(F.count(F.lit(1)).alias("found"))
+    wanted = counts.select("track", "item", F.col("expected").cast("bigint").alias("expected"))
+    number = done.join(wanted, ["track", "item"], "full").select(
+        "track", F.lit("count").alias("test"), "item", F.coalesce("expected", F.lit(0)).cast("bigint").alias("expected"),
+        F.coalesce("found", F.lit(0)).cast("bigint").alias("found"),
+    )
+    # the needles of a track meet its texts; the rows that hit are counted before anything moves on
+    said = small_side(texts.distinct()).join(log.select("track", "text"), "track", "left")
+    hit = F.coalesce(F.contains("text", F.col("needle")), F.lit(False)).cast("bigint")
+    spoken = said.groupBy("track", "needle").agg(F.max(hit).alias("found"))
+    spoken = spoken.select("track", F.lit("text").alias("test"), F.col("needle").alias("item"), F.lit(1).cast("bigint").alias("expected"), "found")
+    there = present.select("path").distinct().withColumn("found", F.lit(1).cast("bigint"))
+    absent = forbidden.distinct().join(there, "path", "left").select(
+        "track", F.lit("absent").alias("test"), F.col("path").alias("item"), F.lit(0).cast("bigint").alias("expected"), F.coalesce("found", F.lit(0)).cast("bigint").alias("found")
+    )
+    return number.unionByName(spoken).unionByName(absent).withColumn("met", F.col("expected") == F.col("found"))
+
+
 def missing_substrings(texts: DataFrame, needles: list[str]) -> DataFrame:
     """For each needle whether any text contains it: one pass, one row of flags."""
     found = texts.agg(*[F.max(F.contains("text", F.lit(n))).alias(f"n{i}") for i, n in enumerate(needles)])

@@ -4,7 +4,12 @@ A plain window puts a whole group into one task. `Ordered` keeps that form
 while the input is small or no group is large. Otherwise it cuts each large group into
 consecutive chunks, computes the running value inside every chunk and adds what
 the earlier chunks of the group contribute (the carry). All supported values
-are associative, so both forms give the same rows.
+are associative, so both forms give the same rows, in columns of the same types.
+
+Borders are looked for once, and the rows with their chunks are stored once: every
+later value of the same `Ordered` reads the columns it needs from there. An operator
+that takes an `Ordered` goes on with its chunks, so a chain of operators has one
+border job, whatever its length.
 
 Chunk borders are the order values of rows chosen by a hash, so they
 depend on the data alone: a lost executor recomputes the same chunks, and two
@@ -19,6 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talloom.session import must_split, reliable
 
@@ -84,7 +90,14 @@ class Ordered:
         if chunk_rows is not None or must_split(df):
             borders = self._borders(df, chunk_rows or CHUNK_ROWS)
         self.split = borders is not None
-        self.df = self._cut(df, borders) if self.split else df
+        self.df = reliable(self._cut(df, borders), "chunks") if self.split else df
+
+    @classmethod
+    def over(cls, rows: DataFrame | Ordered, keys: Sequence[str], order: Sequence[str], chunk_rows: int | None = None) -> Ordered:
+        """Rows in order; an `Ordered` with these keys and this order is gone on with."""
+        if isinstance(rows, DataFrame):
+            return cls(rows, keys, order, chunk_rows)
+        return rows if (rows.keys, rows.order) == (list(keys), list(order)) else cls(rows.frame(), keys, order, chunk_rows)
 
     # -- chunks ---------------------------------------------------------
 
@@ -143,7 +156,8 @@ class Ordered:
             return self._next(self._unwrapped(local, values), values)
         same = [*self._same_key(), F.col(_CHUNK) == F.col("_k_chunk")]
         joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(carries, same, "left")
-        merged = {n: _merge(v, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, v in values.items()}
+        # a sum over sums of decimals has a wider type than the sum itself
+        merged = {n: _merge(v, F.col(f"_c_{n}"), F.col(f"_l_{n}")).cast(_kind(v, joined.schema[f"_l_{n}"].dataType)) for n, v in values.items()}
         kept = joined.withColumns(merged).select(*self.columns, *values, _HOT, _CHUNK)
         return self._next(kept, values)
 
@@ -165,9 +179,22 @@ class Ordered:
         if sums is None:
             return self._next(self.df.withColumns(local), values)
         joined = self.df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(sums, self._same_key(), "left")
-        chosen = {n: F.when(F.col(_HOT), F.col(f"_t_{n}")).otherwise(F.col(f"_l_{n}")) for n in values}
+        chosen = {n: F.when(F.col(_HOT), F.col(f"_t_{n}").cast(joined.schema[f"_l_{n}"].dataType)).otherwise(F.col(f"_l_{n}")) for n in values}
         return self._next(joined.withColumns(chosen).select(*self.columns, *values, _HOT, _CHUNK), values)
 
+    def with_later(self, name: str, flag: Column, within: str) -> Ordered:
+        """Add whether a flagged row is followed by another flagged one with the same value of a column in its group."""
+        position, keys = F.struct(*self.order), [*self.keys, within]
+        chosen = flag & F.col(within).isNotNull()
+        if not self.split:
+            last = F.max(F.when(chosen, position)).over(Window.partitionBy(*keys))
+            return self.with_column(name, F.coalesce(chosen & (position < last), F.lit(False)))
+        # the last positions are aggregated before they move; no group is brought together for them
+        ends = self.df.filter(chosen).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(position).alias("_last"))
+        joined = self.df.join(ends, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+        flagged = joined.withColumn(name, F.coalesce(chosen & (position < F.col("_last")), F.lit(False)))
+        return self._next(flagged.drop("_last", *[f"_k_{k}" for k in keys]), [name])
+
     def with_column(self, name: str, value: Column) -> Ordered:
         return self._next(self.df.withColumn(name, value), [name])
 
@@ -187,12 +214,17 @@ class Ordered:
     def _next(self, df: DataFrame, added) -> Ordered:
         other = object.__new__(Ordered)
         other.keys, other.order, other.split = self.keys, self.order, self.split
-        other.columns = self.columns + [n for n in added if n not in self.columns]
+        other.columns = self.columns + [n for n in added if n not in self.columns]  # a replaced column keeps its place
         other.df = df
         return other
 
+    def drop(self, *names: str) -> Ordered:
+        other = self._next(self.df.drop(*names), [])
+        other.columns = [c for c in self.columns if c not in names]
+        return other
+
     def frame(self) -> DataFrame:
-        return self.df.select(*self.columns)
+        return self.df.select(*[f"`{c}`" for c in self.columns])
 
 
 def _small_table(table: DataFrame, size: Column) -> DataFrame | None:
@@ -207,6 +239,10 @@ def _small_table(table: DataFrame, size: Column) -> DataFrame | None:
     return F.broadcast(table) if measured <= MAX_BROADCAST_ROWS else table
 
 
+def _kind(v: Running, local: T.DataType) -> T.DataType:
+    return local["v"].dataType if v.kind == "previous" else local
+
+
 def _borders_below(borders: Column, value: Column) -> Column:
     """How many sorted borders lie below the value, by binary search."""
     rounds = F.floor(F.log2(F.size(borders))).cast("int")

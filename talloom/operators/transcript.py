@@ -165,17 +165,22 @@ def parallel_batches(
     return rows.with_running(batch=running_sum(F.col("_starts"))).frame().drop("_before", "_starts")
 
 
+def recent(
+    rows: DataFrame | Ordered, keys: list[str], order: list[str], eligible: Column, n: int, name: str = "old", chunk_rows: int | None = None,
+) -> Ordered:
+    """`keep_recent` that can be gone on with."""
+    one = F.when(eligible, 1).otherwise(0).cast("bigint")
+    placed = Ordered.over(rows, keys, order, chunk_rows).with_running(_seen=running_sum(one)).with_total(_all=one)
+    flagged = placed.with_column(name, eligible & (F.col("_all") - F.col("_seen") >= n))
+    return flagged.with_column(f"{name}_eligible", F.col("_all")).drop("_seen", "_all")
+
+
 def keep_recent(
     rows: DataFrame, keys: list[str], order: list[str], eligible: Column, n: int,
     name: str = "old", chunk_rows: int | None = None,
 ) -> DataFrame:
     """Flag eligible rows that are not among the last n eligible rows of their group."""
-    one = F.when(eligible, 1).otherwise(0).cast("bigint")
-    placed = Ordered(rows, keys, order, chunk_rows).with_running(_seen=running_sum(one)).with_total(_all=one)
-    flagged = placed.frame().withColumn(name, eligible & (F.col("_all") - F.col("_seen") >= n))
-    return flagged.withColumn("_eligible", F.col("_all")).drop("_seen", "_all").withColumnRenamed(
-        "_eligible", f"{name}_eligible"
-    )
+    return recent(rows, keys, order, eligible, n, name, chunk_rows).frame()
 
 
 def superseded_reads(

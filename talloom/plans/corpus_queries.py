@@ -8,7 +8,7 @@ from talloom.functions import predicates, text
 from talloom.operators import catalog, corpus
 from talloom.plans.registry import Tables, query
 from talloom.plans.standins import calls, ctes, files, notes
-from talloom.session import scratch_path
+from talloom.session import reliable, scratch_path
 from talloom.sources import config, notes as note_source
 
 _PATTERN = "[0-9]{3}"
@@ -232,6 +232,42 @@ def _(t: Tables):
     return note_source.list_notes(t.spark.read.parquet(path).drop("type")).select("doc_id", "name", "description", "type", "body")
 
 
+def _note_folder(t: Tables) -> str:
+    """Every document as a file of its own in the folder of its source; one in ten is not there yet."""
+    path = scratch_path(t.spark, "notes")
+    note_source.write_note_files(_as_files(t).where("doc_id % 10 <> 3"), path)
+    return path
+
+
+def _as_files(t: Tables):
+    return t.documents.select("doc_id", F.col("source").alias("folder"), F.concat("doc_id", F.lit(".md")).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(
+    "read_markdown_corpus",
+    "SELECT doc_id || '.md' AS file, source AS folder, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 3",
+)
+def _(t: Tables):
+    raw = note_source.read_markdown_corpus(t.spark, _note_folder(t))
+    return raw.select("file", F.element_at(F.split("folder", "/"), -1).alias("folder"), "text")
+
+
+@query(
+    "note_changes",
+    """SELECT doc_id || '.md' AS file, CASE doc_id % 10 WHEN 3 THEN 'new' WHEN 4 THEN 'changed' ELSE 'removed' END AS status,
+    CASE doc_id % 10 WHEN 3 THEN coalesce(text, '') WHEN 4 THEN coalesce(text, '') || '!' END AS text FROM documents WHERE doc_id % 10 IN (3, 4, 5)""",
+)
+def _(t: Tables):
+    """Notes are written and indexed; then some come, some change, some go, and some are written again as they were."""
+    path = _note_folder(t)
+    index = reliable(note_source.note_index(note_source.read_markdown_corpus(t.spark, path)), "note-index")
+    part, text = F.col("doc_id") % 10, F.col("text")
+    after = F.when(part == 4, F.concat(text, F.lit("!"))).when(part != 5, text)
+    note_source.write_note_files(_as_files(t).where(part.isin(3, 4, 5, 6)).withColumn("text", after), path)
+    changes = note_source.note_changes(t.spark, path, index)
+    return changes.select(F.element_at(F.split("path", "/"), -1).alias("file"), "status", "text")
+
+
 @query(
     "scan_headers",
     ctes("notes") + """SELECT doc_id, CASE WHEN lang <> 'es' AND source <> 'src3' THEN lang || ': from ' || source END AS description,

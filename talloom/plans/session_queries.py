@@ -636,6 +636,29 @@ def _(t: Tables):
     return logs.expectation_report(logs.category_counts(t.events, "event_type"), expected, "event_type")
 
 
+@query(
+    "track_report",
+    ctes("calls") + """, l AS (SELECT CASE WHEN session % 3 = 0 THEN 'main' ELSE 'side' || session % 3 END AS track, tool AS item, command AS text, path FROM calls),
+    c(track, item, expected) AS (SELECT 'main', 'read_file', count(*) FROM l WHERE track = 'main' AND item = 'read_file' UNION ALL VALUES ('side1', 'read_file', 3), ('side9', 'edit_file', 1)),
+    n(track, needle) AS (VALUES ('main', 'sudo'), ('side1', 'no such text'), ('side9', 'x')),
+    f(track, path) AS (VALUES ('main', 'dir/f5'), ('side2', 'dir/none'))
+    SELECT track, 'count' AS test, item, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(n, 0) AS found, coalesce(expected, 0) = coalesce(n, 0) AS met FROM c FULL JOIN (SELECT track, item, count(*) AS n FROM l GROUP BY ALL) USING (track, item)
+    UNION ALL SELECT track, 'text', needle, 1, x, x = 1 FROM (SELECT n.track, needle, CAST(coalesce(bool_or(contains(text, needle)), FALSE) AS BIGINT) AS x FROM n LEFT JOIN l ON l.track = n.track GROUP BY ALL)
+    UNION ALL SELECT track, 'absent', path, 0, x, x = 0 FROM (SELECT track, path, CAST(path IN (SELECT path FROM l) AS BIGINT) AS x FROM f)""",
+)
+def _(t: Tables):
+    """Three tracks against counts of their calls, texts they must have used, and paths that must not be there."""
+    third = F.col("session") % 3
+    track = F.when(third == 0, "main").otherwise(F.concat(F.lit("side"), third))
+    log = calls(t).select(track.alias("track"), F.col("tool").alias("item"), F.col("command").alias("text"), "path")
+    met = log.where("track = 'main' AND item = 'read_file'").groupBy("track", "item").agg(F.count(F.lit(1)).alias("expected"))
+    table = lambda schema, *rows: literal_rows(t.spark, [dict(zip([c.split()[0] for c in schema.split(", ")], r)) for r in rows], schema)
+    counts = met.unionByName(table("track string, item string, expected bigint", ("side1", "read_file", 3), ("side9", "edit_file", 1)))
+    texts = table("track string, needle string", ("main", "sudo"), ("side1", "no such text"), ("side9", "x"))
+    forbidden = table("track string, path string", ("main", "dir/f5"), ("side2", "dir/none"))
+    return logs.track_report(log, counts, texts, log.select("path"), forbidden)
+
+
 @query(
     "missing_substrings",
     """SELECT needle, (SELECT bool_or(contains(text, needle)) FROM conversations) AS found FROM (VALUES ('the'), ('no such words here'), ('que')) v(needle)""",

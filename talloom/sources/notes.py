@@ -13,21 +13,80 @@ INDEX_FILE = "MEMORY.md"  # fixed value
 HEADER_LINES = 30
 
 
+def _note_files(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
+    return raw.where(F.element_at(F.split("path", "/"), -1) != INDEX_FILE)
+
+
 def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     """*.md files below a folder, without the index: path, file, folder, mtime, text.
 
-    Millions of tiny files list slowly; write the result as Parquet once and
-    point later jobs at that.
+    Millions of tiny files list slowly; write the result as Parquet once, point
+    later jobs at that, and keep it up to date with `note_changes`.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
-    return raw.select(
+    return _note_files(spark, path).select(
         "path",
         F.element_at(parts, -1).alias("file"),
         F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"),
         F.col("modificationTime").alias("mtime"),
         F.decode("content", "UTF-8").alias("text"),
-    ).filter(F.col("file") != INDEX_FILE)
+    )
+
+
+def note_index(raw: DataFrame) -> DataFrame:
+    """What `note_changes` compares with: path, mtime and content hash of every note. Store it."""
+    return raw.select("path", "mtime", F.sha2("text", 256).alias("hash"))
+
+
+def note_changes(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """New, changed and removed notes below a folder since an index was made: path, status, mtime, hash, text.
+
+    Files are listed without their contents first. Contents are read of files that are new or have another time than in
+    the index, and the earliest of these times is a filter that reaches the source; a file whose content is the same
+    after all is no change.
+    """
+    listed = _note_files(spark, path).select("path", F.col("modificationTime").alias("mtime"))
+    known = index.select("path", F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    both = listed.join(known, "path", "full")
+    open_ = both.where("mtime IS NOT NULL AND NOT (_mtime <=> mtime)").select("path", "_hash")
+    since = both.where("mtime IS NOT NULL AND NOT (_mtime <=> mtime)").agg(F.min("mtime")).first()[0]
+    removed = both.where("mtime IS NULL").select(
+        "path", F.lit("removed").alias("status"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("hash"),
+        F.lit(None).cast("string").alias("text"),
+    )
+    if since is None:
+        return removed
+    read = _note_files(spark, path).where(F.col("modificationTime") >= F.lit(since))
+    read = read.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+    seen = read.join(open_, "path").withColumn("hash", F.sha2("text", 256)).where("NOT (hash <=> _hash)")
+    status = F.when(F.col("_hash").isNull(), "new").otherwise("changed").alias("status")
+    return seen.select("path", status, "mtime", "hash", "text").unionByName(removed)
+
+
+def update_index(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """The index after the changes."""
+    kept = index.join(changes.select("path"), "path", "left_anti")
+    return kept.unionByName(changes.where("status <> 'removed'").select("path", "mtime", "hash"))
+
+
+def write_note_files(files: DataFrame, path: str) -> None:
+    """A Markdown file per row (folder, file, text) below a folder that all executors reach; null text deletes the file."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        for row in rows:
+            folder = f"{base}/{row['folder']}"
+            if row["text"] is None:
+                place.delete_file(f"{folder}/{row['file']}")
+                continue
+            place.create_dir(folder, recursive=True)
+            with place.open_output_stream(f"{folder}/{row['file']}") as out:
+                out.write(row["text"].encode("utf-8", "surrogatepass"))
+
+    files.select("folder", "file", "text").foreachPartition(write)
 
 
 def list_notes(raw: DataFrame) -> DataFrame:

@@ -86,3 +86,32 @@ def test_parts_join_to_the_whole(rows, chunk_rows):
     want = pdf.groupby("k")["id"].agg(lambda s: ",".join(map(str, s)))
     for k, g in got.groupby("k"):
         assert ",".join(g.sort_values("part")["text"]) == want[k]
+
+
+def test_both_forms_have_the_same_types(rows):
+    values = {
+        "d": running_sum(F.col("id").cast("decimal(18,6)")), "f": running_sum(F.col("id").cast("float")), "i": running_sum(F.col("id").cast("int")),
+        "p": previous(F.col("v").cast("decimal(10,2)")), "m": running_max(F.col("id").cast("smallint")),
+    }
+    totals = {"t": F.col("id").cast("decimal(18,6)"), "n": F.lit(1)}
+    one, cut = (Ordered(rows, ["k"], ["t", "id"], c).with_running(**values).with_total(**{f"all_{n}": v for n, v in totals.items()}).frame() for c in (None, 50))
+    assert one.schema.simpleString() == cut.schema.simpleString()
+    assert one.select("id", "d", "i", "p", "m", "all_t").exceptAll(cut.select("id", "d", "i", "p", "m", "all_t")).isEmpty()
+
+
+def test_tiers_share_their_borders(spark, monkeypatch):
+    """The three tiers over cut sessions: one search for borders, and rows and types of the plain form."""
+    from talloom.operators import compress
+
+    results = spark.range(900).select(
+        F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 5).alias("session"), "id", F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(9))).alias("path"),
+        F.when(F.col("id") % 3 == 0, "read_file").when(F.col("id") % 3 == 1, "grep_search").otherwise("write_file").alias("tool"),
+        F.repeat(F.lit("text "), (F.col("id") % 40).cast("int")).alias("text"),
+    )
+    gauge = spark.range(5).select(F.col("id").alias("session"), (F.col("id") / 5 + 0.3).alias("utilisation"), (F.col("id") % 2 * 400 + 100).alias("idle_seconds"))
+    found = []
+    search = Ordered._borders
+    monkeypatch.setattr(Ordered, "_borders", lambda self, *a: found.append(1) or search(self, *a))
+    one, cut = (compress.compress(results, gauge, "session", ["id"], wide=120, tight=90, chunk_rows=c) for c in (None, 20))
+    assert len(found) == 1 and one.schema.simpleString() == cut.schema.simpleString()
+    assert one.exceptAll(cut).isEmpty() and cut.exceptAll(one).isEmpty() and one.select("text").distinct().count() > 20

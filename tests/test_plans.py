@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 
 QUERIES = contract.queries()
 # These run streams or write tables when they are built; their plans only read results.
-EAGER = re.compile("stream|read_sessions|read_rules|write_sessions|event_log|result_texts|session_catalog|quarantine|compress_sessions")
+EAGER = re.compile("stream|read_sessions|read_rules|write_sessions|event_log|result_texts|session_catalog|quarantine|compress_sessions|compact_sessions|replies|pending|_open|late_results_late|note_changes|markdown_corpus")
 
 
 def _plan(spark, sf, name):

@@ -212,3 +212,19 @@ def test_event_log(spark, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_note_changes(spark, tmp_path):
+    folder = str(tmp_path / "notes")
+    files = lambda *rows: spark.createDataFrame(list(rows), "folder string, file string, text string")
+    notes.write_note_files(files(("a", "x.md", "one"), ("a b/c", "y.md", "two\n"), ("a", "z.md", "é"), ("a", "MEMORY.md", "i")), folder)
+    index = notes.note_index(notes.read_markdown_corpus(spark, folder))
+    index = spark.createDataFrame(index.collect(), index.schema)
+    assert index.count() == 3 and notes.note_changes(spark, folder, index).isEmpty()
+    notes.write_note_files(files(("a", "x.md", "one"), ("a b/c", "y.md", "three"), ("a", "z.md", None), ("n", "w.md", "new"), ("a", "MEMORY.md", "j")), folder)
+    changes = notes.note_changes(spark, folder, index)
+    assert {(r["path"].split("/")[-1], r["status"], r["text"]) for r in changes.collect()} == {("y.md", "changed", "three"), ("z.md", "removed", None), ("w.md", "new", "new")}
+    after = spark.createDataFrame(notes.update_index(index, changes).collect(), index.schema)
+    assert after.count() == 3 and notes.note_changes(spark, folder, after).isEmpty()
+    notes.write_note_files(files(("a", "x.md", None), ("a b/c", "y.md", None), ("n", "w.md", None)), folder)
+    assert {r["status"] for r in notes.note_changes(spark, folder, after).collect()} == {"removed"}
