@@ -36,12 +36,37 @@ TEXT_WEIGHT = 30.0
 HOST_SMOOTHING = 5.0
 TABLE_SMOOTHING = 1.0
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_HIDING = re.compile(r"<(script|style)\b", re.I)
+_CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 
 
 def visible(page: str | None) -> str:
-    """Text of a page without markup."""
-    return markup.unescape(_HIDDEN.sub(" ", page)) if isinstance(page, str) else ""
+    """Text of a page without markup, scripts, styles and comments.
+
+    One pass forward. A script, style or comment that is never closed is a tag like others, and a tag without its end is
+    text. An end that is not found is not looked for again, so unclosed markup takes no longer than any other.
+    """
+    if not isinstance(page, str):
+        return ""
+    out, at, comments, open_ = [], 0, True, dict(_CLOSING)
+    while (begin := page.find("<", at)) >= 0:
+        end = 0
+        if (tag := _HIDING.match(page, begin)) and (name := tag[1].lower()) in open_:
+            if close := open_[name].search(page, tag.end()):
+                end = close.end()
+            else:
+                del open_[name]
+        elif comments and page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4) + 3
+            if end == 2:
+                end, comments = 0, False
+        end = end or page.find(">", begin + 1) + 1
+        if not end:
+            break
+        out += page[at:begin], " "
+        at = end
+    out.append(page[at:])
+    return markup.unescape("".join(out))
 
 
 def trigrams(text: str) -> np.ndarray:

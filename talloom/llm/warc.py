@@ -13,8 +13,8 @@ Of pages with equal payloads of at least `REVISIT_BYTES`, that with the largest
 revisit records without a payload, which are resolved by the id they refer to.
 
 Defined cases: null html is an empty payload; a null url is written as `urn:none`; a null id is kept, never chosen as
-the one referred to; rows that repeat id and payload make equal records, of which the reader keeps one (a record id is
-unique); a damaged group of segments gives a row with null bytes and digest; other columns are not read.
+the one referred to; rows that repeat id and payload are records with an occurrence number in their ids, so that every
+row comes back; a damaged group of segments gives a row with null bytes and digest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,9 +77,9 @@ def _record(kind: str, name: str, url: str, block: bytes, *extra: str) -> bytes:
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "surrogatepass") + block
 
 
-def _records(page, url: str, payload: bytes, digest: str, refers: str | None) -> Iterator[bytes]:
+def _records(page, url: str, payload: bytes, digest: str, refers: str | None, again: str | None) -> Iterator[bytes]:
     url = url.replace("\r", "%0D").replace("\n", "%0A")
-    name = f"urn:page:{page}:{digest}"
+    name = f"urn:page:{page}:{digest}" + (f":again{again}" if again is not None else "")
     proof = f"WARC-Payload-Digest: sha1:{digest}"
     if refers is not None:
         yield _record("revisit", name, url, HTTP, proof, f"WARC-Refers-To: <urn:page:{refers}:{digest}>",
@@ -97,10 +97,18 @@ def _records(page, url: str, payload: bytes, digest: str, refers: str | None) ->
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and `refers`: the page whose equal payload stands for this one, or null."""
+    """page_id, url, html, digest, `refers`: the page whose equal payload stands for this one, or null, and `again`: a
+    number that tells rows of equal id and payload apart, null for the first of them."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("urn:none")).alias("url"), html.alias("html"))
+    rows = pages.select(
+        F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("urn:none")).alias("url"), html.alias("html"),
+        F.monotonically_increasing_id().alias("place"),
+    )
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    equal = rows.groupBy(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).agg(F.min("place").alias("first"), F.count("*").alias("_n"))
+    equal = stored(equal.where("_n > 1").drop("_n"), "equal-pages")
+    rows = rows.join(equal, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    rows = rows.withColumn("again", F.when(F.col("place") != F.col("first"), F.col("place"))).drop("_page", "_digest", "first", "place")
     large = rows.where(F.octet_length("html") >= REVISIT_BYTES)
     # stored first: the planner then knows how small it is, and pages move only if it is not
     repeats = stored(large.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1"), "repeats")
@@ -116,12 +124,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
             out: list[bytes] = []
             for row in batch.itertuples(index=False):
                 payload = row.html.encode("utf-8", "surrogatepass")
-                out += _records(row.page, row.url, payload, row.digest, row.refers if isinstance(row.refers, str) else None)
+                out += _records(row.page, row.url, payload, row.digest, *(x if isinstance(x, str) else None for x in (row.refers, row.again)))
             yield pd.DataFrame({"record": out})
 
     # ids as text: pandas would turn whole numbers beside nulls into floats
     rows = with_revisits(pages).select(
-        F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("page"), "url", "html", "digest", F.col("refers").cast("string").alias("refers")
+        F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("page"), "url", "html", "digest", F.col("refers").cast("string").alias("refers"),
+        F.col("again").cast("string").alias("again"),
     )
     records = rows.mapInPandas(render, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)

@@ -1,8 +1,11 @@
 """Archives, language identification and vectors against brute force, and odd input."""
 
 import hashlib
+import html
 import math
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -38,6 +41,34 @@ def test_archives_of_odd_pages(spark, odd_pages, monkeypatch):
         assert (found[key]["record_type"], found[key]["refers_to"]) == (("revisit", last) if again else ("response", None))
 
 
+def test_every_page_row_comes_back(spark, odd_pages):
+    """Rows that repeat their id and payload, with other addresses or not, and rows without ids."""
+    big = "<p>" + "x" * 40_000
+    rows = [(1, "http://a/", "p"), (1, "http://b/", "p"), (1, "http://a/", "p"), (None, "u", "p"), (None, "v", "p"), (2, "u", big), (2, "v", big), (1, "w", big), (None, "w", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.round_trip(pages).collect()
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in found))
+    want = [(i or 0, len(h), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else 0) for i, _, h in rows]
+    assert got == sorted(want)
+    assert warc.round_trip(odd_pages.unionByName(odd_pages)).count() == 2 * odd_pages.count()
+
+
+@pytest.mark.parametrize("page", ["<script a ", "<!-- x ", "<style>", "<", "<a ", "</script ", "<!--", "<script></scrip"])
+def test_unclosed_markup_takes_linear_time(page):
+    whole = page * (5_000_000 // len(page))
+    start = time.perf_counter()
+    langid.visible(whole)
+    assert time.perf_counter() - start < 20
+
+
+def test_visible_text_is_what_the_pattern_leaves():
+    hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    rng, parts = random.Random(3), ["<script>", "</script>", "</SCRIPT >", "<style", "</style>", "<!--", "-->", "<", ">", "a", " ", "<p>", "--", "<scripted>", "&amp;"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert langid.visible(page) == html.unescape(hidden.sub(" ", page)), page
+
+
 def test_segments_are_checked(spark, odd_pages):
     path = scratch_path(spark, "warc-test")
     warc.write_archives(odd_pages, path)
