@@ -92,8 +92,9 @@ def budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: Mapping[st
 def mix(
     docs: DataFrame, budget: float = 1.0, max_epochs: int = 4, weights: Mapping[str, Mapping[str, float]] | None = None,
     domain: Column | None = None, default_weight: float = 1.0, seed: int = SEED, text: str = "text", id_col: str = "doc_id",
+    epoch: str = "epoch",
 ) -> DataFrame:
-    """Documents with `epoch`, one row per selected copy, in their own columns besides.
+    """Documents with `epoch`, one row per selected copy, in their own columns besides (but for one of that name).
 
     budget: tokens, or up to 1.0 a part of all tokens. domain: the top level, by default the whole corpus.
     """
@@ -138,5 +139,5 @@ def mix(
     copies = F.col("whole") + F.when(partial, 1).otherwise(0)
     chosen = chosen.select("_row", copies.alias("copies")).where("copies > 0")
     return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(
-        "_row.*", (F.col("_copy") - 1).cast("int").alias("epoch")
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c != epoch], (F.col("_copy") - 1).cast("int").alias(epoch)
     )

@@ -113,7 +113,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bas
 
 
 def components(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """fp and root for every fingerprint that has a link; the root is the node of smallest `name`.
+    """fp, component_id and root for every fingerprint that has a link: name and fp of the node of smallest `name`.
 
     Alternating star contraction: each node hands its larger neighbours, then its smaller ones, to the smallest node
     it knows. The number of rounds grows with the logarithm of the component size; degrees are aggregated before any
@@ -138,7 +138,7 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
         pairs = stored(small.where(F.col("u") != F.col("v")).distinct(), "star")
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
-            return pairs.select(F.col("u.fp").alias("fp"), F.col("v.name").alias("component_id"))
+            return pairs.select(F.col("u.fp").alias("fp"), F.col("v.name").alias("component_id"), F.col("v.fp").alias("root"))
         seen = state
 
 
@@ -156,12 +156,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
-def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id, ties by text. Own columns only.
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Exactly one row of each group of near duplicates: that with the smallest id, then the smallest text hash.
 
-    near: gives doc_id and component_id of every row.
+    near: gives doc_id, text_hash (xxhash64 of the text) and component of every row: a key of its group, as two groups may
+    share their smallest id. Ids that are null come last; of rows equal in id and text one stays; rows of a group are
+    counted before any moves. Own columns only.
     """
-    found = near(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    best = found.select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_keep"]), "left_semi")
-    return kept
+    rows = near(docs).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+    best = stored(rows.groupBy("component").agg(F.min(place).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_hash"), F.col("b.n").alias("_n")), "kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return packed.join(keys.select("_id", "_hash"), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash")))
+
+    # only rows that repeat in id and text must meet, once more
+    single = of(best.where("_n = 1")).select("_row")
+    repeated = of(best.where("_n > 1")).groupBy("_d", "_t").agg(F.first("_row").alias("_row")).select("_row")
+    return single.unionByName(repeated).select(*[F.col(f"_row.`{c}`") for c in docs.columns])

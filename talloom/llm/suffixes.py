@@ -329,14 +329,18 @@ def without_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = duplicate_spans(docs, width=width).where("n_removed > 0")
     spans = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     spans = spans.dropDuplicates(["_id", "_hash"])
-    whole = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_hash"]), "left")
+    # own columns travel packed, whatever their names are
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    whole = packed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, r) for t, r in zip(texts, runs)], dtype="object")
 
     shorter = whole.withColumn("text", F.when(F.col("_spans").isNotNull(), cut("text", "_spans")).otherwise(F.col("text")))
-    kept = shorter.where(F.col("_spans").isNull() | (F.col("text") != "")).select(*docs.columns)
+    kept = shorter.where(F.col("_spans").isNull() | (F.col("text") != "")).select(
+        *[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
+    )
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 

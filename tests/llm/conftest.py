@@ -8,6 +8,9 @@ DOCS = T.StructType([
     # names that operators use inside
     T.StructField("fp", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n_words", T.StringType()),
     T.StructField("_row", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("hash", T.StringType()),
+    *[T.StructField(n, T.StringType()) for n in (
+        "node _id _hash _spans _d _t _n epoch component_id spans text_hash size keys run leaf grp seen row idx items n tree ids fail_bits kept_sha256"
+    ).split()],
 ])
 
 
@@ -45,7 +48,8 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(i, t, lang, source, None, "f", "k", "w", "r", "c", "h") for i, t, lang, source in ODD]
+    more = [f"own {f.name}" for f in DOCS.fields[5:]]
+    rows = [(i, t, lang, source, None, *more) for i, t, lang, source in ODD]
     return spark.createDataFrame(rows, DOCS)
 
 
