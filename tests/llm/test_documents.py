@@ -316,6 +316,8 @@ def test_mix_takes_the_longest_prefix(spark, sf):
 
 
 def test_mix_on_odd_rows(odd, empty):
+    assert mixing.mix(odd, 1.0, 1).columns == [*[c for c in odd.columns if c != "epoch"], "epoch"]
+    odd = odd.drop("epoch")
     everything = mixing.mix(odd, 1.0, 1)
     assert everything.columns == [*odd.columns, "epoch"]
     # one epoch of everything: only rows of leaves without tokens are left out
