@@ -1,8 +1,9 @@
 """Rows of a key in time order, over micro-batches of any cut: the reorder buffer of the stateful processors.
 
-Rows wait in map state, a sorted chunk per entry, keyed by time bucket, run and chunk. Chunks are written once and never
-rewritten. When the watermark has passed a bucket its runs are merged, chunk by chunk, and handed on in frames of bounded
-size: neither a session nor a bucket is ever one list, and nothing is sorted but the rows of one arriving frame.
+Rows wait in map state. Every arriving frame is sorted and becomes a run, an entry per chunk of rows; time is counted in
+buckets of `BUCKET_MS`. When the watermark has passed a bucket, the runs that reach into passed time are merged, one chunk of
+each at a time, and handed on in frames of bounded size: a session is never one list, and nothing is sorted but the rows of
+one arriving frame. What of a chunk has not passed yet stays in its entry; sparse sessions have one entry, not one per time.
 
 Rows that arrive after their bucket has passed come out as rows of kind `late`, beside the results of kind `done`. For
 that the engine must not drop them: the event time column ends at the watermark, and rows go on with `us` alone.
@@ -12,9 +13,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,24 +54,27 @@ class InOrder(StatefulProcessor):
         self.names = ["us", "seq", *self.fields]
         types = {"us": "bigint", "seq": "bigint"} | self.fields
         self.held = handle.getValueState("held", self.state)
-        self.waiting = handle.getMapState("waiting", "bucket bigint, run int, chunk int", ", ".join(f"{n} array<{t}>" for n, t in types.items()))
-        # chunks of each run of each open bucket, and the time of the timer that is set
-        self.index = handle.getValueState("index", "buckets array<bigint>, runs array<array<int>>, timer bigint")
+        self.waiting = handle.getMapState("waiting", "run bigint, chunk int", ", ".join(f"{n} array<{t}>" for n, t in types.items()))
+        # open runs with their next chunk, number of chunks and earliest time; the number of the next run; the timer set
+        self.index = handle.getValueState(
+            "index", "runs array<bigint>, heads array<int>, ends array<int>, firsts array<bigint>, next bigint, timer bigint"
+        )
 
     def close(self) -> None:
         pass
 
     # -- arriving rows ------------------------------------------------------------
 
-    def _open(self) -> tuple[dict[int, list[int]], int | None]:
+    def _open(self) -> tuple[dict[int, tuple[int, int, int]], int, int | None]:
+        """Open runs as (next chunk, number of chunks, earliest time), the next run number, and the timer."""
         if not self.index.exists():
-            return {}, None
-        buckets, runs, timer = self.index.get()
-        return {b: list(r) for b, r in zip(buckets, runs)}, timer
+            return {}, 0, None
+        runs, heads, ends, firsts, number, timer = self.index.get()
+        return dict(zip(runs, zip(heads, ends, firsts))), number, timer
 
-    def _save(self, open_: dict[int, list[int]], timer: int | None, wake: int | None = None) -> None:
-        """Keep the index, with one timer at the end of the first open bucket or at `wake`, in milliseconds."""
-        ends = [(min(open_) + 1) * self.bucket_ms] if open_ else []
+    def _save(self, open_: dict[int, tuple[int, int, int]], number: int, timer: int | None, wake: int | None) -> None:
+        """Keep the index, with one timer at the end of the first bucket that holds rows or at `wake`, in milliseconds."""
+        ends = [(min(x[2] for x in open_.values()) // (1000 * self.bucket_ms) + 1) * self.bucket_ms] if open_ else []
         at = min(ends + ([wake] if wake is not None else []), default=None)
         if at is not None:
             at -= 1  # a timer fires once the watermark is beyond it
@@ -79,33 +83,31 @@ class InOrder(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if at is not None:
                 self.handle.registerTimer(at)
-        if at is None and not open_:
+        if at is None:
             self.index.clear()
         else:
-            self.index.update((list(open_), list(open_.values()), at))
+            columns = [list(x) for x in zip(*open_.values())] if open_ else [[], [], []]
+            self.index.update((list(open_), *columns, number, at))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = self.passed(timerValues)
-        open_, timer = self._open()
+        open_, number, timer = self._open()
         for pdf in rows:
-            bucket = pdf["us"].to_numpy() // (1000 * self.bucket_ms)
-            late = bucket < passed if passed is not None else np.zeros(len(pdf), bool)
-            if late.any():
-                yield self.frame(key, "late", self.describe(pdf[late]))
-            if late.all():
-                continue
-            pdf = pdf[~late].sort_values(list(self.by), kind="stable")
-            bucket = pdf["us"].to_numpy() // (1000 * self.bucket_ms)
+            if passed is not None:
+                late = pdf["us"].to_numpy() // (1000 * self.bucket_ms) < passed
+                if late.any():
+                    yield self.frame(key, "late", self.describe(pdf[late]))
+                if late.all():
+                    continue
+                pdf = pdf[~late]
+            pdf = pdf.sort_values(list(self.by), kind="stable")
             columns = [_plain(pdf[n], self.fields.get(n)) for n in self.names]
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(pdf)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                at = int(bucket[a])
-                runs = open_.setdefault(at, [])
-                for n, c in enumerate(range(a, b, self.chunk_rows)):
-                    part = slice(c, min(b, c + self.chunk_rows))
-                    self.waiting.updateValue((at, len(runs), n), tuple(x[part] for x in columns))
-                runs.append(n + 1)
-        self._save(open_, timer, self.wake())
+            cuts = range(0, len(pdf), self.chunk_rows)
+            for chunk, c in enumerate(cuts):
+                self.waiting.updateValue((number, chunk), tuple(x[c : c + self.chunk_rows] for x in columns))
+            open_[number] = (0, len(cuts), columns[0][0])
+            number += 1
+        self._save(open_, number, timer, self.wake())
 
     # -- passed rows --------------------------------------------------------------
 
@@ -116,37 +118,40 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = self.passed(timerValues)
-        open_, _ = self._open()
+        open_, number, _ = self._open()
         held = self.held.get() if self.held.exists() else None
         before = held
-        for bucket in sorted(b for b in open_ if passed is not None and b < passed):
-            runs = open_.pop(bucket)
-            for pdf in self._merged(bucket, runs):
-                held, out = self.fold(key, pdf, held)
-                yield from (self.frame(key, "done", x) for x in out if len(x))
-            for run, chunks in enumerate(runs):
-                for chunk in range(chunks):
-                    self.waiting.removeKey((bucket, run, chunk))
         if passed is not None:
+            until = passed * self.bucket_ms * 1000
+            left: dict[int, tuple[int, list]] = {}
+            due = [run for run, (_, _, first) in open_.items() if first < until]
+            rows = heapq.merge(*[self._before(run, *open_[run][:2], until, left) for run in due], key=itemgetter(*[self.names.index(n) for n in self.by]))
+            while part := list(islice(rows, self.frame_rows)):
+                held, out = self.fold(key, pd.DataFrame(part, columns=self.names), held)
+                yield from (self.frame(key, "done", x) for x in out if len(x))
+            for run in due:
+                head, end, _ = open_.pop(run)
+                at, rest = left.get(run, (end, []))
+                for chunk in range(head, at):
+                    self.waiting.removeKey((run, chunk))
+                if rest:
+                    self.waiting.updateValue((run, at), tuple(list(x) for x in zip(*rest)))
+                    open_[run] = (at, end, rest[0][0])
             held, out = self.settle(key, passed * self.bucket_ms, held)
             yield from (self.frame(key, "done", x) for x in out if len(x))
         if held is not None and held != before:
             self.held.update(held)
-        self._save(open_, None, self.wake())
-
-    def _merged(self, bucket: int, runs: list[int]) -> Iterator[pd.DataFrame]:
-        if len(runs) == 1:  # already in order
-            for chunk in range(runs[0]):
-                yield pd.DataFrame(dict(zip(self.names, self.waiting.getValue((bucket, 0, chunk)))))
-            return
-
-        def read(run: int, chunks: int):
-            for chunk in range(chunks):
-                yield from zip(*self.waiting.getValue((bucket, run, chunk)))
-
-        rows = heapq.merge(*[read(r, n) for r, n in enumerate(runs)], key=itemgetter(*[self.names.index(n) for n in self.by]))
-        while frame := [row for _, row in zip(range(self.frame_rows), rows)]:
-            yield pd.DataFrame(frame, columns=self.names)
+        self._save(open_, number, None, self.wake())
+
+    def _before(self, run: int, head: int, end: int, until: int, left: dict[int, tuple[int, list]]) -> Iterator[tuple]:
+        """Rows of a run before a time, chunk by chunk; notes in `left` the chunk at which it stops, and its other rows."""
+        for chunk in range(head, end):
+            rows = list(zip(*self.waiting.getValue((run, chunk))))
+            for i, row in enumerate(rows):
+                if row[0] >= until:
+                    left[run] = (chunk, rows[i:])
+                    return
+                yield row
 
     # -- for subclasses -----------------------------------------------------------
 
