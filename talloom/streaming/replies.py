@@ -9,7 +9,7 @@ that opens the reply anew, and is lost in turn once the reply falls silent again
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +26,14 @@ QUIET = "10 minutes"
 _OUT = "kind string, stream_id string, block bigint, missing bigint, seqs array<bigint>, edges array<int>, items array<string>"
 
 
+def _distinct(rows: Iterable[tuple]) -> list[tuple]:
+    """Distinct rows of a block by place; of repeated ones the first that came."""
+    found: dict[int, tuple] = {}
+    for row in rows:
+        found.setdefault(row[0], row)
+    return [found[s] for s in sorted(found)]
+
+
 class _Quiet(StatefulProcessor):
     """A processor with one timer per key, at the end of the quiet time after the last arrival."""
 
@@ -67,10 +75,16 @@ class _Reply(_Quiet):
                 if not whole:
                     edge, seq = part["edge"].to_numpy(), part["seq"].to_numpy()
                     items = [x if isinstance(x, str) else None for x in part["item"].tolist()]
-                    self.pieces.updateValue((block, parts), (seq.tolist(), edge.tolist(), items))
                     begins, ends = seq[edge & FIRST > 0], seq[edge & LAST > 0]
                     first, last = int(begins[0]) if len(begins) else first, int(ends[0]) if len(ends) else last
-                    count, parts = count + len(part), parts + 1
+                    given = (seq.tolist(), edge.tolist(), items)
+                    at_once = _distinct(zip(*given)) if not parts and first is not None and last is not None else []
+                    whole = bool(at_once) and len(at_once) == last - first + 1
+                    if whole:  # came in one piece: nothing of it is stored
+                        yield self._row(key, "whole", block, 0, at_once)
+                    else:
+                        self.pieces.updateValue((block, parts), given)
+                        count, parts = count + len(part), parts + 1
                 touched[block] = (count, parts, first, last, whole)
         for block, (count, parts, first, last, whole) in touched.items():
             if not whole and first is not None and last is not None and count > last - first:
@@ -84,12 +98,7 @@ class _Reply(_Quiet):
         self._arrived(latest)
 
     def _read(self, block: int, parts: int) -> list[tuple]:
-        """Distinct rows of a block by place; of repeated ones the first that came."""
-        rows: dict[int, tuple] = {}
-        for part in range(parts):
-            for row in zip(*self.pieces.getValue((block, part))):
-                rows.setdefault(row[0], row)
-        return [rows[s] for s in sorted(rows)]
+        return _distinct(row for part in range(parts) for row in zip(*self.pieces.getValue((block, part))))
 
     def _drop(self, block: int, parts: int) -> None:
         for part in range(parts):
