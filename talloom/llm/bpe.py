@@ -2,8 +2,9 @@
 
 Two neighbouring symbols that stand together inside no vocabulary token can never end up in one token, so there a cut is
 certain. Texts fall into words at white space, into pieces by the tokenizer's own pattern, and into fragments at forced
-boundaries; fragments are merged independently and their ids concatenated. Encoded words and pieces are remembered in bounded
-tables.
+boundaries; fragments are merged independently and their ids concatenated. The ids of words are remembered in bounded tables.
+
+Decoding starts from the packed ids alone: one lookup of all ids of a text in the table of token names.
 
 The vocabulary file is read once per Python worker. Its path is a parameter; the file must lie at the same place on every
 executor.
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -93,7 +95,10 @@ class ForcedBoundaryBPE:
         self.pieces = regex.compile(pattern).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        ids = vocab | self.special
+        self.names = np.full(max(ids.values()) + 1, None, object)
+        for token, i in ids.items():
+            self.names[i] = token.encode("utf-8")
         self.symbols = byte_symbols()
         self.vocab = vocab
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -101,10 +106,9 @@ class ForcedBoundaryBPE:
         self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(merges)}
         # pairs of base symbols that stand together inside some token; between any others a boundary is forced
         self.inside = {vocab[a] << 32 | vocab[b] for token in vocab for s in [self._split(token)] for a, b in zip(s, s[1:])}
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tail = {s: s + self.suffix for s in self.symbols}
-        self.bytes_of = {i: (struct.pack("<I", i), (t + " ").encode("utf-8")) for i, t in self.names.items()}
 
     def _split(self, token: str) -> list[str]:
         """Base symbols of a token; the end of a word belongs to its last symbol."""
@@ -169,8 +173,8 @@ class ForcedBoundaryBPE:
                 start = k
         return out + self._merge(ids[start:], pairs[start:])
 
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        """Ids of a word and their names with a space behind each, in bytes."""
+    def _word(self, word: bytes) -> bytes:
+        """Packed ids of a word."""
         text = word.decode("utf-8", "replace")
         if text.isascii() and text.isalpha():
             ids = self._piece(text.lower())
@@ -183,11 +187,10 @@ class ForcedBoundaryBPE:
                     # letters are lowered one by one: no final sigma
                     for piece in self.pieces(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()):
                         ids += self._piece(piece)
-        made = [self.bytes_of[i] for i in ids]
-        return b"".join([i for i, _ in made]), b"".join([n for _, n in made])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_many(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Of every text the ids as little-endian 32-bit numbers, and the decoded text in UTF-8."""
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Of every text the ids as little-endian 32-bit numbers."""
         waiting: list[list[bytes]] = []
         held = 0
         for text in texts:
@@ -198,24 +201,24 @@ class ForcedBoundaryBPE:
                 waiting, held = [], 0
         yield from self._encode_words(waiting)
 
-    def _encode_words(self, texts: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    def _encode_words(self, texts: list[list[bytes]]) -> Iterator[bytes]:
         """Distinct words first. A full table becomes the older one, from which words in use come back."""
         if len(self.words) > REMEMBERED:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older.get
         for word in set().union(*texts).difference(words):
-            words[word] = older(word) or self._word(word)
+            made = older(word)
+            words[word] = self._word(word) if made is None else made
         known = words.__getitem__
         for text in texts:
-            made = list(map(known, text))
-            yield b"".join([ids for ids, _ in made]), b"".join([names for _, names in made])[:-1]
+            yield b"".join(map(known, text))
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+    def encode(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))
 
-    def decode(self, ids: bytes) -> str:
-        """Names of the tokens with a space between them: the vocabulary file names no decoder."""
-        return " ".join([self.names[i] for i, in struct.iter_unpack("<I", ids)])
+    def decode(self, ids: bytes) -> bytes:
+        """Names of the tokens with a space between them, in UTF-8: the vocabulary file names no decoder."""
+        return b" ".join(self.names[np.frombuffer(ids, "<u4")].tolist())
 
 
 @lru_cache(maxsize=2)
@@ -228,11 +231,11 @@ def digests(text: Column, path: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(texts: pd.Series) -> pd.DataFrame:
-        encode = encoder(path).encode_many
+        coder = encoder(path)
         rows = []
         with no_cycle_search():
-            for ids, decoded in encode(texts):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            for ids in coder.encode_many(texts):
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text.cast("string"))
@@ -245,16 +248,18 @@ def token_ids(text: Column, path: str) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         encode = encoder(path).encode_many
         with no_cycle_search():
-            return pd.Series([ids for ids, _ in encode(texts)], dtype="object")
+            return pd.Series(list(encode(texts)), dtype="object")
 
     return of(text.cast("string"))
 
 
 def decoded(ids: Column, path: str) -> Column:
+    """Text of packed ids; null where they are null."""
+
     @F.pandas_udf("string")
     def of(packed: pd.Series) -> pd.Series:
         decode = encoder(path).decode
-        return pd.Series([None if x is None else decode(x) for x in packed], dtype="object")
+        return pd.Series([None if x is None else decode(x).decode("utf-8") for x in packed], dtype="object")
 
     return of(ids)
 
