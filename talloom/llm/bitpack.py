@@ -2,7 +2,8 @@
 
 Every id takes the bits that the largest vocabulary id needs. A file is a row of blocks; a block is a header, the ids and
 lengths of its documents, and the packed tokens of these documents without gaps, so token t stands at bit t * width and
-any document can be unpacked alone. Blocks carry their length: a file's block offsets follow from headers alone.
+any document can be unpacked alone. The last line of a file is its index: the offset, documents and tokens of every block, then
+their number. Readers start there, go to a block by its offset and to a document by its first token.
 
 Files are written by Spark's text sink, one block per line with a fixed line separator that readers skip by length, so any
 store that Spark writes to will do. Documents are range-partitioned by id; tasks sort their range, so blocks in order of
@@ -34,9 +35,13 @@ MAGIC = b"TLBP"
 #: magic, bits, part, number, documents, tokens, bytes of packed tokens
 HEADER = "<4sIQQQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
+#: end of an index: number of blocks, magic
+INDEX_MAGIC = b"TLBX"
+INDEX_END = "<Q4s"
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
-BLOCKS_PER_FILE = 64
+#: Lines of a file: blocks, and the index as the last one.
+LINES_PER_FILE = 64
 #: Words in the encoder's table before those not in use are dropped; it only saves time.
 REMEMBERED = 800_000
 NO_ID = np.iinfo(np.int64).min
@@ -136,23 +141,39 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> None:
-    """Documents as packed files below `folder`, in ascending order of their ids."""
+def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", bits: int | None = None) -> None:
+    """Documents as packed files below `folder`, in ascending order of their ids.
+
+    bits: of an id; as many as the vocabulary needs where it is not given.
+    """
     path = path or default_path()
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = word_encoder(path)
-        bits, part, number = width(coder.size), TaskContext.get().partitionId(), 0
+        wide, part, number = bits or width(coder.size), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         ids: list[int] = []
         tokens: list[bytes] = []
         held = 0
-
-        def flush() -> pd.DataFrame:
-            body = pack(np.frombuffer(b"".join(tokens), "<u4"), bits)
-            sizes = np.array([len(x) // 4 for x in tokens], "<u8")
-            head = struct.pack(HEADER, MAGIC, bits, part, number, len(ids), int(sizes.sum()), len(body))
-            return pd.DataFrame({"block": [head + np.array(ids, "<i8").tobytes() + sizes.tobytes() + body]})
+        index: list[tuple[int, int, int]] = []  # of the file being written
+        at = 0
+
+        def flush(last: bool = False) -> pd.DataFrame:
+            """The block as a line; behind it the index, where the file is full or ends."""
+            nonlocal at
+            lines = []
+            if ids:
+                body = pack(np.frombuffer(b"".join(tokens), "<u4"), wide)
+                sizes = np.array([len(x) // 4 for x in tokens], "<u8")
+                head = struct.pack(HEADER, MAGIC, wide, part, number, len(ids), int(sizes.sum()), len(body))
+                lines.append(head + np.array(ids, "<i8").tobytes() + sizes.tobytes() + body)
+                index.append((at, len(ids), int(sizes.sum())))
+                at += len(lines[0]) + 1
+            if index and (last or len(index) == LINES_PER_FILE - 1):
+                lines.append(np.array(index, "<u8").tobytes() + struct.pack(INDEX_END, len(index), INDEX_MAGIC))
+                index.clear()
+                at = 0
+            return pd.DataFrame({"block": lines})
 
         for batch in batches:
             with no_cycle_search():
@@ -164,31 +185,31 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                 if held >= BLOCK_TOKENS:
                     yield flush()
                     ids, tokens, held, number = [], [], 0, number + 1
-        if ids:
-            yield flush()
+        yield flush(last=True)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     named = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     packed = named.mapInPandas(blocks, "block binary").select(F.col("block").cast("string").alias("value"))
-    packed.write.option("lineSep", "\n").option("maxRecordsPerFile", BLOCKS_PER_FILE).text(folder)
+    packed.write.option("lineSep", "\n").option("maxRecordsPerFile", LINES_PER_FILE).text(folder)
 
 
-def block_offsets(data: bytes) -> list[int]:
-    """Where the blocks of a file start, from their headers alone."""
-    out, at = [], 0
-    while at < len(data):
-        magic, _, _, _, docs, _, size = struct.unpack_from(HEADER, data, at)
-        if magic != MAGIC:
-            raise ValueError(f"not a block at byte {at}")
-        out.append(at)
-        at += HEADER_BYTES + 16 * docs + size + 1
-    return out
+def block_index(data: bytes) -> np.ndarray:
+    """Offset, documents and tokens of the blocks of a file, a row each, from the index at its end; none for the empty file of an empty part."""
+    if not data:
+        return np.empty((0, 3), np.int64)
+    end = len(data) - 1 - struct.calcsize(INDEX_END)
+    blocks, magic = struct.unpack_from(INDEX_END, data, end) if end >= 0 else (0, b"")
+    if magic != INDEX_MAGIC or 24 * blocks > end:
+        raise ValueError("a file without its index")
+    return np.frombuffer(data, "<u8", 3 * blocks, end - 24 * blocks).reshape(-1, 3).astype(np.int64)
 
 
 def read_block(data: bytes, at: int) -> tuple[int, int, int, np.ndarray, np.ndarray, bytes]:
     """Bits, part, number, document ids, document lengths and packed tokens of one block."""
-    _, bits, part, number, docs, _, size = struct.unpack_from(HEADER, data, at)
+    magic, bits, part, number, docs, _, size = struct.unpack_from(HEADER, data, at)
+    if magic != MAGIC:
+        raise ValueError(f"not a block at byte {at}")
     at += HEADER_BYTES
     ids = np.frombuffer(data, "<i8", docs, at)
     lengths = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
@@ -201,13 +222,12 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                for at in block_offsets(data):
+                for at in block_index(data)[:, 0].tolist():
                     bits, part, number, ids, lengths, packed = read_block(data, at)
-                    tokens = unpack(packed, bits, 0, int(lengths.sum())).astype("<u4").tobytes()
-                    ends = np.cumsum(lengths)
+                    starts = np.cumsum(lengths) - lengths
                     yield pd.DataFrame({
-                        "part": part, "number": number, "place": np.arange(len(ids)), "doc_id": ids, "before": ends - lengths, "n_tokens": lengths,
-                        "ids_crc32": [zlib.crc32(tokens[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())],
+                        "part": part, "number": number, "place": np.arange(len(ids)), "doc_id": ids, "before": starts, "n_tokens": lengths,
+                        "ids_crc32": [zlib.crc32(unpack(packed, bits, k, n).astype("<u4")) for k, n in zip(starts.tolist(), lengths.tolist())],
                     })
 
     files = spark.read.format("binaryFile").load(folder).select("content")
@@ -224,9 +244,9 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, bits: int | None = None) -> DataFrame:
     """Write the documents as packed files in the shared folder and read them back."""
     spark = prepared(docs.sparkSession)
     folder = scratch_path(spark, "packed")
-    write_files(docs, folder, path)
+    write_files(docs, folder, path, bits=bits)
     return read_files(spark, folder)

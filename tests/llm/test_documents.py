@@ -393,6 +393,27 @@ def test_packing_round_trip(bits):
         assert (bitpack.unpack(raw, bits, start, count) == ids[start : start + count]).all()
 
 
+def test_packed_files_of_other_widths_and_many_blocks(spark, sf, monkeypatch, tmp_path):
+    """Ids that end inside a byte, several files of a task, and the index of every file against its blocks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = order(tuple(r) for r in queries.op9_bit_packed_ids(spark, sf).collect())
+    monkeypatch.setattr(bitpack, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(bitpack, "LINES_PER_FILE", 4)
+    assert order(tuple(r) for r in bitpack.round_trip(docs.coalesce(2), bits=17).collect()) == want
+    bitpack.write_files(docs.coalesce(2), str(tmp_path / "packed"), bits=19)
+    files = [f.read_bytes() for f in (tmp_path / "packed").glob("part-*")]
+    assert len(files) > 2
+    for data in files:
+        index, at = bitpack.block_index(data), 0
+        assert 1 <= len(index) <= 3
+        for offset, docs_in, tokens in index.tolist():
+            bits, _, _, ids, lengths, packed = bitpack.read_block(data, offset)
+            assert (offset, docs_in, tokens, bits) == (at, len(ids), int(lengths.sum()), 19)
+            at += bitpack.HEADER_BYTES + 16 * len(ids) + len(packed) + 1
+        with pytest.raises(ValueError):
+            bitpack.block_index(data[:-1])
+
+
 def test_packed_files_of_odd_rows(odd, empty, library, monkeypatch):
     monkeypatch.setattr(bitpack, "BLOCK_TOKENS", 50)
     rows = bitpack.round_trip(odd).orderBy("start").collect()
