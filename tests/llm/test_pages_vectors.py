@@ -176,3 +176,48 @@ def test_language_without_rows(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert langid.identify(pages.limit(0), docs).count() == 0
     assert langid.identify(pages, docs.limit(0)).where("lang IS NOT NULL").count() == 0
+
+
+def test_fused_language_against_plain_python(spark, sf):
+    """Every page's posterior, from counts kept in dictionaries."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").collect()]
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert len(docs) <= langid.SAMPLE_ROWS
+    langs = sorted({lang for lang, text in docs if lang is not None and text is not None})
+    counts = {lang: [0.5] * langid.BUCKETS for lang in langs}
+    for lang, text in docs:
+        for at in langid.trigrams(text) if lang in counts and text is not None else ():
+            counts[lang][at] += 1
+    logs = {lang: [math.log(c / sum(counts[lang])) for c in counts[lang]] for lang in langs}
+
+    def softmax(scores):
+        powers = [math.exp(s - max(scores)) for s in scores]
+        return [p / sum(powers) for p in powers]
+
+    rows = []
+    for page, url, body in pages:
+        found = langid.trigrams(langid.visible(body)).tolist()
+        text = [min(30, len(found)) * sum(logs[lang][at] for at in found) / len(found) if found else 0.0 for lang in langs]
+        host = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", (url or "").lower())
+        host = host[1] if host else ""
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", body or "", re.I | re.S)
+        rows.append((page, text, softmax(text), host, ".".join(host.split(".")[-2:]), host.split(".")[-1], said[1].lower() if said else ""))
+    n, add = len(langs), lambda beliefs: [sum(x) for x in zip(*beliefs)]
+    whole = add(r[2] for r in rows)
+    world = [(w + 1) / (sum(whole) + n) for w in whole]
+    by = [{v: add(r[2] for r in rows if r[k] == v) for v in {r[k] for r in rows}} for k in range(3, 7)]
+
+    def likelihood(c):
+        return [math.log((x + world[k]) / (whole[k] + 1) / ((sum(c) + 1) / (sum(whole) + 1))) for k, x in enumerate(c)]
+
+    made = {r["page_id"]: r for r in queries.op10_fused_language(spark, sf).collect()}
+    assert len(made) == len(rows)
+    for page, text, belief, host, site, suffix, said in rows:
+        above = [(c + 5 * w) / (sum(by[1][site]) + 5) for c, w in zip(by[1][site], world)]
+        rest = [max(c - b, 0) for c, b in zip(by[0][host], belief)]
+        prior = [math.log((c + 5 * a) / (sum(rest) + 5)) for c, a in zip(rest, above)]
+        posterior = softmax([sum(x) for x in zip(text, prior, likelihood(by[3][said]), likelihood(by[2][suffix]))])
+        best = max(posterior)
+        assert abs(made[page]["confidence"] - best) < 1e-3, page
+        assert best - posterior[langs.index(made[page]["lang"])] < 1e-3, page
+        assert (made[page]["declared"], made[page]["host"]) == (said, host)
