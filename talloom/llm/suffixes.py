@@ -12,7 +12,9 @@ three ways so that no task sees more than a share:
    extension that stops at `width` (`windows.prefix_classes`). A string alone under its hash has no partner.
 3. One bit per window goes back to its chunk, where removed runs, kept bytes and digests are made.
 
-The number of routes follows the bytes of the input, so that a route holds about `ROUTE_BYTES` of text.
+The number of routes follows the bytes of the input, so that a route holds about `ROUTE_BYTES` of text. So does the
+number of tasks that routes and chunks are dealt to, whatever the session's number of shuffle partitions is: what a
+task reads does not grow with the input.
 
 Defined cases: a null text is empty; a null id ranks behind all others, so such a row removes nothing from rows with
 an id; rows with equal ids never remove from each other; texts shorter than `width` stay whole; an empty table gives no
@@ -38,6 +40,9 @@ from talloom.llm.windows import prefix_classes, window_runs
 WIDTH = 50
 CHUNK_BYTES = 1 << 20
 ROUTE_BYTES = 12 << 20
+#: Tasks per route; above one, so that few tasks get several routes. More than MAX_TASKS would cost the scheduler more than they save.
+TASKS_PER_ROUTE = 2
+MAX_TASKS = 50_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -89,6 +94,11 @@ def _routes_of(hashes: np.ndarray, routes: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(routes)).astype(np.int64)
 
 
+def _dealt(rows: DataFrame, key: str, routes: int) -> DataFrame:
+    """Rows by a key, in a number of partitions that follows the input. Groupings and joins on the key need no other shuffle."""
+    return rows.repartition(min(TASKS_PER_ROUTE * routes, MAX_TASKS), key)
+
+
 def _chunk_hashes(raw: bytes, ends: np.ndarray, width: int):
     """Runs of a chunk and its distinct hashes in ascending order, with the place of each run's hash."""
     first, count, text, hashes = window_runs(np.frombuffer(raw, np.uint8), ends, width)
@@ -140,7 +150,7 @@ def shared_hashes(chunks: DataFrame, routes: int, width: int = WIDTH) -> DataFra
         })
 
     sent = chunks.mapInPandas(send, "route long, chunk long, low binary, several binary")
-    return sent.groupBy("route").applyInPandas(meet, "route long, chunk long, bits binary")
+    return _dealt(sent, "route", routes).groupBy("route").applyInPandas(meet, "route long, chunk long, bits binary")
 
 
 def _strings(raw: bytes, ends: np.ndarray, ids: np.ndarray, flags: list, routes: int, width: int):
@@ -235,7 +245,7 @@ def equal_windows(joined: DataFrame, routes: int, width: int = WIDTH) -> DataFra
         return pd.DataFrame({"route": group["route"], "chunk": group["chunk"], "bits": out})
 
     sent = joined.mapInPandas(send, "route long, chunk long, hashes binary, least binary, sizes binary, data binary")
-    return sent.groupBy("route").applyInPandas(meet, "route long, chunk long, bits binary")
+    return _dealt(sent, "route", routes).groupBy("route").applyInPandas(meet, "route long, chunk long, bits binary")
 
 
 RESULT = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -313,10 +323,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     routes = max(12, -(-total // ROUTE_BYTES))
 
     def by_chunk(bits: DataFrame, name: str) -> DataFrame:
-        return bits.groupBy("chunk").agg(F.collect_list(F.struct("route", "bits")).alias(name))
+        return _dealt(bits, "chunk", routes).groupBy("chunk").agg(F.collect_list(F.struct("route", "bits")).alias(name))
 
     flags = by_chunk(stored(shared_hashes(chunks, routes, width), "shared"), "flags")
-    joined = chunks.join(flags, "chunk", "left")
+    joined = _dealt(chunks, "chunk", routes).join(flags, "chunk", "left")
     found = by_chunk(stored(equal_windows(joined, routes, width), "equal"), "found")
     return _settle(joined.join(found, "chunk", "left"), routes, width)
 
