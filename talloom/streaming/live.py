@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 from talloom.operators.ordered import Ordered, running_sum
 from talloom.streaming.reorder import InOrder, in_order
-from talloom.streaming.run import held_map, held_rows, held_value, waiting_rows
+from talloom.streaming.run import held_map, waiting_rows
 
 # -- windows ------------------------------------------------------------------------
 
@@ -132,15 +131,16 @@ def streaks_stream(decisions: DataFrame, max_run: int, max_total: int, delay: st
 
 
 class _Late(InOrder):
-    """Gives every result to the first turn at or after it. Results without a turn so far are appended to a list."""
+    """Gives every result to the first turn at or after it. Results without a turn so far are parts in map state."""
 
+    state = "parts bigint"
     fields = {"is_turn": "boolean"}
     by = ("us", "is_turn", "seq")  # a turn comes after the results of its instant
     returns = {"seq": "bigint", "turn": "bigint"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getListState("open", "seq bigint")
+        self.open = handle.getMapState("open", "session bigint, part bigint", "seqs array<bigint>")
 
     def fold(self, key, pdf, held):
         turn, seq = pdf["is_turn"].to_numpy().astype(bool), pdf["seq"].to_numpy()
@@ -148,8 +148,9 @@ class _Late(InOrder):
         if turn.any():
             first = int(turn.argmax())
             if held and held[0]:
-                out = [self._given(part, seq[first]) for part in self._parts()]
-                self.open.clear()
+                for part in range(held[0]):
+                    out.append(self._given(self.open.getValue((key, part))[0], seq[first]))
+                    self.open.removeKey((key, part))
             # the place of the next turn of every row
             place = np.where(turn, np.arange(len(seq)), len(seq))
             follows = np.minimum.accumulate(place[::-1])[::-1]
@@ -160,15 +161,11 @@ class _Late(InOrder):
         else:
             rest = seq
         if len(rest):
-            self.open.appendList([(int(x),) for x in rest])
-            held = ((held[0] if held else 0) + len(rest),)
+            parts = held[0] if held else 0
+            self.open.updateValue((key, parts), (rest.tolist(),))
+            held = (parts + 1,)
         return held, out
 
-    def _parts(self):
-        rows = self.open.get()
-        while part := [r[0] for r in islice(rows, self.frame_rows)]:
-            yield part
-
     @staticmethod
     def _given(part, turn) -> pd.DataFrame:
         return pd.DataFrame({"seq": part, "turn": int(turn)})
@@ -186,7 +183,7 @@ def late_results_stream(rows: DataFrame, delay: str) -> DataFrame:
 def unsettled_results(spark: SparkSession, state: str) -> DataFrame:
     """Results that a stopped stream of late results has not given to a turn yet, as (session, seq)."""
     waiting = waiting_rows(spark, state).where("NOT is_turn").select("session", "seq")
-    return waiting.unionByName(held_rows(spark, state, "open").select("session", "seq"))
+    return waiting.unionByName(held_map(spark, state, "open").select("session", F.explode("seqs").alias("seq")))
 
 
 class _Retry(InOrder):
@@ -223,7 +220,7 @@ def retry_stream(attempts: DataFrame, max_retries: int = 3, delay: str = "1 hour
 
 def open_chains(spark: SparkSession, state: str) -> DataFrame:
     """Chains that a stopped retry stream has begun and not ended: (session, first, attempts)."""
-    return held_value(spark, state).where("open").select("session", "first", "attempts")
+    return held_map(spark, state, "held").where("open").select("session", "first", "attempts")
 
 
 # -- requests, responses and exits ------------------------------------------------------
@@ -233,14 +230,13 @@ _REQUEST, _RESPONSE, _EXIT = 0, 1, 2
 
 
 class _Rpc(InOrder):
-    """Requests of a server with their responses; what gets none in time fails with the server's next exit.
+    """Requests of servers with their responses; what gets none in time fails with the server's next exit.
 
-    Open requests are map entries by id, their due times buckets of ids, so a response looks up one entry and a passed
-    bucket is read once. Exits since the oldest open request are kept; requests that are overdue without an exit so far
-    are a list that the next exit empties.
+    What a slot holds open is read once per passed time and written once: requests that were not answered yet, or are overdue
+    without an exit so far, in chunks of rows, and the exits since the oldest request of their server. Between that a row
+    costs a lookup in memory, whatever the number of servers.
     """
 
-    state = "exits array<bigint>"
     fields = {"what": "int", "id": "bigint", "failed": "boolean"}
     by = ("us", "what", "seq")
     returns = {"seq": "bigint", "id": "bigint", "status": "string", "exit_us": "bigint"}
@@ -250,80 +246,90 @@ class _Rpc(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.sent = handle.getMapState("sent", "id bigint", "us bigint")
-        self.due = handle.getMapState("due", "bucket bigint, part int", "ids array<bigint>, us array<bigint>")
-        self.plan = handle.getValueState("plan", "buckets array<bigint>, parts array<int>")
-        self.overdue = handle.getListState("overdue", "id bigint")
+        columns = f"servers array<{self.key_type}>, ids array<bigint>, us array<bigint>, overdue array<boolean>"
+        self.sent = handle.getMapState("sent", "chunk int", columns)
+        self.gone = handle.getMapState("gone", "chunk int", f"servers array<{self.key_type}>, us array<bigint>")
+        self.plan = handle.getValueState("plan", "sent int, gone int, due bigint")
 
-    def _plan(self) -> dict[int, int]:
-        return dict(zip(*self.plan.get())) if self.plan.exists() else {}
+    def _bucket_end(self, us: int) -> int:
+        return ((us // 1000 + self.timeout) // self.bucket_ms + 1) * self.bucket_ms
 
     def wake(self) -> int | None:
-        plan = self._plan()
-        return (min(plan) + 1) * self.bucket_ms if plan else None
+        return self.plan.get()[2] if self.plan.exists() else None
 
     def describe(self, late: pd.DataFrame) -> pd.DataFrame:
         named = late["what"].map({_REQUEST: "late request", _RESPONSE: "late response", _EXIT: "late exit"})
         return pd.DataFrame({"seq": late["seq"], "id": late["id"], "status": named})
 
-    def fold(self, key, pdf, held):
-        exits = list(held[0]) if held else []
-        fresh: dict[int, int] = {}
-        found, out = [], []
-        for us, what, id_, failed in zip(pdf["us"].tolist(), pdf["what"].tolist(), pdf["id"].tolist(), pdf["failed"].tolist()):
+    def load(self) -> None:
+        """waits: (server, id) -> time sent; overdue: server -> ids; exits: server -> times."""
+        self.waits, self.overdue, self.exits = {}, {}, {}
+        self.chunks = self.plan.get()[:2] if self.plan.exists() else (0, 0)
+        for chunk in range(self.chunks[0]):
+            for server, id_, us, over in zip(*self.sent.getValue((chunk,))):
+                if over:
+                    self.overdue.setdefault(server, []).append(id_)
+                else:
+                    self.waits[server, id_] = us
+        for chunk in range(self.chunks[1]):
+            for server, us in zip(*self.gone.getValue((chunk,))):
+                self.exits.setdefault(server, []).append(us)
+
+    def store(self) -> None:
+        rows = [(s, i, us, False) for (s, i), us in self.waits.items()] + [(s, i, None, True) for s, ids in self.overdue.items() for i in ids]
+        gone = [(s, us) for s, times in self.exits.items() for us in times]
+        for state, rows_, before in ((self.sent, rows, self.chunks[0]), (self.gone, gone, self.chunks[1])):
+            cuts = range(0, len(rows_), self.frame_rows)
+            for chunk, c in enumerate(cuts):
+                state.updateValue((chunk,), tuple(list(x) for x in zip(*rows_[c : c + self.frame_rows])))
+            for chunk in range(len(cuts), before):
+                state.removeKey((chunk,))
+        if rows or gone:
+            due = self._bucket_end(min(self.waits.values())) if self.waits else None
+            self.plan.update((-(-len(rows) // self.frame_rows), -(-len(gone) // self.frame_rows), due))
+        else:
+            self.plan.clear()
+
+    def fold_frame(self, rows: list[tuple]) -> list[tuple]:
+        found = []
+        for us, _, server, what, id_, failed in rows:
             if what == _REQUEST:
-                fresh[int(id_)] = us
+                self.waits[server, id_] = us
             elif what == _RESPONSE:
-                id_ = int(id_)
-                known = id_ in fresh
-                sent = fresh[id_] if known else self.sent.getValue((id_,))[0] if self.sent.containsKey((id_,)) else None
+                sent = self.waits.get((server, id_))
                 if sent is not None and us <= sent + 1000 * self.timeout:
-                    found.append((id_, "error" if failed else "ok"))
-                    if known:
-                        del fresh[id_]
-                    else:
-                        self.sent.removeKey((id_,))
+                    found.append((server, id_, "error" if failed else "ok", None))
+                    del self.waits[server, id_]
             else:
-                exits.append(us)
-                rows = self.overdue.get()
-                while part := [r[0] for r in islice(rows, self.frame_rows)]:
-                    out.append(pd.DataFrame({"id": part, "status": "server exited", "exit_us": us}))
-                self.overdue.clear()
-        if fresh:
-            plan, parts = self._plan(), {}
-            for id_, us in fresh.items():
-                self.sent.updateValue((id_,), (us,))
-                parts.setdefault((us // 1000 + self.timeout) // self.bucket_ms, []).append((id_, us))
-            for bucket, ids in parts.items():
-                self.due.updateValue((bucket, plan.get(bucket, 0)), ([x[0] for x in ids], [x[1] for x in ids]))
-                plan[bucket] = plan.get(bucket, 0) + 1
-            self.plan.update((list(plan), list(plan.values())))
-        if found:
-            out.append(pd.DataFrame(found, columns=["id", "status"]))
-        return (exits,), out
-
-    def settle(self, key, now_ms: int, held):
+                self.exits.setdefault(server, []).append(us)
+                found += [(server, i, "server exited", us) for i in self.overdue.pop(server, ())]
+        return self._results(found)
+
+    def settle(self, now_ms: int) -> list[tuple]:
         """Fails requests that are overdue, once every row before their due time was folded."""
-        plan, exits, out = self._plan(), list(held[0]) if held else [], []
-        over = sorted(b for b in plan if (b + 1) * self.bucket_ms <= now_ms)
-        for bucket in over:
-            failed, kept = [], []
-            for part in range(plan.pop(bucket)):
-                for id_, us in zip(*self.due.getValue((bucket, part))):
-                    if self.sent.containsKey((id_,)) and self.sent.getValue((id_,))[0] == us:
-                        self.sent.removeKey((id_,))
-                        at = bisect_left(exits, us)
-                        failed.append((id_, "server exited", exits[at])) if at < len(exits) else kept.append((id_,))
-                self.due.removeKey((bucket, part))
-            if kept:
-                self.overdue.appendList(kept)
-            if failed:
-                out.append(pd.DataFrame(failed, columns=["id", "status", "exit_us"]))
-        if over:
-            self.plan.update((list(plan), list(plan.values()))) if plan else self.plan.clear()
-        # no open request is older than the first due time tells; exits before that concern none
-        oldest = (min(plan) * self.bucket_ms - self.timeout) * 1000 if plan else now_ms * 1000
-        return ((exits[bisect_left(exits, oldest):],) if held else None), out
+        found, oldest = [], {}
+        for (server, id_), us in list(self.waits.items()):
+            if self._bucket_end(us) > now_ms:
+                oldest[server] = min(us, oldest.get(server, us))
+                continue
+            del self.waits[server, id_]
+            exits = self.exits.get(server, [])
+            at = bisect_left(exits, us)
+            if at < len(exits):
+                found.append((server, id_, "server exited", exits[at]))
+            else:
+                self.overdue.setdefault(server, []).append(id_)
+        # exits before the oldest open request of their server concern none
+        kept = {s: times[bisect_left(times, oldest[s]) :] for s, times in self.exits.items() if s in oldest}
+        self.exits = {s: times for s, times in kept.items() if times}
+        return self._results(found)
+
+    @staticmethod
+    def _results(found: list[tuple]) -> list[tuple]:
+        if not found:
+            return []
+        servers, ids, status, exits = (list(x) for x in zip(*found))
+        return [(servers, pd.DataFrame({"id": ids, "status": status, "exit_us": pd.Series(exits, dtype=object)}))]
 
 
 def rpc_rows(requests: DataFrame, responses: DataFrame, exits: DataFrame) -> DataFrame:
@@ -354,7 +360,8 @@ def correlate_rpc_exits_stream(rows: DataFrame, timeout_ms: int, delay: str) ->
 
 def unanswered(spark: SparkSession, state: str) -> DataFrame:
     """Requests that a stopped stream has not settled, as (session, id, status): timeout, or pending while a response can come."""
-    over = held_rows(spark, state, "overdue").select(F.col("server").alias("session"), "id", F.lit("timeout").alias("status"))
-    open_ = held_map(spark, state, "sent").select(F.col("server").alias("session"), "id", F.lit("pending").alias("status"))
+    held = held_map(spark, state, "sent").select(F.inline(F.arrays_zip("servers", "ids", "overdue"))).select(
+        F.col("servers").alias("session"), F.col("ids").alias("id"), F.when(F.col("overdue"), "timeout").otherwise("pending").alias("status")
+    )
     waiting = waiting_rows(spark, state).where(f"what = {_REQUEST}").select(F.col("server").alias("session"), "id", F.lit("pending").alias("status"))
-    return over.unionByName(open_).unionByName(waiting)
+    return held.unionByName(waiting)

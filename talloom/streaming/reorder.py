@@ -1,9 +1,12 @@
 """Rows of a key in time order, over micro-batches of any cut: the reorder buffer of the stateful processors.
 
+Keys are dealt over `SLOTS` slots by hash, and a slot is what the engine calls with: a call, its timer and its state
+entries serve all keys of the slot, so a stream costs by its rows, not by its number of keys.
+
 Rows wait in map state. Every arriving frame is sorted and becomes a run, an entry per chunk of rows; time is counted in
 buckets of `BUCKET_MS`. When the watermark has passed a bucket, the runs that reach into passed time are merged, one chunk of
-each at a time, and handed on in frames of bounded size: a session is never one list, and nothing is sorted but the rows of
-one arriving frame. What of a chunk has not passed yet stays in its entry; sparse sessions have one entry, not one per time.
+each at a time, and handed on in frames of bounded size, cut by session: a session is never one list, and nothing is sorted
+but the rows of one arriving frame. What of a chunk has not passed yet stays in its entry; sparse sessions have one entry, not one per time.
 
 Rows that arrive after their bucket has passed come out as rows of kind `late`, beside the results of kind `done`. For
 that the engine must not drop them: the event time column ends at the watermark, and rows go on with `us` alone.
@@ -16,14 +19,16 @@ from collections.abc import Iterator
 from itertools import islice
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHUNK_ROWS = 2_048
-FRAME_ROWS = 8_192
+FRAME_ROWS = 32_768
 BUCKET_MS = 60_000
+SLOTS = 1_024
 
 #: Time that no row has. A row at this time ends the input, see `run.with_end`.
 END = "9000-01-01 00:00:00"
@@ -39,22 +44,23 @@ def _plain(column: pd.Series, kind: str | None) -> list:
 class InOrder(StatefulProcessor):
     """Folds the rows of a key in order of `by`. Subclasses state their fields, held state and `fold`.
 
-    Columns of the rows: us (event time in microseconds), seq, and `fields`. `fold(key, frame, held)` gives the new held
-    state and a list of result frames; frames come in order, and one bucket after the other.
+    Columns of the rows: us (event time in microseconds), seq, the key columns, and `fields`. `fold(session, frame, held)`
+    gives the new held state of a session and a list of result frames; frames of a session come in order.
     """
 
     fields: dict[str, str] = {}
     state = "seen bigint"
     by = ("us", "seq")
     returns: dict[str, str] = {}
+    keys, key_type = ("session",), "bigint"
     bucket_ms, chunk_rows, frame_rows = BUCKET_MS, CHUNK_ROWS, FRAME_ROWS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = ["us", "seq", *self.fields]
-        types = {"us": "bigint", "seq": "bigint"} | self.fields
-        self.held = handle.getValueState("held", self.state)
-        self.waiting = handle.getMapState("waiting", "run bigint, chunk int", ", ".join(f"{n} array<{t}>" for n, t in types.items()))
+        self.types = {"us": "bigint", "seq": "bigint"} | {k: self.key_type for k in self.keys} | self.fields
+        self.names = list(self.types)
+        self.held = handle.getMapState("held", f"session {self.key_type}", self.state)
+        self.waiting = handle.getMapState("waiting", "run bigint, chunk int", ", ".join(f"{n} array<{t}>" for n, t in self.types.items()))
         # open runs with their next chunk, number of chunks and earliest time; the number of the next run; the timer set
         self.index = handle.getValueState(
             "index", "runs array<bigint>, heads array<int>, ends array<int>, firsts array<bigint>, next bigint, timer bigint"
@@ -96,12 +102,13 @@ class InOrder(StatefulProcessor):
             if passed is not None:
                 late = pdf["us"].to_numpy() // (1000 * self.bucket_ms) < passed
                 if late.any():
-                    yield self.frame(key, "late", self.describe(pdf[late]))
+                    behind = pdf[late]
+                    yield self.frame("late", [(_plain(behind[self.keys[0]], self.key_type), self.describe(behind))])
                 if late.all():
                     continue
                 pdf = pdf[~late]
             pdf = pdf.sort_values(list(self.by), kind="stable")
-            columns = [_plain(pdf[n], self.fields.get(n)) for n in self.names]
+            columns = [_plain(pdf[n], self.types[n]) for n in self.names]
             cuts = range(0, len(pdf), self.chunk_rows)
             for chunk, c in enumerate(cuts):
                 self.waiting.updateValue((number, chunk), tuple(x[c : c + self.chunk_rows] for x in columns))
@@ -119,16 +126,15 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = self.passed(timerValues)
         open_, number, _ = self._open()
-        held = self.held.get() if self.held.exists() else None
-        before = held
         if passed is not None:
+            self.load()
             until = passed * self.bucket_ms * 1000
             left: dict[int, tuple[int, list]] = {}
             due = [run for run, (_, _, first) in open_.items() if first < until]
             rows = heapq.merge(*[self._before(run, *open_[run][:2], until, left) for run in due], key=itemgetter(*[self.names.index(n) for n in self.by]))
             while part := list(islice(rows, self.frame_rows)):
-                held, out = self.fold(key, pd.DataFrame(part, columns=self.names), held)
-                yield from (self.frame(key, "done", x) for x in out if len(x))
+                if out := self.fold_frame(part):
+                    yield self.frame("done", out)
             for run in due:
                 head, end, _ = open_.pop(run)
                 at, rest = left.get(run, (end, []))
@@ -137,10 +143,9 @@ class InOrder(StatefulProcessor):
                 if rest:
                     self.waiting.updateValue((run, at), tuple(list(x) for x in zip(*rest)))
                     open_[run] = (at, end, rest[0][0])
-            held, out = self.settle(key, passed * self.bucket_ms, held)
-            yield from (self.frame(key, "done", x) for x in out if len(x))
-        if held is not None and held != before:
-            self.held.update(held)
+            if out := self.settle(passed * self.bucket_ms):
+                yield self.frame("done", out)
+            self.store()
         self._save(open_, number, None, self.wake())
 
     def _before(self, run: int, head: int, end: int, until: int, left: dict[int, tuple[int, list]]) -> Iterator[tuple]:
@@ -155,12 +160,37 @@ class InOrder(StatefulProcessor):
 
     # -- for subclasses -----------------------------------------------------------
 
-    def fold(self, key, pdf: pd.DataFrame, held):
+    def load(self) -> None:
+        """Before rows of the slot are folded."""
+        self.states: dict = {}
+        self.changed: set = set()
+
+    def fold_frame(self, rows: list[tuple]) -> list[tuple]:
+        """Result frames of rows of the slot in order, each with its session."""
+        pdf, out = pd.DataFrame(rows, columns=self.names), []
+        for session, part in pdf.groupby(pd.Series([r[2] for r in rows], dtype=object), sort=False, dropna=False):
+            session = None if pd.isna(session) else session
+            if session not in self.states:
+                self.states[session] = self.held.getValue((session,)) if self.held.containsKey((session,)) else None
+            before = self.states[session]
+            held, found = self.fold(session, part.reset_index(drop=True), before)
+            if held is not None and held != before:
+                self.states[session] = held
+                self.changed.add(session)
+            out += [(session, x) for x in found if len(x)]
+        return out
+
+    def store(self) -> None:
+        """After rows of the slot were folded."""
+        for session in self.changed:
+            self.held.updateValue((session,), self.states[session])
+
+    def fold(self, session, pdf: pd.DataFrame, held):
         raise NotImplementedError
 
-    def settle(self, key, now_ms: int, held):
+    def settle(self, now_ms: int) -> list[tuple]:
         """After all rows before a time were folded: what follows from the time alone."""
-        return held, []
+        return []
 
     def wake(self) -> int | None:
         """A time in milliseconds at which `settle` must run though no row waits."""
@@ -170,20 +200,31 @@ class InOrder(StatefulProcessor):
         """Late rows as result columns."""
         return late[["seq"]]
 
-    def frame(self, key, kind: str, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows of the result schema; columns that a kind does not have are null."""
-        given = {n: pdf[n].to_numpy() if n in pdf.columns else [None] * len(pdf) for n in self.returns}
-        return pd.DataFrame({"kind": kind, "session": key[0]} | given, index=range(len(pdf)))
+    def frame(self, kind: str, found: list[tuple]) -> pd.DataFrame:
+        """Rows of the result schema from frames with their session, or list of sessions; columns that a kind does not have are null."""
+        sessions = [s for own, x in found for s in (own if isinstance(own, list) else [own] * len(x))]
+
+        def column(name: str) -> np.ndarray:
+            parts = [x[name].to_numpy() if name in x.columns else np.full(len(x), None, object) for _, x in found]
+            kinds = {p.dtype.kind for p in parts}
+            return np.concatenate(parts if len(kinds) == 1 else [p.astype(object) for p in parts])
+
+        return pd.DataFrame({"kind": kind, "session": sessions} | {n: column(n) for n in self.returns}, index=range(len(sessions)))
 
 
 def in_order(rows: DataFrame, processor: InOrder, delay: str, keys: tuple[str, ...] = ("session",), key_type: str = "bigint") -> DataFrame:
-    """Rows (keys, ts, seq, fields) through a processor: kind, session, and the columns that it returns."""
+    """Rows (keys, ts, seq, fields) through a processor: kind, session, and the columns that it returns.
+
+    keys: the first one is the session; more of them only deal its rows over several slots.
+    """
     # set here, on the driver, so that the processor takes them along to the workers
     processor.bucket_ms, processor.chunk_rows, processor.frame_rows = BUCKET_MS, CHUNK_ROWS, FRAME_ROWS
+    processor.keys, processor.key_type = keys[:1], key_type
     timed = rows.withWatermark("ts", delay).where(F.col("ts") < F.lit(END).cast("timestamp"))
-    timed = timed.withColumn("us", F.unix_micros("ts")).select(*keys, "us", "seq", *processor.fields)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int").alias("slot")
+    timed = timed.withColumn("us", F.unix_micros("ts")).select(slot, "us", "seq", keys[0], *processor.fields)
     schema = f"kind string, session {key_type}, " + ", ".join(f"{n} {t}" for n, t in processor.returns.items())
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    return timed.groupBy("slot").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
     )
 
