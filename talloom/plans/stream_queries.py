@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talloom.plans.registry import ORACLES, Tables, query
 from talloom.plans.standins import ctes
-from talloom.session import literal_rows, scratch_path
+from talloom.session import input_bytes, literal_rows, scratch_path
 from talloom.streaming import deltas, live, replies
 from talloom.streaming.reorder import done, late
 from talloom.streaming.run import end_input, run_available, run_to_end, table_stream, use_rocksdb, waiting_rows, with_end
@@ -50,17 +50,30 @@ def _block_rows(t: Tables):
     return _stamped(rows)
 
 
+#: Bytes of the read tables for one written file; lines take two to three times that.
+_FILE_BYTES = 64 << 20
+
+
+def _files(rows, least: int) -> int:
+    """How many files rows are written to: more for larger tables, so that no task writes or reads one of any size."""
+    return max(least, (input_bytes(rows) or 0) // _FILE_BYTES + 1)
+
+
+def _dealt(rows, files: int):
+    return rows.repartition(files, "stream_id", "seq")
+
+
 def _folder(rows, name: str, early: bool = False) -> str:
     """Rows as JSON lines; `early` keeps what arrives later for a second step."""
     path = scratch_path(rows.sparkSession, name)
-    (rows.where(f"arrived < '{_CUT}'") if early else rows).repartition(4, "seq").write.json(path)
+    _dealt(rows.where(f"arrived < '{_CUT}'") if early else rows, _files(rows, 4)).write.json(path)
     return path
 
 
 def _streamed(t: Tables, rows, make, name: str, each=None):
     """Runs `make` over the lines that arrive before an instant, then over the rest, and closes the stream."""
     path = _folder(rows, name, early=True)
-    rest = lambda: rows.where(f"arrived >= '{_CUT}'").repartition(4, "seq").write.mode("append").json(path)
+    rest = lambda: _dealt(rows.where(f"arrived >= '{_CUT}'"), _files(rows, 4)).write.mode("append").json(path)
     lines, end = with_end(deltas.read_lines(use_rocksdb(t.spark), path, files_per_batch=64), name)
     return run_available(make(deltas.data_lines(lines)), name, each=each, more=[rest, lambda: end_input(t.spark, end, "arrived", line=_END_LINE)])
 
@@ -139,14 +152,15 @@ def _(t: Tables):
     ends = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.when(F.startswith(x["line"], F.lit("event:")), "\r\n").otherwise("\n\n"))), "")
     size = (37 + F.pmod(F.xxhash64("stream_id"), F.lit(200))).cast("int")
     raw = texts.select("stream_id", F.encode(ends, "utf-8").alias("all"), size.alias("size"))
-    at = F.posexplode(F.sequence(F.lit(0), F.floor((F.octet_length("all") - 1) / F.col("size")).cast("int"))).alias("_k", "k")
+    ks = F.sequence(F.lit(0), F.floor((F.octet_length("all") - 1) / F.col("size")).cast("int"))
+    # cut inside the array, so that no piece carries the whole reply
+    cut = F.posexplode(F.transform(ks, lambda k: F.substr("all", k * F.col("size") + 1, F.col("size")))).alias("k", "bytes")
     arrived = F.timestamp_seconds(F.unix_timestamp(F.lit(_CUT).cast("timestamp")) + F.pmod("k", F.lit(3000)))
-    pieces = raw.select("stream_id", "all", "size", at).select(
-        "stream_id", arrived.alias("arrived"), F.col("k").cast("bigint").alias("piece"), F.substr("all", F.col("k") * F.col("size") + 1, F.col("size")).alias("bytes")
-    )
+    pieces = raw.select("stream_id", cut).select("stream_id", arrived.alias("arrived"), F.col("k").cast("bigint").alias("piece"), "bytes")
     path = scratch_path(t.spark, "raw")
-    pieces.repartition(6, "piece").write.parquet(path)
-    stream = use_rocksdb(t.spark).readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    files = _files(pieces, 6)
+    pieces.repartition(files, "stream_id", "piece").write.parquet(path)
+    stream = use_rocksdb(t.spark).readStream.schema(pieces.schema).option("maxFilesPerTrigger", files // 3).parquet(path)
     out = scratch_path(t.spark, "framed")
     run_to_end(stream, lambda p: replies.framed(p, "1 hour"), "frame", at="arrived").where("kind = 'event'").drop("kind").write.parquet(out)
     events = t.spark.readStream.schema("stream_id string, arrived timestamp, seq bigint, payload string").parquet(out)

@@ -1,27 +1,33 @@
 """Blocks put together from rows that arrive in any order, over hours, more than once, or never.
 
-State is kept per reply. Rows are appended to it, one entry per block and arriving frame, and are read once: when the
-first row, the last row and as many rows as lie between them are there. Every reply has a timer: when nothing arrived
-for it during the quiet time, what is not whole comes out as `lost`, and its state is given up. A row that comes after
-that opens the reply anew, and is lost in turn once the reply falls silent again; so no row vanishes.
+Replies are dealt over `SLOTS` slots by hash, and a slot is what the engine calls with: a call, its timer and the small
+ledger of its open replies serve all replies of the slot. Rows of a block that is not whole yet are appended to map state,
+one entry per block and arriving part, and are read once: when the first row, the last row and as many rows as lie between
+them are there. Every reply has a time at which it is given up: when nothing arrived for it during the quiet time, what is
+not whole comes out as `lost`, and its state goes. A row that comes after that opens the reply anew, and is lost in turn
+once the reply falls silent again; so no row vanishes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from talloom.streaming.reorder import END
+from talloom.streaming.reorder import END, SLOTS
 
 #: Values of `edge`: a row begins a block, ends it, or both.
 FIRST, LAST = 1, 2
 #: A reply that sends nothing for so long is given up.
 QUIET = "10 minutes"
+#: Rows and bytes of one slot that are handled at once.
+PART_ROWS, PART_BYTES = 100_000, 32 << 20
 
 _OUT = "kind string, stream_id string, block bigint, missing bigint, seqs array<bigint>, edges array<int>, items array<string>"
 
@@ -35,91 +41,181 @@ def _distinct(rows: Iterable[tuple]) -> list[tuple]:
 
 
 class _Quiet(StatefulProcessor):
-    """A processor with one timer per key, at the end of the quiet time after the last arrival."""
+    """A processor with a ledger of the open replies of a slot, and one timer at the first time that one is given up.
+
+    A reply of the ledger is a list: the time at which it is given up, its number in the slot, and what the subclass knows.
+    """
 
     def __init__(self, quiet_ms: int):
         self.quiet = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at bigint")
+        self.ledger = handle.getValueState("ledger", "replies string, next bigint, timer bigint")
 
     def close(self) -> None:
         pass
 
-    def _arrived(self, us: int) -> None:
-        before = self.timer.get()[0] if self.timer.exists() else None
-        at = max(us // 1000 + self.quiet, before or 0)
-        if at != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+    def _load(self) -> None:
+        replies, self.next, self.timer = self.ledger.get() if self.ledger.exists() else ("[]", 0, None)
+        self.replies: dict[str | None, list] = {name: entry for name, *entry in json.loads(replies)}
+
+    def _save(self) -> None:
+        at = min((entry[0] for entry in self.replies.values()), default=None)
+        if at != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if at is None:
+            self.ledger.clear()
+        else:
+            self.ledger.update((json.dumps([[name, *entry] for name, entry in self.replies.items()]), self.next, at))
+
+    def _entry(self, name: str | None, known) -> list:
+        if name not in self.replies:
+            self.replies[name] = [0, self.next, known]
+            self.next += 1
+        return self.replies[name]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        for pdf in _parts(rows, self.sized):
+            names, place = _names(pdf["stream_id"])
+            latest = pdf.groupby(place)["us"].max()
+            yield from self.take(pdf, names, place)
+            for k, us in zip(latest.index.tolist(), latest.tolist()):
+                entry = self.replies[names[k]]
+                entry[0] = max(us // 1000 + self.quiet, entry[0])
+        self._save()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        self.timer = None  # it has fired
+        now = timerValues.getCurrentWatermarkInMs()
+        for name in [n for n, entry in self.replies.items() if entry[0] < now]:  # a time is over once the watermark is beyond it
+            yield from self.give_up(name, *self.replies.pop(name))
+        self._save()
+
+    # sized: the column whose bytes count; take: rows with the names of their replies and the place of each row among these
+
+    sized: str
+
+    def take(self, pdf: pd.DataFrame, names: list, place: np.ndarray) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def give_up(self, name: str | None, at: int, number: int, known) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+
+def _parts(frames: Iterator[pd.DataFrame], sized: str) -> Iterator[pd.DataFrame]:
+    """Arriving frames put together to parts of bounded size, as a reply's rows may be spread over the frames of its slot."""
+    held, rows, size = [], 0, 0
+    for pdf in frames:
+        held, rows = [*held, pdf], rows + len(pdf)
+        size += sum(len(x) for x in pdf[sized].tolist() if isinstance(x, (str, bytes)))
+        if rows >= PART_ROWS or size >= PART_BYTES:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _names(column: pd.Series) -> tuple[list, np.ndarray]:
+    place, names = pd.factorize(column, use_na_sentinel=False)
+    return [x if isinstance(x, str) else None for x in names], place
 
 
 class _Reply(_Quiet):
+    """Per block the ledger knows: rows counted with repeats, entries, the places of the first and the last row as far as
+    known, and whether it is whole."""
+
+    sized = "item"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.pieces = handle.getMapState("pieces", "block bigint, part int", "seqs array<bigint>, edges array<int>, items array<string>")
-        # rows counted with repeats, entries, and the places of the first and the last row as far as known
-        self.blocks = handle.getMapState("blocks", "block bigint", "rows bigint, parts int, first bigint, last bigint, whole boolean")
+        self.pieces = handle.getMapState("pieces", "reply bigint, block bigint, part int", "seqs array<bigint>, edges array<int>, items array<string>")
+
+    def take(self, pdf: pd.DataFrame, names: list, place: np.ndarray) -> Iterator[pd.DataFrame]:
+        for name in names:
+            self._entry(name, {})
+        some = pdf["block"].notna().to_numpy()
+        pdf, place = pdf[some], place[some]
+        block = pdf["block"].to_numpy().astype(np.int64)
+        order = np.lexsort((block, place))  # stable: rows of a block stay as they came
+        place, block = place[order], block[order]
+        seqs, edges = pdf["seq"].to_numpy()[order], pdf["edge"].to_numpy()[order]
+        items = [x if isinstance(x, str) else None for x in pdf["item"].to_numpy()[order].tolist()]
+        cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(block) != 0)) + 1
+        borders = [0, *cuts.tolist(), len(place)] if len(place) else [0]
+        begins, ends = self._edge(seqs, edges & FIRST > 0, borders), self._edge(seqs, edges & LAST > 0, borders)
+        place, block, seqs, edges = place.tolist(), block.tolist(), seqs.tolist(), edges.tolist()
+        out, size = [], 0
+        for k, (a, b) in enumerate(zip(borders, borders[1:])):
+            name = names[place[a]]
+            _, number, blocks = self.replies[name]
+            known = blocks.setdefault(str(block[a]), [0, 0, None, None, False])  # names in JSON are strings
+            count, parts, first, last, whole = known
+            if whole:
+                continue
+            first, last = (first if begins[k] is None else begins[k]), (last if ends[k] is None else ends[k])
+            rows = list(zip(seqs[a:b], edges[a:b], items[a:b]))
+            full = first is not None and last is not None and count + b - a > last - first
+            if full:  # what came in one piece is never stored
+                found = _distinct([*self._stored(number, block[a], parts), *rows])
+                count = len(found) if parts else count
+                whole = len(found) == last - first + 1
+            if whole:
+                out.append(("whole", name, block[a], 0, found))
+                size += len(found)
+                self._drop(number, block[a], parts)
+                parts = 0
+            else:
+                if full and parts:  # repeated rows are not kept, or they would be counted again
+                    self._drop(number, block[a], parts)
+                    self.pieces.updateValue((number, block[a], 0), tuple(list(x) for x in zip(*found)))
+                    parts = 1
+                else:
+                    self.pieces.updateValue((number, block[a], parts), tuple(list(x) for x in zip(*rows)))
+                    count, parts = count + b - a, parts + 1
+            known[:] = [count, parts, first, last, whole]
+            if size >= PART_ROWS:
+                yield self._rows(out)
+                out, size = [], 0
+        if out:
+            yield self._rows(out)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest, touched = 0, {}
-        for pdf in rows:
-            latest = max(latest, int(pdf["us"].max()))
-            for block, part in pdf.groupby("block", sort=False):
-                block = int(block)
-                known = touched.get(block) or (self.blocks.getValue((block,)) if self.blocks.containsKey((block,)) else (0, 0, None, None, False))
-                count, parts, first, last, whole = known
-                if not whole:
-                    edge, seq = part["edge"].to_numpy(), part["seq"].to_numpy()
-                    items = [x if isinstance(x, str) else None for x in part["item"].tolist()]
-                    begins, ends = seq[edge & FIRST > 0], seq[edge & LAST > 0]
-                    first, last = int(begins[0]) if len(begins) else first, int(ends[0]) if len(ends) else last
-                    given = (seq.tolist(), edge.tolist(), items)
-                    at_once = _distinct(zip(*given)) if not parts and first is not None and last is not None else []
-                    whole = bool(at_once) and len(at_once) == last - first + 1
-                    if whole:  # came in one piece: nothing of it is stored
-                        yield self._row(key, "whole", block, 0, at_once)
-                    else:
-                        self.pieces.updateValue((block, parts), given)
-                        count, parts = count + len(part), parts + 1
-                touched[block] = (count, parts, first, last, whole)
-        for block, (count, parts, first, last, whole) in touched.items():
-            if not whole and first is not None and last is not None and count > last - first:
-                found = self._read(block, parts)
-                count = len(found)
-                if count == last - first + 1:
-                    yield self._row(key, "whole", block, 0, found)
-                    self._drop(block, parts)
-                    parts, whole = 0, True
-            self.blocks.updateValue((block,), (count, parts, first, last, whole))
-        self._arrived(latest)
-
-    def _read(self, block: int, parts: int) -> list[tuple]:
-        return _distinct(row for part in range(parts) for row in zip(*self.pieces.getValue((block, part))))
-
-    def _drop(self, block: int, parts: int) -> None:
+    @staticmethod
+    def _edge(seqs: np.ndarray, marked: np.ndarray, borders: list[int]) -> list[int | None]:
+        """Per block the place of its first marked row."""
+        at = np.flatnonzero(marked)
+        found = np.searchsorted(at, borders[:-1])
+        return [int(seqs[at[f]]) if f < len(at) and at[f] < b else None for f, b in zip(found.tolist(), borders[1:])]
+
+    def _stored(self, number: int, block: int, parts: int) -> list[tuple]:
+        return [row for part in range(parts) for row in zip(*self.pieces.getValue((number, block, part)))]
+
+    def _drop(self, number: int, block: int, parts: int) -> None:
         for part in range(parts):
-            self.pieces.removeKey((block, part))
+            self.pieces.removeKey((number, block, part))
 
-    def _row(self, key, kind: str, block: int, missing: int | None, rows: list[tuple]) -> pd.DataFrame:
-        seqs, edges, items = (list(x) for x in zip(*rows))
+    @staticmethod
+    def _rows(found: list[tuple]) -> pd.DataFrame:
+        kinds, names, blocks, missing, rows = zip(*found)
+        columns = [[list(x) for x in zip(*r)] for r in rows]
         return pd.DataFrame({
-            "kind": [kind], "stream_id": [key[0]], "block": [block], "missing": pd.array([missing], "Int64"), "seqs": [seqs], "edges": [edges], "items": [items],
+            "kind": kinds, "stream_id": names, "block": blocks, "missing": pd.array(missing, "Int64"),
+            "seqs": [c[0] for c in columns], "edges": [c[1] for c in columns], "items": [c[2] for c in columns],
         })
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        gone = [(k[0], v) for k, v in self.blocks.iterator()]
-        for block, (_, parts, first, last, whole) in sorted(gone):
+    def give_up(self, name: str | None, at: int, number: int, known) -> Iterator[pd.DataFrame]:
+        for block in sorted(map(int, known)):
+            _, parts, first, last, whole = known[str(block)]
             if not whole:
-                found = self._read(block, parts)
-                known = first is not None and last is not None
-                yield self._row(key, "lost", block, last - first + 1 - len(found) if known else None, found)
-                self._drop(block, parts)
-        self.blocks.clear()
+                found = _distinct(self._stored(number, block, parts))
+                missing = last - first + 1 - len(found) if first is not None and last is not None else None
+                yield self._rows([("lost", name, block, missing, found)])
+                self._drop(number, block, parts)
 
 
 def _quiet_ms(rows: DataFrame, quiet: str) -> int:
@@ -130,7 +226,8 @@ def _quiet_ms(rows: DataFrame, quiet: str) -> int:
 def _through(rows: DataFrame, processor: _Quiet, returns: str) -> DataFrame:
     timed = rows.withWatermark("arrived", "0 seconds").where(F.col("arrived") < F.lit(END).cast("timestamp"))
     timed = timed.withColumn("us", F.unix_micros("arrived")).drop("arrived")
-    return timed.groupBy("stream_id").transformWithStateInPandas(
+    timed = timed.withColumn("slot", F.pmod(F.xxhash64("stream_id"), F.lit(SLOTS)).cast("int"))
+    return timed.groupBy("slot").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=returns, outputMode="append", timeMode="eventTime",
     )
 
@@ -148,59 +245,91 @@ def assembled(rows: DataFrame, quiet: str = QUIET) -> DataFrame:
 
 #: Ends of lines. A carriage return at the end of what came may be half of one.
 _LINE_END = re.compile(rb"\r\n|\n|\r(?!\Z)")
+#: Waiting pieces of one entry.
+AHEAD = 256
 
 
 class _Framer(_Quiet):
-    """Cuts the bytes of a reply into events, wherever the pieces were cut. Pieces ahead of their turn wait by number."""
+    """Cuts the bytes of a reply into events, wherever the pieces were cut. Pieces ahead of their turn wait by number.
+
+    The ledger knows of a reply the next piece, the next event, the bytes of a begun line, the lines of a begun event, and
+    its waiting entries by number with the first piece of each. An entry is at most AHEAD pieces of one arriving part in order.
+    """
+
+    sized = "bytes"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.ahead = handle.getMapState("ahead", "piece bigint", "bytes binary")
-        self.cursor = handle.getValueState("cursor", "piece bigint, seq bigint, rest binary, data array<string>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        piece, seq, rest, data = self.cursor.get() if self.cursor.exists() else (0, 0, b"", [])
-        rest, data, latest = bytes(rest), list(data), 0
-        for pdf in rows:
-            latest, out = max(latest, int(pdf["us"].max())), []
-            for number, given in sorted(zip(pdf["piece"].tolist(), pdf["bytes"].tolist()), key=lambda x: x[0]):
-                if number > piece:
-                    self.ahead.updateValue((number,), (bytes(given),))
-                if number != piece:
-                    continue  # early ones wait, repeated ones are done with
-                while given is not None:
-                    piece += 1
-                    *lines, rest = _LINE_END.split(rest + bytes(given))
-                    for line in lines:
-                        if not line and data:
-                            out.append((seq, "\n".join(data)))
-                            seq, data = seq + 1, []
-                        elif line.startswith(b"data:"):
-                            data.append(line[5:].removeprefix(b" ").decode("utf-8", "replace"))
-                    given = None
-                    if self.ahead.containsKey((piece,)):
-                        given = self.ahead.getValue((piece,))[0]
-                        self.ahead.removeKey((piece,))
-            if out:
-                yield self._rows(key, "event", out, latest)
-        self.cursor.update((piece, seq, rest, data))
-        self._arrived(latest)
+        self.ahead = handle.getMapState("ahead", "reply bigint, entry bigint", "pieces array<bigint>, bytes array<binary>")
+
+    def take(self, pdf: pd.DataFrame, names: list, place: np.ndarray) -> Iterator[pd.DataFrame]:
+        pieces = pdf["piece"].to_numpy()
+        order = np.lexsort((pieces, place))
+        place, pieces, given, us = place[order], pieces[order].tolist(), pdf["bytes"].to_numpy()[order].tolist(), pdf["us"].to_numpy()[order]
+        borders = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        out = []
+        for a, b in zip(borders, borders[1:]):
+            name = names[place[a]]
+            entry = self._entry(name, [0, 0, "", [], {}, 0])
+            known, fresh = entry[2], {}
+            for number, x in zip(pieces[a:b], given[a:b]):
+                if number >= known[0]:  # repeated ones are done with
+                    fresh.setdefault(number, bytes(x))
+            events = self._advance(entry[1], known, fresh)
+            if events:
+                out.append(self._rows("event", name, events, int(us[a:b].max())))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def _advance(self, reply: int, known: list, fresh: dict[int, bytes]) -> list[tuple]:
+        """Events of the pieces whose turn it is; the others wait. known: see above."""
+        piece, seq, rest, data, entries, number = known
+        rest, out = [rest.encode("latin-1")], []
+        while True:
+            for entry in [e for e, first in entries.items() if piece not in fresh and first <= piece]:
+                fresh = dict(zip(*self.ahead.getValue((reply, int(entry))))) | fresh
+                self.ahead.removeKey((reply, int(entry)))
+                del entries[entry]
+            if piece not in fresh:
+                break
+            given = bytes(fresh.pop(piece))
+            piece += 1
+            if b"\n" not in given and b"\r" not in given and not rest[-1].endswith(b"\r"):
+                rest.append(given)  # in the midst of a line: looked at once its end is there
+                continue
+            *lines, left = _LINE_END.split(b"".join(rest) + given)
+            rest = [left]
+            for line in lines:
+                if not line and data:
+                    out.append((seq, "\n".join(data)))
+                    seq, data = seq + 1, []
+                elif line.startswith(b"data:"):
+                    data.append(line[5:].removeprefix(b" ").decode("utf-8", "replace"))
+        waiting = sorted(x for x in fresh if x > piece)
+        for k in range(0, len(waiting), AHEAD):
+            part = waiting[k : k + AHEAD]
+            self.ahead.updateValue((reply, number), (part, [bytes(fresh[x]) for x in part]))
+            entries[str(number)] = part[0]
+            number += 1
+        known[:] = [piece, seq, b"".join(rest).decode("latin-1"), data, entries, number]
+        return out
 
     @staticmethod
-    def _rows(key, kind: str, events: list[tuple], us: int) -> pd.DataFrame:
+    def _rows(kind: str, name: str | None, events: list[tuple], us: int) -> pd.DataFrame:
         seqs, payloads = zip(*events)
-        return pd.DataFrame({"kind": kind, "stream_id": key[0], "us": us, "seq": seqs, "payload": payloads})
+        return pd.DataFrame({"kind": kind, "stream_id": name, "us": us, "seq": seqs, "payload": payloads})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, seq, rest, data = self.cursor.get()
+    def give_up(self, name: str | None, at: int, number: int, known) -> Iterator[pd.DataFrame]:
+        _, seq, rest, data, entries, _ = known
         left = ["\n".join(data)] if data else []
-        left += [bytes(rest).decode("utf-8", "replace")] if rest else []
-        left += [bytes(v[0]).decode("utf-8", "replace") for _, v in sorted(self.ahead.iterator())]
+        left += [rest.encode("latin-1").decode("utf-8", "replace")] if rest else []
+        waiting: dict[int, bytes] = {}
+        for entry in entries:
+            waiting |= dict(zip(*self.ahead.getValue((number, int(entry)))))
+            self.ahead.removeKey((number, int(entry)))
+        left += [bytes(waiting[x]).decode("utf-8", "replace") for x in sorted(waiting)]
         if left:
-            yield self._rows(key, "rest", [(seq + i, x) for i, x in enumerate(left)], expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self.timer.clear()
-        self.cursor.clear()
-        self.ahead.clear()
+            yield self._rows("rest", name, [(seq + i, x) for i, x in enumerate(left)], at * 1000)
 
 
 def framed(pieces: DataFrame, quiet: str = QUIET) -> DataFrame:

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.session import configure, scratch_path
+from talloom.session import configure, reliable, scratch_path
 from talloom.streaming.reorder import END
 
 # State that outlives one process and the processors' list state need RocksDB.
@@ -95,7 +95,8 @@ def run_available(
 
     state: where to keep the stream's state, to read what it still holds.
     more: steps that add input, after each of which the stream is resumed and processes what is new.
-    each: a batch operator for the rows of every micro-batch, e.g. a join with tables as they are by then.
+    each: a batch operator for the rows of every micro-batch, e.g. a join with tables as they are by then. The rows are
+    stored first: an operator that reads them more than once does not run the stream's own stages as often.
 
     Update mode and `each` have no file sink of their own: every batch overwrites its own
     folder, so a batch that is run again after a failure does not repeat rows.
@@ -107,7 +108,7 @@ def run_available(
     if mode == "append" and each is None:
         files, writer = out, writer.format("parquet").option("path", out)
     else:
-        files, judge = f"{out}/batch-*", each or (lambda df: df)
+        files, judge = f"{out}/batch-*", (lambda df: each(reliable(df, f"{name}-rows"))) if each is not None else (lambda df: df)
         if each is not None:
             schema = each(spark.createDataFrame([], schema)).schema
         writer = writer.foreachBatch(lambda df, batch: judge(df).write.mode("overwrite").parquet(f"{out}/batch-{batch}"))
