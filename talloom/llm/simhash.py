@@ -142,12 +142,17 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
         seen = state
 
 
+def _linked(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints with their smallest doc_id, the links between them, and the components of those that have one."""
+    names = prints.groupBy("fp").agg(F.min("doc_id").alias("name"))
+    edges = stored(links(names.select("fp")), "links")
+    return names, edges, components(edges, names)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row, and its number of linked fingerprints."""
     prints = stored(fingerprints(docs, id_col, text), "fingerprints")
-    names = prints.groupBy("fp").agg(F.min("doc_id").alias("name"))
-    edges = stored(links(names.select("fp")), "links")
-    roots = components(edges, names)
+    names, edges, roots = _linked(prints)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     classes = names.join(roots, "fp", "left").join(degree, "fp", "left")
     classes = classes.select("fp", F.coalesce("component_id", "name").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -156,6 +161,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
+def near_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and component of every row, as `keep_one` takes them: groups of linked fingerprints.
+
+    component is the fingerprint that represents its group, as two groups may share their smallest id.
+    """
+    prints = fingerprints(docs.withColumn("_hash", F.xxhash64("text")).select(F.struct("doc_id", "_hash").alias("doc_id"), "text"))
+    prints = stored(prints.select("doc_id.doc_id", F.col("doc_id._hash").alias("text_hash"), "fp"), "fingerprints")
+    names, _, roots = _linked(prints)
+    classes = names.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "component")
+
+
 def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Exactly one row of each group of near duplicates: that with the smallest id, then the smallest text hash.
 
