@@ -293,3 +293,48 @@ def test_idle_sessions_close(spark, log):
     assert got.filter("session = 0").count() == 0  # still open at the end
     assert got.agg(F.sum("calls")).first()[0] <= rows.count()
     assert got.filter("unix_timestamp(end) - unix_timestamp(start) < 600").count() == 0
+
+
+def test_rows_without_a_session_mix_with_no_other(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    at = F.timestamp_seconds(86_400 + F.col("id") * 60).alias("ts")
+    rows = spark.range(400).select(F.expr("nullif(id % 40, 7)").alias("session"), at, F.col("id").alias("seq"), F.lit(True).alias("denied"))
+    rows.repartition(4).write.parquet(folder)
+    stream = use_rocksdb(spark).readStream.schema(rows.schema).parquet(folder)
+    got = done(run_to_end(stream, lambda r: live.streaks_stream(r, 4, 50, "1 hour"), "t"))
+    want = {(None if i % 40 == 7 else i % 40, i, i // 40 + 1) for i in range(400)}
+    assert {(r["session"], r["seq"], r["run"]) for r in got.collect()} == want
+
+
+def test_a_batch_operator_reads_the_rows_of_the_stream_once(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(50).write.parquet(folder)
+    drawn = F.udf(lambda _: __import__("random").random(), "double").asNondeterministic()
+    stream = spark.readStream.schema("id long").parquet(folder).withColumn("x", drawn("id"))
+    twice = lambda df: df.join(df.select("id", F.col("x").alias("y")), "id")
+    got = run_available(stream, "t", each=twice)
+    assert got.count() == 50 and got.where("x <> y").isEmpty()
+
+
+def test_replies_of_a_slot_are_one_call(spark, tmp_path, monkeypatch):
+    """A hundred replies, in two batches and with their lines far apart, in two slots."""
+    monkeypatch.setattr(replies, "SLOTS", 2)
+    monkeypatch.setattr(replies, "PART_ROWS", 64)
+    folder = str(tmp_path / "in")
+    lines = _lines(spark, [(f"s{k}", 1, i, e) for k in range(100) for i, e in enumerate(CALL)])
+    for half in ("seq % 2 = 0", "seq % 2 = 1"):
+        lines.where(half).repartition(1, "seq").write.mode("append").json(folder)
+    use_rocksdb(spark)
+    events = deltas.block_events(deltas.read_delta_stream(spark, folder, files_per_batch=1))
+    got = run_available(deltas.complete_blocks_stream(events, "10 minutes"), "t")
+    assert {(r["stream_id"], r["block"], r["text"]) for r in got.collect()} == {(f"s{k}", b, x) for k in range(100) for b, x in ((0, "Hello\n"), (1, '{"a": 1}'))}
+
+
+def test_larger_tables_are_written_to_more_files(spark, tmp_path, monkeypatch):
+    from talloom.plans import all_queries, stream_queries  # noqa: F401 - in this order
+
+    spark.range(1000).select(F.col("id").cast("string").alias("stream_id"), F.col("id").alias("seq")).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    assert stream_queries._files(rows, 4) == 4
+    monkeypatch.setattr(stream_queries, "_FILE_BYTES", 500)
+    assert stream_queries._files(rows, 4) > 8
