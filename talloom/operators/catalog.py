@@ -30,7 +30,7 @@ def restrict(rows: DataFrame, allowed: DataFrame | None, key: str, never: str) -
 
 
 def without(rows: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(removed.select(*keys), keys, "left_anti")
+    return rows.join(small_side(removed.select(*keys)), keys, "left_anti")
 
 
 def pick(candidates: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:

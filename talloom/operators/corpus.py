@@ -17,6 +17,7 @@ MAX_INCLUDE_DEPTH = 5
 CIRCULAR = ("<!-- circular: ", " -->")
 MISSING = ("<!-- not found: ", " -->")
 SPILL_NOTE = ("[Result too large (", " KB, ", " lines). Full output saved to ")
+TASK_PAIRS = 1 << 20
 INCLUDE_LINE = r"^@(\./\S+|~/\S+|/\S+)$"
 
 
@@ -277,13 +278,16 @@ def words(value: Column) -> Column:
 def recall_by_overlap(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     """For each query the k docs sharing most distinct words, ties to the lower id.
 
-    queries(query_id, text), docs(doc_id bigint, text). Doc words that no query asks for are dropped first; the rest
-    meet the queries' words in one join, where adaptive execution splits frequent words, and are counted per
-    (query, doc) before they move. The k best per query are cut out in each task before the last shuffle.
+    queries(query_id, text), docs(doc_id bigint, text). Docs are dealt by their id over as many tasks as pairs of a query
+    and a doc need. Doc words that no query asks for are dropped; the rest meet the queries' words and are counted in the
+    task of their doc, and the k best per query are cut out there: of all the pairs none moves but these.
     """
-    configure(docs.sparkSession)
+    spark = configure(docs.sparkSession)
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word"))
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(words(F.col("text"))).alias("word"))
+    pairs = docs.select("doc_id").count() * max(queries.select("query_id").count(), 100)
+    tasks = max(spark.sparkContext.defaultParallelism, pairs // TASK_PAIRS + 1)
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartition(tasks, "doc_id")
+    tokens = dealt.select("doc_id", F.explode(words(F.col("text"))).alias("word"))
     known = tokens.join(small_side(asked.select("word").distinct()), "word", "left_semi")
     shared = known.join(small_side(asked), "word").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     return first_per_group(shared, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)

@@ -11,6 +11,7 @@ from talloom.plans.registry import Tables, query
 from talloom.plans.session_queries import _COST, _RULED, _prices, _rules, _valued
 from talloom.plans.source_queries import _MARKED, _documents, _read_back
 from talloom.plans.standins import calls, ctes, files, usage
+from talloom.session import reliable, small_side
 
 _NOW = "2024-03-01"
 
@@ -32,9 +33,10 @@ def _(t: Tables):
     """Gate, leave out seen notes, score, pick, cut, budget, render."""
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text").filter(text.is_substantial(F.col("text")))
     candidates = catalog.without(files(t), t.labels.filter("toxic = 1"), ["doc_id"])
-    best = corpus.recall_by_overlap(asked, candidates.select("doc_id", "text"), k=5)
+    # a few rows per query, stored: later steps read them more than once, and texts are not moved to meet them
+    best = reliable(corpus.recall_by_overlap(asked, candidates.select("doc_id", "text"), k=5), "best")
     body = text.cap_note(F.col("text"))
-    chosen = best.join(candidates.select("doc_id", "path", body.alias("body")), "doc_id")
+    chosen = reliable(candidates.select("doc_id", "path", body.alias("body")).join(small_side(best), "doc_id"), "chosen")
     sized = chosen.withColumns({"size": F.octet_length("body").cast("bigint"), "back": -F.col("score")})
     fits = corpus.byte_budget(sized, ["query_id"], ["back", "doc_id"], "size", 8000).filter("starts")
     age = text.age_label(F.lit("2024-01-01").cast("timestamp"), F.lit(_NOW).cast("timestamp"))
