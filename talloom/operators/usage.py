@@ -79,30 +79,36 @@ def tree_rollup(runs: DataFrame) -> DataFrame:
 
     runs(run_id, parent_id, in_tok, out_tok) with unique ids. A parent that is not a run ends the path. Pointers are
     doubled: after round r every run holds the sums of its descendants less than 2**r levels down, and points at its
-    ancestor 2**r levels up, so rounds grow with the logarithm of the depth. A path longer than the number of runs never
-    ends: its runs keep only their own tokens and are marked `on_cycle`.
+    ancestor 2**r levels up, so rounds grow with the logarithm of the depth. Only runs whose path goes on are joined with
+    their ancestors, so those that are done never meet in one task. A path that ends leaves a run at every depth on its
+    way, so once a round ends no path, none that is left ever ends: these runs keep only their own tokens and are marked
+    `on_cycle`.
     """
     known = runs.select(F.col("run_id").alias("parent_id"))
     parents = runs.select("run_id", "parent_id").join(known, "parent_id", "left_semi")
     base = runs.select("run_id", "in_tok", "out_tok").join(parents, "run_id", "left")
     nodes = reliable(base.select("run_id", F.col("parent_id").alias("up"), "in_tok", "out_tok"))
-    limit = max(1, nodes.count()).bit_length()
-    for _ in range(limit):
-        if nodes.filter("up IS NOT NULL").isEmpty():
-            break
-        moved = nodes.filter("up IS NOT NULL").groupBy(F.col("up").alias("run_id")).agg(
-            F.sum("in_tok").alias("_in"), F.sum("out_tok").alias("_out")
-        )
-        further = nodes.select(F.col("run_id").alias("up"), F.col("up").alias("_up"))
-        nodes = reliable(
-            nodes.join(moved, "run_id", "left").join(further, "up", "left").select(
-                "run_id", F.col("_up").alias("up"), (F.col("in_tok") + F.coalesce("_in", F.lit(0))).alias("in_tok"),
-                (F.col("out_tok") + F.coalesce("_out", F.lit(0))).alias("out_tok"),
-            )
+    left, before = _on_their_way(nodes), None
+    while left and left != before:
+        onward = nodes.filter("up IS NOT NULL")
+        moved = onward.groupBy(F.col("up").alias("run_id")).agg(F.sum("in_tok").alias("_in"), F.sum("out_tok").alias("_out"))
+        summed = nodes.join(moved, "run_id", "left").select(
+            "run_id", "up", (F.col("in_tok") + F.coalesce("_in", F.lit(0))).alias("in_tok"),
+            (F.col("out_tok") + F.coalesce("_out", F.lit(0))).alias("out_tok"),
         )
+        # few ancestors late in the search, which adaptive execution then broadcasts
+        further = nodes.select(F.col("run_id").alias("up"), F.col("up").alias("_up")).join(onward.select("up").distinct(), "up", "left_semi")
+        stepped = summed.filter("up IS NOT NULL").join(further, "up").select("run_id", F.col("_up").alias("up"), "in_tok", "out_tok")
+        nodes = reliable(summed.filter("up IS NULL").unionByName(stepped))
+        left, before = _on_their_way(nodes), left
     own = runs.select("run_id", F.col("in_tok").alias("_in"), F.col("out_tok").alias("_out"))
     endless = F.col("up").isNotNull()
     return nodes.join(own, "run_id").select(
         "run_id", F.when(endless, F.col("_in")).otherwise(F.col("in_tok")).alias("in_tok"),
         F.when(endless, F.col("_out")).otherwise(F.col("out_tok")).alias("out_tok"), endless.alias("on_cycle"),
     )
+
+
+def _on_their_way(nodes: DataFrame) -> int:
+    """Runs that still point at an ancestor."""
+    return nodes.filter("up IS NOT NULL").select("run_id").distinct().count()

@@ -2,7 +2,7 @@
 
 import re
 
-from talloom.operators import catalog, corpus
+from talloom.operators import catalog, corpus, usage
 from talloom.session import literal_rows
 
 
@@ -24,3 +24,13 @@ def test_few_removed_rows_are_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan
+
+
+def test_cycles_do_not_prolong_the_search(spark, monkeypatch):
+    stored, store = [], usage.reliable
+    monkeypatch.setattr(usage, "reliable", lambda df, *name: stored.append(1) or store(df, *name))
+    rows = [(i, i - 1 if i % 10 else None, 1, i) for i in range(300)] + [(1000, 1001, 1, 1), (1001, 1000, 1, 1), (1002, 1001, 1, 1), (1003, 1003, 1, 1)]
+    found = usage.tree_rollup(spark.createDataFrame(rows, "run_id bigint, parent_id bigint, in_tok bigint, out_tok bigint"))
+    got = {r["run_id"]: (r["in_tok"], r["on_cycle"]) for r in found.collect()}
+    assert got == {i: (10 - i % 10, False) for i in range(300)} | {i: (1, True) for i in range(1000, 1004)}
+    assert len(stored) <= 6  # paths of ten runs and one round that ends none; before, as many rounds as the number of runs has bits
