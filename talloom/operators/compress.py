@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talloom.functions import predicates, text
-from talloom.operators.ordered import Ordered
+from talloom.operators.ordered import Ordered, wide_tasks
 from talloom.operators.transcript import recent
+from talloom.session import small_side
 
 # Markers and limits of the three tiers.
 SNIPPED = "[Content snipped - re-read if needed]"
@@ -45,8 +46,8 @@ def snip_tier(
     idle_seconds). A session whose last call is recent waits for a higher
     utilisation. Rows already snipped do not count.
     """
-    joined = results.join(gauge.select(key, "utilisation", "idle_seconds"), key, "left")
-    return _snip(Ordered(joined, [key], order, chunk_rows), value, keep).frame().drop("utilisation", "idle_seconds")
+    joined = results.join(small_side(gauge.select(key, "utilisation", "idle_seconds")), key, "left")
+    return _snip(Ordered(joined, [key], order, chunk_rows, wide_tasks(results, value)), value, keep).frame().drop("utilisation", "idle_seconds")
 
 
 def _snip(rows: Ordered, value: str, keep: int) -> Ordered:
@@ -67,8 +68,8 @@ def microcompact_tier(
     keep: int = KEEP_RESULTS, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Clear all but the last results of idle sessions. gauge(key, idle_seconds)."""
-    joined = results.join(gauge.select(key, "idle_seconds"), key, "left")
-    return _clear(Ordered(joined, [key], order, chunk_rows), value, keep).frame().drop("idle_seconds")
+    joined = results.join(small_side(gauge.select(key, "idle_seconds")), key, "left")
+    return _clear(Ordered(joined, [key], order, chunk_rows, wide_tasks(results, value)), value, keep).frame().drop("idle_seconds")
 
 
 def _clear(rows: Ordered, value: str, keep: int) -> Ordered:
@@ -85,8 +86,8 @@ def compress(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """The three tiers in order, with one join to the gauge and one exchange on the key; large sessions are cut once."""
-    rows = results.join(gauge.select(key, "utilisation", "idle_seconds"), key, "left")
+    rows = results.join(small_side(gauge.select(key, "utilisation", "idle_seconds")), key, "left")
     used = F.coalesce("utilisation", F.lit(0.0))
     rows = rows.withColumn(value, budget_text(F.col(value), used, wide, tight))
-    ordered = _clear(_snip(Ordered(rows, [key], order, chunk_rows), value, keep), value, keep)
+    ordered = _clear(_snip(Ordered(rows, [key], order, chunk_rows, wide_tasks(results, value)), value, keep), value, keep)
     return ordered.frame().drop("utilisation", "idle_seconds")

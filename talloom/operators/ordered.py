@@ -32,6 +32,8 @@ CHUNK_ROWS = 2_000_000
 # Groups with fewer borders, a few million rows, stay whole.
 MIN_BORDERS = 3
 MAX_BROADCAST_ROWS = 2_000_000
+# Text that a task of a window over long texts sorts.
+TASK_BYTES = 16 << 20
 
 _CHUNK = "_chunk"
 _HOT = "_hot"
@@ -73,8 +75,21 @@ def running_max(value: Column, inclusive: bool = True) -> Running:
     return Running("max", value, inclusive)
 
 
+def wide_tasks(rows: DataFrame, value: str) -> int | None:
+    """How many tasks rows with a long text need, or None if the plan's own number will do.
+
+    Adaptive execution joins shuffle partitions by their compressed size; repetitive texts are a small part of what a
+    task that sorts them then holds. So their bytes are measured.
+    """
+    held = rows.agg(F.sum(F.octet_length(value).cast("bigint"))).first()[0] or 0
+    return max(held // TASK_BYTES, rows.sparkSession.sparkContext.defaultParallelism) if held > TASK_BYTES else None
+
+
 class Ordered:
-    """A frame with group keys and a total order inside each group."""
+    """A frame with group keys and a total order inside each group.
+
+    tasks: over how many tasks groups are dealt, see `wide_tasks`; else adaptive execution chooses.
+    """
 
     def __init__(
         self,
@@ -82,6 +97,7 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         chunk_rows: int | None = None,
+        tasks: int | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
@@ -91,6 +107,8 @@ class Ordered:
             borders = self._borders(df, chunk_rows or CHUNK_ROWS)
         self.split = borders is not None
         self.df = reliable(self._cut(df, borders), "chunks") if self.split else df
+        if tasks is not None:
+            self.df = self.df.repartition(tasks, *self._groups())
 
     @classmethod
     def over(cls, rows: DataFrame | Ordered, keys: Sequence[str], order: Sequence[str], chunk_rows: int | None = None) -> Ordered:

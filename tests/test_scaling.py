@@ -2,7 +2,7 @@
 
 import re
 
-from talloom.operators import catalog, corpus, usage
+from talloom.operators import catalog, compress, corpus, ordered, usage
 from talloom.session import literal_rows
 
 
@@ -34,3 +34,15 @@ def test_cycles_do_not_prolong_the_search(spark, monkeypatch):
     got = {r["run_id"]: (r["in_tok"], r["on_cycle"]) for r in found.collect()}
     assert got == {i: (10 - i % 10, False) for i in range(300)} | {i: (1, True) for i in range(1000, 1004)}
     assert len(stored) <= 6  # paths of ten runs and one round that ends none; before, as many rounds as the number of runs has bits
+
+
+def test_repetitive_texts_are_dealt_by_their_own_size(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id % 20 AS session", "id AS seq", "'read_file' AS tool", "CAST(id % 3 AS STRING) AS path", "repeat('ab', 5000) AS text")
+    gauge = spark.range(20).selectExpr("id AS session", "0.9D AS utilisation", "400 AS idle_seconds")
+    whole = [sorted(f(rows, gauge, "session", ["seq"]).collect()) for f in (compress.snip_tier, compress.microcompact_tier, compress.compress)]
+    monkeypatch.setattr(ordered, "TASK_BYTES", 1 << 18)
+    for f, expected in zip((compress.snip_tier, compress.microcompact_tier, compress.compress), whole):
+        for chunk_rows in (None, 3):
+            found = f(rows, gauge, "session", ["seq"], chunk_rows=chunk_rows)
+            assert ", 15), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(found.collect()) == expected
