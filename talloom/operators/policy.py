@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talloom.functions import predicates
-from talloom.session import small_side
+from talloom.session import reliable, small_side
 
 # The form of a rule, and the messages of a decision.
 RULE_TEXT = r"^([a-z_]+)\((.+)\)$"
@@ -61,6 +61,8 @@ def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     found = values.select("tool", "_value", F.inline(keys)).join(small_side(index), ["tool", "_whole", "_key"])
     hits = found.groupBy(F.col("tool").alias("_tool"), "_value").agg(F.max("_deny").alias("_deny"), F.max("_allow").alias("_allow"))
+    # stored, so that few of them are known to be few: calls then stay where they are instead of being sorted by value
+    hits = small_side(reliable(hits, "hits"))
 
     joined = calls.join(small_side(tools.drop("_lengths")), "tool", "left").join(hits, (F.col("tool") == F.col("_tool")) & (value == F.col("_value")), "left")
     every = (F.col("tool") != "run_shell") & (value == "")
@@ -85,7 +87,7 @@ def decide(
     edit = F.col("tool").isin(*predicates.EDIT_TOOLS)
     shell = F.col("tool") == "run_shell"
     mode = F.col("mode")
-    known = existing.select(F.col("path").alias("_path")).distinct().withColumn("_exists", F.lit(True))
+    known = small_side(reliable(existing.select(F.col("path").alias("_path")).distinct().withColumn("_exists", F.lit(True)), "existing"))
     rows = match_rules(calls, rules)
     rows = rows.join(known, edit & (F.col("value") == F.col("_path")), "left")
     missing = F.col("_exists").isNull()

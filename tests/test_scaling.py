@@ -2,7 +2,7 @@
 
 import re
 
-from talloom.operators import catalog, compress, corpus, ordered, usage
+from talloom.operators import catalog, compress, corpus, ordered, policy, usage
 from talloom.session import literal_rows
 
 
@@ -46,3 +46,17 @@ def test_repetitive_texts_are_dealt_by_their_own_size(spark, monkeypatch):
             found = f(rows, gauge, "session", ["seq"], chunk_rows=chunk_rows)
             assert ", 15), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
             assert sorted(found.collect()) == expected
+
+
+def test_calls_stay_where_they_are_while_they_are_judged(spark):
+    calls = spark.range(50).selectExpr("id AS seq", "'write_file' AS tool", "concat('f', id % 5) AS value", "'default' AS mode")
+    rules = spark.createDataFrame([("deny", "write_file", "f1")], "effect string, tool string, pattern string")
+    existing = spark.createDataFrame([("f2",), ("f2",)], "path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = policy.decide(calls, rules, existing)
+        plan, actions = found._jdf.queryExecution().executedPlan().toString(), {(r["value"], r["decision"]["action"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert actions == {("f0", "confirm"), ("f1", "deny"), ("f2", "allow"), ("f3", "confirm"), ("f4", "confirm")}
+    assert "SortMergeJoin" not in plan
