@@ -38,13 +38,13 @@ def _parsed(text: Column, head: Column) -> Column:
         ),
         lambda p: p["key"] != "",
     )
-    # The last of several equal keys wins.
-    last_only = F.filter(
-        pairs,
+    # The last of several equal keys wins. The pairs are bound like the header, or every one of them would make them all.
+    last_only = F.get(F.transform(F.array(pairs), lambda all_: F.filter(
+        all_,
         lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]
+            F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == p["key"]
         ),
-    )
+    )), F.lit(0))
     body = trim_ws(F.substr(text, F.length(head) + 1))
     return F.struct(
         F.map_from_entries(last_only).alias("meta"), F.when(head == "", text).otherwise(body).alias("body")

@@ -2,8 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from talloom.functions import frontmatter
 from talloom.operators import catalog, compress, corpus, ordered, policy, usage
 from talloom.session import literal_rows
+from talloom.sources import definitions
 
 
 def test_recall_counts_pairs_where_their_doc_is(spark):
@@ -60,3 +64,12 @@ def test_calls_stay_where_they_are_while_they_are_judged(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert actions == {("f0", "confirm"), ("f1", "deny"), ("f2", "allow"), ("f3", "confirm"), ("f4", "confirm")}
     assert "SortMergeJoin" not in plan
+
+
+def test_header_pairs_are_made_once(spark):
+    text = "---\nname: a\nname: b\ncontext: fork\nallowed-tools: x, y\n---\nbody"
+    raw = literal_rows(spark, [{"layer": i, "folder": f"u/{i}", "text": x} for i, x in enumerate([text, None, "plain"])], "layer int, folder string, text string")
+    found = definitions.parse_definitions(raw)
+    assert {(r["name"], r["context"], r["template"]) for r in found.collect()} == {("b", "fork", "body"), ("1", "inline", None), ("2", "inline", "plain")}
+    parsed = raw.select(frontmatter.parse_frontmatter(F.col("text")).alias("p"))
+    assert parsed._jdf.queryExecution().analyzed().toString().count("substring_index") == 1
