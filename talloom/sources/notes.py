@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from talloom.functions.frontmatter import DEFAULT_TYPE, NOTE_TYPES, parse_frontmatter, render_frontmatter, valid_type
 from talloom.functions.text import first_lines, slugify
 from talloom.operators.corpus import build_index
+from talloom.session import reliable, small_side
 
 INDEX_FILE = "MEMORY.md"  # fixed value
 HEADER_LINES = 30
+PACKED_SPLITS = 16
 
 
 def _note_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +20,12 @@ def _note_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.element_at(F.split("path", "/"), -1) != INDEX_FILE)
 
 
+def _packed(files: DataFrame) -> DataFrame:
+    """More files to a task than Spark packs, which counts four megabytes for each beside its bytes."""
+    tasks = files.rdd.getNumPartitions() // PACKED_SPLITS + 1
+    return files.coalesce(max(tasks, files.sparkSession.sparkContext.defaultParallelism))
+
+
 def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     """*.md files below a folder, without the index: path, file, folder, mtime, text.
 
@@ -25,13 +33,14 @@ def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     later jobs at that, and keep it up to date with `note_changes`.
     """
     parts = F.split("path", "/")
-    return _note_files(spark, path).select(
+    raw = _note_files(spark, path).select(
         "path",
         F.element_at(parts, -1).alias("file"),
         F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"),
         F.col("modificationTime").alias("mtime"),
         F.decode("content", "UTF-8").alias("text"),
     )
+    return _packed(raw)
 
 
 def note_index(raw: DataFrame) -> DataFrame:
@@ -42,24 +51,25 @@ def note_index(raw: DataFrame) -> DataFrame:
 def note_changes(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """New, changed and removed notes below a folder since an index was made: path, status, mtime, hash, text.
 
-    Files are listed without their contents first. Contents are read of files that are new or have another time than in
-    the index, and the earliest of these times is a filter that reaches the source; a file whose content is the same
-    after all is no change.
+    Files are listed once, without their contents; what differs from the index is stored. Contents are read of files that
+    are new or have another time than in the index, and the earliest of these times is a filter that reaches the source; a
+    file whose content is the same after all is no change.
     """
-    listed = _note_files(spark, path).select("path", F.col("modificationTime").alias("mtime"))
+    files = _note_files(spark, path)
+    listed = _packed(files.select("path", F.col("modificationTime").alias("mtime")))
     known = index.select("path", F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
-    both = listed.join(known, "path", "full")
-    open_ = both.where("mtime IS NOT NULL AND NOT (_mtime <=> mtime)").select("path", "_hash")
-    since = both.where("mtime IS NOT NULL AND NOT (_mtime <=> mtime)").agg(F.min("mtime")).first()[0]
+    both = reliable(listed.join(known, "path", "full").where("mtime IS NULL OR NOT (_mtime <=> mtime)"), "differing")
+    open_ = both.where("mtime IS NOT NULL").select("path", "_hash")
+    since = both.agg(F.min("mtime")).first()[0]
     removed = both.where("mtime IS NULL").select(
         "path", F.lit("removed").alias("status"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("hash"),
         F.lit(None).cast("string").alias("text"),
     )
     if since is None:
         return removed
-    read = _note_files(spark, path).where(F.col("modificationTime") >= F.lit(since))
-    read = read.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
-    seen = read.join(open_, "path").withColumn("hash", F.sha2("text", 256)).where("NOT (hash <=> _hash)")
+    read = files.where(F.col("modificationTime") >= F.lit(since))
+    read = _packed(read.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text")))
+    seen = read.join(small_side(open_), "path").withColumn("hash", F.sha2("text", 256)).where("NOT (hash <=> _hash)")
     status = F.when(F.col("_hash").isNull(), "new").otherwise("changed").alias("status")
     return seen.select("path", status, "mtime", "hash", "text").unionByName(removed)
 
@@ -77,12 +87,15 @@ def write_note_files(files: DataFrame, path: str) -> None:
         from pyarrow import fs
 
         place, base = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        made = set()
         for row in rows:
             folder = f"{base}/{row['folder']}"
             if row["text"] is None:
                 place.delete_file(f"{folder}/{row['file']}")
                 continue
-            place.create_dir(folder, recursive=True)
+            if folder not in made:
+                place.create_dir(folder, recursive=True)
+                made.add(folder)
             with place.open_output_stream(f"{folder}/{row['file']}") as out:
                 out.write(row["text"].encode("utf-8", "surrogatepass"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from talloom.functions import frontmatter
 from talloom.operators import catalog, compress, corpus, ordered, policy, usage
-from talloom.session import literal_rows
-from talloom.sources import definitions
+from talloom.session import literal_rows, reliable
+from talloom.sources import definitions, notes
 
 
 def test_recall_counts_pairs_where_their_doc_is(spark):
@@ -73,3 +73,17 @@ def test_header_pairs_are_made_once(spark):
     assert {(r["name"], r["context"], r["template"]) for r in found.collect()} == {("b", "fork", "body"), ("1", "inline", None), ("2", "inline", "plain")}
     parsed = raw.select(frontmatter.parse_frontmatter(F.col("text")).alias("p"))
     assert parsed._jdf.queryExecution().analyzed().toString().count("substring_index") == 1
+
+def test_tiny_files_are_listed_once_and_packed(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "notes")
+    files = spark.range(700).selectExpr("concat('f', id % 3) AS folder", "concat(id, '.md') AS file", "concat('text ', id) AS text")
+    notes.write_note_files(files, folder)
+    raw = notes.read_markdown_corpus(spark, folder)
+    assert raw.rdd.getNumPartitions() <= 8 and raw.count() == 700
+    index = reliable(notes.note_index(raw))
+    notes.write_note_files(files.where("file < '10.md'").selectExpr("folder", "file", "IF(file = '0.md', NULL, concat(text, '!')) AS text"), folder)
+    listed, list_files = [], notes._note_files
+    monkeypatch.setattr(notes, "_note_files", lambda *a: listed.append(a) or list_files(*a))
+    changes = notes.note_changes(spark, folder, index)
+    assert sorted((r["path"].split("/")[-1], r["status"], r["text"]) for r in changes.collect()) == [("0.md", "removed", None), ("1.md", "changed", "text 1!")]
+    assert len(listed) == 1
