@@ -33,13 +33,14 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(calls: DataFrame, rules: DataFrame, store: bool = False) -> DataFrame:
     """Adds `rule`: deny, allow or null. A deny rule beats an allow rule.
 
     calls(tool, value, ...), rules(effect, tool, pattern). Rules are an index: whole values, and prefixes without their
     star. Every distinct value is looked up as a whole and with the prefixes of the lengths that rules of its tool have,
     by an equi-join; so what a call costs follows from the number of these lengths, not of the rules. A shell call
-    without a command has the empty one; other calls without a value meet every rule of their tool.
+    without a command has the empty one; other calls without a value meet every rule of their tool. store: keep what the
+    values hit as a table, so that few of them are known to be few and calls stay where they are.
     """
     star = F.endswith("pattern", F.lit("*"))
     deny, allow = F.col("effect") == "deny", F.col("effect") == "allow"
@@ -61,8 +62,7 @@ def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     found = values.select("tool", "_value", F.inline(keys)).join(small_side(index), ["tool", "_whole", "_key"])
     hits = found.groupBy(F.col("tool").alias("_tool"), "_value").agg(F.max("_deny").alias("_deny"), F.max("_allow").alias("_allow"))
-    # stored, so that few of them are known to be few: calls then stay where they are instead of being sorted by value
-    hits = small_side(reliable(hits, "hits"))
+    hits = small_side(reliable(hits, "hits")) if store else hits
 
     joined = calls.join(small_side(tools.drop("_lengths")), "tool", "left").join(hits, (F.col("tool") == F.col("_tool")) & (value == F.col("_value")), "left")
     every = (F.col("tool") != "run_shell") & (value == "")
@@ -88,7 +88,7 @@ def decide(
     shell = F.col("tool") == "run_shell"
     mode = F.col("mode")
     known = small_side(reliable(existing.select(F.col("path").alias("_path")).distinct().withColumn("_exists", F.lit(True)), "existing"))
-    rows = match_rules(calls, rules)
+    rows = match_rules(calls, rules, store=True)
     rows = rows.join(known, edit & (F.col("value") == F.col("_path")), "left")
     missing = F.col("_exists").isNull()
     if dangerous is None:
