@@ -17,11 +17,15 @@ import time
 import uuid
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET_BYTES = 256 << 20
+#: Buckets that a task writes, where they are small; and what is small: so many of them are no more than Spark puts in a task.
+TASK_BUCKETS, SMALL_BYTES = 64, 1 << 20
+#: Tasks that list the folders of a table. Spark would start one for each folder.
+LISTING_TASKS = 64
 _HASH = "xxhash64(id)"
 
 
@@ -35,6 +39,13 @@ def _size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
+def _bucket_sizes(spark: SparkSession, path: str) -> list[list[int]]:
+    """Buckets of a compaction with their bytes. Files are listed by tasks, and not read."""
+    files = _listed(spark).format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    bucket = F.regexp_extract("path", "/bucket=([0-9]+)/[^/]*$", 1).cast("int")
+    return sorted([r["bucket"], r["size"]] for r in files.groupBy(bucket.alias("bucket")).agg(F.sum("length").alias("size")).collect())
+
+
 def _commit(spark: SparkSession, path: str, entry: dict) -> None:
     fs, target = _fs(spark, f"{path}/commits/{entry['id']}.json")
     out = fs.create(target, False)
@@ -93,7 +104,22 @@ def _schema(commits: list[dict]) -> T.StructType:
 
 
 def _read(spark: SparkSession, folders: list[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(*folders)
+    return _listed(spark).schema(schema).parquet(*folders)
+
+
+def _listed(spark: SparkSession) -> DataFrameReader:
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS))
+    return spark.read
+
+
+def _dealt(rows: DataFrame, buckets: int, size: int) -> DataFrame:
+    """Rows dealt over tasks by bucket: few files per bucket, and several for one that outgrew the others.
+
+    Adaptive execution goes by bytes and would give all small buckets to one task, which then writes a file for each.
+    """
+    if size >= buckets * SMALL_BYTES:
+        return rows.hint("rebalance", "bucket")
+    return rows.repartition(-(-buckets // TASK_BUCKETS), "bucket")
 
 
 def write_sessions(saved: DataFrame, path: str) -> str:
@@ -128,21 +154,18 @@ def compact_sessions(spark: SparkSession, path: str, bucket_bytes: int = BUCKET_
     if not live.buckets or live.bytes() > 2 * bucket_bytes << bits:  # beyond twice the size, so that it does not waver
         bits = max(bits, max(live.bytes() - 1, 0).bit_length() - (bucket_bytes - 1).bit_length())
     bucket = F.expr(f"pmod({_HASH}, {1 << bits})").cast("int")
-    old = live.buckets
+    old, buckets = live.buckets, 1 << bits
     if live.disjoint() and live.bits == bits:  # otherwise all buckets are dealt anew
         touched = {r[0] for r in _read(spark, [f"{path}/data/{c['id']}" for c in live.saves], schema).select(bucket).distinct().collect()}
-        old = [b for b in old if b[2] in touched]
+        old, buckets = [b for b in old if b[2] in touched], max(len(touched), 1)
     folders = [f"{path}/data/{c['id']}" for c in live.saves] + [f"{path}/data/{i}/bucket={b}" for i, _, b, _ in old]
     made = uuid.uuid4().hex
     merged = f"{path}/data/{made}"
     rows = _newest(_read(spark, folders, schema)).withColumn("bucket", bucket)
-    # few files per bucket, and several for one that outgrew the others
-    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(merged)
-    fs, target = _fs(spark, merged)
-    names = [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory() and s.getPath().getName().startswith("bucket=")]
-    sizes = [(int(n.removeprefix("bucket=")), _size(spark, f"{merged}/{n}")) for n in names]
+    size = sum(c["bytes"] for c in live.saves) + sum(size for *_, size in old)
+    _dealt(rows, buckets, size).write.partitionBy("bucket").parquet(merged)
     _commit(spark, path, {
-        "id": made, "at": time.time(), "bits": bits, "bytes": 0, "buckets": sorted(sizes), "replaces": [c["id"] for c in live.saves],
+        "id": made, "at": time.time(), "bits": bits, "bytes": 0, "buckets": _bucket_sizes(spark, merged), "replaces": [c["id"] for c in live.saves],
         "drops": [[i, b] for i, _, b, _ in old], "schema": commits[-1]["schema"],
     })
 

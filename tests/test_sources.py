@@ -1,6 +1,7 @@
 """Sources and sinks over small files of every shape."""
 
 import json
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -114,6 +115,20 @@ def test_a_save_touches_no_other_row(spark, tmp_path):
     assert len(found) == 12_000 and found["s1"] == "new" and found["s2"] == "xx"
 
 
+def test_small_buckets_are_written_by_many_tasks(spark, tmp_path):
+    """A task writes some of them. Adaptive execution goes by bytes, and gave all of them to one task."""
+    path = str(tmp_path / "saved")
+    session_store.write_sessions(_rows(spark, *[(f"s{i}", i, "x" * (i % 50)) for i in range(9000)], (None, 1, "none")), path)
+    session_store.compact_sessions(spark, path, 512)
+    live = session_store.Live(session_store._commits(spark, path))
+    files = [f for f in (tmp_path / "saved" / "data" / live.buckets[0][0]).rglob("*.parquet")]
+    assert len(files) == len(live.buckets) > 2 * session_store.TASK_BUCKETS
+    by_task = Counter(f.name.split("-")[1] for f in files)
+    assert len(by_task) > 1 and max(by_task.values()) <= 2 * session_store.TASK_BUCKETS
+    assert {b: size for _, _, b, size in live.buckets} == {int(f.parent.name.removeprefix("bucket=")): f.stat().st_size for f in files}
+    assert len(_models(spark, path)) == 9001
+
+
 def test_saves_and_compactions_at_once(spark, tmp_path):
     path = str(tmp_path / "saved")
     session_store.write_sessions(_rows(spark, *[(f"s{i}", 0, "first") for i in range(50)]), path)
