@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from talloom.operators.ordered import Ordered, running_sum
+from talloom.streaming.pairs import paired
 from talloom.streaming.reorder import InOrder, in_order
 from talloom.streaming.run import held_map, waiting_rows
 
@@ -65,10 +66,7 @@ def correlate_rpc_stream(
     requests: DataFrame, responses: DataFrame, key: str, sent: str, received: str, timeout: str, delay: str
 ) -> DataFrame:
     """Each request with its response within the timeout, or nulls once that has passed."""
-    left = requests.withWatermark(sent, delay).alias("q")
-    right = responses.withWatermark(received, delay).withColumnRenamed(key, "_key").alias("r")
-    due = F.expr(f"{received} >= {sent} AND {received} <= {sent} + INTERVAL {timeout}")
-    return left.join(right, (F.col(key) == F.col("_key")) & due, "leftOuter").drop("_key")
+    return paired(requests, responses, key, sent, received, timeout, delay)
 
 
 # -- running state --------------------------------------------------------------------

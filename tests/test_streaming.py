@@ -1,13 +1,16 @@
 """Streams over several micro-batches."""
 
 import json
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from talloom.streaming import deltas, live, reorder, replies
+from talloom.streaming import deltas, live, pairs, reorder, replies
 from talloom.streaming.reorder import done, late
-from talloom.streaming.run import run_available, run_to_end, use_rocksdb, waiting_rows
+from talloom.streaming.run import end_input, held_map, run_available, run_to_end, use_rocksdb, waiting_rows, with_end
 
 
 def _sse(events):
@@ -287,6 +290,54 @@ def test_requests_responses_and_exits(spark, tmp_path):
     assert found == want and len({s for s, _ in want.values()}) == 4
 
 
+def test_requests_and_responses_of_a_slot_are_one_entry(spark, tmp_path, monkeypatch):
+    """Two batches in two slots, with repeated and missing keys and whole numbers beside gaps, against plain Python."""
+    monkeypatch.setattr(pairs, "SLOTS", 2)
+    big = 2**60 + 1  # no double
+    asked = [(None if i % 30 == 3 else i // 2, 10 * i, big + i if i % 4 else None, f"q{i}") for i in range(300)] + [(None, None, 1, "no time")]
+    told = [(None if i % 40 == 5 else i % 150, 20 * (i % 150) + 7 * (i // 150), i % 3 == 0 or None, big - i if i % 5 else None) for i in range(450)]
+    at = lambda n: F.timestamp_seconds(F.lit(86_400) + F.col(n)).alias(n)
+    q = spark.createDataFrame(asked, "id long, sent long, n long, name string").select("id", at("sent"), "n", "name")
+    r = spark.createDataFrame(told, "id long, got long, flag boolean, m long").select("id", at("got"), "flag", "m")
+    for rows, time, name in ((q, "sent", "q"), (r, "got", "r")):
+        for k in (0, 1):
+            rows.where(F.pmod(F.xxhash64(time), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    use_rocksdb(spark)
+    (q_in, q_end), (r_in, r_end) = (
+        with_end(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)), n) for x, n in ((q, "q"), (r, "r"))
+    )
+    state, entries = str(tmp_path / "state"), []
+
+    def look():
+        entries.extend(held_map(spark, state, n).count() for n in ("asked", "told"))
+
+    def end():
+        end_input(spark, q_end, "sent")
+        end_input(spark, r_end, "got", id=-1)
+
+    got = run_available(live.correlate_rpc_stream(q_in, r_in, "id", "sent", "got", "12 seconds", "1 day"), "t", state=state, more=[look, end])
+    assert 0 < entries[0] <= 4 and 0 < entries[1] <= 4
+    want = Counter()
+    for i, sent, n, name in asked[:-1]:
+        answers = [x for x in told if x[0] is not None and x[0] == i and sent <= x[1] <= sent + 12]
+        want.update((i, 86_400 + sent, n, name, 86_400 + x[1], *x[2:]) for x in answers)
+        want.update([] if answers else [(i, 86_400 + sent, n, name, None, None, None)])
+    seconds = [F.unix_seconds(c).alias(c) if c in ("sent", "got") else c for c in got.columns]
+    assert got.columns == ["id", "sent", "n", "name", "got", "flag", "m"] and Counter(map(tuple, got.select(*seconds).collect())) == want
+
+
+def test_pairs_by_sorted_search(monkeypatch):
+    monkeypatch.setattr(pairs, "FRAME_ROWS", 4)
+    draw = np.random.default_rng(3)
+    us = draw.integers(0, 50, 80)
+    requests = pd.DataFrame({"key": draw.integers(0, 6, 80), "keyed": draw.random(80) < 0.9, "us": us, "due": us + draw.integers(0, 9, 80)})
+    responses = pd.DataFrame({"key": draw.integers(0, 7, 90), "us": draw.integers(0, 60, 90)})
+    found = [x for q, r in pairs._pairs(requests, responses) for x in zip(q.tolist(), r.tolist())]
+    rows = list(enumerate(responses.itertuples()))
+    want = {(i, j) for i, a in enumerate(requests.itertuples()) for j, b in rows if a.keyed and a.key == b.key and a.us <= b.us <= a.due}
+    assert len(found) == len(want) > 40 and set(found) == want
+
+
 def test_idle_sessions_close(spark, log):
     got = run_available(live.idle_sessions(_stream(spark, log), "session", "ts", "10 minutes", "1 minute"), "t")
     rows = spark.read.parquet(log)
