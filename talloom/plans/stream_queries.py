@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talloom.plans.registry import ORACLES, Tables, query
 from talloom.plans.standins import ctes
-from talloom.session import input_bytes, literal_rows, scratch_path
+from talloom.session import freed_shuffles, hand_over, input_bytes, literal_rows, reliable, remove, scratch_path, small_side
 from talloom.streaming import deltas, live, replies
 from talloom.streaming.reorder import done, late
 from talloom.streaming.run import end_input, run_available, run_to_end, table_stream, use_rocksdb, waiting_rows, with_end
@@ -17,7 +17,7 @@ from talloom.streaming.run import end_input, run_available, run_to_end, table_st
 # characters, and a thinking block. Spanish documents send input that does not parse.
 _PIECES = "transform(sequence(0, CAST(greatest(ceil(length({x}) / {n}) - 1, 0) AS INT)), i -> substr({x}, i * {n} + 1, {n}))"
 _ARGS = """concat('{"path":"', source, '","n":', n_chars, CASE WHEN lang = 'es' THEN '' ELSE '}' END)"""
-_BLOCK_LINES = f"""posexplode(concat(
+_BLOCK_ARRAY = f"""concat(
   array('event: message_start', 'data: {{"type":"message_start"}}',
     'data: {{"type":"content_block_start","index":0,"content_block":{{"type":"text"}}}}'),
   transform({_PIECES.format(x='text', n=300)}, p -> concat('data: ', to_json(named_struct('type', 'content_block_delta', 'index', 0, 'delta', named_struct('type', 'text_delta', 'text', p))))),
@@ -26,7 +26,8 @@ _BLOCK_LINES = f"""posexplode(concat(
   transform({_PIECES.format(x='args', n=5)}, p -> concat('data: ', to_json(named_struct('type', 'content_block_delta', 'index', 1, 'delta', named_struct('type', 'input_json_delta', 'partial_json', p))))),
   array('data: {{"type":"content_block_stop","index":1}}', 'data: {{"type":"content_block_start","index":2,"content_block":{{"type":"thinking"}}}}',
     'data: {{"type":"content_block_delta","index":2,"delta":{{"type":"thinking_delta","thinking":"hm"}}}}', 'data: {{"type":"content_block_stop","index":2}}', 'event: message_stop', 'data: {{"type":"message_stop"}}')
-)) AS (seq, line)"""
+)"""
+_BLOCK_LINES = f"posexplode({_BLOCK_ARRAY}) AS (seq, line)"
 
 _TEXT_BLOCKS = "SELECT 'd' || doc_id AS stream_id, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, 'text' AS type, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool, text, CAST(NULL AS VARCHAR) AS input FROM documents"
 _CALL_BLOCKS = """SELECT 'd' || doc_id AS stream_id, CAST(1 AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, 'tool_use' AS type, 'call' || doc_id AS call_id, CASE WHEN lang = 'de' THEN 'write_file' ELSE 'read_file' END AS tool, NULL AS text,
@@ -50,8 +51,11 @@ def _block_rows(t: Tables):
     return _stamped(rows)
 
 
-#: Bytes of the read tables for one written file; lines take two to three times that.
-_FILE_BYTES = 64 << 20
+#: Bytes of the read tables for one written file; lines take two to three times that, and a compressed file is one task's.
+_FILE_BYTES = 16 << 20
+#: Files of a micro-batch: all that are there, as the watermark moves between two. Files are dealt by hash, so lines that
+#: belong together would come before and after it, and replies be given up in between.
+_ALL_FILES = (1 << 31) - 1
 
 
 def _files(rows, least: int) -> int:
@@ -63,19 +67,32 @@ def _dealt(rows, files: int):
     return rows.repartition(files, "stream_id", "seq")
 
 
-def _folder(rows, name: str, early: bool = False) -> str:
-    """Rows as JSON lines; `early` keeps what arrives later for a second step."""
+def _folder(rows, name: str) -> str:
+    """Rows as JSON lines."""
     path = scratch_path(rows.sparkSession, name)
-    _dealt(rows.where(f"arrived < '{_CUT}'") if early else rows, _files(rows, 4)).write.json(path)
+    _dealt(rows, _files(rows, 4)).write.json(path)
     return path
 
 
 def _streamed(t: Tables, rows, make, name: str, each=None):
     """Runs `make` over the lines that arrive before an instant, then over the rest, and closes the stream."""
-    path = _folder(rows, name, early=True)
-    rest = lambda: _dealt(rows.where(f"arrived >= '{_CUT}'"), _files(rows, 4)).write.mode("append").json(path)
-    lines, end = with_end(deltas.read_lines(use_rocksdb(t.spark), path, files_per_batch=64), name)
-    return run_available(make(deltas.data_lines(lines)), name, each=each, more=[rest, lambda: end_input(t.spark, end, "arrived", line=_END_LINE)])
+    made, path, state = (scratch_path(t.spark, f"{name}{x}") for x in ("-made", "", "-state"))
+    step = F.when(F.col("arrived") < F.lit(_CUT).cast("timestamp"), "early").otherwise("rest")
+    with freed_shuffles(t.spark):
+        dealt = _dealt(rows.where("arrived IS NOT NULL"), _files(rows, 4)).withColumn("step", step)
+        dealt.write.partitionBy("step").option("compression", "snappy").json(made)
+    hand_over(t.spark, f"{made}/step=early", f"{path}/early")
+
+    def rest():
+        remove(t.spark, f"{path}/early")
+        hand_over(t.spark, f"{made}/step=rest", f"{path}/rest")
+
+    lines, end = with_end(deltas.read_lines(use_rocksdb(t.spark), f"{path}/*", files_per_batch=_ALL_FILES), name)
+    close = lambda: end_input(t.spark, end, "arrived", line=_END_LINE)
+    found = run_available(make(deltas.data_lines(lines)), name, state=state, each=each, more=[rest, close])
+    for folder in (made, path, state):
+        remove(t.spark, folder)
+    return found
 
 
 @query("assemble_blocks", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
@@ -145,26 +162,60 @@ def _(t: Tables):
     return found.drop("stop_seq")
 
 
+def _captured(t: Tables):
+    """Whole replies as bytes. Documents of one id are one reply; only these are brought together."""
+    docs = t.documents.withColumn("args", F.expr(_ARGS)).withColumn("stream_id", F.concat(F.lit("d"), "doc_id"))
+    shared = reliable(docs.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("stream_id").alias("_id")), "shared")
+    lines = docs.selectExpr("stream_id", f"{_BLOCK_ARRAY} AS l")
+    if not shared.isEmpty():
+        same = F.col("stream_id").eqNullSafe(F.col("_id"))
+        rows = docs.join(small_side(shared), same, "left_semi").selectExpr("stream_id", _BLOCK_LINES)
+        together = rows.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("l"))
+        lines = docs.join(small_side(shared), same, "left_anti").selectExpr("stream_id", f"{_BLOCK_ARRAY} AS l").unionByName(together)
+    ends = F.array_join(F.transform("l", lambda x: F.concat(x, F.when(F.startswith(x, F.lit("event:")), "\r\n").otherwise("\n\n"))), "")
+    return lines.select("stream_id", F.encode(ends, "utf-8").alias("all"))
+
+
+#: Micro-batches over which the pieces of captured replies are dealt.
+_PORTIONS = 3
+
+
 @query("captured_replies", f"{_TEXT_BLOCKS} UNION ALL {_CALL_BLOCKS}")
 def _(t: Tables):
     """Replies as raw bytes, cut anywhere and out of order: framed, then put together."""
-    texts = _block_rows(t).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
-    ends = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.when(F.startswith(x["line"], F.lit("event:")), "\r\n").otherwise("\n\n"))), "")
+    spark = use_rocksdb(t.spark)
+    whole, path, state, out, last = (scratch_path(spark, n) for n in ("whole", "raw", "frame-state", "framed", "captured-state"))
+    texts = _captured(t)
+    files = _files(texts, 2)
+    with freed_shuffles(spark):
+        texts.write.option("compression", "zstd").parquet(whole)
     size = (37 + F.pmod(F.xxhash64("stream_id"), F.lit(200))).cast("int")
-    raw = texts.select("stream_id", F.encode(ends, "utf-8").alias("all"), size.alias("size"))
+    raw = spark.read.schema(texts.schema).parquet(whole).withColumn("size", size)
     ks = F.sequence(F.lit(0), F.floor((F.octet_length("all") - 1) / F.col("size")).cast("int"))
-    # cut inside the array, so that no piece carries the whole reply
-    cut = F.posexplode(F.transform(ks, lambda k: F.substr("all", k * F.col("size") + 1, F.col("size")))).alias("k", "bytes")
-    arrived = F.timestamp_seconds(F.unix_timestamp(F.lit(_CUT).cast("timestamp")) + F.pmod("k", F.lit(3000)))
-    pieces = raw.select("stream_id", cut).select("stream_id", arrived.alias("arrived"), F.col("k").cast("bigint").alias("piece"), "bytes")
-    path = scratch_path(t.spark, "raw")
-    files = _files(pieces, 6)
-    pieces.repartition(files, "stream_id", "piece").write.parquet(path)
-    stream = use_rocksdb(t.spark).readStream.schema(pieces.schema).option("maxFilesPerTrigger", files // 3).parquet(path)
-    out = scratch_path(t.spark, "framed")
-    run_to_end(stream, lambda p: replies.framed(p, "1 hour"), "frame", at="arrived").where("kind = 'event'").drop("kind").write.parquet(out)
-    events = t.spark.readStream.schema("stream_id string, arrived timestamp, seq bigint, payload string").parquet(out)
-    return run_to_end(events, lambda e: deltas.assemble_blocks_stream(deltas.block_events(e), "1 hour"), "captured", at="arrived")
+
+    def pieces(portion: int):
+        own = F.filter(ks, lambda k: F.pmod(F.xxhash64("stream_id", k), F.lit(_PORTIONS)) == portion)
+        # cut inside the array, so that no piece carries the whole reply
+        cut = F.inline(F.transform(own, lambda k: F.struct(k.alias("k"), F.substr("all", k * F.col("size") + 1, F.col("size")).alias("bytes"))))
+        arrived = F.timestamp_seconds(F.unix_timestamp(F.lit(_CUT).cast("timestamp")) + F.pmod("k", F.lit(3000)))
+        return raw.select("stream_id", cut).select("stream_id", arrived.alias("arrived"), F.col("k").cast("bigint").alias("piece"), "bytes")
+
+    for portion in range(_PORTIONS):
+        with freed_shuffles(spark):
+            pieces(portion).repartition(files, "stream_id", "piece").write.mode("append").option("compression", "zstd").parquet(path)
+    remove(spark, whole)
+    written = len(spark.read.schema(pieces(0).schema).parquet(path).inputFiles())
+    # files that a micro-batch has read go
+    source = spark.readStream.schema(pieces(0).schema).option("maxFilesPerTrigger", max(1, -(-written // _PORTIONS))).option("cleanSource", "delete")
+    events = lambda p: replies.framed(p, "1 hour").where("kind = 'event'").drop("kind")
+    run_to_end(source.parquet(path), events, "frame", state, at="arrived", out=out)
+    for folder in (path, state):
+        remove(spark, folder)
+    framed = spark.readStream.schema("stream_id string, arrived timestamp, seq bigint, payload string").parquet(out)
+    found = run_to_end(framed, lambda e: deltas.assemble_blocks_stream(deltas.block_events(e), "1 hour"), "captured", last, at="arrived")
+    for folder in (out, last):
+        remove(spark, folder)
+    return found
 
 
 # Each turn of a conversation is one reply in the chunk shape with two calls.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,9 +76,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what this application has stored in the shared folder, once its results are no longer read."""
-    jvm = spark._jvm
-    own = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/talloom-{spark.sparkContext.applicationId}")
-    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/talloom-{spark.sparkContext.applicationId}")
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that is no longer read."""
+    at, files = _located(spark, path)
+    files.delete(at, True)
+
+
+def hand_over(spark: SparkSession, path: str, to: str) -> None:
+    """Move a written folder to where a stream looks; a folder that nothing was written to becomes an empty one."""
+    (at, files), (place, _) = _located(spark, path), _located(spark, to)
+    files.mkdirs(place.getParent())
+    if not (files.exists(at) and files.rename(at, place)):
+        files.mkdirs(place)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs here go with their job; otherwise they stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def reliable(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talloom.session import configure, reliable, scratch_path
+from talloom.session import configure, freed_shuffles, reliable, scratch_path
 from talloom.streaming.reorder import END
 
 # State that outlives one process and the processors' list state need RocksDB.
@@ -21,6 +21,8 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     # Upload what changed instead of a snapshot in every batch.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Executors keep a stopped run's copy of the state, which a resumed one loads anew, until the next maintenance.
+    spark.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     return spark
 
 
@@ -89,11 +91,11 @@ def end_input(spark: SparkSession, path: str, at: str = "ts", **values) -> None:
 
 def run_available(
     stream: DataFrame, name: str, mode: str = "append", state: str | None = None, more: Iterable[Callable[[], None]] = (),
-    each: Callable[[DataFrame], DataFrame] | None = None,
+    each: Callable[[DataFrame], DataFrame] | None = None, out: str | None = None,
 ) -> DataFrame:
     """Process everything available, then return the emitted rows as a table.
 
-    state: where to keep the stream's state, to read what it still holds.
+    state: where to keep the stream's state, to read what it still holds; out: where to keep the emitted rows.
     more: steps that add input, after each of which the stream is resumed and processes what is new.
     each: a batch operator for the rows of every micro-batch, e.g. a join with tables as they are by then. The rows are
     stored first: an operator that reads them more than once does not run the stream's own stages as often.
@@ -102,11 +104,11 @@ def run_available(
     folder, so a batch that is run again after a failure does not repeat rows.
     """
     spark = use_rocksdb(stream.sparkSession)
-    out, state = scratch_path(spark, f"{name}-out"), state or scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, f"{name}-out"), state or scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     schema = stream.schema
     if mode == "append" and each is None:
-        files, writer = out, writer.format("parquet").option("path", out)
+        files, writer = out, writer.format("parquet").option("path", out).option("compression", "zstd")
     else:
         files, judge = f"{out}/batch-*", (lambda df: each(reliable(df, f"{name}-rows"))) if each is not None else (lambda df: df)
         if each is not None:
@@ -115,7 +117,7 @@ def run_available(
     for step in (None, *more):
         if step is not None:
             step()
-        with _state_partitions(spark):
+        with _state_partitions(spark), freed_shuffles(spark):
             query = writer.start()
         query.awaitTermination()
     return spark.read.schema(schema).parquet(files)
@@ -123,8 +125,8 @@ def run_available(
 
 def run_to_end(
     rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, state: str | None = None, at: str = "ts",
-    more: Iterable[Callable[[], None]] = (),
+    more: Iterable[Callable[[], None]] = (), out: str | None = None,
 ) -> DataFrame:
     """Run `make` over a stream of rows with event time `at` that is closed when everything was processed."""
     closed, path = with_end(rows, name)
-    return run_available(make(closed), name, state=state, more=[*more, lambda: end_input(rows.sparkSession, path, at)])
+    return run_available(make(closed), name, state=state, more=[*more, lambda: end_input(rows.sparkSession, path, at)], out=out)

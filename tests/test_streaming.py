@@ -389,3 +389,93 @@ def test_larger_tables_are_written_to_more_files(spark, tmp_path, monkeypatch):
     assert stream_queries._files(rows, 4) == 4
     monkeypatch.setattr(stream_queries, "_FILE_BYTES", 500)
     assert stream_queries._files(rows, 4) > 8
+
+
+def _piece_rows(spark, count):
+    """Replies cut into pieces of ten bytes."""
+    text = _sse(CALL).encode()
+    rows = [(f"s{k}", i // 10, bytearray(text[i : i + 10])) for k in range(count) for i in range(0, len(text), 10)]
+    made = spark.createDataFrame(rows, "stream_id string, piece long, bytes binary")
+    return made.select("stream_id", F.timestamp_seconds(F.lit(86_400)).alias("arrived"), "piece", "bytes")
+
+
+def test_pieces_ahead_of_their_turn_share_entries(spark, tmp_path, monkeypatch):
+    """Before, an entry for every reply and micro-batch, each written anew whenever its reply got on."""
+    monkeypatch.setattr(replies, "SLOTS", 2)
+    pieces, folder, state = _piece_rows(spark, 50), str(tmp_path / "in"), str(tmp_path / "state")
+    for k in (2, 1):
+        pieces.where(f"piece % 3 = {k}").coalesce(1).write.mode("append").parquet(folder)
+    stream, end = with_end(use_rocksdb(spark).readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(folder), "t")
+    entries = []
+
+    def last():
+        entries.append(held_map(spark, state, "waiting").count())
+        pieces.where("piece % 3 = 0").coalesce(1).write.mode("append").parquet(folder)
+
+    got = run_available(replies.framed(stream, "1 hour"), "t", state=state, more=[last, lambda: end_input(spark, end, "arrived")]).collect()
+    assert entries == [4]  # two slots, two micro-batches
+    assert len(got) == 50 * len(CALL)
+    assert {(r["kind"], r["stream_id"], r["seq"], r["payload"]) for r in got} == {("event", f"s{k}", i, json.dumps(e)) for k in range(50) for i, e in enumerate(CALL)}
+    assert held_map(spark, state, "waiting").isEmpty()
+
+
+def test_lost_blocks_share_entries(spark, tmp_path, monkeypatch):
+    """A hundred replies without their third line, one of them in two parts: all come out, and their entries go."""
+    monkeypatch.setattr(replies, "SLOTS", 2)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    lines = _lines(spark, [(f"s{k}", 1, i, e) for k in range(100) for i, e in enumerate(CALL) if i != 2 and (k or i != 3)])
+    lines.coalesce(1).write.json(folder)
+    stream, end = with_end(deltas.read_lines(use_rocksdb(spark), folder), "t")
+    events, entries = deltas.block_events(deltas.data_lines(stream)), []
+
+    def more():
+        entries.append(held_map(spark, state, "waiting").count())
+        _lines(spark, [("s0", 2, 3, CALL[3]), ("s1", 2, 2, CALL[2])]).coalesce(1).write.mode("append").json(folder)
+
+    close = lambda: end_input(spark, end, "arrived", line='data: {"type":"end","index":0}')
+    got = run_available(deltas.complete_blocks_stream(events, "10 minutes"), "t", state=state, more=[more, close]).where("block = 0 AND stream_id IS NOT NULL").collect()
+    assert entries == [2]
+    assert {(r["kind"], r["stream_id"], r["text"], r["missing"]) for r in got} == {("lost", f"s{k}", "llo\n", 1) for k in range(100) if k != 1} | {("whole", "s1", "Hello\n", 0)}
+    assert len(got) == 100
+
+
+def _documents(spark, folder, rows):
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
+    made.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", ["kept_replies", "lost_replies"])
+def test_replies_in_many_files_are_not_given_up_in_between(spark, tmp_path, monkeypatch, name):
+    """Lines are dealt over files by hash; a step read in several micro-batches gave up replies whose lines were still to come."""
+    from talloom.plans import all_queries, stream_queries
+
+    texts = {i: f"{i:03d}" * (30 * i) for i in range(1, 31)}
+    _documents(spark, str(tmp_path), [(i, x, "en", "src1") for i, x in texts.items()])
+    monkeypatch.setattr(stream_queries, "_files", lambda rows, least: 150)
+    got = [tuple(r) for r in all_queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    if name == "lost_replies":
+        want = [(f"d{i}", 0, "text", x[:300] + x[600:], 1 if len(x) > 300 else None) for i, x in texts.items() if i % 7 == 3]
+    else:
+        want = [(f"d{i}", 0, x, None) for i, x in texts.items() if i % 7 != 3]
+        want += [(f"d{i}", 1, None, f'{{"n":{len(x)},"path":"src1"}}') for i, x in texts.items()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_captured_replies_of_documents_that_share_an_id(spark, tmp_path):
+    """Only these are brought together, as one reply; and what was read goes."""
+    from talloom.plans import all_queries
+    from talloom.session import _located, scratch_path
+
+    _documents(spark, str(tmp_path), [(1, "a" * 700, "en", "src1"), (2, "b", "de", "src2"), (3, "c", "en", "src1"), (3, "c", "en", "src1"), (None, "d", "es", "src1")])
+    at, files = _located(spark, scratch_path(spark, "x").rsplit("/", 1)[0])
+    names = lambda: {s.getPath().getName() for s in files.listStatus(at)}
+    files.mkdirs(at)
+    before = names()
+    found = all_queries.QUERIES["captured_replies"](spark, str(tmp_path))
+    got = sorted(((r["stream_id"], r["block"], r["call_id"], r["text"], r["input"]) for r in found.collect() if r["stream_id"] != "d3"), key=str)
+    assert got == sorted([
+        ("d1", 0, None, "a" * 700, None), ("d1", 1, "call1", None, '{"n":700,"path":"src1"}'), ("d2", 0, None, "b", None),
+        ("d2", 1, "call2", None, '{"n":1,"path":"src2"}'), (None, 0, None, "d", None), (None, 1, None, None, "{}"),
+    ], key=str)
+    kept = {n.rsplit("-", 1)[0] for n in names() - before}
+    assert "captured-out" in kept and not kept & {"whole", "raw", "framed", "frame-state", "captured-state"}
