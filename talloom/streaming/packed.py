@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows and bytes of the input that are dealt over the slots at once, and bytes of a batch of results.
-PACK_ROWS, PACK_BYTES = 1 << 18, 32 << 20
+PACK_ROWS, PACK_BYTES = 1 << 16, 8 << 20
 FRAME_BYTES = 4 << 20
 
 
@@ -44,11 +44,11 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[l
         yield held
 
 
-def frames(batch: pa.RecordBatch) -> Iterator[bytes]:
-    """A batch of results in packed batches of bounded size."""
+def frames(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of results in batches of bounded size."""
     step = max(1, batch.num_rows * FRAME_BYTES // max(batch.nbytes, 1))
     for a in range(0, batch.num_rows, step):
-        yield packed(batch.slice(a, step))
+        yield batch.slice(a, step)
 
 
 def to_slots(rows: DataFrame, schema: pa.Schema) -> DataFrame:
@@ -64,6 +64,7 @@ def to_slots(rows: DataFrame, schema: pa.Schema) -> DataFrame:
             starts = np.flatnonzero(np.diff(slot, prepend=-1)).tolist()
             made = [packed(sorted_.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(slot)])]
             yield pa.RecordBatch.from_arrays([pa.array(slot[starts], pa.int32()), pa.array(made, pa.binary())], names=names)
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     return rows.mapInArrow(pack, "slot int, rows binary")
 
@@ -75,5 +76,6 @@ def to_rows(found: DataFrame, schema: pa.Schema, returns: str) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 yield unpacked(x.as_py(), schema)
+        pa.default_memory_pool().release_unused()
 
     return found.mapInArrow(unpack, returns)

@@ -23,6 +23,9 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Executors keep a stopped run's copy of the state, which a resumed one loads anew, until the next maintenance.
     spark.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
+    # What all stores of an executor keep in memory, rather than up to 64 MB and more for each.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
     return spark
 
 
